@@ -71,7 +71,7 @@ BODIES = {
     "q_parse_year": "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS yr FROM orders WHERE o_orderkey % 6 <> 5",
     "q_concat_text": "SELECT p_partkey, coalesce(p_name, '') || coalesce(nullif(p_brand, 'Brand#11'), '') || coalesce(p_type, '') AS text FROM part",
     "q_tokenize": "SELECT id, CAST(generate_subscripts(tokens, 1) - 1 AS INTEGER) AS pos, unnest(tokens) AS token FROM tok",
-    "q_stop_antijoin": "SELECT id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token FROM (SELECT id, list_filter(tokens, x -> x NOT IN ('the', 'of', 'and', 'to', 'in')) AS t FROM tok)",
+    "q_stop_antijoin": "SELECT id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token FROM (SELECT id, list_filter(tokens, lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in')) AS t FROM tok)",
     "q_dedup_first": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) = 1",
     "q_docs_per_year": "SELECT yr, docs FROM dpy",
     "q_docs_per_year_all": "SELECT yr, count(*) AS docs FROM docs GROUP BY yr",
