@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlineage.llm import quality, toxicity
+from textlineage.llm import packing, quality, toxicity, winnowing
 from textlineage.llm.common import table
 from textlineage.llm.mixing import mix
 from textlineage.llm.sharding import shard_documents
@@ -49,6 +49,16 @@ def op8_bounded_hash_ring(spark, d):
     return shard_documents(table(spark, d, "documents"))
 
 
+@query
+def op9_winnowing_fingerprints(spark, d):
+    return winnowing.fingerprints(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_configuration_lp_packing(spark, d):
+    return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
 #: Valid for plain chats, as in the tables; texts that are tool calls are covered by tests.
 ORACLES["op6_tool_call_linking"] = """
 WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),

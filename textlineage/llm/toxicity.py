@@ -54,7 +54,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 2048, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 2048, rate: float = 0.05, l2: float = 2e-5, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative risk prior * R+(p) + max(0, R-(u) - prior * R-(p)), logistic loss, by Adam.
 
     Where the corrected negative risk of a batch is below zero, the step goes up its gradient instead, which undoes overfitting.
@@ -82,7 +82,18 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
+            w, b = np.maximum(w - step[:-1], 0.0), b - step[-1]  # chosen for positive lift: length can't outvote a finding
+    # The bias at which the corrected 0-1 risk, prior * misses + max(0, flagged share - prior * hits), is least: the middle
+    # of the longest stretch of such places.
+    zp, zu = np.sort(positive.astype(np.float32) @ w + b), np.sort(unlabelled.astype(np.float32) @ w + b)
+    if len(zp) and len(zu):
+        at = np.unique(np.round(np.concatenate([zp, zu]), 9))
+        cuts = (at[1:] + at[:-1]) / 2 if len(at) > 1 else at
+        hits, flagged = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
+        risk = prior * (1 - hits) + np.maximum(0.0, flagged - prior * hits)
+        good = np.flatnonzero(risk <= risk.min() + 1e-4)
+        gaps = (at[1:] - at[:-1])[good] if len(at) > 1 else np.ones(1)
+        b -= float(cuts[good[np.argmax(gaps)]])
     return w, float(b)
 
 
@@ -115,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive:
                 ids, owner = feature_ids(b.column("text"))
                 key = np.unique(owner * (1 << BITS) + ids)
                 for k in (0, 1):
-                    sums[k] += np.bincount((key & ((1 << BITS) - 1))[y[key >> BITS] == k], minlength=1 << BITS).astype(np.int32)
+                    np.add.at(sums[k], (key & ((1 << BITS) - 1))[y[key >> BITS] == k], 1)
                     n[k] += (y == k).sum()
         found = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(sums[1, found], n[1]).astype(np.int64)), pa.array(np.append(sums[0, found], n[0]).astype(np.int64))], ["f", "p", "u"])
