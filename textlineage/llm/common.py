@@ -194,3 +194,58 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("components did not converge")
     return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+# --- groups that stream ----------------------------------------------------------------------------
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """First rows of the runs of equal keys, and the number of rows."""
+    new = np.zeros(table.num_rows, bool)
+    if table.num_rows:
+        new[0] = True
+    for k in keys:
+        v = table[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of a sorted partition, with group_starts: memory is that of a batch and one group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        at = group_starts(t, keys)
+        last = int(at[-2])
+        if last:
+            yield t.slice(0, last).combine_chunks(), at[:-1]
+        held = t.slice(last)
+    if held is not None and held.num_rows:
+        held = held.combine_chunks()
+        yield held, group_starts(held, keys)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n items reaches over the pairs."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def block_pairs(rows: DataFrame, size: str, key: str, most: int) -> DataFrame:
+    """rows once for each pair of blocks (_i <= _j) that their block _block belongs to: blocks of about `most` rows by a
+    hash of the key, so that every two rows of a group meet in one pair, and no pair is larger than two blocks."""
+    n = F.ceil(F.col(size) / F.lit(float(most))).cast("int")
+    out = rows.withColumn("_n", n).withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), key), F.col("_n")).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return out.withColumns({"_i": F.least("_block", "_o"), "_j": F.greatest("_block", "_o")}).drop("_n", "_o")

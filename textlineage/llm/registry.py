@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlineage.llm import packing, quality, toxicity, winnowing
+from textlineage.llm import jaccard, packing, quality, toxicity, winnowing
 from textlineage.llm.common import table
 from textlineage.llm.mixing import mix
 from textlineage.llm.sharding import shard_documents
@@ -21,6 +21,11 @@ def query(f):
     return f
 
 
+@query
+def op1_minhash_forest_join(spark, d):
+    return jaccard.join(table(spark, d, "documents"))
+
+
 @query
 def op2_nonnegative_pu_toxicity(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
