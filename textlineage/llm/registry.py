@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlineage.llm import jaccard, packing, quality, toxicity, winnowing
+from textlineage.llm import bilinear, jaccard, neighbours, packing, quality, toxicity, winnowing
 from textlineage.llm.common import table
 from textlineage.llm.mixing import mix
 from textlineage.llm.sharding import shard_documents
@@ -38,6 +38,11 @@ def op3_temperature_mixing(spark, d):
     return mix(docs).drop("text")
 
 
+@query
+def op4_pruned_graph_dedup(spark, d):
+    return neighbours.near_duplicates(table(spark, d, "embeddings"))
+
+
 @query
 def op5_quadratic_discriminant_quality(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -49,6 +54,11 @@ def op6_tool_call_linking(spark, d):
     return link(table(spark, d, "conversations"))
 
 
+@query
+def op7_log_bilinear_scores(spark, d):
+    return bilinear.score_documents(table(spark, d, "documents"))
+
+
 @query
 def op8_bounded_hash_ring(spark, d):
     return shard_documents(table(spark, d, "documents"))
