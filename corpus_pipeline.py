@@ -7,17 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from textlineage.llm import jaccard, mixing, packing, quality, toxicity
 from textlineage.llm.common import cut, table
 
+#: Result columns inside a stage, apart from any that the documents may have.
+NAMES = ("_stage_held_out", "_stage_score", "_stage_predicted")
+
+
+def columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled ones among them, accepts."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.score_quality(docs, model, names=NAMES).filter(f"{NAMES[2]} = 1").select(*columns(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't flag."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score_toxicity(docs, model, names=NAMES).filter(f"{NAMES[2]} = 0").select(*columns(docs))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,10 +182,12 @@ def join(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: fl
         for batch in batches:
             for b in steps(batch, "text"):
                 sets = shingle_sets(pc.fill_null(b.column("text"), ""))
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "copies", "shingles"])
+                # A doc_id that stands at several texts brings those of other nodes as well.
+                same = pa.array([int(np.add.reduce(mix(s + U64(1))).view(np.int64)) == n for s, n in zip(sets, b.column("node").to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "copies", "shingles"]).filter(same)
 
-    texts = docs.join(wanted, docs.doc_id == wanted.rep).dropDuplicates(["node"]).select("node", "copies", "text")
-    sets = texts.mapInArrow(sets_of, "node long, copies long, shingles binary")
+    texts = docs.join(wanted, docs.doc_id == wanted.rep).select("node", "copies", "text")
+    sets = texts.mapInArrow(sets_of, "node long, copies long, shingles binary").dropDuplicates(["node"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Linked documents of each row's node, and the smallest node of its links in the group."""
@@ -232,4 +234,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     which stand for no document, stay as they are."""
     kept = join(docs).filter("kept").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))

@@ -118,19 +118,21 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", source_col: str
 
     Sorting by mix_key (0 to 1) interleaves the sources in the target proportions: within an epoch blocks come in a
     hashed order, a block's documents near each other. A null source is the source ""; a text without words has no tokens, costs nothing and comes
-    with its source's whole epochs; with budget None no document is dropped. Texts are not shuffled: the
+    with its source's whole epochs; columns of docs named as the results give way to them. With budget None no document is dropped. Texts are not shuffled: the
     decision is a comparison with the source's row of quotas. copies_only: only the columns of docs.
     """
-    names = docs.columns
-    sized = docs.withColumns({"_s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_id": F.col(id_col), "_t": words(F.col("text")) if tokens is None else tokens})
-    q = quotas(cut(sized.select("_s", "_id", "_t"), "mix-rows"), p)
-    out = docs.withColumns({"_s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_id": F.col(id_col)})
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_s")
+    q = quotas(cut(docs.select(source, F.col(id_col).alias("_id"), (words(F.col("text")) if tokens is None else tokens).alias("_t")), "mix-rows"), p)
+    # Rows travel as one struct, so that no column of docs can clash with those of the plan.
+    out = docs.select(source, F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     out = out.join(q.select("_s", "weight", "repeats", "whole", "blocks", "cut_order", "cut_hash"), "_s")
     o, h = block_order(p), doc_order(p)
     extra = F.coalesce((o < F.col("cut_order")) | ((o == F.col("cut_order")) & (h <= F.col("cut_hash"))), F.lit(False))
     out = out.withColumn("_n", F.col("whole") + extra.cast("int")).filter("_n > 0").withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     if copies_only:
-        return out.select(*names)
+        return out.select("_row.*")
     unit = lambda x: x.cast("double") / F.lit(2.0**64) + F.lit(0.5)
     place = unit(o) * (1 - 1 / F.col("blocks")) + unit(h) / F.col("blocks")
-    return out.select(*names, F.col("weight").alias("source_weight"), F.col("repeats").alias("source_repeats"), F.col("_e").alias("epoch"), F.least(F.lit(1.0), (F.col("_e") - 1 + place) / F.greatest(F.lit(1.0), F.col("repeats"))).alias("mix_key"))
+    new = ("source_weight", "source_repeats", "epoch", "mix_key")
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in new]
+    return out.select(*kept, F.col("weight").alias("source_weight"), F.col("repeats").alias("source_repeats"), F.col("_e").alias("epoch"), F.least(F.lit(1.0), (F.col("_e") - 1 + place) / F.greatest(F.lit(1.0), F.col("repeats"))).alias("mix_key"))

@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlineage.llm.common import block_pairs, components, cut, fetch, roots, whole_groups
 
 THRESHOLD = 0.95
 #: Vectors that a shard owns on average, and shards that a vector stands in.
-SHARD, OVERLAP = 600, 3
+SHARD, OVERLAP = 300, 3
 #: Rows of a block; larger shards are built and searched by pairs of blocks.
-BLOCK = 1_800
+BLOCK = 1_000
 SAMPLE, CENTRES = 40_000, 4_096
 NEAR, FAR, ALPHA, BEAM, RECALL = 20, 8, 1.2, 32, 1.0
 
@@ -31,10 +31,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Vectors that can link: a known id, no null or non-finite component, not zero."""
-    e = F.col("embedding")
-    return vectors.filter(F.col("vec_id").isNotNull() & e.isNotNull()).filter(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0))
+def usable(e: Column) -> Column:
+    """Whether an embedding can link: no null or non-finite component, not zero."""
+    finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce(finite & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
@@ -180,11 +180,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     one task, by pairs of blocks if it is large, so hot clusters meet whole in bounded tasks. Links between vectors that one
     shard owns are counted there, and only links across owners travel as rows. Vectors that are null, zero or hold null or
     non-finite components have no link and their own id; vectors of different lengths never link. Rows that repeat a vec_id
-    with equal embeddings count as copies. A null vec_id has a row of its own, with no link and a null component.
+    with equal embeddings count as copies. A null vec_id has a row of its own: no link, a null component, not kept.
     """
-    ids = vectors.select("vec_id", "embedding")
-    good = usable(ids).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)).alias("embedding"))
-    hashed = good.select("vec_id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), F.reverse("embedding")).alias("h2"), "embedding")
+    e = F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0))
+    good = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
+    ids = vectors.select("vec_id", F.when(good, F.xxhash64(e)).alias("h1"), F.when(good, F.xxhash64(F.lit(1), F.reverse(e))).alias("h2"), F.when(good, e).alias("embedding"))
+    hashed = ids.filter("h1 is not null").withColumn("vec_id", F.col("vec_id").cast("long"))
     nodes = hashed.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     nodes = cut(nodes.withColumn("d", F.size("embedding")), "vector-nodes")
     links, cross = None, None
@@ -194,15 +195,15 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         cross = b if cross is None else cross.unionByName(b)
     if links is None:
         out = ids.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id").cast("long")})
-        return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+        return out.select("vec_id", "n_links", "component_id", F.col("vec_id").isNotNull().alias("kept"))
     found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(cross.select("a", "b")))
     both = cross.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).unionByName(cross.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
     sums = links.select("node", F.col("links").alias("n")).unionByName(both).groupBy("node").agg(F.sum("n").alias("n"))
     known = nodes.select("h1", "h2", "node", "copies").join(sums, "node", "left").join(found, "node", "left")
     known = known.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
-    flagged = ids.join(hashed.select("vec_id", "h1", "h2").distinct(), "vec_id", "left").join(known, ["h1", "h2"], "left")
+    flagged = ids.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
     component = F.coalesce("root", F.col("vec_id").cast("long"))
-    return flagged.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return flagged.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 GROUP = ["shard", "_i", "_j"]

@@ -49,41 +49,34 @@ def best_filling(lengths: np.ndarray, last: np.ndarray, capacity: int) -> dict[i
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 48, rate: float = 0.35) -> dict[tuple[tuple[int, int], ...], float]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, work: int = 120_000, slack: float = 0.01, step: float = 0.25, rate: float = 0.2) -> dict[tuple[tuple[int, int], ...], float]:
     """Fractional configurations {((length index, times), ...): number} that cover the counts, by multiplicative weights.
 
-    Lengths are the experts. A round prices them by one knapsack table, which gives for every length the most valuable
-    configuration that holds it; configurations are used in the amounts their lengths still need, and a length's weight
-    falls with its coverage. The average over rounds is scaled to the total of tokens.
+    Lengths are the experts and their weights the prices. A round solves one knapsack table, which gives for every length the
+    most valuable configuration that holds it; those within `slack` of the best are used, as often as a share `step` of what their
+    scarcest length has. A length's price falls exponentially with the share of its items covered, so what is left uncovered
+    gets dear and ends up in the best configurations. Prices and amounts are averaged over all rounds by the scale at the end, which
+    makes the median coverage 1. work: rounds times lengths.
     """
-    weight = np.ones(len(lengths))
+    price = lengths / capacity
     x: dict[tuple[tuple[int, int], ...], float] = {}
     cover = np.zeros(len(lengths))
-    for _ in range(rounds):
-        value = weight * lengths / capacity
-        _, last = knapsack(lengths, value, capacity)
+    for _ in range(max(24, min(1_500, work // max(len(lengths), 1)))):
+        best, last = knapsack(lengths, price, capacity)
+        worth = price + best[capacity - lengths]
         got = np.zeros(len(lengths))
-        need = counts.astype(float)
-        # The rarest-covered and longest first: short ones fill what is left of others.
-        for i in np.lexsort((-lengths, -weight)):
-            if need[i] <= 0:
-                continue
+        for i in np.flatnonzero(worth >= (1 - slack) * worth.max()):
             p = best_filling(lengths, last, capacity - int(lengths[i]))
             p[int(i)] = p.get(int(i), 0) + 1
-            times = min(need[i] / p[int(i)], min(counts[j] / a for j, a in p.items()))
-            if times <= 0:
-                continue
+            times = step * min(counts[j] / a for j, a in p.items())
             key = tuple(sorted(p.items()))
             x[key] = x.get(key, 0.0) + times
             for j, a in p.items():
-                need[j] -= a * times
                 got[j] += a * times
-        cover += got
-        excess = cover / counts
-        weight = np.exp(-rate * (excess - excess.min()))
-        weight = np.maximum(weight, 1e-6)
-    used = sum(v * sum(a * lengths[j] for j, a in p) for p, v in x.items())
-    scale = float((counts * lengths).sum()) / used if used else 0.0
+        cover += got / counts
+        price = price * np.exp(-rate * np.minimum(got / counts, 5.0))
+        price /= price.max()
+    scale = 1 / max(float(np.median(cover)), 1e-9)
     return {p: v * scale for p, v in x.items()}
 
 
@@ -116,24 +109,46 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return [(tuple(sorted(c.items())), t) for group in room.values() for c, t in group if t]
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Whole configurations for every item: the program's rounded down, the largest first, the rest best-fit.
+Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
-    lengths ascending and distinct, 1 to capacity; counts positive. Work depends on the capacity, not on the items.
-    """
+
+def rounded(x: dict[tuple[tuple[int, int], ...], float], lengths: np.ndarray, counts: np.ndarray, capacity: int, least: float) -> tuple[Plan, np.ndarray]:
+    """Whole times of the configurations that fill at least that share of a sequence, the fullest first, and the items left."""
     out, left = [], counts.astype(np.int64).copy()
-    part = np.flatnonzero(lengths < capacity)
-    if len(part):
-        x = solve(lengths[part], counts[part], capacity)
-        fullness = lambda p: sum(a * int(lengths[part][j]) for j, a in p)
-        for p, v in sorted(x.items(), key=lambda t: (-fullness(t[0]), -t[1], t[0])):
-            times = min(int(v), *(int(left[part[j]]) // a for j, a in p))
-            if times > 0 and fullness(p) >= capacity * 0.995:
-                out.append((tuple((int(part[j]), a) for j, a in p), times))
-                for j, a in p:
-                    left[part[j]] -= times * a
-    rest = np.flatnonzero(left > 0)
-    return out + [(tuple((int(rest[j]), a) for j, a in p), t) for p, t in best_fit(lengths[rest], left[rest], capacity)]
+    fullness = {p: sum(a * int(lengths[j]) for j, a in p) for p in x}
+    for p, v in sorted(x.items(), key=lambda t: (-fullness[t[0]], -t[1], t[0])):
+        times = min(int(v), *(int(left[j]) // a for j, a in p))
+        if times > 0 and fullness[p] >= capacity * least:
+            out.append((p, times))
+            for j, a in p:
+                left[j] -= times * a
+    return out, left
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = SEQUENCE) -> Plan:
+    """Whole configurations for every item: the program's, rounded down, and the items left best-fit.
+
+    lengths ascending and distinct, 1 to capacity; counts positive. What a rounding leaves is a smaller program of its own, solved
+    once more. Of several roundings, by how full a configuration has to be, the one with the fewest sequences is taken.
+    Work depends on the capacity, not on the number of items.
+    """
+    x = solve(lengths, counts, capacity) if len(lengths) else {}
+    best: tuple[int, Plan] | None = None
+    for least in (1.0, 0.995, 0.98, 0.95, 0.9, 0.0):
+        out, left = rounded(x, lengths, counts, capacity, least)
+        for again in (True, False):
+            some = np.flatnonzero(left > 0)
+            name = lambda found: [(tuple((int(some[j]), a) for j, a in p), t) for p, t in found]  # noqa: E731, B023
+            if again and least in (0.995, 0.95) and len(some):
+                more, rest = rounded(solve(lengths[some], left[some], capacity, 16), lengths[some], left[some], capacity, least)
+                out = out + name(more)
+                left[some] = rest
+            elif not again:
+                out = out + name(best_fit(lengths[some], left[some], capacity))
+        n = sum(t for _, t in out)
+        if best is None or n < best[0]:
+            best = (n, out)
+    return best[1] if best else []
 
 
 # --- tokens --------------------------------------------------------------------------------------

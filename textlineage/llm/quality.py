@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlineage.llm.common import ALNUM, U64, VISIBLE, byte_class, chain, fetch, fold, group_sums, span_hashes, steps, text_buffers, word_bounds
 
@@ -139,20 +140,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return Discriminant.fit(x[order], y[order])
 
 
-def score_quality(docs: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, model: Discriminant, threshold: float = 0.3, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
     """docs with held_out, score and predicted. A null text is scored as the empty one; a null doc_id isn't held out.
 
-    One pass without a shuffle. Columns of docs stay but for those named as the results.
+    One pass without a shuffle. Columns of docs stay but for those named as the results (`names`).
     """
-    new = ["score", "predicted", "held_out"]
-    keep = docs.drop(*new)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema), "score double"])
+    held_out, result, predicted = names
+    keep = docs.drop(*names)
+    schema = T.StructType([*keep.schema.fields, T.StructField(result, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in steps(batch, "text"):
                 score = model.score(statistics(*text_buffers(b.column("text"))))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, result])
 
     out = keep.mapInArrow(run, schema)
-    return out.withColumn("held_out", fold(F.col("doc_id"), 5) == 0).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.withColumn(held_out, fold(F.col("doc_id"), 5) == 0).withColumn(predicted, (F.col(result) >= threshold).cast("int"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlineage.llm.common import ALNUM, U64, fetch, fold, span_hashes, steps, text_buffers, word_bounds
 
@@ -168,20 +169,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive:
     return Model(chosen, w, bias)
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
     """docs with held_out, score and predicted; a null text is scored as the empty one, a null doc_id isn't held out.
 
-    One pass without a shuffle. Columns of docs stay but for those named as the results.
+    One pass without a shuffle. Columns of docs stay but for those named as the results (`names`).
     """
-    keep = docs.drop("score", "predicted", "held_out")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema), "score double"])
+    held_out, result, predicted = names
+    keep = docs.drop(*names)
+    schema = T.StructType([*keep.schema.fields, T.StructField(result, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = model.table()
         for batch in batches:
             for b in steps(batch, "text"):
                 text = pc.fill_null(b.column("text"), "")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(text, lookup))], [*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(text, lookup))], [*b.schema.names, result])
 
     out = keep.mapInArrow(run, schema)
-    return out.withColumn("held_out", fold(F.col("doc_id"), 5) == 0).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.withColumn(held_out, fold(F.col("doc_id"), 5) == 0).withColumn(predicted, (F.col(result) >= threshold).cast("int"))

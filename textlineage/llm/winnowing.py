@@ -30,7 +30,7 @@ def char_tables() -> tuple[np.ndarray, np.ndarray]:
 def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes and positions (code points of the text) that winnowing selects, positions ascending.
 
-    Letters and digits count, in lower case. Of each window of w consecutive k-gram hashes the least is chosen, the
+    Letters and digits count, in lower case, as do all code points past 65,535. Of each window of w consecutive k-gram hashes the least is chosen, the
     rightmost where several are equal, so texts that share a passage of k + w - 1 such characters share a selected hash.
     Fewer than w k-grams are one window; fewer than k characters are one gram; none give an empty fingerprint.
     Done in blocks of windows, so memory beyond the text's code points is bounded.
