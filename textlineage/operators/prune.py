@@ -48,10 +48,25 @@ def top_k_terms(vectors: DataFrame, k: int, keep_all_if_not_positive: bool = Fal
     return vectors.withColumn("_rn", rank).filter(F.col("_rn") <= k).drop("_rn").filter("w <> 0")
 
 
+#: Rows up to which a list of columns is broadcast; longer lists are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def checked_small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has few rows, counted first; kept for its one further use."""
+    df = df.persist()
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def prune(vectors: DataFrame, term_df: DataFrame, docs: DataFrame, vocab: DataFrame, words: DataFrame | None, threshold: float, percent: float, k: int) -> DataFrame:
-    """Stop columns, then frequent columns by ratio, then the top of the rest, then top k. Not normalised again."""
+    """Stop columns, then frequent columns by ratio, then the top of the rest, then top k. Not normalised again.
+
+    The three lists are one anti-join on integers; while they are short it leaves the vectors where they are, by document.
+    """
     ratio = ratio_columns(term_df, docs, vocab, threshold)
     top = top_df_columns(term_df, vocab, ratio, percent)
-    out = vectors if words is None else drop_columns(vectors, stop_columns(vocab, words), ["term"])
-    out = drop_columns(out, ratio.select("yr", "term").unionByName(top.select("yr", "term")), ["yr", "term"])
-    return top_k_terms(out, k)
+    removed = ratio.select("yr", "term_id").unionByName(top.select("yr", "term_id"))
+    if words is not None:
+        stop = stop_columns(vocab, words).select("term_id")
+        removed = removed.unionByName(docs.select("yr").crossJoin(F.broadcast(stop)))
+    return top_k_terms(vectors.join(checked_small(removed.distinct()), ["yr", "term_id"], "left_anti").filter("w <> 0"), k)

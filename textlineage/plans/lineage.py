@@ -29,7 +29,7 @@ class Lineage:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return vocab.docs_per_year(self.tokens)
+        return self.kept(vocab.docs_per_year(self.tokens))
 
     @cached_property
     def term_df(self) -> DataFrame:
@@ -37,7 +37,7 @@ class Lineage:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return vocab.vocabulary(self.term_df, self.docs, self.s.min_term_count, self.s.max_doc_freq_ratio)
+        return self.kept(vocab.vocabulary(self.term_df, self.docs, self.s.min_term_count, self.s.max_doc_freq_ratio))
 
     @cached_property
     def idf(self) -> DataFrame:

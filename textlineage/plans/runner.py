@@ -12,7 +12,7 @@ from textlineage.functions.tokenize import tokenizer
 from textlineage.operators import score, vocab
 from textlineage.plans.lineage import Lineage
 from textlineage.sources import artifacts
-from textlineage.sources.documents import read_documents
+from textlineage.sources.documents import by_document, read_documents
 from textlineage.sources.stopwords import read_stopwords
 
 log = logging.getLogger(__name__)
@@ -62,7 +62,7 @@ def run_all(spark: SparkSession, s: Settings, force: bool = False) -> DataFrame:
             listed = [r.term for r in words.limit(100_000).collect()]
         else:
             listed = []
-        return vocab.tokenized(read_documents(spark, s), tokenizer(s.tokenizer, s.user_dict_path), listed)
+        return vocab.tokenized(by_document(read_documents(spark, s)), tokenizer(s.tokenizer, s.user_dict_path), listed)
 
     tokens = stage("tokens", make_tokens)
     plan = Lineage(tokens, s)

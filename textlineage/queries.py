@@ -12,7 +12,7 @@ from textlineage.functions.scalar import concat_text, parse_year
 from textlineage.functions.tokenize import drop_words, regex_words
 from textlineage.operators import pairs, prune, score, stats, vocab, weight
 from textlineage.plans.lineage import Lineage, single_year
-from textlineage.sources.documents import keep_first, table_corpus
+from textlineage.sources.documents import by_document, keep_first, table_corpus
 from textlineage.sources.stopwords import clean_words
 
 SETTINGS = Settings(tokenizer="regex", min_term_count=5, max_doc_freq_ratio=0.5, window_size=5, similarity_threshold=0.05, df_ratio_threshold=0.20, top_df_percent=0.002, topk_terms_per_doc=30, extra_cols=("lang",))
@@ -37,7 +37,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def lineage(spark: SparkSession, d: str) -> Lineage:
     words = spark.createDataFrame([(w,) for w in STOP], "term string")
-    return Lineage(vocab.tokenized(corpus(spark, d), regex_words), SETTINGS, words)
+    return Lineage(vocab.tokenized(by_document(corpus(spark, d)), regex_words), SETTINGS, words, keep=True)
 
 
 def r6(*names: str) -> list:

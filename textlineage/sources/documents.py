@@ -100,6 +100,15 @@ def read_documents(spark: SparkSession, s: Settings) -> DataFrame:
     return documents(scan_csv(spark, s.data_path, columns, s.encoding), s)
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """df dealt by document id before its texts become tokens.
+
+    Term counts, norms and top-k lists group by document; dealt once as text, which is several times smaller than its
+    token rows, they need no further shuffle. It also spreads scans of few splits.
+    """
+    return df.repartition("id")
+
+
 def table_corpus(docs: DataFrame, keep_type: str | None = "en") -> DataFrame:
     """The documented view of a `documents` table: synthetic year 2010 + doc_id % 8, type = lang, title = source."""
     rows = docs if keep_type is None else docs.filter(F.col("lang") == keep_type)
