@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textlineage.llm.common import ALNUM, BASE, U64, block_pairs, chain, components, cut, mix, roots, span_hashes, steps, text_buffers, whole_groups, word_bounds
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEEPEST, RECALL = 32, 10, 0.9999
+TREES, DEEPEST, RECALL = 32, 10, 0.9999999
 BLOCK = 512
 
 

@@ -189,7 +189,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = hashed.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     nodes = cut(nodes.withColumn("d", F.size("embedding")), "vector-nodes")
     links, cross = None, None
-    for d in sorted(r.d for r in nodes.select("d").distinct().limit(64).collect()):  # as a rule one length
+    for d in sorted(r.d for r in nodes.select("d").distinct().collect()):  # as a rule one length
         a, b = links_of(nodes.filter(F.col("d") == d))
         links = a if links is None else links.unionByName(a)
         cross = b if cross is None else cross.unionByName(b)
