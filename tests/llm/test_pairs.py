@@ -97,10 +97,11 @@ def brute_cosine(x):
     return linked.sum(1), roots(len(x), a, b)
 
 
-@pytest.mark.parametrize("block,shard", [(1_000, 300), (25, 40)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, shard):
-    monkeypatch.setattr(neighbours, "BLOCK", block)
-    monkeypatch.setattr(neighbours, "SHARD", shard)
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 25, "SHARD": 40}, {"BLOCK": 25, "SHARD": 20, "CENTRES": 4, "SPLIT": 60, "SLICE": 50}])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, limits):
+    """In one shard, in shards of several blocks, and in shards cut again by pivots dealt in slices."""
+    for name, value in limits.items():
+        monkeypatch.setattr(neighbours, name, value)
     x = vectors()
     want, low = brute_cosine(x)
     rows = neighbours.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
@@ -111,6 +112,21 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, shard):
     assert np.mean([got[i].component_id == low[i] for i in got]) >= 0.99
 
 
+def test_refined_shards_keep_every_row(spark, monkeypatch):
+    for name, value in {"SHARD": 20, "CENTRES": 4, "SPLIT": 60, "SLICE": 50}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    x = vectors()
+    # A large shard, one of near copies only, and a small one. Half of the rows are another shard's.
+    shard = [0] * 240 + [1] * 90 + [2] * 30
+    x[240:330] = x[240] + x[240:330] * 1e-3
+    placed = spark.createDataFrame([(s, i % 2 == 0, i, 1, v.tolist()) for i, (s, v) in enumerate(zip(shard, x, strict=True))], "shard int, own boolean, node long, copies long, embedding array<double>")
+    rows = neighbours.refined(placed, placed.groupBy("shard").count().withColumnRenamed("count", "m")).collect()
+    assert {r.node for r in rows} == set(range(360)) and len({(r.shard, r.node) for r in rows}) == len(rows)
+    assert sorted(r.node for r in rows if r.own) == list(range(0, 360, 2))
+    parts = [len({r.shard for r in rows if r.node in range(lo, hi)}) for lo, hi in ((0, 240), (240, 330), (330, 360))]
+    assert parts[0] > 2 and parts[1:] == [1, 1]
+
+
 def test_vector_edge_cases(spark):
     n = float("nan")
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [2.0, 0.1], 1), (4, [0.0, 1.0], 1), (5, None, 1), (6, [0.0, 0.0], 1), (7, [n, 1.0], 1), (8, [float("inf"), 1.0], 1), (9, [None, 1.0], 1), (10, [1.0], 1), (11, [], 1), (None, [1.0, 0.0], 1), (4, [0.0, 1.0], None), (12, [-1.0, -0.0], 1)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import block_pairs, components, cut, fetch, roots, whole_groups
+from textlineage.llm.common import block_pairs, components, cut, fetch, group_starts, roots, whole_groups
 
 THRESHOLD = 0.95
 #: Vectors that a shard owns on average, and shards that a vector stands in.
@@ -17,6 +17,8 @@ SHARD, OVERLAP = 300, 3
 #: Rows of a block; larger shards are built and searched by pairs of blocks.
 BLOCK = 1_000
 SAMPLE, CENTRES = 40_000, 4_096
+#: Shards of more rows are cut by pivots of their own, no two of them nearer than APART; SLICE rows a task.
+SPLIT, APART, SLICE = 1_000, 0.9, 50_000
 NEAR, FAR, ALPHA, BEAM, RECALL = 20, 8, 1.2, 32, 1.0
 
 
@@ -176,7 +178,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Equal embeddings are one node, their copies linked. Centres are fitted on a bounded sample (SAMPLE rows, CENTRES of
-    them at most); every vector is indexed, in the shards of its nearest centres. A shard's graph is built, searched and verified in
+    them at most); every vector is indexed, in the shards of its nearest centres. Where there are more vectors than these
+    centres make shards of SHARD for, shards are cut again by pivots of their own. A shard's graph is built, searched and verified in
     one task, by pairs of blocks if it is large, so hot clusters meet whole in bounded tasks. Links between vectors that one
     shard owns are counted there, and only links across owners travel as rows. Vectors that are null, zero or hold null or
     non-finite components have no link and their own id; vectors of different lengths never link. Rows that repeat a vec_id
@@ -206,6 +209,65 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     return flagged.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def separated(x: np.ndarray, apart: float) -> np.ndarray:
+    """Unit rows in order, without those nearer than `apart` to one already taken."""
+    out = np.empty_like(x)
+    n = 0
+    for row in x:
+        if not n or (out[:n] @ row).max() < apart:
+            out[n] = row
+            n += 1
+    return out[:n]
+
+
+def refined(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """placed with each shard of more than SPLIT rows cut into shards of about SHARD, by pivots from its own rows.
+
+    Pivots are a hashed share of the rows, CENTRES a shard on average at most, and stand apart: a group of near copies has
+    room for few of them, stays together and meets by pairs of blocks. Each row stands with its OVERLAP nearest pivots,
+    the nearest of a row that the shard owns owns it. A shard's rows are dealt in slices, each with all pivots ahead of
+    its rows, so a task holds the pivots and a batch. A shard's number becomes shard * (2 * CENTRES + 1), plus 1 + the pivot's place.
+    """
+    width, most, apart = 2 * CENTRES + 1, OVERLAP, APART
+    plan = sizes.withColumn("_want", F.when(F.col("m") > SPLIT, F.least(F.lit(float(CENTRES)), F.col("m") / F.lit(float(SHARD)))).otherwise(F.lit(0.0)))
+    plan = plan.withColumn("_slices", F.ceil(F.col("m") / F.lit(float(SLICE))).cast("int"))
+    rows = placed.join(F.broadcast(plan), "shard")  # as many rows of the plan as first centres
+    chance = F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    names = ["shard", "_slice", "_kind", "own", "node", "copies", "embedding"]
+    pivots = rows.filter(chance < F.col("_want") / F.col("m")).withColumns({"_slice": F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)), "_kind": F.lit(0)})
+    members = rows.withColumns({"_slice": F.pmod(F.xxhash64(F.lit("slice"), "node"), F.col("_slices")).cast("int"), "_kind": F.lit(1)})
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pivots.select(*names).unionByName(members.select(*names)).repartition(parts, "shard", "_slice").sortWithinPartitions("shard", "_slice", "_kind", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, c = None, [], None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            starts = group_starts(t, ["shard", "_slice", "_kind"])
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                p = t.slice(lo, hi - lo).combine_chunks()
+                shard, kind = p["shard"][0].as_py(), p["_kind"][0].as_py()
+                if (key := (shard, p["_slice"][0].as_py())) != at:
+                    at, held, c = key, [], None
+                x = unit(matrix(p["embedding"]))
+                if kind == 0:
+                    held.append(x)
+                    continue
+                if c is None and held:
+                    c, held = separated(np.concatenate(held), apart)[: width - 1], []
+                if c is None:  # a small shard, or one that drew no pivot
+                    best = np.full((len(x), 1), -1)
+                else:
+                    best = np.concatenate([np.argsort(-(x[i : i + 4096] @ c.T), axis=1, kind="stable")[:, :most] for i in range(0, len(x), 4096)])
+                n = best.shape[1]
+                take = pa.array(np.repeat(np.arange(len(x)), n))
+                own = np.repeat(p["own"].to_numpy(), n) & np.tile(np.arange(n) == 0, len(x))
+                cols = [p[k].combine_chunks().take(take) for k in ("node", "copies", "embedding")]
+                yield pa.RecordBatch.from_arrays([pa.array(shard * width + 1 + best.ravel()), pa.array(own), *cols], ["shard", "own", "node", "copies", "embedding"])
+
+    return dealt.mapInArrow(run, "shard long, own boolean, node long, copies long, embedding array<double>")
+
+
 GROUP = ["shard", "_i", "_j"]
 
 
@@ -232,8 +294,13 @@ def links_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     placed = nodes.select("node", "copies", "embedding").mapInArrow(assign, "shard int, own boolean, node long, copies long, embedding array<double>")
     placed = cut(placed, "vector-shards")
-    sizes = placed.groupBy("shard").agg(F.count("*").alias("m"))  # CENTRES rows at most
-    met = block_pairs(placed.join(F.broadcast(sizes), "shard"), "m", "node", BLOCK).drop("m")
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("m"))
+    if n > SHARD * CENTRES:
+        placed = cut(refined(placed, sizes), "vector-subshards")
+        sizes = placed.groupBy("shard").agg(F.count("*").alias("m"))
+    else:
+        sizes = F.broadcast(sizes)  # CENTRES rows at most
+    met = block_pairs(placed.join(sizes, "shard"), "m", "node", BLOCK).drop("m")
     names = ["shard", "_i", "_j", "_block", "own", "node", "copies", "embedding"]
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.select(*names).repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "node")
