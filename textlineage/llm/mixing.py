@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from textlineage.llm.common import cut
 
+#: A source's blocks are summed in 2 ** SLICE_BITS slices.
+SLICE_BITS = 12
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -70,7 +73,7 @@ def quotas(rows: DataFrame, p: Mix) -> DataFrame:
 
     whole is the number of full epochs. Of the last, partial one a document belongs to it if its block's
     order is under cut_order, or equals it and the document's hash is at most cut_hash: the permutation's prefix
-    that meets the source's budget. Two small aggregations find them; no source is sorted as a whole.
+    that meets the source's budget. Small aggregations find them; no source is sorted as a whole, nor are its blocks.
     """
     sums = cut(rows.groupBy("_s").agg(F.count("*").alias("docs"), F.sum("_t").alias("tokens")), "mix-sources")
     live = sums.filter("tokens > 0")
@@ -88,11 +91,17 @@ def quotas(rows: DataFrame, p: Mix) -> DataFrame:
     near = F.when(F.abs(repeats - F.round(repeats)) < 1e-9, F.round(repeats)).otherwise(repeats)
     plan = sums.withColumn("weight", share).withColumn("repeats", near).withColumn("whole", F.floor("repeats").cast("int")).withColumn("blocks", F.ceil(F.col("docs") / F.lit(p.block_docs)).cast("long"))
     plan = cut(plan.withColumn("rest", (F.col("repeats") - F.col("whole")) * F.col("tokens")), "mix-plan")
-    # The block in which the last epoch ends: blocks of a source are of bounded size, so their sums are few.
+    # The block in which the last epoch ends. Blocks are of bounded size but grow in number with their source, so their sums
+    # are ordered in slices of the permutation: first the slices, then the blocks of the one slice that holds the end.
     placed = rows.join(plan.filter("rest > 0").select("_s", "blocks", "rest"), "_s").withColumn("_o", block_order(p))
-    per_block = placed.groupBy("_s", "rest", "_o").agg(F.sum("_t").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_s").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = per_block.withColumn("b", before).filter("b < rest and rest <= b + n").select("_s", F.col("_o").alias("cut_order"), (F.col("rest") - F.col("b")).alias("left"))
+    per_block = placed.groupBy("_s", "rest", "_o").agg(F.sum("_t").alias("n")).withColumn("_c", F.shiftright("_o", 64 - SLICE_BITS))
+    per_block = cut(per_block, "mix-blocks")
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends_here = "b < rest and rest <= b + n"
+    slices = per_block.groupBy("_s", "rest", "_c").agg(F.sum("n").alias("n")).withColumn("b", ahead(Window.partitionBy("_s").orderBy("_c")))
+    found = per_block.join(slices.filter(ends_here).select("_s", "_c", F.col("b").alias("s")), ["_s", "_c"])
+    found = found.withColumn("b", F.col("s") + ahead(Window.partitionBy("_s", "_c").orderBy("_o")))
+    edge = found.filter(ends_here).select("_s", F.col("_o").alias("cut_order"), (F.col("rest") - F.col("b")).alias("left"))
     edge = cut(edge, "mix-edge")
     inside = placed.join(edge, "_s").filter("_o = cut_order").withColumn("_h", doc_order(p))
     # Documents go in whole while the sum stays within the budget of the block.
