@@ -162,3 +162,17 @@ def test_model_is_normalised_and_beats_the_base(spark):
     assert np.allclose((10.0 ** model.table.astype(np.float64)).sum(1), 1, atol=1e-4)
     rows = [r for r in bilinear.score(docs, model, tail).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.96
+
+
+def test_embedded_words_follow_the_corpus(spark):
+    """Every word from the threshold on has vectors of its own, which tell it from the words of its class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    few, _ = bilinear.fit(docs.limit(100))
+    model, _ = bilinear.fit(docs)
+    texts = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    c = collections.Counter(w for t in texts for w in re.findall("[^\x20\x09-\x0d]+", t.translate(lower)))
+    least = max(2, math.ceil(math.sqrt(sum(c.values()) + len(texts)) / bilinear.SPARSE))
+    assert len(model.frequent) == sum(n >= least for n in c.values()) > 2 * bilinear.FREQUENT and len(few.frequent) < len(model.frequent)
+    for vectors in (model.context, model.result[:, :-1]):  # equal only where words of a class have the same neighbours
+        assert len(np.unique(vectors, axis=0)) > 0.98 * len(vectors)
