@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.conftest import prose
 from textlineage.llm import jaccard, neighbours
 from textlineage.llm.common import components, roots
@@ -69,6 +70,23 @@ def test_join_edge_cases(spark, edge_docs, no_docs):
     assert ids == [1, 4, 5, 6, 7, 8, 10, 11, 13, 14] and kept.filter("doc_id is null").count() == 2
 
 
+def test_pipeline_keeps_one_row_of_each_class_where_ids_repeat(spark, edge_docs, no_docs):
+    rng = np.random.default_rng(9)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    # 7's second text is a copy of 3's, its first is its own; 8 stands at two near copies, 9 at two texts without words.
+    rows = [(7, a), (3, b), (7, b), (5, c), (8, d), (8, d + " tail"), (8, d), (9, "!"), (9, ""), (9, None)]
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    got = [(r.doc_id, r.text or "") for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    eight = [t for i, t in got if i == 8]
+    assert len(eight) == 1 and eight[0] in (d, d + " tail")
+    assert sorted(x for x in got if x[0] != 8) == sorted([(7, a), (3, b), (5, c), (9, "!"), (9, "")])
+    kept = stage(spark, edge_docs, "")
+    assert kept.columns == edge_docs.columns
+    ids = sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None)
+    assert ids == [1, 4, 5, 6, 7, 8, 10, 11, 13, 14, 14] and kept.filter("doc_id is null").count() == 2
+    assert stage(spark, no_docs, "").count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     rng = np.random.default_rng(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [tuple(map(int, rng.integers(200, 300, 2))) for _ in range(70)]

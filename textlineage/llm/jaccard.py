@@ -68,7 +68,8 @@ def tree_keys(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(doc_id, node, check, n, keys) of each text: node and check identify the shingle set (128 bits together)."""
+    """(doc_id, node, check, n, keys) of each text, and the other columns of docs: node and check identify the shingle set (128 bits together)."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,9 +86,10 @@ def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
                     check[n > 0] = np.add.reduceat(mix(flat ^ U64(BASE)), at)
                     keys[n > 0] = tree_keys(full, trees, depth)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * trees), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n), lists], ["doc_id", "node", "check", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n), lists, *(b.column(c) for c in more)], ["doc_id", "node", "check", "n", "keys", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, check long, n int, keys array<long>")
+    layout = ", ".join(["doc_id long, node long, check long, n int, keys array<long>", *(f"{c} {dict(docs.dtypes)[c]}" for c in more)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, layout)
 
 
 GROUP = ["tree", "key", "_i", "_j"]
@@ -149,8 +151,16 @@ def join(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: fl
     A text without words links with nothing. Null text is empty. A null doc_id stands for no document and has no row; rows that
     repeat a doc_id count as copies of each other if their texts are equal. Other columns are ignored.
     """
+    out = classified(docs.select("doc_id", "text"), trees, deepest, recall)
+    wordless = F.col("n") == 0
+    class_id = F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id"))
+    return out.select("doc_id", class_id.alias("class_id"), F.when(wordless, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).alias("n_links"), F.when(wordless, F.lit(1)).otherwise(F.col("copies")).alias("copies"), (F.col("doc_id") == class_id).alias("kept"))
+
+
+def classified(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> DataFrame:
+    """One row per document of (doc_id, text, others): doc_id, node, check, n and the others; root, class_id, copies and links of its node, null without words."""
     depth = prefix_length(trees, deepest, THRESHOLD, recall)
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
+    docs = docs.filter("doc_id is not null")
     signed = cut(signatures(docs, trees, depth), "jaccard-signatures")
     # Sets of fewer than 4 shingles can't differ and still reach 0.8.
     nodes = signed.filter("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -218,11 +228,8 @@ def join(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: fl
     reps = nodes.select("node", "check", "rep", "copies")
     rooted = reps.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = rooted.join(lowest, "root").join(sums, "node", "left").select("node", "check", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.select("doc_id", "node", "check", "n").join(classes, ["node", "check"], "left")
-    wordless = F.col("n") == 0
-    class_id = F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.when(wordless, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).alias("n_links"), F.when(wordless, F.lit(1)).otherwise(F.col("copies")).alias("copies"), (F.col("doc_id") == class_id).alias("kept"))
+    classes = rooted.join(lowest, "root").join(sums, "node", "left").select("node", "check", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return signed.drop("keys").join(classes, ["node", "check"], "left")
 
 
 def partitions(df: DataFrame) -> int:
@@ -235,3 +242,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = join(docs).filter("kept").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+
+
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class: of the smallest doc_id and, if that stands at several texts of the class, the least text hash.
+
+    Texts of one doc_id that aren't near duplicates are classes of their own and all stay. Rows with the same doc_id and text are one
+    row, a null text being empty; null ids, which stand for no document, stay as they are.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = classified(docs.select("doc_id", "text", text.alias("_stage_text")))
+    lowest = rows.filter("n > 0 and doc_id = class_id").groupBy("root").agg(F.min(F.struct("doc_id", "_stage_text")).alias("least")).select("least.*")
+    kept = lowest.unionByName(rows.filter("n = 0").select("doc_id", "_stage_text")).distinct()
+    named = docs.filter("doc_id is not null").withColumn("_stage_text", text).join(kept, ["doc_id", "_stage_text"], "left_semi").dropDuplicates(["doc_id", "_stage_text"])
+    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
