@@ -218,6 +218,19 @@ def test_calls_link_to_results_in_order(spark):
     assert toolcalls.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_json_texts_and_arguments_stay_whole(spark):
+    said = '{"content": "a", "mood": "b"}'
+    calls = json.dumps({"tool_calls": [{"id": "c1", "function": {"name": "reply", "arguments": '{"prompt": "p"}'}}, {"id": "c2", "function": {"arguments": "{}"}}], "content": "two calls"})
+    result, more = '{"tool_call_id": "c1", "content": "done"}', '{"tool_call_id": "c2", "content": "done", "status": 7}'
+    rows = [(1, 0, "system", said), (1, 1, "user", said), (1, 2, "assistant", said), (1, 3, "assistant", calls), (1, 4, "tool", result), (1, 5, "tool", more)]
+    out = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r.turn, r.kind, r.call_id): json.loads(r.json) for r in out}
+    assert [got[0, "message", None]["content"], got[1, "message", None]["content"], got[2, "result", "turn-1"]["content"]] == [said] * 3
+    assert got[3, "call", "c1"] == {"arguments": '{"prompt":"p"}', "id": "c1", "name": "reply"} and got[3, "call", "c2"] == {"arguments": "{}", "id": "c2"}
+    assert got[1, "call", "turn-1"] == {"id": "turn-1", "name": "reply"}
+    assert got[3, "message", None]["content"] == "two calls" and got[4, "result", "c1"]["content"] == "done" and got[5, "result", "c2"]["content"] == more
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     assert same(QUERIES[name](spark, "/root/testdata/sf0.01"), connect("/root/testdata/sf0.01"), ORACLES[name]) == ""

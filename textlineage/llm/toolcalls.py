@@ -63,7 +63,11 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
     none = F.lit(None).cast("string")
     own = F.when(F.col("result_of").isNotNull(), F.array(event("result", F.col("result_of"), none, none))).otherwise(F.array(event("message", none, none, none)))
     events = m.withColumn("e", F.explode(F.concat(own, F.transform("calls", lambda c: event("call", c["call_id"], c["name"], c["arguments"])))))
-    events = events.select("conv_id", "turn", "role", "text", F.coalesce(F.col("body.content"), F.col("text")).alias("content"), "e.*")
+    # A message of its own format is written as its content; with fields beyond that format its whole text stays.
+    of_tool = (F.col("role") == "tool") & F.col("body.tool_call_id").isNotNull()
+    more = lambda field: F.size(F.array_except(F.json_object_keys("text"), F.array(F.lit("content"), F.lit(field)))) > 0
+    plain = (of_tool & ~more("tool_call_id")) | (is_tool_call & ~more("tool_calls"))
+    events = events.select("conv_id", "turn", "role", "text", F.when(plain, F.coalesce(F.col("body.content"), F.col("text"))).otherwise(F.col("text")).alias("content"), "e.*")
     joined = events.join(first, events.conv_id.eqNullSafe(first.f_conv) & (events.call_id == first.f_call), "left")
     is_result, is_call = F.col("kind") == "result", F.col("kind") == "call"
     linked = F.when(is_result, F.col("call_turn").isNotNull()).when(is_call, F.coalesce(F.col("call_turn") == F.col("turn"), F.lit(False)))
@@ -71,8 +75,8 @@ def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
     order = F.when(F.col("kind") == "message", 0).when(is_call, 1).otherwise(2)
     name = F.coalesce(F.col("name"), F.when(is_result, F.col("call_name")))
     valid = F.when(is_result, F.col("call_valid")).when(is_call, valid_arguments(F.col("name"), F.col("arguments"), schemas))
-    # Keys in sorted order; absent fields are left out. A prompt isn't written again: its message has it.
-    body = F.when(is_call & (F.col("name") != "reply"), F.to_json(F.struct(F.coalesce(canonical(F.col("arguments")), F.col("arguments")).alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"))))
+    # Keys in sorted order; absent fields are left out. A user turn's prompt isn't written again: its message has it.
+    body = F.when(is_call & (F.col("role") != "user"), F.to_json(F.struct(F.coalesce(canonical(F.col("arguments")), F.col("arguments")).alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"))))
     body = body.when(is_call, F.to_json(F.struct(F.col("call_id").alias("id"), F.col("name").alias("name"))))
     body = body.when(is_result, F.to_json(F.struct(F.col("content").alias("content"), F.col("call_id").alias("id"), F.col("role").alias("role")))).otherwise(F.to_json(F.struct(F.col("content").alias("content"), F.col("role").alias("role"))))
     return joined.select("conv_id", level.alias("level"), "turn", order.alias("step"), "kind", "call_id", name.alias("name"), linked.alias("linked"), valid.alias("valid"), body.alias("json"))
