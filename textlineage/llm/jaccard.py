@@ -29,7 +29,8 @@ def prefix_length(trees: int = TREES, deepest: int = DEEPEST, threshold: float =
 def shingle_sets(text: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's k-word shingles.
 
-    Words are runs of letters and digits in lower case. A text of fewer than k words is one shingle; one without words
+    Words are runs of letters and digits in lower case; every non-ASCII byte counts as a letter, so a text in a script without
+    ASCII separators is one word. A text of fewer than k words is one shingle; one without words
     has none.
     """
     data, offsets = text_buffers(pc.utf8_lower(text))
