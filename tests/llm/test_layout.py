@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import json
 import math
 import zlib
@@ -196,25 +197,83 @@ def test_mixing_edge_cases(spark, edge_docs, no_docs):
 # --- tool calls
 
 
+def plain_links(rows):
+    """[(conv, turn, kind, call_id, status, level, depth)] by walking every conversation in plain Python."""
+    said = []
+    for conv, turn, role, text in rows:
+        role, text = role or "", text or ""
+        try:
+            body = json.loads(text) if text.lstrip().startswith("{") else {}
+        except ValueError:
+            body = {}
+        called = body.get("tool_calls") if role in ("assistant", "tool") else None
+        calls = [f"turn-{turn}" if turn is not None else None] if role == "user" else [c.get("id") for c in called or []]
+        answers = body.get("tool_call_id") if role == "tool" else f"turn-{turn - 1}" if role == "assistant" and called is None and turn is not None else None
+        said.append((conv, turn, hashlib.md5(f"{role}:{text}".encode()).hexdigest(), calls, answers))
+    order = sorted({(c, t, p, i, x) for c, t, p, calls, _ in said for i, x in enumerate(calls) if x is not None}, key=lambda k: (str(k[0]), k[1] if k[1] is not None else -1, k[2], k[3]))
+    call = {}
+    for c, t, p, i, x in order:
+        call.setdefault((c, x), (t, p, i))
+    answer = {}
+    for c, t, p, _, x in sorted(said, key=lambda k: (str(k[0]), k[1] if k[1] is not None else -1, k[2])):
+        if x is not None:
+            answer.setdefault((c, x), (t, p))
+    replies = {(c, t, p): x for c, t, p, _, x in said if x is not None}
+
+    def place(c, t, p):
+        """Level, depth and whether the way up is a cycle."""
+        turns, seen = [t], []
+        while (c, t, p) in replies and (c, replies[c, t, p]) in call:
+            if (t, p) in seen:
+                return max(turns), 1, True
+            seen.append((t, p))
+            t, p, _ = call[c, replies[c, t, p]]
+            turns.append(t)
+        return max((x for x in turns if x is not None), default=None), len(seen), False
+
+    out = []
+    for c, t, p, calls, x in said:
+        level, depth, cyclic = place(c, t, p)
+        status = None if x is None else "orphan" if (c, x) not in call else "cyclic" if cyclic else "answers" if answer[c, x] == (t, p) else "repeated"
+        out.append((c, t, "message" if x is None else "result", x, status, level, depth))
+        for i, k in enumerate(calls):
+            status = "unnamed" if k is None else "repeated" if call[c, k] != (t, p, i) else "answered" if (c, k) in answer else "unanswered"
+            out.append((c, t, "call", k, status, level, depth))
+    return out
+
+
+def calls_of(*cs, **more):
+    return json.dumps({"tool_calls": [{"id": i, "function": {"name": n, "arguments": a}} for i, n, a in cs]} | more)
+
+
+CHATS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", calls_of(("c1", "add", '{"b": 2, "a": 1}'), ("c2", "add", '{"a": "x"}'), ("c1", "add", "{}"))),
+    (1, 2, "tool", '{"tool_call_id": "c2", "content": "two"}'), (1, 3, "tool", '{"tool_call_id": "zz", "content": "?"}'), (1, 4, "assistant", "done"), (1, 5, "tool", '{"tool_call_id": "c2", "content": "again"}'),
+    (2, 0, "tool", '{"tool_call_id": "late", "content": "early"}'), (2, 1, "assistant", calls_of(("late", "nope", "not json"), (None, "add", "{}"))),
+    (3, 0, None, None), (3, 0, "user", ""), (3, 0, "user", ""), (3, 0, "user", "other"), (3, 1, "assistant", "{broken"), (3, 1, "assistant", "second"), (None, 0, "user", "q"), (None, 1, "assistant", "r"), (4, None, "user", "q"), (4, None, "assistant", "q"),
+    (5, 0, "user", "never answered"), (5, 1, "user", "x" * 300_000), (5, 2, "assistant", "y" * 300_000),
+    # A chain of calls within results, out of turn, and cycles of one and two results, with one that hangs on a cycle.
+    (6, 9, "assistant", calls_of(("a", "add", '{"a": 1}'))), (6, 3, "tool", calls_of(("b", "add", "{}"), tool_call_id="a")), (6, 5, "tool", calls_of(("c", "add", "{}"), tool_call_id="b")), (6, 1, "tool", calls_of(("d", "add", "{}"), tool_call_id="c")), (6, 2, "tool", '{"tool_call_id": "d"}'),
+    (7, 0, "tool", calls_of(("s", "add", "{}"), tool_call_id="s")), (7, 1, "tool", calls_of(("p", "add", "{}"), tool_call_id="q")), (7, 2, "tool", calls_of(("q", "add", "{}"), tool_call_id="p")), (7, 4, "tool", calls_of(("h", "add", "{}"), tool_call_id="q", content="hangs")), (7, 3, "tool", '{"tool_call_id": "h"}'),
+]
+
+
 def test_calls_link_to_results_in_order(spark):
-    call = lambda *cs: json.dumps({"tool_calls": [{"id": i, "function": {"name": n, "arguments": a}} for i, n, a in cs]})
-    rows = [
-        (1, 0, "user", "hi", "x"), (1, 1, "assistant", call(("c1", "add", '{"b": 2, "a": 1}'), ("c2", "add", '{"a": "x"}'), ("c1", "add", "{}")), "x"),
-        (1, 2, "tool", '{"tool_call_id": "c2", "content": "two"}', "x"), (1, 3, "tool", '{"tool_call_id": "zz", "content": "?"}', "x"), (1, 4, "assistant", "done", "x"),
-        (2, 0, "tool", '{"tool_call_id": "late", "content": "early"}', "x"), (2, 1, "assistant", call(("late", "nope", "not json")), "x"),
-        (3, 0, None, None, "x"), (3, 0, "user", "", "x"), (3, 0, "user", "", "x"), (3, 1, "assistant", "{broken", "x"), (None, 0, "user", "q", "x"), (None, 1, "assistant", "r", "x"), (4, None, "user", "q", "x"),
-    ]
     schemas = {"add": {"a": ("BIGINT", True), "b": ("BIGINT", False)}, "reply": {"prompt": ("STRING", True)}}
-    out = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, valid string"), schemas).collect()
+    rows = [(*r, "x", "y") for r in CHATS]
+    out = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, valid string, place string"), schemas).collect()
+    assert collections.Counter((r.conv_id, r.turn, r.kind, r.call_id, r.status, r.level, r.depth) for r in out) == collections.Counter(plain_links(CHATS))
+    assert all(r.linked == (r.status in ("answered", "answers")) if r.status else r.linked is None for r in out)
     got = {(r.conv_id, r.turn, r.kind, r.call_id, r.json) for r in out}
-    linked = {(r.conv_id, r.turn, r.kind, r.call_id): (r.linked, r.valid, r.level) for r in out if r.call_id != "c1"}
     assert (1, 1, "call", "c1", '{"arguments":"{\\"a\\":1,\\"b\\":2}","id":"c1","name":"add"}') in got
-    assert sorted(r.valid for r in out if r.call_id == "c1") == [False, True]
-    assert linked[1, 2, "result", "c2"] == (True, False, 2) and linked[1, 3, "result", "zz"] == (False, None, 3)
-    assert linked[1, 4, "result", "turn-3"][0] is False
-    assert linked[2, 0, "result", "late"] == (True, False, 1) and linked[2, 1, "call", "late"] == (True, False, 1)
-    assert linked[3, 1, "result", "turn-0"][0] is True and linked[None, 1, "result", "turn-0"][0] is True
-    assert len([r for r in out if r.conv_id == 3 and r.kind == "call"]) == 2
+    assert sorted((r.status, r.valid) for r in out if r.kind == "call" and r.call_id == "c1") == [("repeated", False), ("unanswered", True)]
+    valid = {(r.conv_id, r.turn, r.kind, r.call_id): r.valid for r in out}
+    assert valid[1, 2, "result", "c2"] is False and valid[1, 3, "result", "zz"] is None and valid[2, 1, "call", "late"] is False and valid[6, 9, "call", "a"] is True
+    # In the order of its columns every result stands after its call.
+    rank = {id(r): i for i, r in enumerate(sorted(out, key=lambda r: (str(r.conv_id), r.level if r.level is not None else -1, r.depth, r.turn or 0, r.step, r.call_id or "")))}
+    for r in out:
+        if r.status in ("answers", "repeated") and r.kind == "result":
+            assert min(rank[id(c)] for c in out if c.kind == "call" and c.conv_id == r.conv_id and c.call_id == r.call_id and c.status == "answered") < rank[id(r)]
     assert toolcalls.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 

@@ -1,19 +1,20 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import prose
 from textlineage.llm import jaccard, neighbours
-from textlineage.llm.common import components, roots
+from textlineage.llm.common import components, roots, text_buffers, text_words
 
 
 def brute_jaccard(texts):
     """{doc_id: (class, links)} from word sets in plain Python."""
     sets = {}
     for i, t in texts.items():
-        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+        w = re.findall(r"[\u4e00-\u9fff]|(?:(?![\u4e00-\u9fff_])\w)+", (t or "").lower())
         sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     ids = sorted(texts)
     links = {i: {j for j in ids if i != j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in ids}
@@ -47,10 +48,67 @@ def test_join_of_a_group_larger_than_a_block(spark, monkeypatch):
 
 
 def test_prefixes_shorten_until_the_target():
-    d = jaccard.prefix_length()
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+    d = jaccard.sure_depth()
+    assert jaccard.meeting(0.8, d) >= jaccard.RECALL > jaccard.meeting(0.8, d + 1)
     with pytest.raises(ValueError):
-        jaccard.prefix_length(trees=1)
+        jaccard.sure_depth(trees=1)
+
+
+def group_of(keys, n=100):
+    """One subtrie of rows with these signatures, as the join deals them."""
+    m = len(keys)
+    t = pa.table({"keys": pa.array([k.view(np.int64).tolist() for k in keys]), "n": [n] * m, "_block": [0] * m, "tree": [0] * m, "_i": [0] * m, "_j": [0] * m})
+    return jaccard.Subtries(t, np.array([0, m]))
+
+
+def test_dense_subtries_lose_another_label(monkeypatch):
+    """Rows of one subtrie in two halves that part at the fifth label: where the links found leave too many to be expected, the halves meet."""
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 256, (40, 32, 8), dtype=np.uint8)
+    base[:] = base[0]
+    noise = rng.random(base.shape) < 0.15
+    noise[:, 0, :4] = False
+    base[noise] = rng.integers(0, 256, int(noise.sum()), dtype=np.uint8)
+    base[:20, 0, 4], base[20:, 0, 4] = 7, 9
+    base[:, 1:, 0] = np.arange(40)[:, None]  # they meet in the first tree alone
+    keys = np.ascontiguousarray(base[:, :, ::-1]).view(np.uint64)[:, :, 0]
+    halves = lambda: {(bool(i < 20), bool(j < 20)) for _, _, pairs in group_of(keys).shortened(5) for a, b in pairs for i, j in zip(a, b, strict=True)}
+    monkeypatch.setattr(jaccard, "MISSED", 1e9)
+    assert halves() == {(True, True), (False, False)}
+    monkeypatch.setattr(jaccard, "MISSED", 0.0)
+    assert halves() == {(True, True), (False, False), (True, False)}
+
+
+def test_each_pair_is_compared_in_one_tree():
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 2, (30, 32, 8), dtype=np.uint8)
+    labels[:, :, :4] = 3
+    keys = np.ascontiguousarray(labels[:, :, ::-1]).view(np.uint64)[:, :, 0]
+    m = len(keys)
+    t = pa.table({"keys": pa.array([k.view(np.int64).tolist() for _ in range(32) for k in keys]), "n": [100] * m * 32, "_block": [0] * m * 32, "tree": np.repeat(range(32), m), "_i": [0] * m * 32, "_j": [0] * m * 32})
+    seen = [(int(a) % m, int(b) % m) for _, _, pairs in jaccard.Subtries(t, np.arange(0, 33 * m, m)).shortened(4) for x, y in pairs for a, b in zip(x, y, strict=True)]
+    assert sorted(seen) == [(i, j) for i in range(m) for j in range(i + 1, m)]
+
+
+def test_words_of_any_script():
+    words = lambda t: [bytes(np.frombuffer(t.encode(), np.uint8)[i:j]).decode() for i, j in zip(*text_words(*text_buffers(pa.array([t])))[:2], strict=True)]
+    assert words("naïve a_b «été»\u3000x\u00a0y—z") == ["naïve", "a", "b", "été", "x", "y", "z"]
+    assert words("漢字、abc カナ 한국어") == ["漢", "字", "abc", "カ", "ナ", "한국어"]
+    assert words("e\u0301t 😀 𠀀𠀁") == ["e\u0301t", "𠀀", "𠀁"] and words("") == []
+
+
+def test_near_copies_without_spaces_link(spark):
+    rng = np.random.default_rng(6)
+    base = "".join(chr(0x4E00 + rng.integers(500)) for _ in range(80))
+    texts = {1: base, 2: base[:78] + "，終", 3: base[::-1]}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(texts) == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
+def test_recall_is_audited(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, got = jaccard.audit(docs)
+    assert want > 0 and got >= 0.9999 * want
 
 
 def test_join_edge_cases(spark, edge_docs, no_docs):
@@ -64,10 +122,6 @@ def test_join_edge_cases(spark, edge_docs, no_docs):
     assert got[8] == got[9] == {(8, 1)}
     assert got[11] == got[12] == {(11, 1)}
     assert jaccard.join(no_docs).count() == 0
-    kept = jaccard.keep_one(edge_docs)
-    assert kept.columns == edge_docs.columns
-    ids = sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None)
-    assert ids == [1, 4, 5, 6, 7, 8, 10, 11, 13, 14] and kept.filter("doc_id is null").count() == 2
 
 
 def test_pipeline_keeps_one_row_of_each_class_where_ids_repeat(spark, edge_docs, no_docs):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -22,15 +23,50 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one below the temporary folder where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local master (tests) gets one below the temporary folder; a cluster is refused, as a machine's own folder would
+    scatter tables over the executors.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to and read from the shared folder: computed once, and executors that go lose nothing of it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df written to and read from the shared folder: computed once, and executors that go lose nothing of it.
+
+    Operators `drop` the tables that their result doesn't read. Those that it reads, as it is lazy, stay until the caller has read it and
+    calls `remove_tables`.
+    """
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that `cut` returned and nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._cut_path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Removes every table that this application's operators left: for the caller, once their results are read."""
+    remove(spark, run_folder(spark))
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -81,6 +117,7 @@ def byte_class(keep) -> np.ndarray:
 
 #: Letters, digits and all bytes of non-ASCII characters.
 ALNUM = byte_class(lambda b: b >= 0x80 or chr(b).isalnum())
+ASCII_ALNUM = byte_class(lambda b: b < 0x80 and chr(b).isalnum())
 #: All bytes but space and tab to carriage return.
 VISIBLE = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -111,21 +148,68 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of kept bytes inside each text, and each text's first run (n + 1)."""
-    n = len(data)
+    return runs(keep[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true places inside each text, and each text's first run (n + 1); a run ends where `apart` is true."""
+    n = len(inside)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    inside = keep[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     after[-1], after[:-1] = False, inside[1:]
     full = offsets[1:] > offsets[:-1]
     before[offsets[:-1][full]] = False
     after[offsets[1:][full] - 1] = False
+    if apart is not None:
+        before[apart] = False
+        after[:-1][apart[1:]] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Scripts written without spaces between words: each of their letters is a word. First and last code points.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_kinds: list[np.ndarray] = []
+
+
+def character_kinds() -> np.ndarray:
+    """By code point: 0 ends a word, 1 belongs to one (letters, digits, marks), 2 is one."""
+    if not _kinds:
+        kind = np.zeros(0x110000, np.uint8)
+        for i in range(0x20000):
+            kind[i] = chr(i).isalnum() or unicodedata.category(chr(i))[0] == "M"
+        for lo, hi in UNSPACED:
+            part = kind[lo : hi + 1]
+            part[:] = 2 if lo >= 0x20000 else 2 * part
+        _kinds.append(kind)
+    return _kinds[0]
+
+
+def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of UTF-8 texts, and each text's first word: runs of letters, digits and marks of any script, and
+    single letters of scripts that are written without spaces."""
+    inside = ASCII_ALNUM[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return runs(inside, offsets)
+    wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    a, b, c, d = (wide[lead + i] for i in range(4))
+    size = 2 + (a >= 0xE0) + (a >= 0xF0)
+    two, three = (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63
+    four = (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63
+    kind = character_kinds()[np.minimum(np.choose(size - 2, (two, three, four)), 0x10FFFF)]
+    for i in range(4):
+        inside[lead[size > i] + i] = kind[size > i] > 0
+    apart = np.zeros(len(data) + 1, bool)
+    alone = kind == 2
+    apart[lead[alone]] = True
+    apart[(lead + size)[alone]] = True
+    return runs(inside, offsets, apart[:-1])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
     """64-bit hashes of byte spans (ascending starts), and of their first p bytes for each p.
 
@@ -164,33 +248,49 @@ def group_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-# --- components ----------------------------------------------------------------------------------
+# --- joins with hot keys and components ------------------------------------------------------------
+
+#: Keys that a split join may broadcast.
+MOST_HOT = 10_000
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join where a key may hold any share of left. right has one row per key and, as `weight`, at most how many rows of left the key has;
+    weights add up to at most total.
+
+    Keys of more than total / MOST_HOT rows are at most MOST_HOT, so they are broadcast and left's rows of them stay where they
+    are; the others are no task's burden. left is read twice: a table.
+    """
+    hot = F.col(weight) > max(1_000, total // MOST_HOT)
+    heavy = F.broadcast(right.filter(hot))
+    cold = left.join(F.broadcast(right.filter(hot).select(*keys)), keys, "left_anti").join(right.filter(~hot), keys)
+    return left.join(heavy, keys).unionByName(cold)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of an edge reaches.
 
-    Alternates large stars and small stars; minima combine on the map side and each round is cut, so
-    a node with any number of edges costs no task more than its slice of them. Nothing is collected but
-    counts of changes.
+    Alternates large stars and small stars; minima combine on the map side, nodes with many edges are joined apart, and each round
+    is cut, so a node with any number of edges costs no task more than its share of them. Only counts reach the driver.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e = cut(e, "edges")
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    n = e.count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # Large star: larger neighbours go to the smallest of the neighbourhood.
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        large = cut(large, "large")
+        up = join_split(both.filter("v > u"), low, ["u"], "n", 2 * n)
+        large = cut(up.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).distinct(), "large")
         # Small star: every node and its smaller neighbours go to the smallest of those.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = cut(small, "small")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = join_split(large, low, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        new = cut(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        drop(e, large)
         # Done when every node has one edge and no root has one.
-        n = new.agg(F.count("*").alias("n"), F.count_distinct("u").alias("k")).first()
-        if n.n == n.k and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        sums = new.agg(F.count("*").alias("n"), F.count_distinct("u").alias("k")).first()
+        if sums.n == sums.k and new.select(F.col("v").alias("u")).distinct().join(new.select("u"), "u", "left_semi").isEmpty():
             break
-        e = new
+        e, n = new, sums.n
     else:
         raise RuntimeError("components did not converge")
     return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -242,10 +342,13 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def block_pairs(rows: DataFrame, size: str, key: str, most: int) -> DataFrame:
-    """rows once for each pair of blocks (_i <= _j) that their block _block belongs to: blocks of about `most` rows by a
-    hash of the key, so that every two rows of a group meet in one pair, and no pair is larger than two blocks."""
-    n = F.ceil(F.col(size) / F.lit(float(most))).cast("int")
-    out = rows.withColumn("_n", n).withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), key), F.col("_n")).cast("int"))
+def block_pairs(rows: DataFrame, blocks: Column, key: str) -> DataFrame:
+    """rows once for each pair of blocks (_i <= _j) that their block _block belongs to: that many blocks of their group by a hash of the key,
+    so that every two rows of a group meet in one pair, and no pair is larger than two blocks."""
+    out = rows.withColumn("_n", blocks.cast("int")).withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), key), F.col("_n")).cast("int"))
     out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return out.withColumns({"_i": F.least("_block", "_o"), "_j": F.greatest("_block", "_o")}).drop("_n", "_o")
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest of sorted prefix tries, then exact verification."""
+"""N-gram Jaccard join: a MinHash LSH forest of sorted prefix tries, shortened adaptively, then exact verification."""
 
 from __future__ import annotations
 
@@ -11,17 +11,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import ALNUM, BASE, U64, block_pairs, chain, components, cut, mix, roots, span_hashes, steps, text_buffers, whole_groups, word_bounds
+from textlineage.llm.common import BASE, U64, block_pairs, chain, components, cut, drop, join_split, mix, partitions, roots, span_hashes, steps, text_buffers, text_words, whole_groups
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEEPEST, RECALL = 32, 10, 0.9999999
-BLOCK = 512
-
-
-def prefix_length(trees: int = TREES, deepest: int = DEEPEST, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Shortens matched prefixes from the deepest until a pair at the threshold meets in a tree with the target probability."""
-    for depth in range(deepest, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
+#: Tries of the forest and labels of a signature in each: one byte a label, so a signature is one sorted 64-bit number a trie.
+TREES, LEVELS = 32, 8
+#: Prefixes are shortened until a pair at the threshold meets with this probability, and in dense subtries further, to SHORTEST
+#: labels, until fewer than MISSED links are to be expected beyond those found.
+RECALL, MISSED, SHORTEST = 0.99999, 1e-3, 4
+#: Least share of equal labels of a pair that is compared. A pair at 0.8 has less with a probability under 1e-17 (256 labels).
+AGREEMENT = 0.55
+#: Rows and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
+
+
+def meeting(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """Probability that two sets share a prefix of so many labels in a tree at least."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def sure_depth(trees: int = TREES, levels: int = LEVELS, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix at which a pair at the threshold meets with the target probability."""
+    for depth in range(levels, SHORTEST - 1, -1):
+        if meeting(threshold, depth, trees) >= recall:
             return depth
     raise ValueError("more trees are needed for this recall")
 
@@ -29,12 +41,11 @@ def prefix_length(trees: int = TREES, deepest: int = DEEPEST, threshold: float =
 def shingle_sets(text: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's k-word shingles.
 
-    Words are runs of letters and digits in lower case; every non-ASCII byte counts as a letter, so a text in a script without
-    ASCII separators is one word. A text of fewer than k words is one shingle; one without words
-    has none.
+    Words are runs of letters, digits and marks in lower case, and single letters of scripts without spaces between words. A text of
+    fewer than k words is one shingle; one without words has none.
     """
     data, offsets = text_buffers(pc.utf8_lower(text))
-    starts, ends, first = word_bounds(data, offsets, ALNUM)
+    starts, ends, first = text_words(data, offsets)
     words = span_hashes(data, starts, ends)[0]
     grams = chain(words, k) if len(words) >= k else np.zeros(0, U64)
     out = []
@@ -55,20 +66,32 @@ def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def tree_keys(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """(sets, trees) hashes of the first `depth` minima of each tree: its sorted trie, cut at that depth. Sets aren't empty."""
+def tree_keys(sets: list[np.ndarray], trees: int = TREES) -> np.ndarray:
+    """(sets, trees) signatures: the LEVELS labels of each tree, the first one highest. Sets aren't empty."""
     x = (np.concatenate(sets) >> U64(32)).astype(np.uint32)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    a, b = multipliers(trees * depth)
+    a, b = multipliers(trees * LEVELS)
     out = np.zeros((len(sets), trees), U64)
     for t in range(trees):
-        for j in range(t * depth, (t + 1) * depth):
+        for j in range(t * LEVELS, (t + 1) * LEVELS):
             low = np.minimum.reduceat((x ^ b[j]) * a[j], at)
-            out[:, t] = mix(out[:, t] * U64(BASE) + low)
+            out[:, t] = out[:, t] << U64(8) | mix(low.astype(U64)) & U64(255)
     return out
 
 
-def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
+def identities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, which identify it together."""
+    node, check = np.zeros(len(sets), U64), np.zeros(len(sets), U64)
+    n = np.array([len(s) for s in sets])
+    if n.any():
+        at = np.concatenate([[0], np.cumsum(n[n > 0])[:-1]])
+        flat = np.concatenate([s for s in sets if len(s)])
+        node[n > 0] = np.add.reduceat(mix(flat + U64(1)), at)
+        check[n > 0] = np.add.reduceat(mix(flat ^ U64(BASE)), at)
+    return node, check
+
+
+def signatures(docs: DataFrame, trees: int) -> DataFrame:
     """(doc_id, node, check, n, keys) of each text, and the other columns of docs: node and check identify the shingle set (128 bits together)."""
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
 
@@ -77,15 +100,10 @@ def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             for b in steps(batch, "text"):
                 sets = shingle_sets(pc.fill_null(b.column("text"), ""))
                 n = np.array([len(s) for s in sets], np.int32)
-                full = [s for s in sets if len(s)]
                 keys = np.zeros((len(sets), trees), U64)
-                node, check = np.zeros(len(sets), U64), np.zeros(len(sets), U64)
-                if full:
-                    at = np.concatenate([[0], np.cumsum(n[n > 0])[:-1]])
-                    flat = np.concatenate(full)
-                    node[n > 0] = np.add.reduceat(mix(flat + U64(1)), at)
-                    check[n > 0] = np.add.reduceat(mix(flat ^ U64(BASE)), at)
-                    keys[n > 0] = tree_keys(full, trees, depth)
+                if n.any():
+                    keys[n > 0] = tree_keys([s for s in sets if len(s)], trees)
+                node, check = identities(sets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * trees), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n), lists, *(b.column(c) for c in more)], ["doc_id", "node", "check", "n", "keys", *more])
 
@@ -93,37 +111,79 @@ def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, layout)
 
 
-GROUP = ["tree", "key", "_i", "_j"]
+# --- the tries -------------------------------------------------------------------------------------
 
+#: A subtrie: rows that share a tree's first SHORTEST labels, by pairs of blocks where they are many.
+GROUP = ["tree", "prefix", "_i", "_j"]
+#: The least XOR of two signatures that don't share so many labels; no two share LEVELS + 1.
+DIFFER = np.array([0 if d > LEVELS else min(1 << 8 * (LEVELS - d), (1 << 64) - 1) for d in range(LEVELS + 2)], U64)
 
-def candidates(t: pa.Table, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of each group that can reach the threshold by size and meet in no earlier tree, in bounded chunks."""
-    keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-    n, block = t["n"].to_numpy(), t["_block"].to_numpy()
-    tree, apart = t["tree"].to_numpy(), t["_i"].to_numpy() != t["_j"].to_numpy()
 
-    def pruned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b])
-        ok &= ~apart[a] | (block[a] != block[b])
+class Subtries:
+    """Pairs of rows of the groups of a table to compare: those whose longest common prefix in any tree is in theirs (the first such
+    tree), whose sizes and labels don't rule out the threshold."""
+
+    def __init__(self, t: pa.Table, at: np.ndarray):
+        self.keys = np.ascontiguousarray(t["keys"].combine_chunks().flatten().to_numpy().view(U64).reshape(t.num_rows, -1))
+        self.labels = self.keys.view(np.uint8)
+        self.n, self.block, self.tree = t["n"].to_numpy(), t["_block"].to_numpy(), t["tree"].to_numpy()
+        self.apart = t["_i"].to_numpy() != t["_j"].to_numpy()
+        self.starts, self.sizes = at[:-1], np.diff(at)
+
+    def compared(self, a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs those to compare that share low to high labels in their tree, and the similarity that their labels suggest."""
+        ok = np.minimum(self.n[a], self.n[b]) >= THRESHOLD * np.maximum(self.n[a], self.n[b])
+        ok &= ~self.apart[a] | (self.block[a] != self.block[b])
         a, b = a[ok], b[ok]
-        for k in range(int(tree[a].max()) if len(a) else 0):
-            ok = (tree[a] <= k) | (keys[a, k] != keys[b, k])
-            a, b = a[ok], b[ok]
-        return a, b
-
-    sizes = np.diff(at)
-    two = at[:-1][sizes == 2]
-    if len(two):
-        yield pruned(two, two + 1)
-    for s, m in zip(at[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-        if m <= 256:
-            a, b = np.triu_indices(m, 1)
-            yield pruned(s + a, s + b)
-        else:
-            for i in range(0, m, 64):  # 64 rows against those after them
-                a, b = np.meshgrid(np.arange(i, min(i + 64, m)), np.arange(i, m), indexing="ij")
-                later = b > a
-                yield pruned(s + a[later], s + b[later])
+        x = self.keys[a, self.tree[a]] ^ self.keys[b, self.tree[a]]
+        depth = (x[:, None] < DIFFER[None, 1 : LEVELS + 1]).sum(1)
+        ok = (depth >= low) & (depth <= high)
+        a, b, depth = a[ok], b[ok], depth[ok]
+        for k in range(self.keys.shape[1]):
+            if not len(a):
+                break
+            x, mine = self.keys[a, k] ^ self.keys[b, k], self.tree[a]
+            longer = x < DIFFER[depth + (k > mine)]  # as long a prefix in an earlier tree, or a longer one in a later tree
+            ok = ~longer | (mine == k)
+            a, b, depth = a[ok], b[ok], depth[ok]
+        same = np.concatenate([(self.labels[a[i : i + 4096]] == self.labels[b[i : i + 4096]]).mean(1) for i in range(0, len(a), 4096)]) if len(a) else np.zeros(0)
+        ok = same >= AGREEMENT
+        return a[ok], b[ok], np.maximum((same[ok] - 1 / 256) / (1 - 1 / 256), THRESHOLD)
+
+    def chunks(self, s: int, m: int, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of one group, 64 rows against those after them."""
+        for i in range(0, m, 64):
+            a, b = np.meshgrid(np.arange(i, min(i + 64, m)), np.arange(i, m), indexing="ij")
+            later = b > a
+            yield self.compared(s + a[later], s + b[later], low, high)
+
+    def shortened(self, sure: int) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+        """(first row, rows, pairs) of each group, its prefixes shortened from LEVELS labels on.
+
+        They are shortened to `sure` labels, where a pair at the threshold has met. A pair of similarity s among those found was found
+        with the probability meeting(s, depth), so it stands for 1 / meeting - 1 pairs that were not; while these add up to MISSED or
+        more, the group's prefixes lose another label.
+        """
+        two = self.starts[self.sizes == 2]
+        if len(two):
+            yield 0, 0, iter([self.compared(two, two + 1, sure, LEVELS)[:2]])  # one pair, so none beyond it
+        for s, m in zip(self.starts[self.sizes > 2], self.sizes[self.sizes > 2], strict=True):
+
+            def pairs(s: int = s, m: int = m) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                depth, found = sure, []
+                for a, b, like in self.chunks(s, m, sure, LEVELS):
+                    found.append(like)
+                    yield a, b
+                while depth > SHORTEST:
+                    chance = meeting(np.concatenate(found), depth, self.keys.shape[1])
+                    if (1 / chance - 1).sum() < MISSED:
+                        break
+                    depth -= 1
+                    for a, b, like in self.chunks(s, m, depth, depth):
+                        found.append(like)
+                        yield a, b
+
+            yield int(s), int(m), pairs()
 
 
 def verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
@@ -140,109 +200,122 @@ def verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], n: np.ndarray
     return ok
 
 
-def join(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> DataFrame:
+# --- the join --------------------------------------------------------------------------------------
+
+
+def join(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, copies, kept.
 
     Documents link if the Jaccard similarity of their 5-word shingle sets is 0.8 or more; n_links counts the other
     documents linked directly, class_id is the smallest doc_id reachable, kept is doc_id = class_id. Equal sets are one
-    node (a hash of 128 bits), so copies cost a row in an aggregation and are not paired. Each pair of nodes is looked at in the
-    first tree in which it meets and only there; its sets are compared whole. Groups larger than a block meet block by
-    block, so no task holds more than two blocks. What is emitted are sums and spanning edges, not pairs.
+    node (told apart by 128 bits), so copies cost a row in an aggregation and are not paired. A pair of nodes is looked at in the tree of
+    its longest common prefix and only there; its sets are compared whole, so texts may be of any length. Groups larger than a
+    block, by rows or by shingles, meet block by block, so no task holds more than two blocks. What is emitted are sums and
+    spanning edges, not pairs. An empty table gives an empty table.
 
     A text without words links with nothing. Null text is empty. A null doc_id stands for no document and has no row; rows that
-    repeat a doc_id count as copies of each other if their texts are equal. Other columns are ignored.
+    repeat a doc_id count as copies of each other if their texts are equal, and are nodes of their own if not; of ties for the smallest
+    doc_id all rows of it are kept. Other columns are ignored, whatever their names.
     """
-    out = classified(docs.select("doc_id", "text"), trees, deepest, recall)
+    out = classified(docs.select("doc_id", "text"), trees, recall)
     wordless = F.col("n") == 0
     class_id = F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.when(wordless, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).alias("n_links"), F.when(wordless, F.lit(1)).otherwise(F.col("copies")).alias("copies"), (F.col("doc_id") == class_id).alias("kept"))
 
 
-def classified(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> DataFrame:
-    """One row per document of (doc_id, text, others): doc_id, node, check, n and the others; root, class_id, copies and links of its node, null without words."""
-    depth = prefix_length(trees, deepest, THRESHOLD, recall)
-    docs = docs.filter("doc_id is not null")
-    signed = cut(signatures(docs, trees, depth), "jaccard-signatures")
-    # Sets of fewer than 4 shingles can't differ and still reach 0.8.
+def linked_nodes(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables: the documents (doc_id, node, check, n, others), their nodes (uid, node, check, rep, copies, n) and, for a node in a group
+    where it has a link, (uid, links, root): linked documents there and the smallest uid that its links in the group reach."""
+    sure = sure_depth(trees, recall=recall)
+    signed = cut(signatures(docs, trees), "jaccard-signatures")
+    # uid numbers the nodes: unique, and fixed once the table is written.
     nodes = signed.filter("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = cut(nodes, "jaccard-nodes")
-    placed = nodes.filter("n >= 4").select("node", F.posexplode("keys").alias("tree", "key"))
-    sizes = placed.groupBy("tree", "key").agg(F.count("*").alias("m")).filter("m > 1")
-    met = block_pairs(placed.join(sizes, ["tree", "key"]), "m", "node", BLOCK).drop("m")
-    met = met.join(nodes.select("node", "n", "keys"), "node")
+    nodes = cut(nodes.withColumn("uid", F.monotonically_increasing_id()), "jaccard-nodes")
+    # Sets of fewer than 4 shingles can't differ and still reach 0.8.
+    placed = nodes.filter("n >= 4").select("uid", "n", F.posexplode("keys").alias("tree", "key"))
+    placed = placed.select("uid", "n", "tree", F.shiftrightunsigned("key", 8 * (LEVELS - SHORTEST)).alias("prefix"))
+    sizes = placed.groupBy("tree", "prefix").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).filter("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / F.lit(float(BLOCK))), F.least("m", F.ceil(F.col("shingles") / F.lit(float(BLOCK_SHINGLES)))))
+    met = block_pairs(placed.drop("n").join(sizes, ["tree", "prefix"]), blocks, "uid").drop("m", "shingles")
+    met = met.join(nodes.select("uid", "n", "keys"), "uid")
     parts = partitions(docs)
 
     def first_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with a pair to verify in their group; the rest met their pairs in earlier trees."""
+        """Rows with a pair to verify in their group; the rest meet their pairs in other trees."""
         for t, at in whole_groups(batches, GROUP):
             need = np.zeros(t.num_rows, bool)
-            for a, b in candidates(t, at):
-                need[a], need[b] = True, True
+            for _, _, pairs in Subtries(t, at).shortened(sure):
+                for a, b in pairs:
+                    need[a], need[b] = True, True
             if need.any():
                 for b in t.filter(pa.array(need)).to_batches():
                     yield b
 
-    layout = "node long, tree int, key long, _block int, _i int, _j int, n int, keys array<long>"
+    layout = "uid long, tree int, prefix long, _block int, _i int, _j int, n int, keys array<long>"
     order = [x.strip().split(" ")[0] for x in layout.split(",")]
-    dealt = met.select(*order).repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "node")
+    dealt = met.select(*order).repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "uid")
     need = cut(dealt.mapInArrow(first_meetings, layout), "jaccard-meetings")
     # The sets of the documents that have something to verify, from their texts once more.
-    wanted = need.select("node").distinct().join(nodes.select("node", "rep", "copies"), "node")
+    wanted = need.select("uid").distinct().join(nodes.select("uid", "node", "check", "rep", "copies"), "uid")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in steps(batch, "text"):
                 sets = shingle_sets(pc.fill_null(b.column("text"), ""))
                 # A doc_id that stands at several texts brings those of other nodes as well.
-                same = pa.array([int(np.add.reduce(mix(s + U64(1))).view(np.int64)) == n for s, n in zip(sets, b.column("node").to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "copies", "shingles"]).filter(same)
+                node, check = identities(sets)
+                same = (node.view(np.int64) == b.column("node").to_numpy()) & (check.view(np.int64) == b.column("check").to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], ["uid", "copies", "shingles"]).filter(pa.array(same))
 
-    texts = docs.join(wanted, docs.doc_id == wanted.rep).select("node", "copies", "text")
-    sets = texts.mapInArrow(sets_of, "node long, copies long, shingles binary").dropDuplicates(["node"])
+    texts = docs.join(wanted, docs.doc_id == wanted.rep).select("uid", "node", "check", "copies", "text")
+    sets = texts.mapInArrow(sets_of, "uid long, copies long, shingles binary").dropDuplicates(["uid"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Linked documents of each row's node, and the smallest node of its links in the group."""
         for t, at in whole_groups(batches, GROUP):
             sets = [np.frombuffer(x.as_py(), U64) for x in t["shingles"]]
-            n, copies, node = t["n"].to_numpy(), t["copies"].to_numpy(), t["node"].to_numpy()
+            n, copies, uid = t["n"].to_numpy(), t["copies"].to_numpy(), t["uid"].to_numpy()
             links, ea, eb = np.zeros(t.num_rows, np.int64), [], []
-            for a, b in candidates(t, at):
-                ok = verified(a, b, sets, n)
-                a, b = a[ok], b[ok]
-                np.add.at(links, a, copies[b])
-                np.add.at(links, b, copies[a])
-                if len(a):
-                    r = roots(t.num_rows, a, b) if len(a) > 4 * t.num_rows else None
-                    if r is not None:  # many links: a spanning forest of them
-                        a, b = np.flatnonzero(r != np.arange(len(r))), r[r != np.arange(len(r))]
-                    ea.append(a)
-                    eb.append(b)
+            for s, m, pairs in Subtries(t, at).shortened(sure):
+                label = np.arange(m)
+                for a, b in pairs:
+                    ok = verified(a, b, sets, n)
+                    a, b = a[ok], b[ok]
+                    np.add.at(links, a, copies[b])
+                    np.add.at(links, b, copies[a])
+                    if not m:
+                        ea.append(a)
+                        eb.append(b)
+                    elif len(a):  # a spanning forest of the group's links
+                        label = roots(m, np.concatenate([np.arange(m), a - s]), np.concatenate([label, b - s]))
+                if m:
+                    ea.append(s + np.arange(m))
+                    eb.append(s + label)
             got = np.flatnonzero(links)
             if len(got):
                 root = roots(t.num_rows, np.concatenate(ea), np.concatenate(eb))
-                yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), pa.array(node[root[got]])], ["node", "links", "root"])
-
-    dealt = need.join(sets, "node").select(*order, "copies", "shingles").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "node")
-    links = cut(dealt.mapInArrow(verify, "node long, links long, root long"), "jaccard-links")
-    found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    sums = links.groupBy("node").agg(F.sum("links").alias("links"))
-    reps = nodes.select("node", "check", "rep", "copies")
-    rooted = reps.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = rooted.join(lowest, "root").join(sums, "node", "left").select("node", "check", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return signed.drop("keys").join(classes, ["node", "check"], "left")
+                yield pa.RecordBatch.from_arrays([pa.array(uid[got]), pa.array(links[got]), pa.array(uid[root[got]])], ["uid", "links", "root"])
 
+    dealt = need.join(sets, "uid").select(*order, "copies", "shingles").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "uid")
+    links = cut(dealt.mapInArrow(verify, "uid long, links long, root long"), "jaccard-links")
+    drop(need)
+    return signed, nodes, links
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: that of the smallest doc_id. Rows that repeat a kept doc_id are one row; null ids,
-    which stand for no document, stay as they are."""
-    kept = join(docs).filter("kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+def classified(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """One row per document of (doc_id, text, others): doc_id, node, check, n and the others; root, class_id, copies and links of its node, null without words."""
+    signed, nodes, links = linked_nodes(docs.filter("doc_id is not null"), trees, recall)
+    found = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
+    sums = links.groupBy("uid").agg(F.sum("links").alias("links"))
+    linked = cut(found.join(nodes.select("uid", "node", "check", "rep", "copies"), "uid").join(sums, "uid"), "jaccard-linked")
+    lowest = cut(linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("m")), "jaccard-classes")
+    classes = join_split(linked, lowest, ["root"], "m", linked.count()).select("node", "check", "uid", "root", "class_id", "copies", "links")
+    alone = nodes.join(linked.select("uid"), "uid", "left_anti").select("node", "check", "uid", F.col("uid").alias("root"), F.col("rep").alias("class_id"), "copies", F.lit(0).cast("long").alias("links"))
+    classes = cut(classes.unionByName(alone).drop("uid"), "jaccard-nodes-classed")
+    drop(links, linked, lowest, nodes)
+    signed = signed.drop("keys")
+    wordless = signed.filter("n = 0").select("*", *[F.lit(None).cast("long").alias(c) for c in ("root", "class_id", "copies", "links")])
+    return join_split(signed.filter("n > 0"), classes, ["node", "check"], "copies", signed.count()).unionByName(wordless)
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
@@ -257,3 +330,38 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     kept = lowest.unionByName(rows.filter("n = 0").select("doc_id", "_stage_text")).distinct()
     named = docs.filter("doc_id is not null").withColumn("_stage_text", text).join(kept, ["doc_id", "_stage_text"], "left_semi").dropDuplicates(["doc_id", "_stage_text"])
     return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+
+
+def shared_shingles(docs: DataFrame, share: float) -> DataFrame:
+    """(a, b, links, copies): exact links of a hashed share of the nodes. a is the asked node's hash, links whether b reaches the threshold.
+
+    An inverted index of prefixes: two sets at the threshold share one of the least n - ceil(0.8 n) + 1 shingles of each in any fixed
+    order, here that of the hashes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in steps(batch, "text"):
+                sets = shingle_sets(pc.fill_null(b.column("text"), ""))
+                heads = [s[: len(s) - int(np.ceil(THRESHOLD * len(s) - 1e-9)) + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+                lists = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in identities(sets)), pa.array([s.view(np.int64) for s in sets], lists), pa.array(heads, lists)], ["node", "check", "s", "head"])
+
+    rows = docs.filter("doc_id is not null").select("text").mapInArrow(run, "node long, check long, s array<long>, head array<long>").filter("size(s) > 0")
+    sets = cut(rows.groupBy("node", "check").agg(F.first("s").alias("s"), F.first("head").alias("head"), F.count("*").alias("copies")), "audit-sets")
+    asked = sets.filter(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col("node").alias("a"), F.col("check").alias("ca"), F.col("s").alias("t"), F.col("head").alias("ahead"))
+    index = sets.select(F.col("node").alias("b"), F.col("check").alias("cb"), F.explode("head").alias("shingle"))
+    met = asked.select("a", "ca", F.explode("ahead").alias("shingle")).join(index, "shingle").filter("a <> b or ca <> cb").select("a", "ca", "b", "cb").distinct()
+    pairs = met.join(sets.select(F.col("node").alias("b"), F.col("check").alias("cb"), "s", "copies"), ["b", "cb"]).join(asked.drop("ahead"), ["a", "ca"])
+    both = F.size(F.array_intersect("s", "t"))
+    return pairs.select("a", "ca", (both >= F.lit(THRESHOLD) * (F.size("s") + F.size("t") - both) - 1e-9).alias("links"), "copies")
+
+
+def audit(docs: DataFrame, most: int = 2_000, trees: int = TREES, recall: float = RECALL) -> tuple[int, int]:
+    """(links, found) of the nodes of a hashed sample of about `most` documents: linked documents by an exact join with all rows, and those
+    that the forest finds."""
+    exact = shared_shingles(docs, min(1.0, most / max(docs.count(), 1))).filter("links").groupBy("a", "ca").agg(F.sum("copies").alias("want"))
+    _, nodes, links = linked_nodes(docs.filter("doc_id is not null").select("doc_id", "text"), trees, recall)
+    got = links.groupBy("uid").agg(F.sum("links").alias("got")).join(nodes.select("uid", F.col("node").alias("a"), F.col("check").alias("ca")), "uid")
+    sums = exact.join(got, ["a", "ca"], "left").agg(F.sum("want").alias("want"), F.sum("got").alias("got")).first()
+    return sums.want or 0, sums.got or 0

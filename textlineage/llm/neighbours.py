@@ -300,7 +300,7 @@ def links_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = placed.groupBy("shard").agg(F.count("*").alias("m"))
     else:
         sizes = F.broadcast(sizes)  # CENTRES rows at most
-    met = block_pairs(placed.join(sizes, "shard"), "m", "node", BLOCK).drop("m")
+    met = block_pairs(placed.join(sizes, "shard"), F.ceil(F.col("m") / F.lit(float(BLOCK))), "node").drop("m")
     names = ["shard", "_i", "_j", "_block", "own", "node", "copies", "embedding"]
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.select(*names).repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "node")

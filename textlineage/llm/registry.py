@@ -74,15 +74,19 @@ def op10_configuration_lp_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
 
 
-#: Valid for plain chats, as in the tables; texts that are tool calls are covered by tests.
+#: Without tool calls in JSON texts, of which the tables have none; tests compare those with a plain version.
 ORACLES["op6_tool_call_linking"] = """
-WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-u AS (SELECT DISTINCT conv_id, turn FROM m WHERE role = 'user')
-SELECT conv_id, turn AS level, turn, CAST(0 AS INTEGER) AS step, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BOOLEAN) AS linked, CAST(NULL AS BOOLEAN) AS valid,
-    CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json FROM m WHERE role <> 'assistant'
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(coalesce(role, '') || ':' || coalesce(text, '')) AS place FROM conversations),
+c AS (SELECT conv_id, turn AS call_turn, min(place) AS c_place FROM m WHERE role = 'user' GROUP BY conv_id, turn),
+r AS (SELECT conv_id, turn - 1 AS call_turn, min(place) AS r_place FROM m WHERE role = 'assistant' GROUP BY conv_id, turn)
+SELECT conv_id, turn AS level, CAST(0 AS BIGINT) AS depth, turn, CAST(0 AS INTEGER) AS step, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BOOLEAN) AS linked, CAST(NULL AS BOOLEAN) AS valid,
+    CAST(NULL AS VARCHAR) AS status, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json FROM m WHERE role <> 'assistant'
 UNION ALL
-SELECT conv_id, turn, turn, 1, 'call', 'turn-' || turn, 'reply', true, true, CAST(json_object('id', 'turn-' || turn, 'name', 'reply') AS VARCHAR) FROM m WHERE role = 'user'
+SELECT m.conv_id, m.turn, 0, m.turn, 1, 'call', 'turn-' || m.turn, 'reply', m.place = c_place AND r_place IS NOT NULL, true,
+    CASE WHEN m.place <> c_place THEN 'repeated' WHEN r_place IS NOT NULL THEN 'answered' ELSE 'unanswered' END, CAST(json_object('id', 'turn-' || m.turn, 'name', 'reply') AS VARCHAR)
+FROM m JOIN c ON c.conv_id IS NOT DISTINCT FROM m.conv_id AND c.call_turn = m.turn LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.call_turn = m.turn WHERE role = 'user'
 UNION ALL
-SELECT m.conv_id, m.turn, m.turn, 2, 'result', 'turn-' || (m.turn - 1), CASE WHEN u.turn IS NOT NULL THEN 'reply' END, u.turn IS NOT NULL, CASE WHEN u.turn IS NOT NULL THEN true END,
-    CAST(json_object('content', text, 'id', 'turn-' || (m.turn - 1), 'role', role) AS VARCHAR) FROM m LEFT JOIN u ON u.conv_id = m.conv_id AND u.turn = m.turn - 1 WHERE m.role = 'assistant'
+SELECT m.conv_id, m.turn, CASE WHEN c_place IS NULL THEN 0 ELSE 1 END, m.turn, 0, 'result', 'turn-' || (m.turn - 1), CASE WHEN c_place IS NOT NULL THEN 'reply' END, c_place IS NOT NULL AND m.place = r_place, CASE WHEN c_place IS NOT NULL THEN true END,
+    CASE WHEN c_place IS NULL THEN 'orphan' WHEN m.place = r_place THEN 'answers' ELSE 'repeated' END, CAST(json_object('content', text, 'id', 'turn-' || (m.turn - 1), 'role', role) AS VARCHAR)
+FROM m LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM m.conv_id AND c.call_turn = m.turn - 1 LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.call_turn = m.turn - 1 WHERE role = 'assistant'
 """
