@@ -169,34 +169,70 @@ def brute_cosine(x):
     return linked.sum(1), roots(len(x), a, b)
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK": 25, "SHARD": 40}, {"BLOCK": 25, "SHARD": 20, "CENTRES": 4, "SPLIT": 60, "SLICE": 50}])
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 60, "CELL": 80, "SHARD": 20}, {"BLOCK": 60, "CELL": 20, "CENTRES": 4, "SPLIT": 60, "SLICE": 50, "SHARD": 10}])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, limits):
-    """In one shard, in shards of several blocks, and in shards cut again by pivots dealt in slices."""
+    """In one cell, in cells of several blocks, and in cells cut again by pivots dealt in slices."""
     for name, value in limits.items():
         monkeypatch.setattr(neighbours, name, value)
     x = vectors()
     want, low = brute_cosine(x)
-    rows = neighbours.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    result = neighbours.near_duplicates(df).cache()
+    rows = result.collect()
     got = {r.vec_id: r for r in rows}
     found = sum(r.n_links for r in rows)
     assert want.sum() * 0.99 <= found <= want.sum()
     assert all(got[i].n_links <= want[i] and got[i].kept == (got[i].component_id == i) for i in got)
     assert np.mean([got[i].component_id == low[i] for i in got]) >= 0.99
+    assert neighbours.audit(df, result, most=400) == (want.sum(), found)
 
 
-def test_refined_shards_keep_every_row(spark, monkeypatch):
-    for name, value in {"SHARD": 20, "CENTRES": 4, "SPLIT": 60, "SLICE": 50}.items():
+def test_search_walks_the_united_lists():
+    """A search finds what all cosines find, over rows of many shards, from the medoids alone, and computes few of the cosines."""
+    rng = np.random.default_rng(2)
+    x = neighbours.unit(rng.normal(size=(200, 24)).repeat(8, 0) + 0.15 * rng.normal(size=(1600, 24))).astype(np.float32)
+    lists, medoids = neighbours.flat_graph(x)
+    assert len(medoids) >= 6 and lists.max() < 1600
+    truth = x @ x.T >= 0.95 - neighbours.SLACK
+    count, plain = [0], neighbours.cosines
+
+    def counted(x, a, b):
+        count[0] += len(a)
+        return plain(x, a, b)
+
+    neighbours.cosines = counted
+    try:
+        found = neighbours.search(x, lists, medoids, np.arange(1600), neighbours.BEAM)
+    finally:
+        neighbours.cosines = plain
+    assert not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum()
+    assert count[0] < 0.5 * x.shape[0] ** 2
+
+
+def test_groups_of_near_copies_are_found_whole():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=16) + 0.03 * rng.normal(size=(900, 16)), rng.normal(size=(300, 16))])
+    u = neighbours.unit(x)
+    truth = u @ u.T >= 0.95
+    np.fill_diagonal(truth, False)
+    assert (neighbours.linked_rows(x, np.arange(1200)) == truth).all()
+    assert (neighbours.linked_rows(x, np.arange(850, 1000)) == truth[850:1000]).all()
+
+
+def test_refined_cells_keep_every_row(spark, monkeypatch):
+    for name, value in {"CELL": 20, "CENTRES": 4, "SPLIT": 60, "SLICE": 50}.items():
         monkeypatch.setattr(neighbours, name, value)
     x = vectors()
-    # A large shard, one of near copies only, and a small one. Half of the rows are another shard's.
-    shard = [0] * 240 + [1] * 90 + [2] * 30
+    # A large cell, one of near copies only, and a small one. Half of the rows are another cell's.
+    cell = [0] * 240 + [1] * 90 + [2] * 30
     x[240:330] = x[240] + x[240:330] * 1e-3
-    placed = spark.createDataFrame([(s, i % 2 == 0, i, 1, v.tolist()) for i, (s, v) in enumerate(zip(shard, x, strict=True))], "shard int, own boolean, node long, copies long, embedding array<double>")
-    rows = neighbours.refined(placed, placed.groupBy("shard").count().withColumnRenamed("count", "m")).collect()
-    assert {r.node for r in rows} == set(range(360)) and len({(r.shard, r.node) for r in rows}) == len(rows)
+    length = 16 << neighbours.CELL_BITS
+    placed = spark.createDataFrame([(s + length, i % 2 == 0, i, 1, v.tolist()) for i, (s, v) in enumerate(zip(cell, x, strict=True))], "cell long, own boolean, node long, copies long, embedding array<double>")
+    rows = neighbours.refined(placed, placed.groupBy("cell").count().withColumnRenamed("count", "m")).collect()
+    assert {r.node for r in rows} == set(range(360)) and len({(r.cell, r.node) for r in rows}) == len(rows)
     assert sorted(r.node for r in rows if r.own) == list(range(0, 360, 2))
-    parts = [len({r.shard for r in rows if r.node in range(lo, hi)}) for lo, hi in ((0, 240), (240, 330), (330, 360))]
-    assert parts[0] > 2 and parts[1:] == [1, 1]
+    parts = [len({r.cell for r in rows if r.node in range(lo, hi)}) for lo, hi in ((0, 240), (240, 330), (330, 360))]
+    assert parts[0] > 2 and parts[1:] == [1, 1] and all(r.cell >> neighbours.CELL_BITS == 16 for r in rows)
 
 
 def test_vector_edge_cases(spark):
@@ -206,5 +242,8 @@ def test_vector_edge_cases(spark):
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df).collect()), key=str)
     want = [(0, 0, None, False), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True), (12, 0, 12, True), *[(i, 0, i, True) for i in range(5, 12)]]
     assert got == sorted(want, key=str)
+    unlike = [(4, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [1.0, 0.01]), (6, [0.01, 1.0]), (7, [0.0, 2.0]), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.01, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_duplicates(spark.createDataFrame(unlike, "vec_id long, embedding array<double>")).collect())
+    assert got == [(4, 1, 4), (4, 2, 4), (5, 1, 4), (6, 2, 4), (7, 2, 4), (8, 1, 8), (9, 1, 8)]
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
     assert neighbours.near_duplicates(df.filter("vec_id in (5, 6)")).count() == 2

@@ -261,7 +261,7 @@ def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     Keys of more than total / MOST_HOT rows are at most MOST_HOT, so they are broadcast and left's rows of them stay where they
     are; the others are no task's burden. left is read twice: a table.
     """
-    hot = F.col(weight) > max(1_000, total // MOST_HOT)
+    hot = F.col(weight) > max(100, total // MOST_HOT)
     heavy = F.broadcast(right.filter(hot))
     cold = left.join(F.broadcast(right.filter(hot).select(*keys)), keys, "left_anti").join(right.filter(~hot), keys)
     return left.join(heavy, keys).unionByName(cold)

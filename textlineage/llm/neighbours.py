@@ -1,4 +1,4 @@
-"""Embedding near-duplicates: a robust-pruned flat graph over overlapping cluster shards."""
+"""Embedding near-duplicates: a flat graph of robust-pruned adjacency lists over overlapping cluster shards."""
 
 from __future__ import annotations
 
@@ -6,20 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import block_pairs, components, cut, fetch, group_starts, roots, whole_groups
+from textlineage.llm.common import block_pairs, components, cut, drop, fetch, group_starts, join_split, partitions, roots, whole_groups
 
 THRESHOLD = 0.95
-#: Vectors that a shard owns on average, and shards that a vector stands in.
-SHARD, OVERLAP = 300, 3
-#: Rows of a block; larger shards are built and searched by pairs of blocks.
-BLOCK = 1_000
-SAMPLE, CENTRES = 40_000, 4_096
-#: Shards of more rows are cut by pivots of their own, no two of them nearer than APART; SLICE rows a task.
-SPLIT, APART, SLICE = 1_000, 0.9, 50_000
-NEAR, FAR, ALPHA, BEAM, RECALL = 20, 8, 1.2, 32, 1.0
+#: Vectors that a cell owns on average, and cells that a vector stands in.
+CELL, OVERLAP = 1_500, 3
+#: Rows of a block; larger cells are searched by pairs of blocks.
+BLOCK = 2_000
+#: The centres are fitted on at most so many rows and bytes; no two are nearer than APART, so that a group of near copies has one.
+SAMPLE, SAMPLE_BYTES, CENTRES, APART = 40_000, 1 << 25, 4_096, 0.9
+#: Lengths of vectors that get centres of their own, the most frequent ones; each other length is one cell.
+LENGTHS = 8
+#: Cells of more rows than SPLIT are cut by pivots of their own where the centres are too few; SLICE rows a task.
+SPLIT, SLICE = 5_000, 50_000
+#: Rows of a shard within a cell, and shards that a row stands in.
+SHARD, SHARDS = 250, 2
+#: Candidates, near and far edges of a node, and the factor of the pruning; width of the beam and share of audited links to find.
+NEAREST, NEAR, FAR, ALPHA, BEAM, AUDIT, RECALL = 48, 16, 4, 1.2, 12, 64, 1.0
+#: Cosines in single precision are off by less.
+SLACK = 1e-4
+CELL_BITS = 33
 
 
 def matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -45,46 +55,58 @@ def centres(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray
     c = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))]
     for _ in range(rounds):
         own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        order = np.argsort(own, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
         sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
+        sums[own[order][at]] = np.add.reduceat(x[order], at, axis=0)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
     return c
 
 
-def pruned_graph(s: np.ndarray) -> np.ndarray:
-    """Adjacency (n, n) of a robust-pruned graph from the cosines of all rows of a block.
+def separated(x: np.ndarray, apart: float) -> np.ndarray:
+    """Unit rows in order, without those nearer than `apart` to one already taken."""
+    out = np.empty_like(x)
+    n = 0
+    for row in x:
+        if not n or (out[:n] @ row).max() < apart:
+            out[n] = row
+            n += 1
+    return out[:n]
+
+
+# --- the graph of one set of rows ------------------------------------------------------------------
+
+
+def pruned_edges(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Edges (from, to) of a robust-pruned graph of a shard's rows, and its medoid, from the shard's cosines.
 
     Candidates of a node are its nearest rows and a spread of others, nearest first; one is kept if no kept neighbour is nearer
-    to it, by ALPHA, than the node is. Edges run both ways. Parts that the medoid doesn't reach get an edge from it.
+    to it, by ALPHA, than the node is. Parts that the medoid doesn't reach get an edge from it.
     """
     n = len(s)
-    adj = np.zeros((n, n), bool)
-    if n < 2:
-        return adj
-    me = np.arange(n)
-    near = min(n - 1, 64)
-    t = s.copy()
-    t[me, me] = -2
-    lists = [np.argpartition(-t, near - 1, axis=1)[:, :near]]
-    far = np.random.default_rng(n).integers(0, n, (n, 96))
-    for found, most in ((lists[0], NEAR), (far, FAR)):
-        sim = t[me[:, None], found]
-        order = np.argsort(-sim, axis=1, kind="stable")
-        found, sim = np.take_along_axis(found, order, 1), np.take_along_axis(sim, order, 1)
-        alive = sim > -1.5
-        for _ in range(most):
-            first = alive.argmax(1)
-            some = alive[me, first]
-            if not some.any():
-                break
-            c = found[me, first]
-            adj[me[some], c[some]] = True
-            # Squared chords: 2 - 2 cos.
-            alive &= ALPHA**2 * (2 - 2 * s[c[:, None], found]) > 2 - 2 * sim
-            alive[me, first] = False
-    adj |= adj.T
     medoid = int(s.sum(1).argmax())
+    adj = np.zeros((n, n), bool)
+    if n > 1:
+        me, near = np.arange(n), min(n - 1, NEAREST)
+        t = s.copy()
+        t[me, me] = -2
+        far = np.random.default_rng(n).integers(0, n, (n, NEAREST))
+        for found, most in ((np.argpartition(-t, near - 1, axis=1)[:, :near], NEAR), (far, FAR)):
+            sim = t[me[:, None], found]
+            order = np.argsort(-sim, axis=1, kind="stable")
+            found, sim = np.take_along_axis(found, order, 1), np.take_along_axis(sim, order, 1)
+            alive = sim > -1.5
+            for _ in range(most):
+                first = alive.argmax(1)
+                some = alive[me, first]
+                if not some.any():
+                    break
+                c = found[me, first]
+                adj[me[some], c[some]] = True
+                # Squared chords: 2 - 2 cos.
+                alive &= ALPHA**2 * (2 - 2 * s[c[:, None], found]) > 2 - 2 * sim
+                alive[me, first] = False
     while True:
         reached = np.zeros(n, bool)
         front = np.array([medoid])
@@ -92,162 +114,210 @@ def pruned_graph(s: np.ndarray) -> np.ndarray:
             reached[front] = True
             front = np.flatnonzero(adj[front].any(0) & ~reached)
         if reached.all():
-            return adj
+            a, b = np.nonzero(adj)
+            return a, b, medoid
         lost = np.flatnonzero(~reached)
-        best = lost[s[medoid, lost].argmax()]
-        adj[medoid, best] = adj[best, medoid] = True
+        adj[medoid, lost[s[medoid, lost].argmax()]] = True
 
 
-def search(s: np.ndarray, adj: np.ndarray, beam: int, reach: float = THRESHOLD - 1e-4) -> np.ndarray:
-    """(queries, rows) found in range: every row is a query.
+def flat_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency lists (n, widest), -1 where there is no more, and the medoids, of unit rows.
 
-    Greedy from the medoid with a beam, then the range expands: rows in range are walked from until no new one appears.
+    Rows stand in their nearest cluster shards; each shard has a graph of its own, and the lists of a row, with the edges to it, are united.
     """
-    n = len(s)
-    medoid = int(s.sum(1).argmax())
-    seen = np.zeros((n, n), bool)
-    seen[:, medoid] = True
-    open_sim = np.full((n, n), -2.0, np.float32)
-    open_sim[:, medoid] = s[:, medoid]
-    lists = np.full((n, int(adj.sum(1).max())), -1)
-    for i in range(n):
-        a = np.flatnonzero(adj[i])
-        lists[i, : len(a)] = a
-    kept = np.full((n, beam), -2.0, np.float32)  # cosines of the best rows seen by each query
-    kept[:, 0] = s[:, medoid]
-    active = np.arange(n)
-    while len(active):
-        at = open_sim[active].argmax(1)
-        best = open_sim[active, at]
-        go = (best > -1.5) & (best >= kept[active].min(1))
-        active, at = active[go], at[go]
-        if not len(active):
-            break
-        open_sim[active, at] = -2
-        nbr = lists[at]
+    n = len(x)
+    c = centres(x, -(-n // SHARD), rounds=3)
+    best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :SHARDS]
+    rows, shard = np.repeat(np.arange(n), best.shape[1]), best.ravel()
+    order = np.lexsort((rows, shard))
+    rows, shard = rows[order], shard[order]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(rows))
+    edges, medoids = [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        mine = rows[lo:hi]
+        a, b, medoid = pruned_edges(x[mine] @ x[mine].T)
+        edges += [mine[a] * n + mine[b], mine[b] * n + mine[a]]
+        medoids.append(mine[medoid])
+    key = np.unique(np.concatenate(edges))
+    a, b = key // n, key % n
+    first = np.searchsorted(a, np.arange(n + 1))
+    lists = np.full((n, max(1, int(np.diff(first).max()))), -1)
+    lists[a, np.arange(len(a)) - first[a]] = b
+    return lists, np.unique(medoids)
+
+
+def cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), x.dtype)
+    for i in range(0, len(a), 1 << 16):
+        out[i : i + (1 << 16)] = np.einsum("ij,ij->i", x[a[i : i + (1 << 16)]], x[b[i : i + (1 << 16)]])
+    return out
+
+
+def search(x: np.ndarray, lists: np.ndarray, medoids: np.ndarray, queries: np.ndarray, beam: int, reach: float = THRESHOLD - SLACK) -> np.ndarray:
+    """(queries, rows) found in range, the query itself included.
+
+    Greedy from the two nearest medoids with a beam; then the range expands: rows in range are walked from until no new one appears. Cosines
+    are computed of the rows that a walk meets.
+    """
+    q, n = len(queries), len(x)
+    seen, opened = np.zeros((q, n), bool), np.full((q, n), -2.0, np.float32)
+    inside = np.zeros((q, n), bool)
+    near = np.argsort(-(x[queries] @ x[medoids].T), axis=1, kind="stable")[:, :2]
+    kept = np.full((q, beam), -2.0, np.float32)  # cosines of the best rows seen by each query
+    active = np.arange(q)
+    nbr = medoids[near]
+    while True:
         ok = (nbr >= 0) & ~seen[active[:, None], nbr]
         rows, cols = np.repeat(active, nbr.shape[1])[ok.ravel()], nbr.ravel()[ok.ravel()]
-        seen[rows, cols] = True
-        got = s[rows, cols]
-        open_sim[rows, cols] = got
-        wide = np.full((len(active), nbr.shape[1]), -2.0, np.float32)
+        got = cosines(x, queries[rows], cols)
+        seen[rows, cols], opened[rows, cols] = True, got
+        inside[rows, cols] = got >= reach
+        wide = np.full(nbr.shape, -2.0, np.float32)
         wide[ok] = got
         merged = np.concatenate([kept[active], wide], 1)
         kept[active] = -np.partition(-merged, beam - 1, axis=1)[:, :beam]
-    inside = seen & (s >= reach)
-    walked = np.zeros((n, n), bool)
-    graph = adj.astype(np.float32)
+        at = opened[active].argmax(1)
+        best = opened[active, at]
+        go = (best > -1.5) & (best >= kept[active].min(1))
+        active, at = active[go], at[go]
+        if not len(active):
+            break
+        opened[active, at] = -2
+        nbr = lists[at]
+    walked, graph = np.zeros((q, n), bool), None
     while True:
-        new = inside & ~walked
-        rows = np.flatnonzero(new.any(1))
+        rows, cols = np.nonzero(inside & ~walked)
         if not len(rows):
             return inside
-        walked |= new
-        inside[rows] |= ((new[rows].astype(np.float32) @ graph) > 0) & (s[rows] >= reach)
+        walked[rows, cols] = True
+        if len(rows) * lists.shape[1] <= 1 << 22:
+            nbr = lists[cols]
+            ok = (nbr >= 0) & ~seen[rows[:, None], nbr]
+            key = np.unique(np.repeat(rows, nbr.shape[1])[ok.ravel()] * n + nbr.ravel()[ok.ravel()])
+            rows, cols = key // n, key % n
+        else:  # groups of many near copies: the neighbours of all by one product
+            if graph is None:
+                graph = np.zeros((n, n), np.float32)
+                a, b = np.nonzero(lists >= 0)
+                graph[a, lists[a, b]] = 1
+            some = np.unique(rows)
+            new = np.zeros((len(some), n), np.float32)
+            new[np.searchsorted(some, rows), cols] = 1
+            hit = (new @ graph > 0) & ~seen[some]
+            rows, cols = np.nonzero(hit)
+            if len(rows) * 8 > hit.size:
+                wide = np.flatnonzero(hit.any(0))
+                block = x[queries[some]] @ x[wide].T
+                seen[some[rows], cols] = True
+                inside[some[rows], cols] = block[rows, np.searchsorted(wide, cols)] >= reach
+                continue
+            rows = some[rows]
+        got = cosines(x, queries[rows], cols)
+        seen[rows, cols] = True
+        inside[rows, cols] = got >= reach
 
 
-def shard_links(x: np.ndarray) -> np.ndarray:
-    """(n, n) linked rows of one group, verified in double precision.
+def linked_rows(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """(queries, n) linked rows of one set, verified in double precision; queries link among themselves if either finds the other.
 
-    The search is audited against all cosines on a spread of queries; while it finds too few, the beam doubles, at last over
-    all rows.
+    The search is audited against all cosines of a spread of queries; while it finds too few, the beam doubles, at last over all rows.
     """
     n = len(x)
     u = unit(x)
-    s = (u.astype(np.float32) @ u.astype(np.float32).T).astype(np.float32)
-    adj = pruned_graph(s)
-    audit = np.unique(np.linspace(0, n - 1, min(n, 128)).astype(int))
-    truth = s[audit] >= THRESHOLD - 1e-4
+    single = u.astype(np.float32)
+    lists, medoids = flat_graph(single)
+    audit = np.unique(np.linspace(0, len(queries) - 1, min(len(queries), AUDIT)).astype(int))
+    truth = single[queries[audit]] @ single.T >= THRESHOLD - SLACK
     beam = min(BEAM, n)
     while True:
-        found = search(s, adj, beam)
+        found = search(single, lists, medoids, queries, beam)
         if (found[audit] & truth).sum() >= RECALL * truth.sum() or beam >= n:
             break
         beam = min(2 * beam, n)
-    found |= found.T
-    a, b = np.nonzero(np.triu(found, 1))
-    out = np.zeros((n, n), bool)
-    for i in range(0, len(a), 100_000):
-        p, q = a[i : i + 100_000], b[i : i + 100_000]
-        ok = np.einsum("ij,ij->i", x[p], x[q]) / np.sqrt(np.einsum("ij,ij->i", x[p], x[p]) * np.einsum("ij,ij->i", x[q], x[q])) >= THRESHOLD
-        out[p[ok], q[ok]] = out[q[ok], p[ok]] = True
-    return out
+    among = found[:, queries]
+    found[:, queries] = among | among.T
+    found[np.arange(len(queries)), queries] = False
+    # Doubles: a product where many links are to be verified, and the cosine as defined wherever it may matter how it is rounded.
+    a, b = np.nonzero(found)
+    if len(a) * 16 > found.size:
+        cos = np.concatenate([(u[queries[i : i + 256]] @ u.T)[found[i : i + 256]] for i in range(0, len(queries), 256)])
+    else:
+        cos = cosines(u, queries[a], b)
+    near = np.flatnonzero(np.abs(cos - THRESHOLD) < 1e-9)
+    if len(near):
+        p, q = x[queries[a[near]]], x[b[near]]
+        cos[near] = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q))
+    found[a, b] = cos >= THRESHOLD
+    return found
+
+
+# --- all vectors -----------------------------------------------------------------------------------
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Equal embeddings are one node, their copies linked. Centres are fitted on a bounded sample (SAMPLE rows, CENTRES of
-    them at most); every vector is indexed, in the shards of its nearest centres. Where there are more vectors than these
-    centres make shards of SHARD for, shards are cut again by pivots of their own. A shard's graph is built, searched and verified in
-    one task, by pairs of blocks if it is large, so hot clusters meet whole in bounded tasks. Links between vectors that one
-    shard owns are counted there, and only links across owners travel as rows. Vectors that are null, zero or hold null or
-    non-finite components have no link and their own id; vectors of different lengths never link. Rows that repeat a vec_id
-    with equal embeddings count as copies. A null vec_id has a row of its own: no link, a null component, not kept.
+    Equal embeddings are one node (told apart by 128 bits), their copies linked. Centres of cells are fitted on a bounded sample; every vector is indexed, in the
+    cells of its OVERLAP nearest centres, the nearest of which owns it. Where there are more vectors than the centres make cells of CELL for, cells
+    are cut again by pivots of their own. A cell's rows, by pairs of blocks if they are many, are one task's: cluster shards that overlap,
+    a robust-pruned graph of each, their adjacency lists united, and a range-expanding search for every row that the cell owns, audited and
+    verified in doubles. A link is counted for a vector by its owner or, if the other vector doesn't stand there, by the other's; so
+    counts and spanning edges are all that travels, however large a group of near copies is. `audit` measures the recall over all cells.
+
+    Vectors that are null, zero or hold null or non-finite components have no link and their own id; vectors of different lengths never link. Rows that repeat a vec_id
+    with equal embeddings count as copies, with unlike ones they are nodes of their own. A null vec_id has a row of its own: no link, a null component, not kept. An empty table gives an
+    empty table; other columns are ignored.
     """
     e = F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0))
     good = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     ids = vectors.select("vec_id", F.when(good, F.xxhash64(e)).alias("h1"), F.when(good, F.xxhash64(F.lit(1), F.reverse(e))).alias("h2"), F.when(good, e).alias("embedding"))
-    hashed = ids.filter("h1 is not null").withColumn("vec_id", F.col("vec_id").cast("long"))
-    nodes = hashed.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    nodes = cut(nodes.withColumn("d", F.size("embedding")), "vector-nodes")
-    links, cross = None, None
-    for d in sorted(r.d for r in nodes.select("d").distinct().collect()):  # as a rule one length
-        a, b = links_of(nodes.filter(F.col("d") == d))
-        links = a if links is None else links.unionByName(a)
-        cross = b if cross is None else cross.unionByName(b)
-    if links is None:
-        out = ids.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id").cast("long")})
-        return out.select("vec_id", "n_links", "component_id", F.col("vec_id").isNotNull().alias("kept"))
-    found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(cross.select("a", "b")))
-    both = cross.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).unionByName(cross.select(F.col("b").alias("node"), F.col("copies_a").alias("n")))
-    sums = links.select("node", F.col("links").alias("n")).unionByName(both).groupBy("node").agg(F.sum("n").alias("n"))
-    known = nodes.select("h1", "h2", "node", "copies").join(sums, "node", "left").join(found, "node", "left")
-    known = known.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
-    flagged = ids.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
-    component = F.coalesce("root", F.col("vec_id").cast("long"))
-    return flagged.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
-
-
-def separated(x: np.ndarray, apart: float) -> np.ndarray:
-    """Unit rows in order, without those nearer than `apart` to one already taken."""
-    out = np.empty_like(x)
-    n = 0
-    for row in x:
-        if not n or (out[:n] @ row).max() < apart:
-            out[n] = row
-            n += 1
-    return out[:n]
+    ids = ids.withColumn("vec_id", F.col("vec_id").cast("long"))
+    nodes = ids.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    nodes = cut(nodes.withColumns({"d": F.size("embedding"), "node": F.monotonically_increasing_id()}), "vector-nodes")
+    links = node_links(nodes)
+    found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = cut(found.join(nodes.select("node", "h1", "h2", "rep", "copies"), "node"), "vectors-linked")
+    lowest = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")), "vector-classes")
+    rooted = join_split(linked, lowest, ["root"], "m", linked.count())
+    sums = links.groupBy("node").agg(F.sum("links").alias("n"))
+    known = rooted.join(sums, "node", "left").select("h1", "h2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    alone = nodes.join(linked.select("node"), "node", "left_anti").select("h1", "h2", "copies", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+    known = cut(known.unionByName(alone), "vectors-known")
+    drop(nodes, links, linked, lowest)
+    rows = ids.select("vec_id", "h1", "h2")
+    useless = rows.filter("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = join_split(rows.filter("h1 is not null"), known, ["h1", "h2"], "copies", known.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n)
+    out = out.select("vec_id", "n_links", "component_id").unionByName(useless)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def refined(placed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """placed with each shard of more than SPLIT rows cut into shards of about SHARD, by pivots from its own rows.
+    """placed with each cell of more than SPLIT rows cut into cells of about CELL, by pivots from its own rows.
 
-    Pivots are a hashed share of the rows, CENTRES a shard on average at most, and stand apart: a group of near copies has
-    room for few of them, stays together and meets by pairs of blocks. Each row stands with its OVERLAP nearest pivots,
-    the nearest of a row that the shard owns owns it. A shard's rows are dealt in slices, each with all pivots ahead of
-    its rows, so a task holds the pivots and a batch. A shard's number becomes shard * (2 * CENTRES + 1), plus 1 + the pivot's place.
+    Pivots are a hashed share of the rows, CENTRES a cell on average at most, and stand apart: a group of near copies has
+    room for one of them, stays together and meets by pairs of blocks. Each row stands with its OVERLAP nearest pivots,
+    the nearest of a row that the cell owns owns it. A cell's rows are dealt in slices, each with all pivots ahead of
+    its rows, so a task holds the pivots and a batch. A cell's number becomes cell * (2 * CENTRES + 1), plus 1 + the pivot's place.
     """
-    width, most, apart = 2 * CENTRES + 1, OVERLAP, APART
-    plan = sizes.withColumn("_want", F.when(F.col("m") > SPLIT, F.least(F.lit(float(CENTRES)), F.col("m") / F.lit(float(SHARD)))).otherwise(F.lit(0.0)))
+    width, most, apart, mask = 2 * CENTRES + 1, OVERLAP, APART, (1 << CELL_BITS) - 1
+    plan = sizes.withColumn("_want", F.when(F.col("m") > SPLIT, F.least(F.lit(float(CENTRES)), F.col("m") / F.lit(float(CELL)))).otherwise(F.lit(0.0)))
     plan = plan.withColumn("_slices", F.ceil(F.col("m") / F.lit(float(SLICE))).cast("int"))
-    rows = placed.join(F.broadcast(plan), "shard")  # as many rows of the plan as first centres
+    rows = placed.join(F.broadcast(plan), "cell")  # as many rows of the plan as first centres and rare lengths
     chance = F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    names = ["shard", "_slice", "_kind", "own", "node", "copies", "embedding"]
+    names = ["cell", "_slice", "_kind", "own", "node", "copies", "embedding"]
     pivots = rows.filter(chance < F.col("_want") / F.col("m")).withColumns({"_slice": F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)), "_kind": F.lit(0)})
     members = rows.withColumns({"_slice": F.pmod(F.xxhash64(F.lit("slice"), "node"), F.col("_slices")).cast("int"), "_kind": F.lit(1)})
-    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pivots.select(*names).unionByName(members.select(*names)).repartition(parts, "shard", "_slice").sortWithinPartitions("shard", "_slice", "_kind", "node")
+    dealt = pivots.select(*names).unionByName(members.select(*names)).repartition(partitions(placed), "cell", "_slice").sortWithinPartitions("cell", "_slice", "_kind", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, c = None, [], None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            starts = group_starts(t, ["shard", "_slice", "_kind"])
+            starts = group_starts(t, ["cell", "_slice", "_kind"])
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 p = t.slice(lo, hi - lo).combine_chunks()
-                shard, kind = p["shard"][0].as_py(), p["_kind"][0].as_py()
-                if (key := (shard, p["_slice"][0].as_py())) != at:
+                cell, kind = p["cell"][0].as_py(), p["_kind"][0].as_py()
+                if (key := (cell, p["_slice"][0].as_py())) != at:
                     at, held, c = key, [], None
                 x = unit(matrix(p["embedding"]))
                 if kind == 0:
@@ -255,7 +325,7 @@ def refined(placed: DataFrame, sizes: DataFrame) -> DataFrame:
                     continue
                 if c is None and held:
                     c, held = separated(np.concatenate(held), apart)[: width - 1], []
-                if c is None:  # a small shard, or one that drew no pivot
+                if c is None:  # a small cell, or one that drew no pivot
                     best = np.full((len(x), 1), -1)
                 else:
                     best = np.concatenate([np.argsort(-(x[i : i + 4096] @ c.T), axis=1, kind="stable")[:, :most] for i in range(0, len(x), 4096)])
@@ -263,70 +333,123 @@ def refined(placed: DataFrame, sizes: DataFrame) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(len(x)), n))
                 own = np.repeat(p["own"].to_numpy(), n) & np.tile(np.arange(n) == 0, len(x))
                 cols = [p[k].combine_chunks().take(take) for k in ("node", "copies", "embedding")]
-                yield pa.RecordBatch.from_arrays([pa.array(shard * width + 1 + best.ravel()), pa.array(own), *cols], ["shard", "own", "node", "copies", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array((cell & ~mask) + (cell & mask) * width + 1 + best.ravel()), pa.array(own), *cols], ["cell", "own", "node", "copies", "embedding"])
 
-    return dealt.mapInArrow(run, "shard long, own boolean, node long, copies long, embedding array<double>")
+    return dealt.mapInArrow(run, "cell long, own boolean, node long, copies long, embedding array<double>")
 
 
-GROUP = ["shard", "_i", "_j"]
-
-
-def links_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For nodes (node, copies, embedding) of one length: (node, links, root) within owners, (a, b, copies_a, copies_b) across."""
-    n = nodes.count()
-    k = max(1, min(CENTRES, -(-n // SHARD)))
-    share = min(1.0, min(SAMPLE, 64 * k) / n)
-    sample = nodes.filter(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1_000_000)) < max(1, int(share * 1e6))).select("node", "embedding")
-    t = fetch(sample if share < 1 else nodes.select("node", "embedding")).sort_by("node")
+def fitted_centres(nodes: DataFrame, n: int, d: int) -> np.ndarray:
+    """Centres for n nodes of length d, from a hashed sample of bounded rows and bytes."""
+    k = max(1, min(CENTRES, -(-n // CELL)))
+    most = max(k, min(SAMPLE, 64 * k, SAMPLE_BYTES // (8 * max(d, 1))))
+    sample = nodes.select("node", "embedding")
+    if most < n:
+        sample = sample.filter(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1 << 30)) < max(1, int(most / n * (1 << 30))))
+    t = fetch(sample).sort_by("node")
     if not t.num_rows:
         t = fetch(nodes.select("node", "embedding").limit(k)).sort_by("node")
-    c = centres(unit(matrix(t["embedding"])), k)
+    return separated(centres(unit(matrix(t["embedding"])), k), APART)
+
+
+def placed_nodes(nodes: DataFrame) -> DataFrame:
+    """(cell, own, node, copies, embedding, owner, cells): every node in its cells, with the numbers of all of them; a cell's number begins with the length."""
+    lengths = nodes.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(LENGTHS).collect()
+    fitted = {r.d: fitted_centres(nodes.filter(F.col("d") == r.d), r.n, r.d) for r in lengths}
+    overlap, bits = OVERLAP, CELL_BITS
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                p = b.slice(lo, 4096)
-                s = unit(matrix(p.column("embedding"))) @ c.T
-                most = min(OVERLAP, s.shape[1])
-                best = np.argsort(-s, axis=1, kind="stable")[:, :most]
-                rows = np.repeat(np.arange(p.num_rows), most)
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), pa.array(np.tile(np.arange(most) == 0, p.num_rows)), *[p.column(x).take(pa.array(rows)) for x in ("node", "copies", "embedding")]], ["shard", "own", "node", "copies", "embedding"])
-
-    placed = nodes.select("node", "copies", "embedding").mapInArrow(assign, "shard int, own boolean, node long, copies long, embedding array<double>")
-    placed = cut(placed, "vector-shards")
-    sizes = placed.groupBy("shard").agg(F.count("*").alias("m"))
-    if n > SHARD * CENTRES:
-        placed = cut(refined(placed, sizes), "vector-subshards")
-        sizes = placed.groupBy("shard").agg(F.count("*").alias("m"))
-    else:
-        sizes = F.broadcast(sizes)  # CENTRES rows at most
-    met = block_pairs(placed.join(sizes, "shard"), F.ceil(F.col("m") / F.lit(float(BLOCK))), "node").drop("m")
-    names = ["shard", "_i", "_j", "_block", "own", "node", "copies", "embedding"]
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.select(*names).repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "node")
+            d = b.column("d").to_numpy()
+            for length in np.unique(d).tolist():
+                mine = b.filter(pa.array(d == length))
+                for lo in range(0, mine.num_rows, 4096):
+                    p = mine.slice(lo, 4096)
+                    if length in fitted:
+                        s = unit(matrix(p.column("embedding"))) @ fitted[length].T
+                        best = np.argsort(-s, axis=1, kind="stable")[:, :overlap]
+                    else:
+                        best = np.zeros((p.num_rows, 1), np.int64)
+                    best, most = best + (length << bits), best.shape[1]
+                    take = pa.array(np.repeat(np.arange(p.num_rows), most))
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(p.num_rows + 1, dtype=np.int32) * most), pa.array(best.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(best.ravel()), pa.array(np.tile(np.arange(most) == 0, p.num_rows)), *[p.column(x).take(take) for x in ("node", "copies", "embedding")], pa.array(np.repeat(best[:, 0], most)), cells.take(take)], ["cell", "own", "node", "copies", "embedding", "owner", "cells"])
+
+    placed = nodes.select("d", "node", "copies", "embedding").mapInArrow(assign, "cell long, own boolean, node long, copies long, embedding array<double>, owner long, cells array<long>")
+    placed = cut(placed, "vector-cells")
+    if any(r.n > CELL * CENTRES for r in lengths):
+        first, placed = placed, cut(refined(placed.drop("owner", "cells"), placed.groupBy("cell").agg(F.count("*").alias("m"))), "vector-subcells")
+        drop(first)
+        placed = placed.join(placed.groupBy("node").agg(F.max(F.when(F.col("own"), F.col("cell"))).alias("owner"), F.collect_set("cell").alias("cells")), "node")
+    return placed
+
+
+GROUP = ["cell", "_i", "_j"]
+
+
+def node_links(nodes: DataFrame) -> DataFrame:
+    """(node, links, root), a row or more for each node with links: copies linked, and the smallest node that its links of a task reach."""
+    placed = placed_nodes(nodes)
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("m"))
+    met = block_pairs(placed.join(sizes, "cell"), F.ceil(F.col("m") / F.lit(float(BLOCK))), "node").drop("m")
+    names = ["cell", "_i", "_j", "_block", "own", "node", "copies", "owner", "cells", "embedding"]
+    dealt = met.select(*names).repartition(partitions(nodes), *GROUP).sortWithinPartitions(*GROUP, "node")
+
+    def counted(t: pa.Table) -> pa.RecordBatch | None:
+        own, owner, node, copies = (t[c].to_numpy() for c in ("own", "owner", "node", "copies"))
+        queries = np.flatnonzero(own)
+        if not len(queries):
+            return None
+        linked = linked_rows(matrix(t["embedding"]), queries)
+        block = t["_block"].to_numpy()
+        if t["_i"][0].as_py() != t["_j"][0].as_py():
+            linked &= block[queries][:, None] != block[None, :]  # pairs of one block are another group's
+        links = np.zeros(t.num_rows, np.int64)
+        links[queries] = linked @ copies
+        # Rows that other cells own, linked to rows that don't stand there.
+        guests = np.flatnonzero(~own & linked.any(0))
+        cells = t["cells"].combine_chunks()
+        size = pc.list_value_length(cells).to_numpy()
+        stands = np.full((t.num_rows, int(size.max())), -1)
+        stands[np.repeat(np.arange(t.num_rows), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = cells.flatten().to_numpy()
+        for i in range(0, len(guests), 64):
+            g = guests[i : i + 64]
+            links[g] = (linked[:, g] & (stands[queries][:, None, :] != owner[g][None, :, None]).all(2)).T @ copies[queries]
+        a, b = np.nonzero(linked)
+        label = roots(t.num_rows, queries[a], b)
+        got = np.flatnonzero((links > 0) | (label != np.arange(t.num_rows)))
+        return pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), pa.array(node[label[got]])], ["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in whole_groups(batches, GROUP):
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                t = whole.slice(lo, hi - lo)
-                linked = shard_links(matrix(t["embedding"]))
-                block = t["_block"].to_numpy()
-                if t["_i"][0].as_py() != t["_j"][0].as_py():
-                    linked &= block[:, None] != block[None, :]  # pairs of one block are another group's
-                own, node, copies = t["own"].to_numpy(), t["node"].to_numpy(), t["copies"].to_numpy()
-                inner = linked & own[:, None] & own[None, :]
-                links = inner @ copies
-                a, b = np.nonzero(np.triu(inner, 1))
-                root = roots(len(node), a, b)
-                # Owned rows to rows that another shard owns: each as the smaller and the larger id.
-                p, q = np.nonzero(linked & own[:, None] & ~own[None, :])
-                flip = node[p] > node[q]
-                x, y = np.where(flip, q, p), np.where(flip, p, q)
-                got = np.flatnonzero(links)
-                col = lambda u, v: pa.array(np.concatenate([u, v]).astype(np.int64))
-                zero = np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([col(node[got], node[x]), col(node[root[got]], node[y]), col(links[got], zero), col(np.zeros(len(got)), copies[x]), col(np.zeros(len(got)), copies[y])], ["a", "b", "links", "copies_a", "copies_b"])
-
-    out = cut(dealt.mapInArrow(run, "a long, b long, links long, copies_a long, copies_b long"), "vector-links")
-    inner = out.filter("links > 0").groupBy(F.col("a").alias("node"), F.col("b").alias("root")).agg(F.sum("links").alias("links"))
-    return inner.select("node", "root", "links"), out.filter("links = 0").select("a", "b", "copies_a", "copies_b").distinct()
+                if (out := counted(whole.slice(lo, hi - lo).combine_chunks())) is not None and out.num_rows:
+                    yield out
+
+    return cut(dealt.mapInArrow(run, "node long, links long, root long"), "vector-links")
+
+
+def audit(vectors: DataFrame, result: DataFrame, most: int = 256) -> tuple[int, int]:
+    """(links, found) of a hashed sample of about `most` vectors: n_links by all cosines with every row, in blocks, and by a result of
+    near_duplicates. vec_ids are to be unique."""
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", e.alias("embedding"))
+    n = max(rows.count(), 1)
+    asked = fetch(rows.filter(F.pmod(F.xxhash64(F.lit("audit"), "vec_id"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30)))).sort_by("vec_id")
+    by_length: dict[int, list[int]] = {}
+    for i, v in enumerate(asked["embedding"]):
+        by_length.setdefault(len(v), []).append(i)
+    known = {d: (asked["vec_id"].to_numpy()[i], unit(matrix(asked["embedding"].take(pa.array(i))))) for d, i in by_length.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column("embedding")).to_numpy()
+            for d, (ids, u) in known.items():
+                b = batch.filter(pa.array(size == d))
+                if b.num_rows:
+                    s = u @ unit(matrix(b.column("embedding"))).T >= THRESHOLD
+                    s &= ids[:, None] != b.column("vec_id").to_numpy()[None, :]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s.sum(1))], ["vec_id", "want"])
+
+    want = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, want long").groupBy("vec_id").agg(F.sum("want").alias("want"))
+    sums = want.join(result.select("vec_id", "n_links"), "vec_id").agg(F.coalesce(F.sum("want"), F.lit(0)).alias("w"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("g")).first()
+    return sums.w, sums.g
