@@ -14,7 +14,7 @@ from textlineage.llm.common import block_pairs, components, cut, drop, fetch, gr
 
 THRESHOLD = 0.95
 #: Vectors that a cell owns on average, and cells that a vector stands in.
-CELL, OVERLAP = 1_500, 3
+CELL, OVERLAP = 700, 4
 #: Rows of a block; larger cells are searched by pairs of blocks.
 BLOCK = 2_000
 #: The centres are fitted on at most so many rows and bytes; no two are nearer than APART, so that a group of near copies has one.
