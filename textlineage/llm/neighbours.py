@@ -14,9 +14,9 @@ from textlineage.llm.common import block_pairs, components, cut, drop, fetch, gr
 
 THRESHOLD = 0.95
 #: Vectors that a cell owns on average, and cells that a vector stands in.
-CELL, OVERLAP = 700, 4
+CELL, OVERLAP = 300, 4
 #: Rows of a block; larger cells are searched by pairs of blocks.
-BLOCK = 2_000
+BLOCK = 3_000
 #: The centres are fitted on at most so many rows and bytes; no two are nearer than APART, so that a group of near copies has one.
 SAMPLE, SAMPLE_BYTES, CENTRES, APART = 40_000, 1 << 25, 4_096, 0.9
 #: Lengths of vectors that get centres of their own, the most frequent ones; each other length is one cell.
@@ -230,7 +230,7 @@ def linked_rows(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
     truth = single[queries[audit]] @ single.T >= THRESHOLD - SLACK
     beam = min(BEAM, n)
     while True:
-        found = search(single, lists, medoids, queries, beam)
+        found = np.concatenate([search(single, lists, medoids, queries[i : i + 1024], beam) for i in range(0, len(queries), 1024)])
         if (found[audit] & truth).sum() >= RECALL * truth.sum() or beam >= n:
             break
         beam = min(2 * beam, n)
@@ -238,16 +238,16 @@ def linked_rows(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
     found[:, queries] = among | among.T
     found[np.arange(len(queries)), queries] = False
     # Doubles: a product where many links are to be verified, and the cosine as defined wherever it may matter how it is rounded.
-    a, b = np.nonzero(found)
-    if len(a) * 16 > found.size:
-        cos = np.concatenate([(u[queries[i : i + 256]] @ u.T)[found[i : i + 256]] for i in range(0, len(queries), 256)])
-    else:
-        cos = cosines(u, queries[a], b)
-    near = np.flatnonzero(np.abs(cos - THRESHOLD) < 1e-9)
-    if len(near):
-        p, q = x[queries[a[near]]], x[b[near]]
-        cos[near] = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q))
-    found[a, b] = cos >= THRESHOLD
+    for i in range(0, len(queries), 256):
+        mine = found[i : i + 256]
+        a, b = np.nonzero(mine)
+        q = queries[i + a]
+        cos = (u[queries[i : i + 256]] @ u.T)[a, b] if len(a) * 16 > mine.size else cosines(u, q, b)
+        near = np.flatnonzero(np.abs(cos - THRESHOLD) < 1e-9)
+        if len(near):
+            p, r = x[q[near]], x[b[near]]
+            cos[near] = np.einsum("ij,ij->i", p, r) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", r, r))
+        mine[a, b] = cos >= THRESHOLD
     return found
 
 
