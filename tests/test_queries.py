@@ -17,5 +17,5 @@ def test_query_equals_its_sql(spark, con, name):
     assert same(QUERIES[name](spark, SF), con, ORACLES[name]) == ""
 
 
-def test_all_but_json_lines_have_sql():
-    assert set(QUERIES) - set(ORACLES) == {"q_tokens_json"}
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLES)

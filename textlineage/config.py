@@ -23,13 +23,14 @@ class Settings:
     extra_cols: tuple[str, ...] = ("申请人", "申请人类型", "申请人地址", "申请人城市")
     keep_type: str | None = "发明授权"
     # Text
-    tokenizer: str = "cjk_bigram"
+    tokenizer: str = "auto"
     stopword_paths: tuple[str, ...] = ()
     user_dict_path: str | None = None
     # Vocabulary and weights
     min_term_count: int = 20
     max_doc_freq_ratio: float = 0.5
-    # Pruning
+    # Pruning. Lists of words of its own: stop words of the text are gone by then.
+    prune_word_paths: tuple[str, ...] = ()
     df_ratio_threshold: float = 0.20
     top_df_percent: float = 0.002
     topk_terms_per_doc: int = 30
@@ -43,14 +44,20 @@ class Settings:
     # Output
     artifacts_dir: str = "artifacts"
     final_csv: str = field(default="")
+    export_json: bool = False
+    log_file: str = ""
+    #: Years that a stage writes at once: what an interrupted run repeats at most.
+    years_per_write: int = 8
 
     #: Settings that each stage depends on, beside those of the stages before it.
     STAGE_INPUTS: ClassVar[dict[str, tuple[str, ...]]] = {
         "tokens": ("data_path", "encoding", "col_id", "col_year", "col_type", "col_title", "col_fallback_date", "text_parts", "extra_cols", "keep_type", "tokenizer", "stopword_paths", "user_dict_path"),
         "vocab": ("min_term_count", "max_doc_freq_ratio"),
         "vectors": (),
-        "vectors_filtered": ("df_ratio_threshold", "top_df_percent", "topk_terms_per_doc"),
-        "bsfs": ("use_filtered_vectors", "window_size", "similarity_threshold", "pair_strategy", "method_version"),
+        "vectors_filtered": ("prune_word_paths", "df_ratio_threshold", "top_df_percent", "topk_terms_per_doc"),
+        "postings": ("use_filtered_vectors",),
+        "pairs": ("window_size", "similarity_threshold", "pair_strategy", "method_version"),
+        "bsfs": (),
         "final": ("epsilon",),
     }
 

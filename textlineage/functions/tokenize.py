@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
+import logging
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,14 +34,18 @@ def cjk_bigram(text: Column) -> Column:
 
 
 def segmenter(user_dict_path: str | None = None) -> Callable[[Column], Column]:
-    """Dictionary segmentation by the optional jieba package, loaded once in each Python worker."""
+    """Dictionary segmentation by the optional jieba package, loaded once in each Python worker. Of its words those of CJK ideographs alone stay;
+    a user dictionary that can't be read is warned of and left out."""
 
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import jieba
 
         if user_dict_path:
-            jieba.load_userdict(user_dict_path)
+            try:
+                jieba.load_userdict(user_dict_path)
+            except OSError as e:
+                logging.getLogger(__name__).warning("user dictionary left out: %s", e)
         for texts in batches:
             yield texts.fillna("").map(lambda t: [w for w in jieba.cut(t, HMM=True) if w])
 
@@ -49,7 +56,16 @@ STRATEGIES: dict[str, Callable[[Column], Column]] = {"regex": regex_words, "cjk_
 
 
 def tokenizer(name: str, user_dict_path: str | None = None) -> Callable[[Column], Column]:
-    return segmenter(user_dict_path) if name == "jieba" else STRATEGIES[name]
+    """A strategy by name. "auto" segments by dictionary where the package is installed, else takes pairs of characters and says so."""
+    if name == "auto":
+        name = "jieba" if importlib.util.find_spec("jieba") else "cjk_bigram"
+        if name != "jieba":
+            logging.getLogger(__name__).warning("jieba is not installed: words are pairs of characters")
+    if name != "jieba":
+        return STRATEGIES[name]
+    if user_dict_path and not os.path.exists(user_dict_path):
+        logging.getLogger(__name__).warning("no user dictionary at %s", user_dict_path)
+    return segmenter(user_dict_path)
 
 
 def drop_words(tokens: Column, words: Column) -> Column:

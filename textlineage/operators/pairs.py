@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def postings(vectors: DataFrame) -> DataFrame:
-    """(yr, term_id, n_docs, docs, max_w): inverted lists, ordered by document."""
-    return vectors.groupBy("yr", "term_id").agg(
-        F.count("*").alias("n_docs"), F.array_sort(F.collect_list(F.struct("id", "w"))).alias("docs"), F.max("w").alias("max_w")
-    )
+#: Entries of an inverted list in a row.
+LIST = 4_096
+
+
+def postings(vectors: DataFrame, most: int = LIST) -> DataFrame:
+    """(yr, term_id, part, n_docs, docs, max_w): inverted lists, ordered by document, in numbered parts of about `most` entries by a hash of the
+    document, so that no row holds the whole list of a frequent term. n_docs and max_w are the whole list's."""
+    sizes = vectors.groupBy("yr", "term_id").agg(F.count("*").alias("n_docs"), F.max("w").alias("max_w"))
+    rows = vectors.join(sizes, ["yr", "term_id"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_docs") / F.lit(float(most)))).cast("int"))
+    return rows.groupBy("yr", "term_id", "part").agg(F.first("n_docs").alias("n_docs"), F.array_sort(F.collect_list(F.struct("id", "w"))).alias("docs"), F.first("max_w").alias("max_w"))
+
+
+def entries(lists: DataFrame) -> DataFrame:
+    """(id, yr, term_id, w): the rows that inverted lists were made of."""
+    return lists.select("yr", "term_id", F.explode("docs").alias("d")).select("d.id", "yr", "term_id", "d.w")
 
 
 def posting_max(vectors: DataFrame) -> DataFrame:
@@ -23,33 +33,41 @@ def year_pairs(years: DataFrame, window: int) -> DataFrame:
     return ahead.join(years.select(F.col("yr").alias("yr_y")), "yr_y").select("yr_x", "yr_y")
 
 
-def pair_similarity(vectors: DataFrame, window: int) -> DataFrame:
-    """(yr_x, yr_y, id_x, id_y, n_terms, sim) of every pair that shares a stored term, the earlier document as x.
+def joined(x: DataFrame, y: DataFrame, years: DataFrame) -> DataFrame:
+    """x rows (id_x, yr_x, term_id, ...) with y rows (id_y, yr_y, term_id, ...) of the same term, for the pairs of years given.
 
-    An equi-join on the term with the year band as a residual; AQE splits heavy terms on either side.
+    Each x row goes to the years that it is compared with, so year and term are both keys: no row meets a year that isn't wanted, and the key of a
+    frequent term holds one year of it. AQE splits what is still heavy. A row a pair of years is broadcast.
     """
+    return x.join(F.broadcast(years), "yr_x").join(y, ["yr_y", "term_id"])
+
+
+def pair_similarity(vectors: DataFrame, window: int) -> DataFrame:
+    """(yr_x, yr_y, id_x, id_y, n_terms, sim) of every pair that shares a stored term, the earlier document as x."""
     x = vectors.select(F.col("id").alias("id_x"), F.col("yr").alias("yr_x"), "term_id", F.col("w").alias("w_x"))
-    y = vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), F.col("term_id").alias("t_y"), F.col("w").alias("w_y"))
-    on = (F.col("term_id") == F.col("t_y")) & (F.col("yr_y") > F.col("yr_x")) & (F.col("yr_y") <= F.col("yr_x") + window)
-    return x.join(y, on).groupBy("yr_x", "yr_y", "id_x", "id_y").agg(F.count("*").alias("n_terms"), F.sum(F.col("w_x") * F.col("w_y")).alias("sim"))
+    y = vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), "term_id", F.col("w").alias("w_y"))
+    both = joined(x, y, year_pairs(vectors.select("yr").distinct(), window))
+    return both.groupBy("yr_x", "yr_y", "id_x", "id_y").agg(F.count("*").alias("n_terms"), F.sum(F.col("w_x") * F.col("w_y")).alias("sim"))
 
 
 def prefix_similarity(vectors: DataFrame, window: int, threshold: float) -> DataFrame:
-    """The hits of pair_similarity for non-negative weights, by prefix filtering.
+    """The hits of pair_similarity by prefix filtering, for a threshold above 0 and weights of any sign.
 
-    Terms of a document are ordered from rare to frequent. The longest tail whose weights, each times
-    the largest weight of its term, sum to less than the threshold can't reach it alone, so a hit shares
-    a term of the head. Heads are joined for candidates and those are verified over all terms.
+    Terms of a document are ordered from rare to frequent. What a term can add to a similarity is at most its weight times the largest or, if the
+    weight is negative, the smallest of its term, or nothing. The longest tail whose bounds sum to less than the threshold can't reach it
+    alone, so a hit shares a term of the head. Heads are joined for candidates and those are verified over all terms.
     """
     from pyspark.sql import Window
 
-    top = vectors.groupBy("term_id").agg(F.max("w").alias("_max"), F.count("*").alias("_n"))
-    tail = F.sum(F.col("w") * F.col("_max")).over(Window.partitionBy("id").orderBy(F.col("_n").desc(), "term_id").rowsBetween(Window.unboundedPreceding, 0))
-    heads = vectors.join(top, "term_id").withColumn("_tail", tail).filter(F.col("_tail") >= threshold * (1 - 1e-9))
+    if threshold <= 0:
+        return hits(pair_similarity(vectors, window), threshold)
+    span = vectors.groupBy("term_id").agg(F.max("w").alias("_max"), F.min("w").alias("_min"), F.count("*").alias("_n"))
+    bound = F.greatest(F.col("w") * F.col("_max"), F.col("w") * F.col("_min"), F.lit(0.0))
+    tail = F.sum(bound).over(Window.partitionBy("id").orderBy(F.col("_n").desc(), "term_id").rowsBetween(Window.unboundedPreceding, 0))
+    heads = vectors.join(span, "term_id").withColumn("_tail", tail).filter(F.col("_tail") >= threshold * (1 - 1e-9))
     x = heads.select(F.col("id").alias("id_x"), F.col("yr").alias("yr_x"), "term_id")
-    y = vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), F.col("term_id").alias("t_y"))
-    on = (F.col("term_id") == F.col("t_y")) & (F.col("yr_y") > F.col("yr_x")) & (F.col("yr_y") <= F.col("yr_x") + window)
-    found = x.join(y, on).select("yr_x", "yr_y", "id_x", "id_y").distinct()
+    y = vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), "term_id")
+    found = joined(x, y, year_pairs(vectors.select("yr").distinct(), window)).select("yr_x", "yr_y", "id_x", "id_y").distinct()
     left = vectors.select(F.col("id").alias("id_x"), "term_id", F.col("w").alias("w_x"))
     right = vectors.select(F.col("id").alias("id_y"), "term_id", F.col("w").alias("w_y"))
     both = found.join(left, "id_x").join(right, ["id_y", "term_id"])
@@ -66,20 +84,84 @@ def contributions(found: DataFrame, side: str) -> DataFrame:
     return found.groupBy("yr_x", "yr_y", F.col(f"id_{side}").alias("id")).agg(F.sum("sim").alias("contrib"))
 
 
-def pair_meta(sims: DataFrame, docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """One row per pair of years: document counts, candidates touched per x document, hits."""
-    per_x = sims.groupBy("yr_x", "yr_y", "id_x").agg(F.count("*").alias("touched"), F.count_if(F.col("sim") >= threshold).alias("hits"), F.sum("n_terms").alias("ops"))
-    got = per_x.groupBy("yr_x", "yr_y").agg(F.sum("touched").alias("touched"), F.max("touched").alias("max_touched"), F.sum("hits").alias("hits"), F.sum("ops").alias("ops"))
+def pair_sides(sims: DataFrame, threshold: float) -> DataFrame:
+    """(yr_x, yr_y, side, id, contrib, hits, touched, ops): of each document of either side its hit similarities, hits, candidates and
+    products. One pass over the pairs serves scores, meta and diagnostics."""
+    hit = F.col("sim") >= threshold
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"id_{name}").alias("id"))
+    rows = sims.select("yr_x", "yr_y", "n_terms", hit.alias("hit"), F.when(hit, F.col("sim")).otherwise(F.lit(0.0)).alias("s"), F.inline(F.array(side("x"), side("y"))))
+    return rows.groupBy("yr_x", "yr_y", "side", "id").agg(F.sum("s").alias("contrib"), F.count_if("hit").alias("hits"), F.count("*").alias("touched"), F.sum("n_terms").alias("ops"))
+
+
+def side_scores(docs: DataFrame, sides: DataFrame) -> DataFrame:
+    """(id, yr, bs, fs) from pair_sides: what a document gets as the later side is its bs, as the earlier its fs; 0 without hits."""
+    got = lambda side: F.sum(F.when(F.col("side") == side, F.col("contrib")).otherwise(0.0))
+    sums = sides.groupBy("id").agg(got("y").alias("bs"), got("x").alias("fs"))
+    return docs.join(sums, "id", "left").select("id", "yr", F.coalesce("bs", F.lit(0.0)).alias("bs"), F.coalesce("fs", F.lit(0.0)).alias("fs"))
+
+
+def year_sizes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(yr_x, yr_y, nx, ny)."""
     n = docs.groupBy("yr").agg(F.count("*").alias("n"))
-    out = pairs.join(n.select(F.col("yr").alias("yr_x"), F.col("n").alias("nx")), "yr_x").join(n.select(F.col("yr").alias("yr_y"), F.col("n").alias("ny")), "yr_y")
-    out = out.join(got, ["yr_x", "yr_y"], "left").na.fill(0, ["touched", "max_touched", "hits", "ops"])
-    return out.select("yr_x", "yr_y", "nx", "ny", (F.col("touched") / F.greatest(F.lit(1), F.col("nx"))).alias("avg_touched"), "max_touched", "hits", "ops")
+    return pairs.join(n.select(F.col("yr").alias("yr_x"), F.col("n").alias("nx")), "yr_x").join(n.select(F.col("yr").alias("yr_y"), F.col("n").alias("ny")), "yr_y")
 
 
-def pair_diagnostics(sims: DataFrame) -> DataFrame:
-    """By pair of years, over x documents with a candidate: touched mean, P90 and max; posting steps total and mean."""
-    per_x = sims.groupBy("yr_x", "yr_y", "id_x").agg(F.count("*").alias("touched"), F.sum("n_terms").alias("ops"))
+def pair_meta(sides: DataFrame, docs: DataFrame, pairs: DataFrame, **settings) -> DataFrame:
+    """One row per pair of years: document counts, candidates touched per x document, hits, and the settings given as columns."""
+    got = sides.filter("side = 'x'").groupBy("yr_x", "yr_y").agg(F.sum("touched").alias("touched"), F.max("touched").alias("max_touched"), F.sum("hits").alias("hits"), F.sum("ops").alias("ops"))
+    out = year_sizes(docs, pairs).join(got, ["yr_x", "yr_y"], "left").na.fill(0, ["touched", "max_touched", "hits", "ops"])
+    out = out.select("yr_x", "yr_y", "nx", "ny", (F.col("touched") / F.greatest(F.lit(1), F.col("nx"))).alias("avg_touched"), "max_touched", "hits", "ops")
+    return out.withColumns({k: F.lit(v) for k, v in settings.items()})
+
+
+def pair_diagnostics(sides: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """By pair of years, over all x documents, those without a candidate included: touched mean, P90 and max; posting steps total and mean."""
+    every = docs.select("id", F.col("yr").alias("yr_x")).join(F.broadcast(pairs), "yr_x")
+    per_x = every.join(sides.filter("side = 'x'").select("yr_x", "yr_y", "id", "touched", "ops"), ["yr_x", "yr_y", "id"], "left").na.fill(0, ["touched", "ops"])
     return per_x.groupBy("yr_x", "yr_y").agg(
         F.avg("touched").alias("touched_avg"), F.percentile("touched", F.lit(0.9)).alias("touched_p90"), F.max("touched").alias("touched_max"),
         F.sum("ops").alias("ops_total"), F.avg("ops").alias("ops_avg"),
     )
+
+
+def bounded_terms(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(yr_x, yr_y, id, term_id, w, k, n, total, remain): each document's terms by what they can add to a similarity with a document of the
+    other year, the most first (ties by term), and what the terms after it can add together."""
+    from pyspark.sql import Window
+
+    top = posting_max(vectors).select(F.col("yr").alias("yr_y"), "term_id", "max_w")
+    x = vectors.select("id", F.col("yr").alias("yr_x"), "term_id", "w").join(F.broadcast(pairs), "yr_x").join(top, ["yr_y", "term_id"], "left")
+    x = x.withColumn("bound", F.round(F.col("w") * F.coalesce("max_w", F.lit(0.0)), 12))
+    one = Window.partitionBy("yr_x", "yr_y", "id")
+    order = one.orderBy(F.col("bound").desc(), "term_id")
+    x = x.withColumns({"k": F.row_number().over(order), "n": F.count("*").over(one), "total": F.sum("bound").over(one), "_sum": F.sum("bound").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return x.withColumn("remain", F.when(F.col("k") == F.col("n"), F.lit(0.0)).otherwise(F.round(F.col("total") - F.col("_sum"), 9))).drop("max_w", "bound", "_sum")
+
+
+def pair_bounds(vectors: DataFrame, docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """By pair of years, over all x documents: what is left to add at first and after 1, 3, 5 and 10 terms (0 where there are fewer), and the
+    share of candidates that the bound rules out on the way, mean and P90.
+
+    A candidate is ruled out if, after some term from its first shared one on, what it has and what is left are below the threshold.
+    """
+    from pyspark.sql import Window
+
+    terms = bounded_terms(vectors, pairs)
+    # What is left falls while bounds are positive, so it is above 0 for the first terms only.
+    terms = terms.withColumn("above", F.sum((F.col("remain") > 0).cast("long")).over(Window.partitionBy("yr_x", "yr_y", "id")))
+    after = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("remain"))), F.lit(0.0)).alias(f"remain_k{k}") for k in (1, 3, 5, 10)]
+    per_x = terms.groupBy("yr_x", "yr_y", "id").agg(F.max("total").alias("remain_init"), *after)
+    y = vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), "term_id", F.col("w").alias("w_y"))
+    step = Window.partitionBy("yr_x", "yr_y", "id", "id_y").orderBy("k")
+    met = terms.join(y, ["yr_y", "term_id"]).withColumns({"acc": F.sum(F.col("w") * F.col("w_y")).over(step), "_next": F.lead("k").over(step)})
+    # Between two shared terms the bound is least just before the second, while anything is left.
+    met = met.withColumn("at", F.least(F.coalesce(F.col("_next") - 1, F.col("n")), "above")).filter("at >= k")
+    left = terms.select("yr_x", "yr_y", "id", F.col("k").alias("at"), F.col("remain").alias("left"))
+    out = met.join(left, ["yr_x", "yr_y", "id", "at"]).filter(F.round(F.col("acc") + F.col("left"), 9) < threshold)
+    dead = out.select("yr_x", "yr_y", "id", "id_y").distinct().groupBy("yr_x", "yr_y", "id").agg(F.count("*").alias("dead"))
+    touched = terms.join(y, ["yr_y", "term_id"]).select("yr_x", "yr_y", "id", "id_y").distinct().groupBy("yr_x", "yr_y", "id").agg(F.count("*").alias("touched"))
+    every = docs.select("id", F.col("yr").alias("yr_x")).join(F.broadcast(pairs), "yr_x")
+    rows = every.join(per_x, ["yr_x", "yr_y", "id"], "left").join(touched, ["yr_x", "yr_y", "id"], "left").join(dead, ["yr_x", "yr_y", "id"], "left").na.fill(0)
+    rows = rows.withColumn("ratio", F.when(F.col("touched") > 0, F.col("dead") / F.col("touched")).otherwise(F.lit(0.0)))
+    names = ["remain_init", "remain_k1", "remain_k3", "remain_k5", "remain_k10"]
+    return rows.groupBy("yr_x", "yr_y").agg(F.avg("ratio").alias("pruned_avg"), F.percentile("ratio", F.lit(0.9)).alias("pruned_p90"), *[F.avg(c).alias(c) for c in names])

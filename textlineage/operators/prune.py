@@ -54,19 +54,33 @@ MOST_BROADCAST = 500_000
 
 def checked_small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it has few rows, counted first; kept for its one further use."""
-    df = df.persist()
+    df = df.persist()  # Lineage.release, or clearing the cache, ends it
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
+def removed_columns(term_df: DataFrame, docs: DataFrame, vocab: DataFrame, words: DataFrame | None, threshold: float, percent: float) -> DataFrame:
+    """(yr, term_id, step): columns that pruning removes from a year, and the first step that does: 1 listed words, 2 ratio, 3 most frequent."""
+    ratio = ratio_columns(term_df, docs, vocab, threshold)
+    top = top_df_columns(term_df, vocab, ratio, percent)
+    out = ratio.select("yr", "term_id", F.lit(2).alias("step")).unionByName(top.select("yr", "term_id", F.lit(3).alias("step")))
+    if words is not None:
+        stop = stop_columns(vocab, words).select("term_id", F.lit(1).alias("step"))
+        out = out.unionByName(stop.join(term_df.select("yr", "term").join(vocab.select("term", "term_id"), "term").select("yr", "term_id"), "term_id").select("yr", "term_id", "step"))
+    return out.groupBy("yr", "term_id").agg(F.min("step").alias("step"))
+
+
 def prune(vectors: DataFrame, term_df: DataFrame, docs: DataFrame, vocab: DataFrame, words: DataFrame | None, threshold: float, percent: float, k: int) -> DataFrame:
     """Stop columns, then frequent columns by ratio, then the top of the rest, then top k. Not normalised again.
 
-    The three lists are one anti-join on integers; while they are short it leaves the vectors where they are, by document.
+    The three lists are one anti-join on integers; while they are short, which is counted first, it leaves the vectors where they are, by document.
     """
-    ratio = ratio_columns(term_df, docs, vocab, threshold)
-    top = top_df_columns(term_df, vocab, ratio, percent)
-    removed = ratio.select("yr", "term_id").unionByName(top.select("yr", "term_id"))
-    if words is not None:
-        stop = stop_columns(vocab, words).select("term_id")
-        removed = removed.unionByName(docs.select("yr").crossJoin(F.broadcast(stop)))
-    return top_k_terms(vectors.join(checked_small(removed.distinct()), ["yr", "term_id"], "left_anti").filter("w <> 0"), k)
+    removed = removed_columns(term_df, docs, vocab, words, threshold, percent).select("yr", "term_id")
+    return top_k_terms(vectors.join(checked_small(removed), ["yr", "term_id"], "left_anti").filter("w <> 0"), k)
+
+
+def prune_counts(vectors: DataFrame, removed: DataFrame, filtered: DataFrame) -> DataFrame:
+    """(yr, nnz_before, nnz_stop, nnz_ratio, nnz_top, nnz_after): stored weights of a year at first and after each step of pruning."""
+    rows = vectors.join(removed, ["yr", "term_id"], "left").withColumn("step", F.when(F.col("w") == 0, F.lit(0)).otherwise(F.coalesce("step", F.lit(9))))
+    steps = rows.groupBy("yr").agg(F.count("*").alias("nnz_before"), *[F.count_if(F.col("step") > i).alias(c) for i, c in ((1, "nnz_stop"), (2, "nnz_ratio"), (3, "nnz_top"))])
+    after = filtered.groupBy("yr").agg(F.count("*").alias("nnz_after"))
+    return steps.join(after, "yr", "left").na.fill(0, ["nnz_after"])

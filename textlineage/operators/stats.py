@@ -89,7 +89,10 @@ def vocab_union(term_df: DataFrame, vocab: DataFrame | None = None) -> DataFrame
     return rows.select("term").distinct().agg(F.count("*").alias("terms"))
 
 
-def report(df: DataFrame, widths: dict[str, int], limit: int = 10_000) -> str:
-    """Fixed-width text of a small result."""
+def report(df: DataFrame, widths: dict[str, int], most: int = 100_000) -> str:
+    """Fixed-width text of a small result; of one with more rows than `most` it raises, as text isn't the place for it."""
     line = " | ".join(f"{c:<{w}}" for c, w in widths.items())
-    return "\n".join([line, "-" * len(line), *(" | ".join(f"{r[c]!s:<{w}}" for c, w in widths.items()) for r in df.limit(limit).collect())])
+    rows = df.select(*widths).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows: write a table instead")
+    return "\n".join([line, "-" * len(line), *(" | ".join(f"{r[c]!s:<{w}}" for c, w in widths.items()) for r in rows)])

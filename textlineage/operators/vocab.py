@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlineage.functions.tokenize import drop_words
 
-def tokenized(docs: DataFrame, tokenize, stopwords: list[str] | None = None) -> DataFrame:
+
+def tokenized(docs: DataFrame, tokenize) -> DataFrame:
     """docs with `tokens`; the text goes."""
-    tokens = tokenize(F.col("text"))
-    if stopwords:
-        words = F.array(*[F.lit(w) for w in stopwords])
-        tokens = F.filter(tokens, lambda t: ~F.array_contains(words, t))
-    return docs.withColumn("tokens", tokens).drop("text")
+    return docs.withColumn("tokens", tokenize(F.col("text"))).drop("text")
+
+
+#: Words up to which a list is one array in the plan; longer lists are joined.
+MOST_LISTED = 1_000
+
+
+def without_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """tokens without the words of a list of any length; order and duplicates of the others stay, as do documents that lose all theirs.
+
+    A long list is an anti join of the token rows, which are put together again by document.
+    """
+    listed = [r.term for r in words.select("term").distinct().limit(MOST_LISTED + 1).collect()]
+    if len(listed) <= MOST_LISTED:
+        return tokens.withColumn("tokens", drop_words(F.col("tokens"), F.array(*map(F.lit, listed)))) if listed else tokens
+    rows = tokens.select("id", F.posexplode("tokens").alias("pos", "term")).join(words.select("term").distinct(), "term", "left_anti")
+    kept = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("_kept"))
+    return tokens.join(kept, "id", "left").withColumn("tokens", F.coalesce("_kept", F.array().cast("array<string>"))).select(*tokens.columns)
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -20,11 +35,6 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", "yr", F.explode("tokens").alias("term")).groupBy("id", "yr", "term").agg(F.count("*").alias("tf"))
 
 
-def remove_words(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows whose term isn't a listed word (anti join; small lists are broadcast by size)."""
-    return terms.join(words.select("term").distinct(), "term", "left_anti")
-
-
 def docs_per_year(tokens: DataFrame) -> DataFrame:
     """(yr, docs) over documents with a token."""
     return tokens.filter(F.size("tokens") > 0).groupBy("yr").agg(F.count("*").alias("docs"))
@@ -49,17 +59,24 @@ def vocab_predicate(df: Column, total: Column, min_count: int, max_ratio: float)
     return (df >= min_count) & (df / F.greatest(F.lit(1), total) <= max_ratio)
 
 
-def dense_ids(terms: DataFrame, column: str = "term", prefix: int = 2) -> DataFrame:
+def dense_ids(terms: DataFrame, column: str = "term") -> DataFrame:
     """terms with term_id 0..V-1 in code-point order.
 
-    Numbered inside each prefix and shifted by the counts of smaller prefixes, so that no task
-    sorts the whole vocabulary.
+    Numbered inside each prefix of three characters and shifted by the counts of smaller prefixes, which are summed the same way
+    inside those of two and of one: no task sorts the vocabulary or its prefixes, only what follows one prefix, an alphabet at most.
     """
-    keyed = terms.withColumn("_p", F.substring(column, 1, prefix))
-    sizes = keyed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(column))
-    return keyed.join(before, "_p").withColumn("term_id", (F.col("_before") + rank - 1).cast("int")).drop("_p", "_before")
+    p = [F.substring(column, 1, n) for n in (1, 2, 3)]
+    keyed = terms.withColumns({"_p1": p[0], "_p2": p[1], "_p3": p[2]})
+    sizes = [keyed.groupBy("_p1", "_p2", "_p3").agg(F.count("*").alias("_n"))]
+    sizes.append(sizes[0].groupBy("_p1", "_p2").agg(F.sum("_n").alias("_n")))
+    sizes.append(sizes[1].groupBy("_p1").agg(F.sum("_n").alias("_n")))
+    ahead = lambda w, name: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name)
+    three = sizes[0].select("_p1", "_p2", "_p3", ahead(Window.partitionBy("_p1", "_p2").orderBy("_p3"), "_b3"))
+    two = sizes[1].select("_p1", "_p2", ahead(Window.partitionBy("_p1").orderBy("_p2"), "_b2"))
+    one = sizes[2].select("_p1", ahead(Window.orderBy("_p1"), "_b1"))  # as many rows as there are first characters
+    before = three.join(two, ["_p1", "_p2"]).join(one, "_p1").select("_p3", (F.col("_b1") + F.col("_b2") + F.col("_b3")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_p3").orderBy(column))
+    return keyed.join(before, "_p3").withColumn("term_id", (F.col("_before") + rank - 1).cast("int")).drop("_p1", "_p2", "_p3", "_before")
 
 
 def vocabulary(term_df: DataFrame, docs: DataFrame, min_count: int, max_ratio: float) -> DataFrame:

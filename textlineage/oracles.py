@@ -6,7 +6,7 @@ import re
 
 #: Common table expressions by name; `sql` adds those that a query needs, in this order.
 CTES = {
-    "docs": "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(2010 + doc_id % 8 AS INTEGER) AS yr, source AS title, coalesce(text, '') AS text, lang FROM documents WHERE lang = 'en'",
+    "docs": "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(2010 + doc_id % 8 AS INTEGER) AS yr, source AS title, coalesce(text, '') AS text, lang FROM documents",
     "tok": "SELECT id, yr, title, lang, regexp_extract_all(lower(text), '[a-z]+') AS tokens FROM docs",
     "flat": "SELECT id, yr, unnest(tokens) AS term FROM tok",
     "counts": "SELECT id, yr, term, count(*) AS tf FROM flat GROUP BY ALL",
@@ -36,6 +36,16 @@ CTES = {
     "years": "SELECT DISTINCT yr FROM vdocs",
     "ypairs": "SELECT a.yr AS yr_x, b.yr AS yr_y FROM years a JOIN years b ON b.yr > a.yr AND b.yr <= a.yr + 5",
     "perx": "SELECT yr_x, yr_y, id_x, count(*) AS touched, sum(CASE WHEN sim >= 0.05 THEN 1 ELSE 0 END) AS hits, sum(n_terms) AS ops FROM sims GROUP BY ALL",
+    "everyx": "SELECT id, yr_x, yr_y FROM vdocs JOIN ypairs ON yr = yr_x",
+    "bound": "SELECT yr_x, yr_y, f.id, f.term_id, f.w, round(f.w * coalesce(max_w, 0), 12) AS bound FROM flt f JOIN ypairs ON f.yr = yr_x LEFT JOIN (SELECT yr AS my, term_id AS mt, max(w) AS max_w FROM flt GROUP BY ALL) ON my = yr_y AND mt = f.term_id",
+    "ranked": "SELECT *, row_number() OVER o AS k, count(*) OVER p AS n, sum(bound) OVER p AS total, sum(bound) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM bound WINDOW p AS (PARTITION BY yr_x, yr_y, id), o AS (PARTITION BY yr_x, yr_y, id ORDER BY bound DESC, term_id)",
+    "border": "SELECT yr_x, yr_y, id, term_id, w, k, n, total, CASE WHEN k = n THEN 0.0::DOUBLE ELSE round(total - upto, 9) END AS remain FROM ranked",
+    "metk": "SELECT b.yr_x, b.yr_y, b.id, y.id AS id_y, b.k, b.n, b.w * y.w AS part FROM border b JOIN flt y ON y.yr = b.yr_y AND y.term_id = b.term_id",
+    # Checked after every term from the first shared one on.
+    "checks": "SELECT m.yr_x, m.yr_y, m.id, m.id_y, b.k, any_value(b.remain) AS remain, sum(m.part) AS acc FROM metk m JOIN border b ON b.yr_x = m.yr_x AND b.yr_y = m.yr_y AND b.id = m.id AND b.k >= m.k GROUP BY m.yr_x, m.yr_y, m.id, m.id_y, b.k",
+    "ratios": "SELECT yr_x, yr_y, id, count(*) AS touched, count(*) FILTER (WHERE dead) AS dead FROM (SELECT yr_x, yr_y, id, id_y, bool_or(remain > 0 AND round(acc + remain, 9) < 0.05) AS dead FROM checks GROUP BY ALL) GROUP BY ALL",
+    "left_over": "SELECT yr_x, yr_y, id, max(total) AS r0, max(CASE WHEN k = 1 THEN remain END) AS r1, max(CASE WHEN k = 3 THEN remain END) AS r3, max(CASE WHEN k = 5 THEN remain END) AS r5, max(CASE WHEN k = 10 THEN remain END) AS r10 FROM border GROUP BY ALL",
+    "removed": "SELECT yr, term_id, min(step) AS step FROM (SELECT yr, term_id, 2 AS step FROM ratio JOIN vocab USING (term) UNION ALL SELECT yr, term_id, 3 FROM topdf JOIN vocab USING (term) UNION ALL SELECT yr, term_id, 1 FROM tdf JOIN vocab USING (term) JOIN stop USING (term)) GROUP BY ALL",
     "lens": "SELECT id, yr, (SELECT count(*) FROM flt WHERE flt.id = vdocs.id) AS n FROM vdocs",
     "vtdf": "SELECT yr, term, tdf.df FROM tdf SEMI JOIN vocab USING (term)",
     "topdfs": "SELECT yr, term_id, count(*) AS df FROM top GROUP BY ALL",
@@ -87,7 +97,11 @@ BODIES = {
     "q_df_ratio_cols": "SELECT yr, term, df FROM ratio",
     "q_top_df_cols": "SELECT yr, term, df FROM topdf",
     "q_topk_terms": f"SELECT id, yr, term, {R('w')} FROM flt",
-    "q_postings": "SELECT yr, term_id, count(*) AS n_docs, string_agg(id, ',' ORDER BY id) AS ids, round(max(w), 6) AS max_w FROM flt GROUP BY yr, term_id",
+    "q_tokens_json": "SELECT yr, CAST(to_json({'id': id, 'title': title, 'tokens': tokens, 'lang': lang}) AS VARCHAR) AS line FROM tok",
+    "q_postings_scan": f"SELECT id, yr, term_id, {R('w')} FROM flt",
+    "q_prune_counts": """SELECT yr, nnz_before, nnz_stop, nnz_ratio, nnz_top, coalesce(nnz_after, 0) AS nnz_after FROM (SELECT yr, count(*) AS nnz_before, count(*) FILTER (WHERE w <> 0 AND coalesce(step, 9) > 1) AS nnz_stop, count(*) FILTER (WHERE w <> 0 AND coalesce(step, 9) > 2) AS nnz_ratio,
+        count(*) FILTER (WHERE w <> 0 AND coalesce(step, 9) > 3) AS nnz_top FROM vec LEFT JOIN removed USING (yr, term_id) GROUP BY yr) LEFT JOIN (SELECT yr, count(*) AS nnz_after FROM flt GROUP BY yr) USING (yr)""",
+    "q_postings": "SELECT yr, term_id, CAST(0 AS INTEGER) AS part, count(*) AS n_docs, string_agg(id, ',' ORDER BY id) AS ids, round(max(w), 6) AS max_w FROM flt GROUP BY yr, term_id",
     "q_posting_max": "SELECT yr, term_id, round(max(w), 6) AS max_w FROM vec GROUP BY yr, term_id",
     "q_year_pairs": "SELECT a.yr AS yr_x, b.yr AS yr_y FROM (SELECT DISTINCT yr FROM docs) a JOIN (SELECT DISTINCT yr FROM docs) b ON b.yr > a.yr AND b.yr <= a.yr + 5",
     "q_pair_sim": f"SELECT yr_x, yr_y, id_x, id_y, n_terms, {R('sim')} FROM sims",
@@ -95,10 +109,18 @@ BODIES = {
     "q_pair_hits_prefix": f"SELECT yr_x, yr_y, id_x, id_y, {R('sim')} FROM hits",
     "q_contrib_x": "SELECT yr_x, yr_y, id_x AS id, round(sum(sim), 6) AS contrib FROM hits GROUP BY ALL",
     "q_contrib_y": "SELECT yr_x, yr_y, id_y AS id, round(sum(sim), 6) AS contrib FROM hits GROUP BY ALL",
-    "q_pair_meta": """SELECT yr_x, yr_y, nx, ny, round(coalesce(touched, 0) / greatest(1, nx), 6) AS avg_touched, CAST(coalesce(max_touched, 0) AS BIGINT) AS max_touched, CAST(coalesce(h, 0) AS BIGINT) AS hits
+    "q_pair_meta": """SELECT yr_x, yr_y, nx, ny, round(coalesce(touched, 0) / greatest(1, nx), 6) AS avg_touched, CAST(coalesce(max_touched, 0) AS BIGINT) AS max_touched, CAST(coalesce(h, 0) AS BIGINT) AS hits, CAST(0.05 AS DOUBLE) AS thr, CAST(5 AS INTEGER) AS window_size, 'v1' AS method_version
         FROM ypairs JOIN (SELECT yr AS yr_x, count(*) AS nx FROM vdocs GROUP BY yr) USING (yr_x) JOIN (SELECT yr AS yr_y, count(*) AS ny FROM vdocs GROUP BY yr) USING (yr_y)
         LEFT JOIN (SELECT yr_x, yr_y, sum(touched) AS touched, max(touched) AS max_touched, sum(hits) AS h FROM perx GROUP BY yr_x, yr_y) USING (yr_x, yr_y)""",
-    "q_pair_diag": "SELECT yr_x, yr_y, round(avg(touched), 6) AS touched_avg, round(quantile_cont(touched, 0.9), 6) AS touched_p90, max(touched) AS touched_max, CAST(sum(ops) AS BIGINT) AS ops_total, round(avg(ops), 6) AS ops_avg FROM perx GROUP BY yr_x, yr_y",
+    "q_pair_sides": """SELECT yr_x, yr_y, side, id, round(sum(s), 6) AS contrib, CAST(sum(h) AS BIGINT) AS hits, count(*) AS touched, CAST(sum(n_terms) AS BIGINT) AS ops FROM (
+        SELECT yr_x, yr_y, 'x' AS side, id_x AS id, CASE WHEN sim >= 0.05 THEN sim ELSE 0 END AS s, CASE WHEN sim >= 0.05 THEN 1 ELSE 0 END AS h, n_terms FROM sims
+        UNION ALL SELECT yr_x, yr_y, 'y', id_y, CASE WHEN sim >= 0.05 THEN sim ELSE 0 END, CASE WHEN sim >= 0.05 THEN 1 ELSE 0 END, n_terms FROM sims) GROUP BY ALL""",
+    "q_pair_diag": """SELECT yr_x, yr_y, round(avg(t), 6) AS touched_avg, round(quantile_cont(t, 0.9), 6) AS touched_p90, max(t) AS touched_max, CAST(sum(o) AS BIGINT) AS ops_total, round(avg(o), 6) AS ops_avg
+        FROM (SELECT e.yr_x, e.yr_y, coalesce(touched, 0) AS t, coalesce(ops, 0) AS o FROM everyx e LEFT JOIN perx p ON p.yr_x = e.yr_x AND p.yr_y = e.yr_y AND p.id_x = e.id) GROUP BY yr_x, yr_y""",
+    "q_bound_order": f"SELECT yr_x, yr_y, id, term_id, CAST(k AS INTEGER) AS k, {R('remain')} FROM border",
+    "q_pair_bounds": """SELECT yr_x, yr_y, round(avg(ratio), 6) AS pruned_avg, round(quantile_cont(ratio, 0.9), 6) AS pruned_p90, round(avg(coalesce(r0, 0)), 6) AS remain_init, round(avg(coalesce(r1, 0)), 6) AS remain_k1, round(avg(coalesce(r3, 0)), 6) AS remain_k3,
+        round(avg(coalesce(r5, 0)), 6) AS remain_k5, round(avg(coalesce(r10, 0)), 6) AS remain_k10
+        FROM (SELECT *, CASE WHEN touched > 0 THEN dead / touched ELSE 0.0 END AS ratio FROM everyx LEFT JOIN ratios USING (yr_x, yr_y, id) LEFT JOIN left_over USING (yr_x, yr_y, id)) GROUP BY yr_x, yr_y""",
     "q_bs_fs": f"SELECT id, yr, {R('bs', 'fs')} FROM scores",
     "q_bs_fs_year": f"SELECT id, yr, {R('bs', 'fs')} FROM scores WHERE yr = 2014",
     "q_quality": f"SELECT id, yr, {R('bs', 'fs')}, CASE WHEN bs > 0 THEN round(fs / (bs + 1e-8), 4) ELSE round(fs / (bs + 1e-8) / 1e8, 6) END AS q FROM scores",

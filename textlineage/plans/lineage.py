@@ -11,17 +11,26 @@ from textlineage.operators import pairs, prune, score, vocab, weight
 
 
 class Lineage:
-    """Stages of one corpus. Each is a DataFrame; nothing runs until a result is read.
+    """Stages of one corpus. Each is a DataFrame; nothing runs until a result is read, but that `filtered` counts the columns to remove.
 
     tokens: (id, yr, title, tokens, extras...). Term counts are the widest shuffle and are kept
-    (memory, then disk) when `keep` is set, as five later stages read them.
+    (memory, then disk) when `keep` is set, as five later stages read them, until `release`.
     """
 
     def __init__(self, tokens: DataFrame, settings: Settings, stopwords: DataFrame | None = None, keep: bool = False):
         self.tokens, self.s, self.stopwords, self.keep = tokens, settings, stopwords, keep
+        self._kept: list[DataFrame] = []
 
     def kept(self, df: DataFrame) -> DataFrame:
-        return df.persist() if self.keep else df
+        if self.keep:
+            self._kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Frees what was kept, once the results are read."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -60,6 +69,11 @@ class Lineage:
         s = self.s
         return self.kept(prune.prune(self.vectors, self.term_df, self.docs, self.vocab, self.stopwords, s.df_ratio_threshold, s.top_df_percent, s.topk_terms_per_doc))
 
+    @cached_property
+    def removed(self) -> DataFrame:
+        s = self.s
+        return prune.removed_columns(self.term_df, self.docs, self.vocab, self.stopwords, s.df_ratio_threshold, s.top_df_percent)
+
     @cached_property
     def base(self) -> DataFrame:
         return self.filtered if self.s.use_filtered_vectors else self.vectors
@@ -74,6 +88,15 @@ class Lineage:
             return pairs.prefix_similarity(self.base, self.s.window_size, self.s.similarity_threshold)
         return pairs.hits(self.sims, self.s.similarity_threshold)
 
+    @cached_property
+    def year_pairs(self) -> DataFrame:
+        return pairs.year_pairs(self.vector_docs.select("yr").distinct(), self.s.window_size)
+
+    @cached_property
+    def sides(self) -> DataFrame:
+        """What each document gets from each pair of years; candidates are those that the pair strategy looks at."""
+        return pairs.pair_sides(self.hits if self.s.pair_strategy == "prefix" else self.sims, self.s.similarity_threshold)
+
     @cached_property
     def scores(self) -> DataFrame:
         return score.bs_fs(self.vector_docs, self.hits)

@@ -37,7 +37,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def lineage(spark: SparkSession, d: str) -> Lineage:
     words = spark.createDataFrame([(w,) for w in STOP], "term string")
-    return Lineage(vocab.tokenized(by_document(corpus(spark, d)), regex_words), SETTINGS, words, keep=True)
+    return Lineage(vocab.tokenized(by_document(corpus(spark, d)), regex_words), SETTINGS, words, keep=True)  # released with the session's cache
 
 
 def r6(*names: str) -> list:
@@ -192,7 +192,18 @@ def q_topk_terms(spark, d):
 @query
 def q_postings(spark, d):
     rows = pairs.postings(lineage(spark, d).filtered)
-    return rows.select("yr", "term_id", "n_docs", F.array_join(F.transform("docs", lambda x: x["id"]), ",").alias("ids"), *r6("max_w"))
+    return rows.select("yr", "term_id", "part", "n_docs", F.array_join(F.transform("docs", lambda x: x["id"]), ",").alias("ids"), *r6("max_w"))
+
+
+@query
+def q_postings_scan(spark, d):
+    return pairs.entries(pairs.postings(lineage(spark, d).filtered, most=8)).select("id", "yr", "term_id", *r6("w"))
+
+
+@query
+def q_prune_counts(spark, d):
+    x = lineage(spark, d)
+    return prune.prune_counts(x.vectors, x.removed, x.filtered)
 
 
 @query
@@ -231,16 +242,35 @@ def q_contrib_y(spark, d):
     return pairs.contributions(lineage(spark, d).hits, "y").select("yr_x", "yr_y", "id", *r6("contrib"))
 
 
+@query
+def q_pair_sides(spark, d):
+    return lineage(spark, d).sides.select("yr_x", "yr_y", "side", "id", *r6("contrib"), "hits", "touched", "ops")
+
+
 @query
 def q_pair_meta(spark, d):
     x = lineage(spark, d)
-    found = pairs.pair_meta(x.sims, x.vector_docs, pairs.year_pairs(x.vector_docs.select("yr").distinct(), SETTINGS.window_size), SETTINGS.similarity_threshold)
-    return found.select("yr_x", "yr_y", "nx", "ny", *r6("avg_touched"), "max_touched", "hits")
+    found = pairs.pair_meta(x.sides, x.vector_docs, x.year_pairs, thr=SETTINGS.similarity_threshold, window_size=SETTINGS.window_size, method_version=SETTINGS.method_version)
+    return found.select("yr_x", "yr_y", "nx", "ny", *r6("avg_touched"), "max_touched", "hits", "thr", "window_size", "method_version")
 
 
 @query
 def q_pair_diag(spark, d):
-    return pairs.pair_diagnostics(lineage(spark, d).sims).select("yr_x", "yr_y", *r6("touched_avg", "touched_p90"), "touched_max", "ops_total", *r6("ops_avg"))
+    x = lineage(spark, d)
+    return pairs.pair_diagnostics(x.sides, x.vector_docs, x.year_pairs).select("yr_x", "yr_y", *r6("touched_avg", "touched_p90"), "touched_max", "ops_total", *r6("ops_avg"))
+
+
+@query
+def q_bound_order(spark, d):
+    x = lineage(spark, d)
+    return pairs.bounded_terms(x.filtered, x.year_pairs).select("yr_x", "yr_y", "id", "term_id", "k", *r6("remain"))
+
+
+@query
+def q_pair_bounds(spark, d):
+    x = lineage(spark, d)
+    found = pairs.pair_bounds(x.filtered, x.vector_docs, x.year_pairs, SETTINGS.similarity_threshold)
+    return found.select("yr_x", "yr_y", *r6("pruned_avg", "pruned_p90", "remain_init", "remain_k1", "remain_k3", "remain_k5", "remain_k10"))
 
 
 @query

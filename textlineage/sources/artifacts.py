@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from textlineage.functions.scalar import year_of_name
 
 
-def write_table(df: DataFrame, path: str, by_year: bool = True) -> None:
-    """Parquet, one folder per year. Spark's commit protocol makes the write atomic per task."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy("yr") if by_year and "yr" in df.columns else w).parquet(path)
+def write_table(df: DataFrame, path: str, by: str | None = "yr") -> None:
+    """Parquet, one folder per value of `by`; folders that df has no rows for stay. Spark's commit protocol makes the write atomic per task."""
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (w.partitionBy(by) if by else w).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
+    """A stage table, or one year of it, whose folder alone is read."""
+    df = spark.read.parquet(path)
+    return df if year is None else df.filter(F.col("yr") == year)
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
@@ -32,6 +38,16 @@ def docs_per_year_csv(docs_per_year: DataFrame, path: str) -> None:
     write_csv(docs_per_year.select(F.col("yr").alias("year"), F.col("docs").alias("count")).orderBy("year"), path, single=True)
 
 
+def export_json(term_df: DataFrame, global_df: DataFrame, docs_per_year: DataFrame, vocab: DataFrame, year_pairs: DataFrame, folder: str) -> None:
+    """Exchange copies as JSON lines, a row each, whatever their size: term_df by year, global_df, docs_per_year (also as CSV), vocab and pair_list."""
+    term_df.write.mode("overwrite").partitionBy("yr").json(f"{folder}/term_df")
+    global_df.write.mode("overwrite").json(f"{folder}/global_df")
+    docs_per_year.write.mode("overwrite").json(f"{folder}/docs_per_year")
+    docs_per_year_csv(docs_per_year, f"{folder}/docs_per_year_csv")
+    year_pairs.write.mode("overwrite").json(f"{folder}/pair_list")
+    write_vocab_json(vocab, f"{folder}/vocab")
+
+
 def write_vocab_json(vocab: DataFrame, path: str) -> None:
     """One JSON line per term: term and dense id."""
     vocab.select("term", "term_id").write.mode("overwrite").json(path)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import csv
+import io
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlineage.config import Settings
 from textlineage.functions.scalar import concat_text, missing_to_null, parse_year
+from textlineage.sources.sniff import head
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -24,37 +30,55 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in found], "path string")
 
 
-def encodings(spark: SparkSession, paths: list[str], encoding: str | None = None) -> dict[str, list[str]]:
-    """Files by encoding: the given one, or utf-8 where all lines are valid, else gb18030."""
-    if encoding or not paths:
-        return {encoding or "utf-8": paths} if paths else {}
-    # Lines as bytes: a file of any size is checked in splits, never loaded whole.
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"))
-    bad = {r.path.rpartition("/")[2] for r in lines.groupBy("path").agg(F.bool_and("ok").alias("ok")).filter("not ok").collect()}
-    out: dict[str, list[str]] = {}
+def plain_path(path: str, encoded: bool = False) -> str:
+    """A path without its scheme and host, to compare those of listings with those of file metadata, which are percent-encoded."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "", unquote(path) if encoded else path)
+
+
+def formats(spark: SparkSession, paths: list[str], encoding: str | None = None) -> dict[tuple[str, bool], list[str]]:
+    """Files by (encoding, whether a record may span lines), from one pass over their lines as bytes.
+
+    The encoding is the given one, or utf-8 where all lines are valid, else gb18030. A record spans lines only if a line has an odd number of
+    quotes; other files are read in splits. Files of any size are checked in splits, never loaded whole.
+    """
+    if not paths:
+        return {}
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"), (F.regexp_count("value", F.lit('"')) % 2 == 1).alias("odd"))
+    found = {plain_path(r.path, True): r for r in lines.groupBy("path").agg(F.bool_and("ok").alias("ok"), F.bool_or("odd").alias("odd")).filter("not ok or odd").collect()}
+    out: dict[tuple[str, bool], list[str]] = {}
     for p in paths:
-        out.setdefault("gb18030" if p.rpartition("/")[2] in bad else "utf-8", []).append(p)
+        r = found.get(plain_path(p))
+        out.setdefault((encoding or ("gb18030" if r and not r.ok else "utf-8"), bool(r and r.odd) or (encoding or "").lower().startswith(("utf-16", "utf-32"))), []).append(p)
     return out
 
 
+def header_of(spark: SparkSession, path: str, encoding: str, sep: str) -> list[str]:
+    """Names in the first record of a file, of whose beginning the driver reads a bounded part."""
+    text = head(spark, path, 1 << 16).decode(encoding, "replace").lstrip("\ufeff")
+    return next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
+
+
 def scan_csv(spark: SparkSession, path: str, columns: list[str], encoding: str | None = None, sep: str = ",") -> DataFrame:
     """The named columns as strings, with `_path` and `_line` (order in the file).
 
-    A missing column raises RuntimeError, as do files that can't be read.
+    A missing column raises RuntimeError, as do files that can't be read. Spark reads gb18030 only under a setting of the session, which is made
+    where there is such a file.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     paths = [r.path for r in list_files(spark, path).collect()]
     parts = []
-    for enc, group in encodings(spark, paths, encoding).items():
+    for (enc, spans), group in formats(spark, paths, encoding).items():
+        if enc.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-32"):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         by_header: dict[tuple[str, ...], list[str]] = {}
         for p in group:
-            header = spark.read.option("encoding", enc).option("sep", sep).option("header", True).option("multiLine", True).option("escape", '"').csv(p).columns
+            header = header_of(spark, p, enc, sep)
             if lost := [c for c in columns if c not in header]:
                 raise RuntimeError(f"failed to read {p}: no column {', '.join(lost)}")
             by_header.setdefault(tuple(header), []).append(p)
         for header, same in by_header.items():
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-            df = spark.read.schema(schema).option("encoding", enc).option("sep", sep).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).csv(same)
+            # A name that stands twice would be ambiguous; only the first is meant.
+            schema = T.StructType([T.StructField(c if c not in header[:i] else f"_again_{i}", T.StringType()) for i, c in enumerate(header)])
+            df = spark.read.schema(schema).option("encoding", enc).option("sep", sep).option("header", True).option("multiLine", spans).option("escape", '"').option("enforceSchema", True).csv(same)
             parts.append(df.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in columns], F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line")))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_path", T.StringType()), T.StructField("_line", T.LongType())]))
@@ -109,7 +133,7 @@ def by_document(df: DataFrame) -> DataFrame:
     return df.repartition("id")
 
 
-def table_corpus(docs: DataFrame, keep_type: str | None = "en") -> DataFrame:
+def table_corpus(docs: DataFrame, keep_type: str | None = None) -> DataFrame:
     """The documented view of a `documents` table: synthetic year 2010 + doc_id % 8, type = lang, title = source."""
     rows = docs if keep_type is None else docs.filter(F.col("lang") == keep_type)
     return rows.select(
@@ -119,12 +143,3 @@ def table_corpus(docs: DataFrame, keep_type: str | None = "en") -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         "lang",
     )
-
-
-def first_lines(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    return df.orderBy(*order).limit(n)
-
-
-def row_number_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """keep_first for columns that have no order of their own (maps)."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")

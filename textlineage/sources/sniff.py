@@ -39,7 +39,7 @@ def detect_encoding(data: bytes) -> str:
 
 def detect_delimiter(text: str) -> str:
     """The delimiter that splits most lines into the same number (over 1) of fields; a comma if none does."""
-    lines = [x for x in text.splitlines()[:200] if x]
+    lines = [x for x in text.splitlines() if x]
     best = (0, ",")
     for d in DELIMITERS:
         if counts := Counter(n for x in lines if (n := len(next(csv.reader([x], delimiter=d)))) > 1):

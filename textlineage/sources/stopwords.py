@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The built-in stop words.
@@ -15,6 +16,16 @@ BUILT_IN = [
 ]
 
 
+def gb18030(lines: Column) -> Column:
+    """Text of lines in that encoding, which Spark itself decodes only under a setting of the session."""
+
+    @F.pandas_udf("string")
+    def decode(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda b: bytes(b).decode("gb18030", "replace"))
+
+    return decode(lines)
+
+
 def clean_words(words: DataFrame, column: str = "term") -> DataFrame:
     """Trimmed, non-empty, distinct words of one column, as `term`."""
     return words.select(F.trim(F.col(column)).alias("term")).filter("term <> ''").distinct()
@@ -32,8 +43,7 @@ def read_stopwords(spark: SparkSession, paths: list[str] | tuple[str, ...] = (),
             lines = (reader.option("pathGlobFilter", "*.[tT][xX][tT]") if not p.lower().endswith(".txt") else reader).text(p)
             lines = lines.select("value", F.col("_metadata.file_path").alias("path"))
             good = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-            text = F.when(F.col("ok"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "GB18030"))
+            text = F.when(F.col("ok"), F.col("value")).otherwise(gb18030(F.col("value").cast("binary")))
             words = lines.join(good, "path").select(F.regexp_replace(text, "^\\s+|\\s+$", "").alias("term"))
             words.isEmpty()
             out = out.unionByName(words)

@@ -10,7 +10,3 @@ def stream_term_df(docs: DataFrame, tokenize) -> DataFrame:
     """Streaming (yr, term, df): complete-mode counts of distinct terms per document."""
     terms = docs.select("yr", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
     return terms.groupBy("yr", "term").agg(F.count("*").alias("df"))
-
-
-def stream_docs_per_year(docs: DataFrame, tokenize) -> DataFrame:
-    return docs.filter(F.size(tokenize(F.col("text"))) > 0).groupBy("yr").agg(F.count("*").alias("docs"))
