@@ -48,6 +48,71 @@ def test_threshold_is_inclusive(spark):
     assert pairs.prefix_similarity(v, 5, 0.05).count() == 2
 
 
+def test_prefixes_hold_with_weights_of_any_sign(spark):
+    """Rare terms of negative weight on both sides make hits, as do frequent ones."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"d{i}", 2000 + i % 4, t, rng.uniform(-1, 1)) for i in range(40) for t in rng.sample(range(12), 5)]
+    v = spark.createDataFrame([*rows, ("p", 2000, 90, -0.9), ("q", 2001, 90, -0.8)], "id string, yr int, term_id int, w double")
+    for threshold in (0.05, 0.5, 0.0):
+        want = {(r.id_x, r.id_y, round(r.sim, 9)) for r in pairs.hits(pairs.pair_similarity(v, 2), threshold).collect()}
+        got = {(r.id_x, r.id_y, round(r.sim, 9)) for r in pairs.prefix_similarity(v, 2, threshold).collect()}
+        assert got == want and ("p", "q", 0.72) in got
+
+
+def test_similarity_joins_by_year_and_term(spark, m1):
+    plan = pairs.pair_similarity(m1.base, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("yr_y" in line and "term_id" in line and line.count(" = ") >= 2 for line in plan.splitlines() if "Join Inner" in line)
+
+
+def test_sides_give_scores_and_meta(m1):
+    sides = pairs.pair_sides(m1.sims, m1.s.similarity_threshold)
+    flat = lambda df: {(r.id, round(r.bs, 12), round(r.fs, 12)) for r in df.collect()}
+    assert flat(pairs.side_scores(m1.vector_docs, sides)) == flat(m1.scores)
+    meta = {(r.yr_x, r.yr_y): r for r in pairs.pair_meta(sides, m1.vector_docs, m1.year_pairs, thr=0.05, method_version="v1").collect()}
+    assert set(meta) == {(2010, 2011), (2010, 2012), (2011, 2012)} and sum(r.hits for r in meta.values()) == m1.hits.count() and meta[2010, 2011].thr == 0.05
+    diag = {(r.yr_x, r.yr_y): r for r in pairs.pair_diagnostics(sides, m1.vector_docs, m1.year_pairs).collect()}
+    assert set(diag) == set(meta) and all(diag[k].touched_avg == pytest.approx(meta[k].avg_touched) for k in meta)
+
+
+def test_inverted_lists_in_parts(spark):
+    v = spark.createDataFrame([(f"d{i:03d}", 2000, t, float(i + t)) for i in range(50) for t in (1, 2) if t == 1 or i < 3], "id string, yr int, term_id int, w double")
+    lists = pairs.postings(v, most=8).collect()
+    assert max(len(r.docs) for r in lists) < 30 and len(lists) > 4 and {(r.term_id, r.n_docs, r.max_w) for r in lists} == {(1, 50, 50.0), (2, 3, 4.0)}
+    assert sorted(map(tuple, pairs.entries(pairs.postings(v, most=8)).collect())) == sorted(map(tuple, v.collect()))
+
+
+def test_long_word_lists_are_joined(spark, monkeypatch):
+    tokens = spark.createDataFrame([("a", 2000, ["x", "y", "x", "z"]), ("b", 2000, ["y"]), ("c", 2001, []), ("d", 2001, ["z", "z"])], "id string, yr int, tokens array<string>")
+    words = spark.createDataFrame([("y",), ("q",), ("y",)], "term string")
+    want = {"a": ["x", "x", "z"], "b": [], "c": [], "d": ["z", "z"]}
+    for most in (1_000, 1):
+        monkeypatch.setattr(vocab, "MOST_LISTED", most)
+        assert {r.id: r.tokens for r in vocab.without_words(tokens, words).collect()} == want
+
+
+def test_dense_ids_follow_code_points(spark):
+    words = ["a", "ab", "abc", "abcd", "abce", "b", "电", "电池", "电池组", "电路", "é", "😀", "z", "zz"]
+    got = {r.term: r.term_id for r in vocab.dense_ids(spark.createDataFrame([(w,) for w in words], "term string")).collect()}
+    assert got == {w: i for i, w in enumerate(sorted(words, key=lambda w: w.encode()))}
+
+
+def test_kept_stages_are_released(spark):
+    tokens = spark.createDataFrame([(i, y, i, t.split()) for i, y, t in M1], "id string, yr int, title string, tokens array<string>")
+    x = Lineage(tokens, Settings(min_term_count=1, max_doc_freq_ratio=0.9), keep=True)
+    x.vectors.count()
+    assert x.vectors.is_cached
+    x.release()
+    assert not x.vectors.is_cached and not x.counts.is_cached
+
+
+def test_reports_are_whole_or_refused(spark):
+    assert stats.report(spark.range(3).withColumnRenamed("id", "yr"), {"yr": 4}).count("\n") == 4
+    with pytest.raises(ValueError):
+        stats.report(spark.range(3).withColumnRenamed("id", "yr"), {"yr": 4}, most=2)
+
+
 def test_top_k_variants(spark):
     v = spark.createDataFrame([("a", 2000, t, i, w) for i, (t, w) in enumerate([("p", 0.5), ("q", 0.5), ("r", -0.9), ("s", 0.0), ("t", 0.1)])], "id string, yr int, term string, term_id int, w double")
     names = lambda df: sorted(r.term for r in df.collect())

@@ -1,15 +1,19 @@
 import json
-from dataclasses import replace
+import logging
+import shutil
+from dataclasses import asdict, replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from textlineage import cli
 from textlineage.config import Settings
 from textlineage.functions.scalar import parse_year
-from textlineage.functions.tokenize import STRATEGIES, drop_words
+from textlineage.functions.tokenize import STRATEGIES, drop_words, tokenizer
+from textlineage.operators import pairs
 from textlineage.plans.runner import run_all
 from textlineage.sources import artifacts, sniff
-from textlineage.sources.documents import list_files, read_documents
+from textlineage.sources.documents import formats, list_files, read_documents
 from textlineage.sources.stopwords import BUILT_IN, read_stopwords
 
 HEADER = "申请号,申请年份,专利类型,专利名称,摘要文本,主权项内容,申请日,申请人,申请人类型,申请人地址,申请人城市"
@@ -40,6 +44,51 @@ def test_documents(spark, corpus):
         read_documents(spark, Settings(data_path=str(corpus), extra_cols=("absent",)))
 
 
+def test_names_and_records_of_any_form(spark, tmp_path):
+    """Names with spaces and signs, records over several lines in some files only, names that stand twice in a header."""
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    (tmp_path / "x y").mkdir()
+    write(tmp_path / "x y", "a b.csv", ["1,2010,发明授权,国标,,,,,,,"], "gb18030")
+    write(tmp_path / "x y", "a%20b+c.csv", ["2,2011,发明授权,甲,,,,,,,"])
+    write(tmp_path / "x y", "两行.csv", ['3,2012,发明授权,乙,"一\n二",,,,,,'])
+    write(tmp_path / "x y", "twice.csv", ["4,2013,发明授权,丙,,,,,,,,again"], header=HEADER + ",专利名称")
+    groups = formats(spark, [r.path for r in list_files(spark, str(tmp_path / "x y")).collect()])
+    assert {k: len(v) for k, v in groups.items()} == {("gb18030", False): 1, ("utf-8", False): 2, ("utf-8", True): 1}
+    got = {r.id: r for r in read_documents(spark, Settings(data_path=str(tmp_path / "x y"))).collect()}
+    assert {k: v.title for k, v in got.items()} == {"1": "国标", "2": "甲", "3": "乙", "4": "丙"} and got["3"].text == "乙一\n二"
+    spark.conf.set("spark.sql.legacy.javaCharsets", before)
+    read_documents(spark, Settings(data_path=str(tmp_path / "x y" / "twice.csv"))).collect()
+    read_stopwords(spark, [str(tmp_path / "x y")])
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before  # only gb18030 tables need it
+
+
+SEGMENTER = """
+WORDS = ["锂电池", "材料"]
+
+def load_userdict(path):
+    WORDS.extend(open(path, encoding="utf-8").read().split())
+
+def cut(text, HMM=True):
+    i = 0
+    while i < len(text):
+        w = next((w for w in sorted(WORDS, key=len, reverse=True) if text.startswith(w, i)), text[i])
+        yield w
+        i += len(w)
+"""
+
+
+def test_segmenting_by_dictionary(spark, tmp_path, monkeypatch):
+    """With a package of the same calls in the place of the optional one."""
+    (tmp_path / "jieba.py").write_text(SEGMENTER, "utf-8")
+    spark.sparkContext.addPyFile(str(tmp_path / "jieba.py"))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "words.txt").write_text("负极\n", "utf-8")
+    df = spark.createDataFrame([("锂电池 abc材料的，负极材料",), (None,)], "t string")
+    cut = lambda *a: df.select(tokenizer(*a)(F.col("t")).alias("x")).first().x
+    assert cut("auto") == cut("jieba", str(tmp_path / "absent.txt")) == ["锂电池", "材料", "的", "负", "极", "材料"]
+    assert cut("jieba", str(tmp_path / "words.txt")) == ["锂电池", "材料", "的", "负极", "材料"]
+
+
 def test_years(spark):
     rows = [("2010", None), ("2010-05", None), (" 201", "1999-01-01"), ("x", "2001/02/03"), (None, "20020304"), (None, "2003-04-05 10:00:00"), (None, "zz"), (None, None)]
     got = [r.y for r in spark.createDataFrame(rows, "a string, b string").select(parse_year(F.col("a"), F.col("b")).alias("y")).collect()]
@@ -89,18 +138,72 @@ def test_exchange_formats(spark, tmp_path):
     assert artifacts.read_token_lines(spark, str(tmp_path / "tok")).first().tokens == ["x", "x"]
 
 
-def test_runner_resumes_by_settings(spark, tmp_path):
+@pytest.fixture
+def job(tmp_path):
     d = tmp_path / "in"
     d.mkdir()
     write(d, "a.csv", [f"{i},{2010 + i % 4},发明授权,锂电池{'材料' * (i % 3)},隔膜{'改性' if i % 2 else '算法'},,,a,b,c,d" for i in range(24)])
-    s = Settings(data_path=str(d), min_term_count=1, max_doc_freq_ratio=0.9, df_ratio_threshold=0.95, artifacts_dir=str(tmp_path / "out"), final_csv=str(tmp_path / "final"))
+    (tmp_path / "prune.txt").write_text("材料\n", "utf-8")
+    return Settings(data_path=str(d), tokenizer="cjk_bigram", min_term_count=1, max_doc_freq_ratio=0.9, df_ratio_threshold=0.95, years_per_write=2, artifacts_dir=str(tmp_path / "out"), final_csv=str(tmp_path / "final"), export_json=True, log_file=str(tmp_path / "run.log"))
+
+
+def test_runner_resumes_by_settings(spark, tmp_path, job):
+    s = job
     first = sorted(map(tuple, run_all(spark, s).collect()))
     assert len(first) == 24 and any(float(r[3]) > 0 for r in first)
-    stamp = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out").iterdir()}
+    stamps = lambda: {str(p.relative_to(tmp_path / "out")): p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    stamp = stamps()
     assert sorted(map(tuple, run_all(spark, s).collect())) == first
-    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out").iterdir()} == stamp  # nothing ran
+    assert stamps() == stamp  # nothing ran
     again = run_all(spark, replace(s, similarity_threshold=0.9999999))
     assert again.count() == 24
-    now = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out").iterdir()}
-    assert now["vectors"] == stamp["vectors"] and now["bsfs"] != stamp["bsfs"]
+    now = stamps()
+    assert {k for k in stamp if k.startswith("vectors/")} <= set(now) and not any(k in now for k in stamp if k.startswith("bsfs/"))
     assert spark.read.option("header", True).csv(str(tmp_path / "final")).count() == 24
+    exported = tmp_path / "out" / "json"
+    assert {p.name for p in exported.iterdir()} == {"term_df", "global_df", "docs_per_year", "docs_per_year_csv", "pair_list", "vocab"}
+    assert sorted((r.yr_x, r.yr_y) for r in spark.read.json(str(exported / "pair_list")).collect()) == [(a, b) for a in range(2010, 2014) for b in range(a + 1, 2014)]
+    assert spark.read.option("header", True).csv(str(exported / "docs_per_year_csv")).columns == ["year", "count"]
+    assert sorted(map(tuple, artifacts.read_vocab_json(spark, str(exported / "vocab")).collect())) == sorted(map(tuple, spark.read.parquet(f"{s.artifacts_dir}/vocab").select("term", "term_id").collect()))
+
+
+def test_runner_repeats_lost_years_alone(spark, tmp_path, job):
+    first = sorted(map(tuple, run_all(spark, job).collect()))
+    out = tmp_path / "out"
+    shutil.rmtree(out / "vectors" / "yr=2012")
+    shutil.rmtree(out / "pairs" / "yr_x=2011")
+    stamp = {p: p.stat().st_mtime_ns for t in ("vectors", "pairs") for p in (out / t).rglob("*.parquet")}
+    assert sorted(map(tuple, run_all(spark, job).collect())) == first
+    assert all(p.stat().st_mtime_ns == t for p, t in stamp.items())
+    assert (out / "vectors" / "yr=2012").is_dir() and (out / "pairs" / "yr_x=2011").is_dir()
+    base = spark.read.parquet(str(out / "vectors_filtered"))
+    assert sorted(map(tuple, pairs.entries(artifacts.read_table(spark, str(out / "postings"), 2011)).collect())) == sorted(map(tuple, base.filter("yr = 2011").select("id", "yr", "term_id", "w").collect()))
+    meta = spark.read.parquet(str(out / "pair_meta")).collect()
+    assert {(r.yr_x, r.yr_y) for r in meta} == {(a, b) for a in range(2010, 2014) for b in range(a + 1, 2014)} and all((r.thr, r.window_size, r.method_version, r.vectors_dir) == (0.05, 5, "v1", "vectors_filtered") for r in meta)
+
+
+def test_pruning_has_a_list_of_its_own(spark, tmp_path, job):
+    run_all(spark, job).count()
+    words = spark.read.parquet(f"{job.artifacts_dir}/vocab")
+    listed = words.filter("term = '材料'").first().term_id
+    kept = lambda: spark.read.parquet(f"{job.artifacts_dir}/vectors_filtered").filter(F.col("term_id") == listed).count()
+    assert kept() > 0
+    run_all(spark, replace(job, prune_word_paths=(str(tmp_path / "prune.txt"),))).count()
+    assert kept() == 0 and spark.read.parquet(f"{job.artifacts_dir}/vectors").filter(F.col("term_id") == listed).count() > 0
+
+
+def test_command_line(spark, tmp_path, job, capsys, monkeypatch):
+    path = tmp_path / "settings.json"
+    path.write_text(json.dumps(asdict(job)), "utf-8")
+    (tmp_path / "run.log").write_text("old", "utf-8")
+    root = logging.getLogger()
+    monkeypatch.setattr(root, "handlers", root.handlers[:])
+    for command in (["run"], ["year", "--year", "2011"], ["profile", "--year", "2011", "--out", str(tmp_path / "p")], ["stats", "--k", "2"]):
+        assert cli.main([command[0], str(path), *command[1:]]) == 0
+        if command[0] == "run":
+            text = (tmp_path / "run.log").read_text("utf-8")
+            assert "stage vectors: " in text and "rows" in text and "old" not in text
+    said = capsys.readouterr().out
+    assert "Physical Plan" in said and "cumulative" in said and all(t in said for t in ("average vocabulary use", "DF pair sums of the top terms", "row length histogram"))
+    assert spark.read.option("header", True).csv(f"{job.artifacts_dir}/year=2011").count() == 6
+    assert cli.main(["sniff", str(tmp_path / "in" / "a.csv")]) == 0
