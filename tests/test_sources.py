@@ -195,14 +195,14 @@ def test_pruning_has_a_list_of_its_own(spark, tmp_path, job):
 def test_command_line(spark, tmp_path, job, capsys, monkeypatch):
     path = tmp_path / "settings.json"
     path.write_text(json.dumps(asdict(job)), "utf-8")
-    (tmp_path / "run.log").write_text("old", "utf-8")
+    (tmp_path / "run.log").write_text("earlier run", "utf-8")
     root = logging.getLogger()
     monkeypatch.setattr(root, "handlers", root.handlers[:])
     for command in (["run"], ["year", "--year", "2011"], ["profile", "--year", "2011", "--out", str(tmp_path / "p")], ["stats", "--k", "2"]):
         assert cli.main([command[0], str(path), *command[1:]]) == 0
         if command[0] == "run":
             text = (tmp_path / "run.log").read_text("utf-8")
-            assert "stage vectors: " in text and "rows" in text and "old" not in text
+            assert "stage vectors: " in text and "rows" in text and "earlier run" not in text
     said = capsys.readouterr().out
     assert "Physical Plan" in said and "cumulative" in said and all(t in said for t in ("average vocabulary use", "DF pair sums of the top terms", "row length histogram"))
     assert spark.read.option("header", True).csv(f"{job.artifacts_dir}/year=2011").count() == 6
