@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of text that one vectorised step takes; longer texts are one step of their own.
-STEP_BYTES = 1 << 20
+#: Bytes of text and rows that one vectorised step takes; longer texts are one step of their own.
+STEP_BYTES, STEP_ROWS = 1 << 20, 1 << 15
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -98,7 +98,7 @@ def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
 
 
 def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most so many bytes of text, one row at least."""
+    """Slices of a batch with at most so many bytes of text, one row at least, and STEP_ROWS rows."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -106,7 +106,7 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
     i = 0
     while i < batch.num_rows:
         base = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, base + most, side="right")))
+        j = min(max(i + 1, int(np.searchsorted(ends, base + most, side="right"))), i + STEP_ROWS)
         yield batch.slice(i, j - i)
         i = j
 
@@ -296,6 +296,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+# --- sums ------------------------------------------------------------------------------------------
+
+
+def task_sums(rows: DataFrame, n: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
+    """n counters that `add` fills from the batches of every task, added up.
+
+    A task sends its counters as one row; those rows are added in as many tasks as there are shuffle partitions and then in one, so the driver gets
+    one row, and the shuffle holds 8 n bytes a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n, np.int64)
+        for b in batches:
+            add(b, sums)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n, np.int64)
+        for b in batches:
+            for x in b.column("sums"):
+                sums += np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    out = rows.mapInArrow(run, "sums binary").repartition(partitions(rows)).mapInArrow(total, "sums binary").repartition(1).mapInArrow(total, "sums binary").collect()
+    return np.frombuffer(out[0].sums, np.int64).copy()
+
+
 # --- groups that stream ----------------------------------------------------------------------------
 
 
