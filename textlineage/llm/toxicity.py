@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlineage.llm.common import ALNUM, U64, fetch, fold, span_hashes, steps, text_buffers, word_bounds
+from textlineage.llm.common import ALNUM, U64, fetch, fold, span_hashes, steps, task_sums, text_buffers, word_bounds
 
 BITS = 22
 PREFIXES = (4, 5, 6, 7, 8)
@@ -45,14 +45,16 @@ class Model:
         t[self.chosen] = np.arange(len(self.chosen))
         return t
 
-    def score(self, text: pa.Array, table: np.ndarray) -> np.ndarray:
-        """Logistic of the weights of the features that a text has at all."""
+    def logit(self, text: pa.Array, table: np.ndarray) -> np.ndarray:
+        """The bias and the weights of the features that a text has at all."""
         ids, rows = feature_ids(text)
         at = table[ids]
         hit = at >= 0
         key = np.unique(rows[hit] * len(self.chosen) + at[hit]) if len(self.chosen) else np.zeros(0, np.int64)
-        z = np.bincount(key // max(len(self.chosen), 1), weights=self.weights[key % max(len(self.chosen), 1)] if len(key) else None, minlength=len(text)) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        return np.bincount(key // max(len(self.chosen), 1), weights=self.weights[key % max(len(self.chosen), 1)] if len(key) else None, minlength=len(text)) + self.bias
+
+    def score(self, text: pa.Array, table: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logit(text, table), -60, 60)))
 
 
 def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 2048, rate: float = 0.05, l2: float = 2e-5, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -84,66 +86,89 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, b = np.maximum(w - step[:-1], 0.0), b - step[-1]  # chosen for positive lift: length can't outvote a finding
-    # The bias at which the corrected 0-1 risk, prior * misses + max(0, flagged share - prior * hits), is least: the middle
-    # of the longest stretch of such places.
-    zp, zu = np.sort(positive.astype(np.float32) @ w + b), np.sort(unlabelled.astype(np.float32) @ w + b)
-    if len(zp) and len(zu):
-        at = np.unique(np.round(np.concatenate([zp, zu]), 9))
-        cuts = (at[1:] + at[:-1]) / 2 if len(at) > 1 else at
-        hits, flagged = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
-        risk = prior * (1 - hits) + np.maximum(0.0, flagged - prior * hits)
-        good = np.flatnonzero(risk <= risk.min() + 1e-4)
-        gaps = (at[1:] - at[:-1])[good] if len(at) > 1 else np.ones(1)
-        b -= float(cuts[good[np.argmax(gaps)]])
     return w, float(b)
 
 
+#: Scores are counted in bins of this width from -LIMIT to LIMIT.
+BIN, LIMIT = 1 / 64, 60
+
+
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((z + LIMIT) / BIN), 0, 2 * LIMIT / BIN - 1).astype(np.int64)
+
+
+def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The score at which the corrected 0-1 risk, prior * misses + max(0, flagged share - prior * hits), is least: the middle of the longest stretch
+    of bins without a change among those where it is. Takes the numbers of either kind in each bin."""
+    at = np.flatnonzero(positive + unlabelled)
+    if not positive.sum() or not unlabelled.sum():
+        return 0.0
+    # Cut above each occupied bin; above the last one nothing is flagged.
+    hits = 1 - np.cumsum(positive)[at] / positive.sum()
+    flagged = 1 - np.cumsum(unlabelled)[at] / unlabelled.sum()
+    risk = prior * (1 - hits) + np.maximum(0.0, flagged - prior * hits)
+    good = np.flatnonzero(risk <= risk.min() + 1e-4)
+    above = np.append(at[1:], at[-1] + 1)
+    best = good[np.argmax((above - at)[good])]
+    return float((at[best] + above[best] + 1) / 2 * BIN - LIMIT)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive: int = 6_000, most_unlabelled: int = 24_000, features: int = 1024, least: int = 4) -> Model:
-    """Learns from at most so many confirmed toxic and so many unlabelled documents of the training folds (documented bounds).
+    """Learns from confirmed toxic documents and unlabelled ones of the training folds.
 
-    The class prior is the toxic share among labelled rows of those folds. Features are those that are most surely more
-    frequent among the positives. Without positives the model scores every text 0.
+    Documented bounds: at most about most_positive confirmed documents are used; the weights are fitted on those and a hashed sample of about
+    most_unlabelled others. Which features are chosen, and the threshold, follow from all unlabelled documents. The class prior is the toxic
+    share among labelled rows of those folds, 0.0001 at least and 0.9999 at most. Features are those that are most surely more
+    frequent among the positives. Without positives, so also with an empty table, the model scores every text 0. Repeated labels of a document count as the largest.
     """
     mine = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     counts = mine.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("k")).first()
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
+    nothing = Model(np.zeros(0, np.int64), np.zeros(0), -60.0)
     if not counts.k:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -60.0)
-    prior = min(max(counts.k / counts.n, 1e-4), 0.5)
-    toxic = mine.filter((F.col("_y") == 1) & (chance < int(1e6 * min(1.0, most_positive / counts.k)))).select("doc_id", "_y")
-    total = docs.select("doc_id").count()
-    # Bounded by most_positive: broadcast. The unlabelled are a hashed sample of all documents, labels unseen.
+        return nothing
+    chance = lambda name: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1_000_000))
+    prior = min(max(counts.k / counts.n, 1e-4), 1 - 1e-4)
+    toxic = mine.filter((F.col("_y") == 1) & (chance("sample") < int(1e6 * min(1.0, most_positive / counts.k)))).select("doc_id")
+    # About most_positive ids by a hash; counted, as that is what makes the broadcast safe.
+    if toxic.count() > 2 * most_positive:
+        raise RuntimeError(f"the hashed sample holds more than {2 * most_positive} positives")
     rows = docs.select("doc_id", "text").filter(fold(F.col("doc_id"), 5) != 0)
-    positives = rows.join(F.broadcast(toxic), "doc_id").select("text", F.lit(1).alias("_y"))
-    other = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, most_unlabelled / max(0.8 * total, 1)))
-    sample = positives.unionByName(rows.filter(other).select("text", F.lit(0).alias("_y")))
+    positives = rows.join(F.broadcast(toxic), "doc_id").select("text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents with each feature, by kind, added up in the task: 2 * 2**22 counters at most."""
-        sums, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
-        for batch in batches:
+    def documents_with(wanted: np.ndarray | None):
+        """Adds up the documents with each feature, or each wanted one, and at the end the documents."""
+        place = np.arange(1 << BITS)
+        if wanted is not None:
+            place = np.full(1 << BITS, -1)
+            place[wanted] = np.arange(len(wanted))
+
+        def add(batch: pa.RecordBatch, sums: np.ndarray) -> None:
+            n = len(sums) - 1
             for b in steps(batch, "text"):
-                y = b.column("_y").to_numpy(zero_copy_only=False)
                 ids, owner = feature_ids(b.column("text"))
-                key = np.unique(owner * (1 << BITS) + ids)
-                for k in (0, 1):
-                    np.add.at(sums[k], (key & ((1 << BITS) - 1))[y[key >> BITS] == k], 1)
-                    n[k] += (y == k).sum()
-        found = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(sums[1, found], n[1]).astype(np.int64)), pa.array(np.append(sums[0, found], n[0]).astype(np.int64))], ["f", "p", "u"])
-
-    sums = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    got = fetch(sums.filter((F.col("p") >= least) | (F.col("f") == -1)))  # 2**22 rows at most
-    f, p, u = (got[c].to_numpy() for c in "fpu")
-    if -1 not in f or not p[f == -1][0]:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -60.0)
-    n_p, n_u = p[f == -1][0], max(u[f == -1][0], 1)
-    f, p, u = f[f >= 0], p[f >= 0], u[f >= 0]
+                at = place[ids]
+                key = np.unique(owner[at >= 0] * n + at[at >= 0])
+                sums[:n] += np.bincount(key % n, minlength=n)
+                sums[n] += b.num_rows
+
+        return add
+
+    p = task_sums(positives, (1 << BITS) + 1, documents_with(None))
+    f, n_p = np.flatnonzero(p[:-1] >= least), p[-1]
+    if not len(f):
+        return nothing
+    u = task_sums(rows.select("text"), len(f) + 1, documents_with(f))
+    n_u, p, u = max(u[-1], 1), p[f], u[:-1]
     # Lift with a margin for chance: difference of shares over its standard error.
     a, b = p / n_p, u / n_u
     z = (a - b) / np.sqrt(a / n_p + b / n_u + 1 / n_p**2)
     best = np.lexsort([f, -z])[:features]
     chosen = f[best[z[best] > 2]]
+    # Weights, on the sample.
+    other = chance("unlabelled") < int(1e6 * min(1.0, most_unlabelled / n_u))
+    sample = positives.select("text", F.lit(1).alias("_y")).unionByName(rows.filter(other).select("text", F.lit(0).alias("_y")))
+    if not len(chosen):
+        return nothing
     small, places = np.sort(chosen), np.argsort(chosen)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive:
             for b in steps(batch, "text"):
                 ids, owner = feature_ids(b.column("text"))
                 at = np.searchsorted(small, ids)
-                hit = (at < len(small)) & (small[np.minimum(at, max(len(small) - 1, 0))] == ids) if len(small) else np.zeros(len(ids), bool)
-                key = np.unique(owner[hit] * max(len(small), 1) + places[at[hit]]) if len(small) else np.zeros(0, np.int64)
-                n = np.bincount(key // max(len(small), 1), minlength=b.num_rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array((key % max(len(small), 1)).astype(np.int32)))
+                hit = (at < len(small)) & (small[np.minimum(at, len(small) - 1)] == ids)
+                key = np.unique(owner[hit] * len(small) + places[at[hit]])
+                n = np.bincount(key // len(small), minlength=b.num_rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array((key % len(small)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("_y"), lists], ["_y", "at"])
 
     got = fetch(sample.mapInArrow(rows_of, "_y int, at array<int>"))
@@ -166,13 +191,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive:
         x[r, lists[i]] = 1
     y = y[order]
     w, bias = nnpu(x[y == 1], x[y == 0], prior)
-    return Model(chosen, w, bias)
+    # The threshold, by the scores of all unlabelled documents.
+    model = Model(chosen, w, bias)
+    width = int(2 * LIMIT / BIN)
+
+    def add_scores(batch: pa.RecordBatch, sums: np.ndarray) -> None:
+        lookup = model.table()
+        for b in steps(batch, "text"):
+            sums += np.bincount(bins(model.logit(pc.fill_null(b.column("text"), ""), lookup)), minlength=width)
+
+    zp = np.bincount(bins(x[y == 1].astype(np.float64) @ w + bias), minlength=width)
+    model.bias -= threshold(zp, task_sums(rows.select("text"), width, add_scores), prior)
+    return model
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, least: float = 0.5, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
     """docs with held_out, score and predicted; a null text is scored as the empty one, a null doc_id isn't held out.
 
-    One pass without a shuffle. Columns of docs stay but for those named as the results (`names`).
+    One pass without a shuffle. Columns of docs stay but for those named as the results (`names`). Equal texts have equal scores, and repeated rows
+    a score each; a score at the threshold is predicted 1. Texts of any length are read whole. An empty table gives an empty table.
     """
     held_out, result, predicted = names
     keep = docs.drop(*names)
@@ -186,4 +223,4 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, names:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(text, lookup))], [*b.schema.names, result])
 
     out = keep.mapInArrow(run, schema)
-    return out.withColumn(held_out, fold(F.col("doc_id"), 5) == 0).withColumn(predicted, (F.col(result) >= threshold).cast("int"))
+    return out.withColumn(held_out, fold(F.col("doc_id"), 5) == 0).withColumn(predicted, (F.col(result) >= least).cast("int"))
