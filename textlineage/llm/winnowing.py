@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import BYTE_VALUE, U64, mix, powers
+from textlineage.llm.common import BYTE_VALUE, U64, fetch, mix, powers
 
 K, W = 16, 32
 BLOCK = 1 << 19
@@ -87,15 +87,19 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def ordered_ranges(docs: DataFrame, rows: int = 1_000, most: int = 4_096) -> tuple[DataFrame, int]:
+#: Rows and bytes of a range; ranges of few rows are at most SHORT.
+ROWS, BYTES, SHORT = 1_000, 64 << 20, 4_096
+
+
+def ordered_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs (doc_id, text) cut into ranges of ascending doc_id, each followed by the first row after it.
 
-    Columns _r (range), _ghost (true for that next row, whose own place is another range), _k. Quantiles of the ids, at most
-    `most` of them, are all that reaches the driver; every text is shuffled once. Null ids come last.
+    Columns _r (range), _ghost (true for that next row, whose own place is another range), _k. There are as many ranges as make BYTES each, or
+    more, of ROWS, while those are no more than SHORT; their quantiles of the ids and first ids are all that reaches the driver, 30 bytes a range. Every text is shuffled once. Null ids come last.
     """
     keyed = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = keyed.select("_k").count()
-    parts = max(1, min(most, n // rows))
+    sums = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, min(SHORT, sums.n // ROWS), min(sums.n, -(-sums.bytes // BYTES)))
     cuts = sorted(set(keyed.select("_k").approxQuantile("_k", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     splits = [-float("inf"), *cuts, float("inf")]
     if len(splits) > 2:
@@ -103,9 +107,9 @@ def ordered_ranges(docs: DataFrame, rows: int = 1_000, most: int = 4_096) -> tup
         ranged = ranged.withColumn("_r", F.col("_b").cast("int")).drop("_d", "_b")
     else:
         ranged = keyed.withColumn("_r", F.lit(0))
-    firsts = sorted((r["_r"], r["m"]) for r in ranged.groupBy("_r").agg(F.min("_k").alias("m")).collect())
-    follow = [(m, firsts[i - 1][0]) for i, (_, m) in enumerate(firsts)]  # the first range follows the last
-    nxt = docs.sparkSession.createDataFrame(follow, "_k long, _r int")
+    firsts = fetch(ranged.groupBy("_r").agg(F.min("_k").alias("_k"))).sort_by("_r")
+    before = np.roll(firsts["_r"].to_numpy(), 1)  # the first range follows the last
+    nxt = docs.sparkSession.createDataFrame(pa.table({"_k": firsts["_k"], "_r": pa.array(before.astype(np.int32))}))
     ghosts = keyed.join(F.broadcast(nxt), "_k")
     both = ranged.select("_r", F.lit(False).alias("_ghost"), "_k", "doc_id", "text").unionByName(ghosts.select("_r", F.lit(True).alias("_ghost"), "_k", "doc_id", "text"))
     return both, len(splits) - 1
@@ -115,8 +119,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each document.
 
     The edited text has its last floor(n_chars / 4) code points replaced by as many (or all) first ones of the next document's, by
-    ascending doc_id and, where ids repeat, text; the first follows the last, a lone document itself. Null text is empty.
-    Equal texts have equal fingerprints. Other columns of docs are not read.
+    ascending doc_id and, where ids repeat, text; the first follows the last, a lone document itself. Null text is empty; null ids come last.
+    Equal texts have equal fingerprints, repeated rows a row each. Texts of any length are read whole, in blocks. An empty table gives an empty table. Other columns of docs are not read.
     """
     both, parts = ordered_ranges(docs)
     dealt = both.repartitionById(parts, F.col("_r")).sortWithinPartitions("_r", "_ghost", "_k", "text")
@@ -156,15 +160,3 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield batch_of(out)
 
     return dealt.mapInArrow(run, schema)
-
-
-def selected(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, hash) of every selected k-gram: the fingerprint as rows, for joins on shared passages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                h, p = winnow(batch.column("text")[i].as_py() or "")
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[i].as_py()] * len(h), pa.int64()), pa.array(p), pa.array(h.view(np.int64))], ["doc_id", "position", "hash"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, position long, hash long")
