@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from textlineage.llm.common import cut, fetch
 
 SEQUENCE = 2048
-SALTS = 64
+#: Items that one task ranks.
+SALT_ROWS = 100_000
 
 # --- the program ---------------------------------------------------------------------------------
 
@@ -217,26 +218,32 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE) -
 def pack(items: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     """items with sequence_id and offset: `length` tokens each, 1 to capacity, in few sequences without gaps.
 
-    The histogram by length and salt (SALTS * capacity rows at most) is all that reaches the driver. Items are ranked
+    Full items are sequences of their own, numbered where they are read. The histogram of the others by length, and then by length and salt, is all that reaches the driver:
+    a length has a salt for each SALT_ROWS rows, so a row each of capacity and of SALT_ROWS items. Items are ranked
     within their length and salt, so that a length that a third of all items have is ranked by many tasks; the rank decides
     sequence and place by a search in the plan. Rows that are equal in all columns are interchangeable. items must be cheap
-    to read twice (a cut table). An empty table gives an empty table.
+    to read several times (a cut table). An empty table gives an empty table.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in items.columns]), F.lit(SALTS)).cast("int")
-    salted = items.withColumn("_salt", salt)
+    full = items.filter(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = items.filter(F.col("length") < capacity)
+    table = fetch(rest.groupBy(F.col("length").cast("int").alias("length")).agg(F.count("*").alias("n"))).sort_by("length")
+    lengths, counts = (table[c].to_numpy().astype(np.int64) for c in ("length", "n"))
+    if not len(lengths):
+        return full
+    salts = np.zeros(capacity, np.int64)
+    salts[lengths] = -(-counts // SALT_ROWS)
+    first = np.cumsum(salts) - salts  # place of each length's first salt
+    row = F.xxhash64(*[F.col(c) for c in items.columns])
+    salted = rest.withColumn("_salt", F.pmod(row, F.get(F.array(*[F.lit(int(k)) for k in salts]), F.col("length").cast("int"))).cast("int"))
     table = fetch(salted.groupBy(F.col("length").cast("int").alias("length"), "_salt").agg(F.count("*").alias("n")))
-    size, salts, n = (table[c].to_numpy().astype(np.int64) for c in ("length", "_salt", "n"))
-    order = np.lexsort((salts, size))
-    size, salts, n = size[order], salts[order], n[order]
-    lengths, first = np.unique(size, return_index=True)
-    counts = np.add.reduceat(n, first) if len(n) else n
-    before = np.zeros((capacity + 1, SALTS), np.int64)
-    if len(n):
-        running = np.cumsum(n) - n
-        before[size, salts] = running - np.repeat(running[first], np.diff(np.append(first, len(n))))
+    size, salt, n = (table[c].to_numpy().astype(np.int64) for c in ("length", "_salt", "n"))
+    before = np.zeros(int(salts.sum()) + 1, np.int64)
+    before[first[size] + salt + 1] = n
+    before = np.cumsum(before)
+    before = before[:-1] - np.repeat(before[first[lengths]], salts[lengths])
     # Spans of ranks of each length: (length, first rank) -> times in a sequence, first sequence, offset.
     spans, taken, base = [], dict.fromkeys(range(len(lengths)), 0), 0
-    for p, times in plan(lengths, counts, capacity) if len(lengths) else []:
+    for p, times in plan(lengths, counts, capacity):
         offset = 0
         for j, a in p:
             spans.append((int(lengths[j]), taken[j], a, base, offset))
@@ -254,14 +261,19 @@ def pack(items: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = before[length, b.column("_salt").to_numpy(zero_copy_only=False)] + b.column("_rn").to_numpy(zero_copy_only=False)
+            rank = before[first[length] + b.column("_salt").to_numpy(zero_copy_only=False)] + b.column("_rn").to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, (length << 48) | rank, side="right") - 1
             inside = rank - s[at, 1]
             sequence, offset = s[at, 3] + inside // s[at, 2], s[at, 4] + inside % s[at, 2] * length
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE) -> DataFrame:
+    """One row per piece of each document, packed: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    A null or empty text is the one id 0; texts of any length are read whole. Repeated rows, and rows that share a doc_id, have pieces each; ties
+    are interchangeable. A null doc_id stays null. An empty table gives an empty table. Other columns are ignored, whatever their names.
+    """
     return pack(cut(pieces(docs, path, capacity), "pack-pieces"), capacity)
