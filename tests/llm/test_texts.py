@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from textlineage.llm import bilinear, quality, toxicity, winnowing
-from textlineage.llm.common import ALNUM, VISIBLE, span_hashes, text_buffers, word_bounds
+from textlineage.llm.common import ALNUM, VISIBLE, span_hashes, steps, text_buffers, word_bounds
 from textlineage.llm.registry import QUERIES
 
 SF = "/root/testdata/sf0.1"
@@ -71,10 +71,96 @@ def test_nnpu_finds_the_positive_feature():
     x = (rng.random((4000, 6)) < 0.2).astype(np.uint8)
     x[:, 0] = toxic
     w, b = toxicity.nnpu(x[toxic][:200], x, 0.1)
-    flagged = x @ w + b >= 0
+    z = x @ w + b
+    width = int(2 * toxicity.LIMIT / toxicity.BIN)
+    cut = toxicity.threshold(np.bincount(toxicity.bins(z[toxic][:200]), minlength=width), np.bincount(toxicity.bins(z), minlength=width), 0.1)
+    flagged = z >= cut
     assert (flagged == toxic).mean() > 0.99 and (w >= 0).all()
 
 
+def plain_features(text):
+    """The features of a text by their bytes."""
+    out = set()
+    for w in re.findall(rb"(?:[a-z0-9]|[\x80-\xff])+", (text or "").lower().encode()):
+        out |= {(w, 0)} | {(w[:p], p) for p in toxicity.PREFIXES if len(w) > p}
+    return out
+
+
+def test_toxicity_is_fitted_as_by_hand(spark, edge_docs):
+    """Features, prior, weights and threshold against a plain fit, with every document in the sample; scores of all texts."""
+    rng = np.random.default_rng(12)
+    docs, labels = [], []
+    for i in range(600):
+        bad = rng.random() < 0.2
+        words = [f"w{rng.integers(300)}" for _ in range(int(rng.integers(0, 30)))] + (["vileness", "vilest"][: int(rng.integers(1, 3))] if bad else [])
+        docs.append((i, " ".join(words)))
+        if rng.random() < 0.7:
+            labels.append((i, int(bad)))
+    train = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    hashed = lambda x: {int(v) for v in toxicity.feature_ids(pa.array([x]))[0]}
+    assert all(len(hashed(t)) == len(plain_features(t)) for _, t in docs[:50])
+    toxic = {i for i, y in labels if y and train(i)}
+    rows = [(i, hashed(t)) for i, t in docs if train(i)]
+    prior = len(toxic) / sum(train(i) for i, _ in labels)
+    p, u = collections.Counter(f for i, fs in rows if i in toxic for f in fs), collections.Counter(f for _, fs in rows for f in fs)
+    n_p, n_u = len(toxic), len(rows)
+    lift = {f: (p[f] / n_p - u[f] / n_u) / math.sqrt(p[f] / n_p / n_p + u[f] / n_u / n_u + 1 / n_p**2) for f in p if p[f] >= 4}
+    chosen = sorted((f for f in lift if lift[f] > 2), key=lambda f: (-lift[f], f))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.chosen.tolist() == chosen and len(chosen) >= 4
+    lists = lambda keep: np.array(sorted([chosen.index(f) in range(len(chosen)) and 1 if f in fs else 0 for f in chosen] for i, fs in rows if keep(i)), np.uint8)
+    order = lambda x: x[np.array(sorted(range(len(x)), key=lambda r: np.flatnonzero(x[r]).tolist()))]
+    x, every = order(lists(lambda i: i in toxic)), order(lists(lambda i: True))
+    w, bias = toxicity.nnpu(x, every, prior)
+    assert np.allclose(w, model.weights)
+    zp, zu = x @ w + bias, every @ w + bias
+    risks = {c: prior * (zp < c).mean() + max(0.0, (zu >= c).mean() - prior * (zp >= c).mean()) for c in [*(np.unique(zu) + 0.02), zu.min() - 1]}
+    cut = bias - model.bias
+    assert prior * (zp < cut).mean() + max(0.0, (zu >= cut).mean() - prior * (zp >= cut).mean()) <= min(risks.values()) + 2e-4
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert all(scores[i] == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(model.weights[chosen.index(f)] for f in hashed(t) if f in chosen))))) for i, t in docs)
+
+
+def plain_statistics(text):
+    """The statistics of the quality classifier of one text, in plain Python."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    plain = re.findall(rb"(?:[A-Za-z0-9]|[\x80-\xff])+", raw)
+    pairs = list(zip(plain, plain[1:], strict=False))
+    n, k, m = len(raw), max(len(words), 1), max(len(plain), 1)
+    among = lambda keep: sum(map(keep, raw))
+    letters = max(among(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128), 1)
+    most = max(collections.Counter(plain).values(), default=0)
+    variety = lambda d, of: math.log1p(d) / max(math.log1p(of), 1e-9)
+    return [
+        math.log1p(n), math.log1p(len(words)), math.log1p(n / k), math.sqrt(among(lambda b: 65 <= b <= 90) / letters), math.sqrt(among(lambda b: 48 <= b <= 57) / max(n, 1)),
+        math.sqrt(among(lambda b: 33 <= b <= 126 and not chr(b).isalnum() and chr(b) not in ".,;:'\"-?()") / max(n, 1)), math.sqrt(among(lambda b: chr(b) in ".?!;:") / max(n, 1)), math.sqrt(among(lambda b: b >= 128) / max(n, 1)),
+        math.sqrt(raw.count(b"\n") / k), variety(len(set(plain)), m), math.sqrt(most / m), variety(len(set(pairs)), max(m - 1, 1)), math.sqrt(sum(a == b for a, b in pairs) / m),
+        sum(len(w) <= 3 for w in words) / k, sum(len(w) >= 13 for w in words) / k, sum(len(w) == 1 for w in words) / k,
+    ]
+
+
+def test_quality_is_fitted_as_by_hand(spark):
+    """All statistics of whole texts, and the fit from them, against plain versions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text for r in docs] + ["", None, "a a a b", "Ünï cödé!\n\n漢字 x9", "one"]
+    x = quality.statistics(*text_buffers(pa.array(texts)))
+    want = np.array([plain_statistics(t) for t in texts])
+    assert np.allclose(x, want)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r.quality is not None}
+    mine = [i for i, r in enumerate(docs) if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 5]
+    y = np.array([labels[docs[i].doc_id] for i in mine])
+    model = quality.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert np.allclose(model.score(x), quality.Discriminant.fit(want[mine], y).score(want))
+
+
+def test_steps_are_bounded_by_rows():
+    texts = pa.RecordBatch.from_arrays([pa.array(["a b c d"] * 70_000)], ["text"])
+    sizes = [b.num_rows for b in steps(texts, "text")]
+    assert sum(sizes) == 70_000 and max(sizes) <= 1 << 15
+    assert len(np.unique(np.concatenate([quality.statistics(*text_buffers(b.column("text"))) for b in steps(texts, "text")]), axis=0)) == 1
+
+
 def test_spans_are_hashed_like_their_bytes():
     texts = ["", "ab cd ab", "cd  ab\n", None, "zz ab", "é ab é"]
     data, offsets = text_buffers(pa.array(texts))
