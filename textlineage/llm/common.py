@@ -302,25 +302,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 def task_sums(rows: DataFrame, n: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
     """n counters that `add` fills from the batches of every task, added up.
 
-    A task sends its counters as one row; those rows are added in as many tasks as there are shuffle partitions and then in one, so the driver gets
-    one row, and the shuffle holds 8 n bytes a task.
+    A task sends its counters in slices, and a task a slice adds them up, so none holds more than its slice of each and the driver gets 8 n bytes.
     """
+    slices = max(1, min(partitions(rows), n >> 12))
+    cuts = np.linspace(0, n, slices + 1).astype(int)
+
+    def sent(sums: np.ndarray) -> pa.RecordBatch:
+        some = [i for i in range(slices) if sums[cuts[i] : cuts[i + 1]].any()]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([sums[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())], ["slice", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(n, np.int64)
         for b in batches:
             add(b, sums)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+        yield sent(sums)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(n, np.int64)
         for b in batches:
-            for x in b.column("sums"):
-                sums += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
-
-    out = rows.mapInArrow(run, "sums binary").repartition(partitions(rows)).mapInArrow(total, "sums binary").repartition(1).mapInArrow(total, "sums binary").collect()
-    return np.frombuffer(out[0].sums, np.int64).copy()
+            for i, x in zip(b.column("slice").to_pylist(), b.column("sums"), strict=True):
+                sums[cuts[i] : cuts[i + 1]] += np.frombuffer(x.as_py(), np.int64)
+        yield sent(sums)
+
+    layout = "slice int, sums binary"
+    out = np.zeros(n, np.int64)
+    for r in rows.mapInArrow(run, layout).repartitionById(slices, F.col("slice")).mapInArrow(total, layout).collect():
+        out[cuts[r.slice] : cuts[r.slice + 1]] += np.frombuffer(r.sums, np.int64)
+    return out
 
 
 # --- groups that stream ----------------------------------------------------------------------------

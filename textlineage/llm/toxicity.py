@@ -135,30 +135,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive:
     rows = docs.select("doc_id", "text").filter(fold(F.col("doc_id"), 5) != 0)
     positives = rows.join(F.broadcast(toxic), "doc_id").select("text")
 
-    def documents_with(wanted: np.ndarray | None):
-        """Adds up the documents with each feature, or each wanted one, and at the end the documents."""
-        place = np.arange(1 << BITS)
-        if wanted is not None:
-            place = np.full(1 << BITS, -1)
-            place[wanted] = np.arange(len(wanted))
-
-        def add(batch: pa.RecordBatch, sums: np.ndarray) -> None:
-            n = len(sums) - 1
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Positives with each feature, added up in the task; -1 counts them all."""
+        for batch in batches:
             for b in steps(batch, "text"):
                 ids, owner = feature_ids(b.column("text"))
-                at = place[ids]
-                key = np.unique(owner[at >= 0] * n + at[at >= 0])
-                sums[:n] += np.bincount(key % n, minlength=n)
-                sums[n] += b.num_rows
-
-        return add
+                found, n = np.unique(np.unique(owner * (1 << BITS) + ids) & ((1 << BITS) - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(n, b.num_rows))], ["f", "p"])
 
-    p = task_sums(positives, (1 << BITS) + 1, documents_with(None))
-    f, n_p = np.flatnonzero(p[:-1] >= least), p[-1]
-    if not len(f):
+    got = fetch(positives.mapInArrow(features_of, "f long, p long").groupBy("f").agg(F.sum("p").alias("p")).filter((F.col("p") >= least) | (F.col("f") == -1))).sort_by("f")
+    f, p = got["f"].to_numpy(), got["p"].to_numpy()
+    if len(f) < 2:
         return nothing
-    u = task_sums(rows.select("text"), len(f) + 1, documents_with(f))
-    n_u, p, u = max(u[-1], 1), p[f], u[:-1]
+    n_p, f, p = p[0], f[1:], p[1:]
+
+    places: list[np.ndarray] = []
+
+    def add(batch: pa.RecordBatch, sums: np.ndarray) -> None:
+        """Documents with each of those features, and at the end all documents."""
+        if not places:  # once a task
+            places.append(np.full(1 << BITS, -1, np.int32))
+            places[0][f] = np.arange(len(f))
+        place = places[0]
+        for b in steps(batch, "text"):
+            ids, owner = feature_ids(b.column("text"))
+            at = place[ids]
+            key = np.unique(owner[at >= 0] * len(f) + at[at >= 0])
+            sums[: len(f)] += np.bincount(key % len(f), minlength=len(f))
+            sums[len(f)] += b.num_rows
+
+    u = task_sums(rows.select("text"), len(f) + 1, add)
+    n_u, u = max(u[-1], 1), u[:-1]
     # Lift with a margin for chance: difference of shares over its standard error.
     a, b = p / n_p, u / n_u
     z = (a - b) / np.sqrt(a / n_p + b / n_u + 1 / n_p**2)
@@ -195,8 +202,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive:
     model = Model(chosen, w, bias)
     width = int(2 * LIMIT / BIN)
 
+    lookups: list[np.ndarray] = []
+
     def add_scores(batch: pa.RecordBatch, sums: np.ndarray) -> None:
-        lookup = model.table()
+        if not lookups:
+            lookups.append(model.table())
+        lookup = lookups[0]
         for b in steps(batch, "text"):
             sums += np.bincount(bins(model.logit(pc.fill_null(b.column("text"), ""), lookup)), minlength=width)
 
