@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from textlineage.llm.common import cut, fetch
 
 SEQUENCE = 2048
-#: Items that one task ranks.
-SALT_ROWS = 100_000
+#: Least number of items that one task ranks, and most salts that the lengths have together beside one each.
+SALT_ROWS, SALTS = 500, 50_000
 
 # --- the program ---------------------------------------------------------------------------------
 
@@ -219,7 +219,7 @@ def pack(items: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     """items with sequence_id and offset: `length` tokens each, 1 to capacity, in few sequences without gaps.
 
     Full items are sequences of their own, numbered where they are read. The histogram of the others by length, and then by length and salt, is all that reaches the driver:
-    a length has a salt for each SALT_ROWS rows, so a row each of capacity and of SALT_ROWS items. Items are ranked
+    a length has a salt for each SALT_ROWS rows or, of many items, for each SALTS-th part of them, so that is a row for each length and SALTS more. Items are ranked
     within their length and salt, so that a length that a third of all items have is ranked by many tasks; the rank decides
     sequence and place by a search in the plan. Rows that are equal in all columns are interchangeable. items must be cheap
     to read several times (a cut table). An empty table gives an empty table.
@@ -231,7 +231,7 @@ def pack(items: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     if not len(lengths):
         return full
     salts = np.zeros(capacity, np.int64)
-    salts[lengths] = -(-counts // SALT_ROWS)
+    salts[lengths] = -(-counts // max(SALT_ROWS, -(-int(counts.sum()) // SALTS)))
     first = np.cumsum(salts) - salts  # place of each length's first salt
     row = F.xxhash64(*[F.col(c) for c in items.columns])
     salted = rest.withColumn("_salt", F.pmod(row, F.get(F.array(*[F.lit(int(k)) for k in salts]), F.col("length").cast("int"))).cast("int"))
