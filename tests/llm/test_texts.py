@@ -250,6 +250,53 @@ def test_model_is_normalised_and_beats_the_base(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.96
 
 
+def test_scores_are_the_plain_sums(spark):
+    """Every token's probability by the model's table, its share of a rare class and the weights of its context, in plain Python."""
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{int(rng.zipf(1.3)) % 400}" for _ in range(int(rng.integers(0, 60)))) for i in range(300)}
+    texts[300], texts[301], texts[302] = texts[7], texts[8], None
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model, tail = bilinear.fit(docs)
+    rows = {r.doc_id: r for r in bilinear.score(docs, model, tail).collect()}
+    table = model.table.astype(np.float64)
+    train = {i for i in texts if zlib.crc32(str(i).encode()) % 10}
+    words = {i: (t or "").split() for i, t in texts.items()}
+    c = collections.Counter(w for i in train for w in words[i])
+    hashed = lambda w: span_hashes(np.frombuffer(w.encode(), np.uint8), np.zeros(1, int), np.array([len(w)]))[0]
+    rare = lambda w: bilinear.tokens(pa.RecordBatch.from_arrays([pa.array([w])], ["text"]))[1]
+    cls = {w: int(model.classes(hashed(w), rare(w))[0]) for ws in words.values() for w in ws}
+    sampled = lambda a, b: len(bilinear.two_words(np.concatenate([hashed(a), hashed(b)]), np.array([0, 2]))[0])
+    steps_of = {i: [(ws[j - 2], ws[j - 1], cls[ws[j]] if j < len(ws) else 0) for j in range(2, len(ws) + 1) if sampled(ws[j - 2], ws[j - 1])] for i, ws in words.items()}
+    big, small = collections.Counter(x[:2] for i in train for x in steps_of[i]), collections.Counter(x for i in train for x in steps_of[i])
+    assert sum(map(len, steps_of.values())) > 100
+    for i, ws in words.items():
+        order = [0, *(cls[w] for w in ws), 0]
+        want = sum(table[a, b] for a, b in zip(order, order[1:], strict=False))
+        want += sum(math.log10(c[w] + 0.1) - model.rare_norm[cls[w] - 1 - len(model.frequent)] for w in ws if cls[w] > len(model.frequent))
+        own = collections.Counter(steps_of[i]), collections.Counter(x[:2] for x in steps_of[i])
+        memory = 0.0
+        for a, b, k in steps_of[i]:
+            p = 10 ** table[cls[b], k]
+            want += math.log10((small[a, b, k] / p + bilinear.DIRECT) / (big[a, b] + bilinear.DIRECT))
+            mine = (own[0][a, b, k], own[1][a, b]) if i in train else (0, 0)
+            memory += math.log10(((small[a, b, k] - mine[0]) / p + bilinear.DIRECT) / (big[a, b] - mine[1] + bilinear.DIRECT))
+        assert rows[i].score == pytest.approx(want, rel=1e-3, abs=2e-3)
+        assert rows[i].memory == pytest.approx(memory / max(len(steps_of[i]), 1), abs=2e-3)
+    assert rows[300].score == pytest.approx(rows[7].score)
+
+
+def test_texts_that_occur_elsewhere_are_told_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r.memory for r in bilinear.score_documents(docs).collect()}
+    texts = collections.defaultdict(list)
+    for r in docs.collect():
+        texts[r.text].append(r.doc_id)
+    once = [rows[ids[0]] for t, ids in texts.items() if len(ids) == 1 and t]  # near copies of others among them
+    known = lambda ids, i: any(j != i and zlib.crc32(str(j).encode()) % 10 for j in ids)
+    twice = [rows[i] for t, ids in texts.items() if len(ids) == 2 and len(t) > 600 for i in ids if known(ids, i)]
+    assert np.mean(np.array(twice) > np.quantile(once, 0.85)) >= 0.8
+
+
 def test_embedded_words_follow_the_corpus(spark):
     """Every word from the threshold on has vectors of its own, which tell it from the words of its class."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
