@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +54,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "made", None) is not None:
+        _scratch.made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes, at its end, the tables that were cut within it, but those that the function it gives was called with."""
+    outer, _scratch.made, kept = getattr(_scratch, "made", None), [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._cut_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made, _scratch.made = _scratch.made, outer
+        for path in made:
+            if path not in kept:
+                remove(spark, path)
+        if outer is not None:
+            outer += kept
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables that `cut` returned and nothing reads any more."""
     for t in tables:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import BASE, U64, block_pairs, chain, components, cut, drop, join_split, mix, partitions, roots, span_hashes, steps, text_buffers, text_words, whole_groups
+from textlineage.llm.common import BASE, U64, block_pairs, chain, components, cut, join_split, mix, partitions, roots, scratch, span_hashes, steps, text_buffers, text_words, whole_groups
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Tries of the forest and labels of a signature in each: one byte a label, so a signature is one sorted 64-bit number a trie.
@@ -298,21 +298,21 @@ def linked_nodes(docs: DataFrame, trees: int = TREES, recall: float = RECALL) ->
 
     dealt = need.join(sets, "uid").select(*order, "copies", "shingles").repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "uid")
     links = cut(dealt.mapInArrow(verify, "uid long, links long, root long"), "jaccard-links")
-    drop(need)
     return signed, nodes, links
 
 
 def classified(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """One row per document of (doc_id, text, others): doc_id, node, check, n and the others; root, class_id, copies and links of its node, null without words."""
-    signed, nodes, links = linked_nodes(docs.filter("doc_id is not null"), trees, recall)
-    found = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
-    sums = links.groupBy("uid").agg(F.sum("links").alias("links"))
-    linked = cut(found.join(nodes.select("uid", "node", "check", "rep", "copies"), "uid").join(sums, "uid"), "jaccard-linked")
-    lowest = cut(linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("m")), "jaccard-classes")
-    classes = join_split(linked, lowest, ["root"], "m", linked.count()).select("node", "check", "uid", "root", "class_id", "copies", "links")
-    alone = nodes.join(linked.select("uid"), "uid", "left_anti").select("node", "check", "uid", F.col("uid").alias("root"), F.col("rep").alias("class_id"), "copies", F.lit(0).cast("long").alias("links"))
-    classes = cut(classes.unionByName(alone).drop("uid"), "jaccard-nodes-classed")
-    drop(links, linked, lowest, nodes)
+    with scratch(docs.sparkSession) as keep:
+        signed, nodes, links = linked_nodes(docs.filter("doc_id is not null"), trees, recall)
+        found = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
+        sums = links.groupBy("uid").agg(F.sum("links").alias("links"))
+        linked = cut(found.join(nodes.select("uid", "node", "check", "rep", "copies"), "uid").join(sums, "uid"), "jaccard-linked")
+        lowest = cut(linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("m")), "jaccard-classes")
+        classes = join_split(linked, lowest, ["root"], "m", linked.count()).select("node", "check", "uid", "root", "class_id", "copies", "links")
+        alone = nodes.join(linked.select("uid"), "uid", "left_anti").select("node", "check", "uid", F.col("uid").alias("root"), F.col("rep").alias("class_id"), "copies", F.lit(0).cast("long").alias("links"))
+        classes = keep(cut(classes.unionByName(alone).drop("uid"), "jaccard-nodes-classed"))
+        keep(signed)
     signed = signed.drop("keys")
     wordless = signed.filter("n = 0").select("*", *[F.lit(None).cast("long").alias(c) for c in ("root", "class_id", "copies", "links")])
     return join_split(signed.filter("n > 0"), classes, ["node", "check"], "copies", signed.count()).unionByName(wordless)
@@ -360,8 +360,9 @@ def shared_shingles(docs: DataFrame, share: float) -> DataFrame:
 def audit(docs: DataFrame, most: int = 2_000, trees: int = TREES, recall: float = RECALL) -> tuple[int, int]:
     """(links, found) of the nodes of a hashed sample of about `most` documents: linked documents by an exact join with all rows, and those
     that the forest finds."""
-    exact = shared_shingles(docs, min(1.0, most / max(docs.count(), 1))).filter("links").groupBy("a", "ca").agg(F.sum("copies").alias("want"))
-    _, nodes, links = linked_nodes(docs.filter("doc_id is not null").select("doc_id", "text"), trees, recall)
-    got = links.groupBy("uid").agg(F.sum("links").alias("got")).join(nodes.select("uid", F.col("node").alias("a"), F.col("check").alias("ca")), "uid")
-    sums = exact.join(got, ["a", "ca"], "left").agg(F.sum("want").alias("want"), F.sum("got").alias("got")).first()
+    with scratch(docs.sparkSession):
+        exact = shared_shingles(docs, min(1.0, most / max(docs.count(), 1))).filter("links").groupBy("a", "ca").agg(F.sum("copies").alias("want"))
+        _, nodes, links = linked_nodes(docs.filter("doc_id is not null").select("doc_id", "text"), trees, recall)
+        got = links.groupBy("uid").agg(F.sum("links").alias("got")).join(nodes.select("uid", F.col("node").alias("a"), F.col("check").alias("ca")), "uid")
+        sums = exact.join(got, ["a", "ca"], "left").agg(F.sum("want").alias("want"), F.sum("got").alias("got")).first()
     return sums.want or 0, sums.got or 0

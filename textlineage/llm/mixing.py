@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import cut
+from textlineage.llm.common import cut, scratch
 
 #: A source's blocks are summed in 2 ** SLICE_BITS slices.
 SLICE_BITS = 12
@@ -78,7 +78,8 @@ def quotas(rows: DataFrame, p: Mix) -> DataFrame:
     sums = cut(rows.groupBy("_s").agg(F.count("*").alias("docs"), F.sum("_t").alias("tokens")), "mix-sources")
     live = sums.filter("tokens > 0")
     if live.isEmpty():
-        return sums.select("_s", "docs", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("repeats"), F.lit(1).alias("whole"), F.lit(1).cast("long").alias("blocks"), F.lit(None).cast("long").alias("cut_order"), F.lit(None).cast("long").alias("cut_hash"))
+        alike = [F.lit(0.0).alias("weight"), F.lit(1.0).alias("repeats"), F.lit(1).alias("whole"), F.lit(1).cast("long").alias("blocks"), F.lit(None).cast("long").alias("cut_order"), F.lit(None).cast("long").alias("cut_hash")]
+        return cut(sums.select("_s", "docs", "tokens", *alike), "mix-quotas")
     a = exponent(live, p)
     top = live.agg(F.max("tokens").alias("t")).first().t
     power = F.exp(F.lit(a) * F.log(F.col("tokens") / F.lit(float(top))))
@@ -131,7 +132,8 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", source_col: str
     decision is a comparison with the source's row of quotas. copies_only: only the columns of docs.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_s")
-    q = quotas(cut(docs.select(source, F.col(id_col).alias("_id"), (words(F.col("text")) if tokens is None else tokens).alias("_t")), "mix-rows"), p)
+    with scratch(docs.sparkSession) as keep:
+        q = keep(quotas(cut(docs.select(source, F.col(id_col).alias("_id"), (words(F.col("text")) if tokens is None else tokens).alias("_t")), "mix-rows"), p))
     # Rows travel as one struct, so that no column of docs can clash with those of the plan.
     out = docs.select(source, F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     out = out.join(q.select("_s", "weight", "repeats", "whole", "blocks", "cut_order", "cut_hash"), "_s")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import block_pairs, components, cut, drop, fetch, group_starts, join_split, partitions, roots, whole_groups
+from textlineage.llm.common import block_pairs, components, cut, drop, fetch, group_starts, join_split, partitions, roots, scratch, whole_groups
 
 THRESHOLD = 0.95
 #: Vectors that a cell owns on average, and cells that a vector stands in.
@@ -272,18 +272,18 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     good = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     ids = vectors.select("vec_id", F.when(good, F.xxhash64(e)).alias("h1"), F.when(good, F.xxhash64(F.lit(1), F.reverse(e))).alias("h2"), F.when(good, e).alias("embedding"))
     ids = ids.withColumn("vec_id", F.col("vec_id").cast("long"))
-    nodes = ids.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    nodes = cut(nodes.withColumns({"d": F.size("embedding"), "node": F.monotonically_increasing_id()}), "vector-nodes")
-    links = node_links(nodes)
-    found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    linked = cut(found.join(nodes.select("node", "h1", "h2", "rep", "copies"), "node"), "vectors-linked")
-    lowest = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")), "vector-classes")
-    rooted = join_split(linked, lowest, ["root"], "m", linked.count())
-    sums = links.groupBy("node").agg(F.sum("links").alias("n"))
-    known = rooted.join(sums, "node", "left").select("h1", "h2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    alone = nodes.join(linked.select("node"), "node", "left_anti").select("h1", "h2", "copies", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("component_id"))
-    known = cut(known.unionByName(alone), "vectors-known")
-    drop(nodes, links, linked, lowest)
+    with scratch(vectors.sparkSession) as keep:
+        nodes = ids.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+        nodes = cut(nodes.withColumns({"d": F.size("embedding"), "node": F.monotonically_increasing_id()}), "vector-nodes")
+        links = node_links(nodes)
+        found = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        linked = cut(found.join(nodes.select("node", "h1", "h2", "rep", "copies"), "node"), "vectors-linked")
+        lowest = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")), "vector-classes")
+        rooted = join_split(linked, lowest, ["root"], "m", linked.count())
+        sums = links.groupBy("node").agg(F.sum("links").alias("n"))
+        known = rooted.join(sums, "node", "left").select("h1", "h2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+        alone = nodes.join(linked.select("node"), "node", "left_anti").select("h1", "h2", "copies", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+        known = keep(cut(known.unionByName(alone), "vectors-known"))
     rows = ids.select("vec_id", "h1", "h2")
     useless = rows.filter("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = join_split(rows.filter("h1 is not null"), known, ["h1", "h2"], "copies", known.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import cut
+from textlineage.llm.common import cut, drop
 
 #: Fields of each known function: name -> {field: (JSON type, required)}. A chat's own turns are calls of "reply".
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {"reply": {"prompt": ("STRING", True)}}
@@ -54,7 +54,8 @@ def chains(edges: DataFrame) -> DataFrame:
         up = e.select(*[F.col(c).alias(f"_{c}") for c in e.columns])
         j = e.join(up, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & F.col("up_turn").eqNullSafe(F.col("_turn")) & (F.col("up_place") == F.col("_place")), "left")
         found = F.col("_place").isNotNull()
-        e = cut(j.select("conv_id", "turn", "place", F.col("_up_turn").alias("up_turn"), F.col("_up_place").alias("up_place"), F.greatest("level", "_level").alias("level"), F.when(found, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth")), "call-edges")
+        before, e = e, cut(j.select("conv_id", "turn", "place", F.col("_up_turn").alias("up_turn"), F.col("_up_place").alias("up_place"), F.greatest("level", "_level").alias("level"), F.when(found, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth")), "call-edges")
+        drop(before)
         if e.filter("up_place is not null").isEmpty():
             break
     cyclic = F.col("up_place").isNotNull()
