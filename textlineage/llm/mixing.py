@@ -129,7 +129,8 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", source_col: str
     Sorting by mix_key (0 to 1) interleaves the sources in the target proportions: within an epoch blocks come in a
     hashed order, a block's documents near each other. A null source is the source ""; a text without words has no tokens, costs nothing and comes
     with its source's whole epochs; columns of docs named as the results give way to them. With budget None no document is dropped. Texts are not shuffled: the
-    decision is a comparison with the source's row of quotas. copies_only: only the columns of docs.
+    decision is a comparison with the source's row of quotas. Rows that repeat an id, null ids too, go in together if all fit or stay out; texts of any length
+    count with all their words. An empty table gives an empty table. copies_only: only the columns of docs.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_s")
     with scratch(docs.sparkSession) as keep:

@@ -110,7 +110,8 @@ def assign(keys: DataFrame, key: str, shards: int = 8, vnodes: int = 256, slices
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Digest of documents (doc_id, size, text_crc32) with law, shard, slot and grown_shard.
 
-    A null text has no bytes: size 1, crc32 0.
+    A null text has no bytes: size 1, crc32 0; a text of any length is one key's. Rows that repeat a doc_id stand at one place, and those equal in size and
+    text too are interchangeable; a null doc_id has a place by the text. An empty table gives an empty table; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
