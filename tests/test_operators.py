@@ -66,6 +66,18 @@ def test_similarity_joins_by_year_and_term(spark, m1):
     assert any("yr_y" in line and "term_id" in line and line.count(" = ") >= 2 for line in plan.splitlines() if "Join Inner" in line)
 
 
+def test_counts_are_added_up_before_the_shuffle(spark):
+    rows = spark.createDataFrame([("a", 2000, "x", 1)], "id string, yr int, term string, tf long")
+    plan = vocab.term_df_year(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("count(1)") < plan.index("Exchange") < plan.index("partial_count(1)")  # the last step stands first
+
+
+def test_years_run_in_order(spark):
+    years = spark.createDataFrame([(2003,), (2001,), (2009,), (2002,)], "yr int")
+    got = [tuple(r) for r in pairs.year_pairs(years, 2).orderBy("yr_x", "yr_y").collect()]
+    assert got == [(2001, 2002), (2001, 2003), (2002, 2003)] and pairs.year_pairs(years, 0).count() == 0
+
+
 def test_sides_give_scores_and_meta(m1):
     sides = pairs.pair_sides(m1.sims, m1.s.similarity_threshold)
     flat = lambda df: {(r.id, round(r.bs, 12), round(r.fs, 12)) for r in df.collect()}
