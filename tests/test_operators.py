@@ -1,6 +1,8 @@
 """Hand-computed fixture and invariants of the lineage."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from textlineage.config import Settings
 from textlineage.operators import pairs, prune, stats, vocab
 from textlineage.plans.lineage import Lineage, single_year
@@ -11,7 +13,7 @@ M1 = [("d1", 2010, "a b"), ("d2", 2010, "a c"), ("d3", 2011, "a b d"), ("d4", 20
 @pytest.fixture(scope="module")
 def m1(spark):
     tokens = spark.createDataFrame([(i, y, i, t.split()) for i, y, t in M1], "id string, yr int, title string, tokens array<string>")
-    return Lineage(tokens, Settings(min_term_count=1, max_doc_freq_ratio=0.9, window_size=2, use_filtered_vectors=False))
+    return Lineage(tokens, Settings(min_term_count=1, max_doc_freq_ratio=0.9, window_size=2, use_filtered_vectors=False), keep=True)
 
 
 def test_fixture_vectors(m1):
@@ -45,22 +47,71 @@ def test_threshold_is_inclusive(spark):
     v = spark.createDataFrame([("a", 2000, 0, 0.5), ("b", 2001, 0, 0.1), ("c", 2006, 0, 1.0)], "id string, yr int, term_id int, w double")
     sims = pairs.pair_similarity(v, 5)
     assert {(r.id_x, r.id_y) for r in pairs.hits(sims, 0.05).collect()} == {("a", "b"), ("b", "c")}  # a and c are 6 years apart
-    assert pairs.prefix_similarity(v, 5, 0.05).count() == 2
+    assert pairs.hits(pairs.prefix_similarity(v, 5, 0.05), 0.05).count() == pairs.hits(pairs.bounded_similarity(v, 5, 0.05), 0.05).count() == 2
 
 
-def test_prefixes_hold_with_weights_of_any_sign(spark):
-    """Rare terms of negative weight on both sides make hits, as do frequent ones."""
+def signed(spark, seed=4):
     import random
 
-    rng = random.Random(4)
-    rows = [(f"d{i}", 2000 + i % 4, t, rng.uniform(-1, 1)) for i in range(40) for t in rng.sample(range(12), 5)]
-    v = spark.createDataFrame([*rows, ("p", 2000, 90, -0.9), ("q", 2001, 90, -0.8)], "id string, yr int, term_id int, w double")
+    rng = random.Random(seed)
+    rows = [(f"d{i}", 2000 + i % 4, t, rng.choice([rng.uniform(-1, 1), rng.uniform(0, 0.1)])) for i in range(40) for t in rng.sample(range(12), 5)]
+    return spark.createDataFrame([*rows, ("p", 2000, 90, -0.9), ("q", 2001, 90, -0.8), ("z", 2002, 90, 0.0)], "id string, yr int, term_id int, w double").cache()
+
+
+@pytest.mark.parametrize("join", [pairs.prefix_similarity, pairs.bounded_similarity])
+def test_bounds_hold_with_weights_of_any_sign(spark, join):
+    """Rare terms of negative weight on both sides make hits, as do frequent ones."""
+    v = signed(spark)
     for threshold in (0.05, 0.5, 0.0):
         want = {(r.id_x, r.id_y, round(r.sim, 9)) for r in pairs.hits(pairs.pair_similarity(v, 2), threshold).collect()}
-        got = {(r.id_x, r.id_y, round(r.sim, 9)) for r in pairs.prefix_similarity(v, 2, threshold).collect()}
+        got = {(r.id_x, r.id_y, round(r.sim, 9)) for r in pairs.hits(join(v, 2, threshold), threshold).collect()}
         assert got == want and ("p", "q", 0.72) in got
 
 
+def test_bounded_join_computes_fewer_products(spark):
+    """Every candidate stays in the count, with its products, though a bound drops it; sides of hits are the same under each strategy."""
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(120):
+        w = {t: rng.random() ** 4 for t in rng.sample(range(40), 12)}
+        norm = sum(x * x for x in w.values()) ** 0.5
+        rows += [(f"d{i}", 2000 + i % 5, t, x / norm) for t, x in w.items()]
+    v = spark.createDataFrame(rows, "id string, yr int, term_id int, w double").cache()
+    native, bounded = pairs.pair_similarity(v, 5).cache(), pairs.bounded_similarity(v, 5, 0.6).cache()
+    key = lambda df: {(r.id_x, r.id_y): round(r.sim, 9) for r in pairs.hits(df, 0.6).collect()}
+    assert key(native) == key(bounded) and len(key(native)) > 50
+    count = lambda df: df.agg(F.sum("n_terms").alias("n"), F.count("*").alias("pairs"), F.count("sim").alias("verified")).first()
+    all_, some = count(native), count(bounded)
+    assert some.n < 0.5 * all_.n and some.verified < some.pairs < all_.pairs
+    flat = lambda sims: {(r.yr_x, r.yr_y, r.side, r.id): (round(r.contrib, 9), r.hits) for r in pairs.pair_sides(sims, 0.6).filter("hits > 0").collect()}
+    assert flat(native) == flat(bounded) == flat(pairs.prefix_similarity(v, 5, 0.6))
+    touched = {r.side: r.n for r in pairs.pair_sides(bounded, 0.6).groupBy("side").agg(F.sum("touched").alias("n")).collect()}
+    assert touched == {"x": some.pairs, "y": some.pairs}
+
+
+def test_heavy_terms_are_split_by_their_products(spark):
+    """100,000 documents of a year share a term with 3,000 of a later one, and with 2 of another: no key has more than a task's products, and nothing is lost."""
+    x = spark.range(100_000).select(F.concat(F.lit("x"), "id").alias("id_x"), F.lit(2000).alias("yr_x"), F.lit(7).alias("term_id"), F.lit(0.5).alias("w_x"))
+    y = spark.range(3_000).select(F.concat(F.lit("y"), "id").alias("id_y"), F.lit(2001).alias("yr_y"), F.lit(7).alias("term_id"), F.lit(0.5).alias("w_y"))
+    y = y.unionByName(y.limit(2).withColumn("yr_y", F.lit(2002)))
+    years = spark.createDataFrame([(2000, 2001), (2000, 2002)], "yr_x int, yr_y int")
+    most = 20_000_000
+    a, b, keys = pairs.split_keys(x.join(years, "yr_x"), y, pairs.KEYS, most)
+    assert len(keys) == 4
+    met = a.groupBy(*keys).agg(F.count("*").alias("nx")).join(b.groupBy(*keys).agg(F.count("*").alias("ny")), keys).select(*keys, (F.col("nx") * F.col("ny")).alias("n")).collect()
+    assert sum(r.n for r in met) == 100_000 * 3_002 and max(r.n for r in met) < 1.1 * most and len(met) >= 16
+    assert pairs.split_keys(x.join(years, "yr_x"), y, pairs.KEYS, 10**9)[2] == pairs.KEYS
+
+
+def test_split_joins_give_the_same_pairs(spark):
+    v = signed(spark, 9)
+    for join in (lambda m: pairs.pair_similarity(v, 2, m), lambda m: pairs.prefix_similarity(v, 2, 0.2, m), lambda m: pairs.bounded_similarity(v, 2, 0.2, m)):
+        flat = lambda df: sorted((r.id_x, r.id_y, r.n_terms, None if r.sim is None else round(r.sim, 9)) for r in df.collect())
+        assert flat(join(3)) == flat(join(10**9)), join
+
+
 def test_similarity_joins_by_year_and_term(spark, m1):
     plan = pairs.pair_similarity(m1.base, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert any("yr_y" in line and "term_id" in line and line.count(" = ") >= 2 for line in plan.splitlines() if "Join Inner" in line)

@@ -144,7 +144,7 @@ def job(tmp_path):
     d.mkdir()
     write(d, "a.csv", [f"{i},{2010 + i % 4},发明授权,锂电池{'材料' * (i % 3)},隔膜{'改性' if i % 2 else '算法'},,,a,b,c,d" for i in range(24)])
     (tmp_path / "prune.txt").write_text("材料\n", "utf-8")
-    return Settings(data_path=str(d), tokenizer="cjk_bigram", min_term_count=1, max_doc_freq_ratio=0.9, df_ratio_threshold=0.95, years_per_write=2, artifacts_dir=str(tmp_path / "out"), final_csv=str(tmp_path / "final"), export_json=True, log_file=str(tmp_path / "run.log"))
+    return Settings(data_path=str(d), tokenizer="cjk_bigram", min_term_count=1, max_doc_freq_ratio=0.9, df_ratio_threshold=0.95, years_per_write=2, artifacts_dir=str(tmp_path / "out"), final_csv=str(tmp_path / "final"), export_json=True, export_csv=True, log_file=str(tmp_path / "run.log"))
 
 
 def test_runner_resumes_by_settings(spark, tmp_path, job):
@@ -160,6 +160,8 @@ def test_runner_resumes_by_settings(spark, tmp_path, job):
     now = stamps()
     assert {k for k in stamp if k.startswith("vectors/")} <= set(now) and not any(k in now for k in stamp if k.startswith("bsfs/"))
     assert spark.read.option("header", True).csv(str(tmp_path / "final")).count() == 24
+    by_year = spark.read.option("header", True).csv(str(tmp_path / "out" / "bsfs_csv"))
+    assert by_year.columns == ["id", "BS", "FS", "yr"] and by_year.count() == 24
     exported = tmp_path / "out" / "json"
     assert {p.name for p in exported.iterdir()} == {"term_df", "global_df", "docs_per_year", "docs_per_year_csv", "pair_list", "vocab"}
     assert sorted((r.yr_x, r.yr_y) for r in spark.read.json(str(exported / "pair_list")).collect()) == [(a, b) for a in range(2010, 2014) for b in range(a + 1, 2014)]
@@ -167,21 +169,106 @@ def test_runner_resumes_by_settings(spark, tmp_path, job):
     assert sorted(map(tuple, artifacts.read_vocab_json(spark, str(exported / "vocab")).collect())) == sorted(map(tuple, spark.read.parquet(f"{s.artifacts_dir}/vocab").select("term", "term_id").collect()))
 
 
-def test_runner_repeats_lost_years_alone(spark, tmp_path, job):
+STAGES = ["tokens", "docs_per_year", "term_df", "vocab", "vectors", "vectors_filtered", "postings", "pairs", "pair_meta", "bsfs", "final"]
+
+
+def test_runner_repeats_what_is_lost_alone(spark, tmp_path, job):
+    """Each stage goes, whole and by one year, then a setting changes as well: the result is the first run's, and what was sound stays as it was."""
+    job = replace(job, export_json=False, final_csv="")
     first = sorted(map(tuple, run_all(spark, job).collect()))
     out = tmp_path / "out"
-    shutil.rmtree(out / "vectors" / "yr=2012")
-    shutil.rmtree(out / "pairs" / "yr_x=2011")
-    stamp = {p: p.stat().st_mtime_ns for t in ("vectors", "pairs") for p in (out / t).rglob("*.parquet")}
-    assert sorted(map(tuple, run_all(spark, job).collect())) == first
-    assert all(p.stat().st_mtime_ns == t for p, t in stamp.items())
-    assert (out / "vectors" / "yr=2012").is_dir() and (out / "pairs" / "yr_x=2011").is_dir()
+    files = lambda: {p: p.stat().st_mtime_ns for p in out.rglob("*.parquet")}
+    for name in STAGES:
+        shutil.rmtree(out / name)
+        stamp = files()
+        assert sorted(map(tuple, run_all(spark, job).collect())) == first, name
+        assert stamp.items() <= files().items(), name
+    lost = [next(iter(sorted((out / name).glob("yr*=2011")))) for name in STAGES if list((out / name).glob("yr*=2011"))]
+    assert len(lost) == 7
+    for folder in lost:
+        shutil.rmtree(folder)
+    stamp = files()
+    other = replace(job, epsilon=1e-7)
+    assert [r[:5] for r in sorted(map(tuple, run_all(spark, other).collect()))] == [r[:5] for r in first]  # all but the ratio
+    now = files()
+    assert all(f.is_dir() for f in lost) and {p: t for p, t in stamp.items() if p.parts[-2] != "final"}.items() <= now.items()
     base = spark.read.parquet(str(out / "vectors_filtered"))
     assert sorted(map(tuple, pairs.entries(artifacts.read_table(spark, str(out / "postings"), 2011)).collect())) == sorted(map(tuple, base.filter("yr = 2011").select("id", "yr", "term_id", "w").collect()))
     meta = spark.read.parquet(str(out / "pair_meta")).collect()
     assert {(r.yr_x, r.yr_y) for r in meta} == {(a, b) for a in range(2010, 2014) for b in range(a + 1, 2014)} and all((r.thr, r.window_size, r.method_version, r.vectors_dir) == (0.05, 5, "v1", "vectors_filtered") for r in meta)
 
 
+def test_runner_finds_damage(spark, tmp_path, job):
+    """A file of a year is lost or cut short, a folder that was never committed is there, a manifest was half written: all as in the first run."""
+    job = replace(job, export_json=False, final_csv="")
+    first = sorted(map(tuple, run_all(spark, job).collect()))
+    out = tmp_path / "out"
+    one = lambda folder: next(p for p in (out / folder).rglob("*.parquet"))
+    one("vectors/yr=2012").unlink()
+    cut = one("bsfs/yr=2013")
+    cut.write_bytes(cut.read_bytes()[:40])
+    one("vocab").unlink()
+    shutil.copytree(out / "pairs" / "yr_x=2011", out / "pairs" / "yr_x=2099")
+    assert sorted(map(tuple, run_all(spark, job).collect())) == first
+    assert not (out / "pairs" / "yr_x=2099").exists()
+    versions = sorted((out / "manifest").glob("*.json"))
+    assert len(versions) == 2
+    (out / "manifest" / f"{int(versions[-1].stem) + 1:08d}.json").write_text('{"tokens": {"key"')  # cut short
+    stamp = {p: p.stat().st_mtime_ns for p in out.rglob("*.parquet")}
+    assert sorted(map(tuple, run_all(spark, job).collect())) == first
+    assert stamp == {p: p.stat().st_mtime_ns for p in out.rglob("*.parquet")}
+
+
+def test_runner_goes_on_after_a_crash(spark, tmp_path, job, monkeypatch):
+    from textlineage.plans import stages
+
+    job = replace(job, export_json=False, final_csv="")
+    write_table, wrote, crashed = artifacts.write_table, [], []
+
+    def failing(df, path, by):
+        wrote.append(path.rpartition("/")[2])
+        write_table(df, path, by)
+        if wrote.count("vectors") == 2 and not crashed:
+            crashed.append(path)
+            raise InterruptedError  # written, not yet marked
+
+    monkeypatch.setattr(stages.artifacts, "write_table", failing)
+    with pytest.raises(InterruptedError):
+        run_all(spark, job)
+    wrote.clear()
+    rows = sorted(map(tuple, run_all(spark, replace(job, years_per_write=1)).collect()))
+    assert wrote.count("vectors") == 2 and not {"tokens", "term_df", "vocab"} & set(wrote)  # two years were marked, two are written again
+    monkeypatch.undo()
+    assert rows == sorted(map(tuple, run_all(spark, replace(job, artifacts_dir=str(tmp_path / "other"))).collect()))
+
+
+def test_runner_sees_that_the_input_changed(spark, tmp_path, job):
+    """A lost year comes back with other rows, so all after it is made anew."""
+    job = replace(job, export_json=False, final_csv="")
+    run_all(spark, job)
+    write(tmp_path / "in", "b.csv", [f"n{i},2013,发明授权,锂电池材料,隔膜,,,a,b,c,d" for i in range(3)])
+    shutil.rmtree(tmp_path / "out" / "tokens" / "yr=2013")
+    got = sorted(map(tuple, run_all(spark, job).collect()))
+    assert len(got) == 27 and got == sorted(map(tuple, run_all(spark, replace(job, artifacts_dir=str(tmp_path / "other"))).collect()))
+
+
+def test_runner_survives_stages_without_rows(spark, tmp_path):
+    """Five documents, one a year: every term is in a fifth of its year at least, so pruning leaves nothing, and all scores are 0. A file of a header alone gives nothing."""
+    d = tmp_path / "five"
+    d.mkdir()
+    write(d, "a.csv", [f"CN{i},{2010 + i},发明授权,锂电池{w},{w}结构,,2010-06-01,a,b,c,d" for i, w in enumerate(["电极", "隔膜", "算法", "冷却", "接口"])])
+    s = Settings(data_path=str(d), tokenizer="cjk_bigram", min_term_count=1, max_doc_freq_ratio=0.9, window_size=2, artifacts_dir=str(tmp_path / "out"), export_json=True, export_csv=True, final_csv=str(tmp_path / "final"))
+    rows = run_all(spark, s).collect()
+    assert len(rows) == 5 and {r[3:6] for r in map(tuple, rows)} == {("0.00000000",) * 3}
+    assert spark.read.option("header", True).csv(str(tmp_path / "final")).count() == 5 and spark.read.option("header", True).csv(str(tmp_path / "out" / "bsfs_csv")).count() == 5
+    assert sorted(map(tuple, run_all(spark, s).collect())) == sorted(map(tuple, rows))
+    empty = tmp_path / "none"
+    empty.mkdir()
+    write(empty, "a.csv", [])
+    none = run_all(spark, replace(s, data_path=str(empty), artifacts_dir=str(tmp_path / "nothing")))
+    assert none.count() == 0 and none.columns[:3] == ["申请号", "申请年份", "专利名称"]
+
+
 def test_pruning_has_a_list_of_its_own(spark, tmp_path, job):
     run_all(spark, job).count()
     words = spark.read.parquet(f"{job.artifacts_dir}/vocab")

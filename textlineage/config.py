@@ -45,6 +45,7 @@ class Settings:
     artifacts_dir: str = "artifacts"
     final_csv: str = field(default="")
     export_json: bool = False
+    export_csv: bool = False
     log_file: str = ""
     #: Years that a stage writes at once: what an interrupted run repeats at most.
     years_per_write: int = 8

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,46 +33,130 @@ def year_pairs(years: DataFrame, window: int) -> DataFrame:
     return ahead.join(years.select(F.col("yr").alias("yr_y")), "yr_y").select("yr_x", "yr_y")
 
 
-def joined(x: DataFrame, y: DataFrame, years: DataFrame) -> DataFrame:
-    """x rows (id_x, yr_x, term_id, ...) with y rows (id_y, yr_y, term_id, ...) of the same term, for the pairs of years given.
+#: Products of a term in one year and those before it that a task computes at most, and terms that are split at most.
+PRODUCTS, MOST_SPLIT = 1 << 26, 100_000
+KEYS = ["yr_y", "term_id"]
 
-    Each x row goes to the years that it is compared with, so year and term are both keys: no row meets a year that isn't wanted, and the key of a
-    frequent term holds one year of it. AQE splits what is still heavy. A row a pair of years is broadcast.
+
+def split_keys(x: DataFrame, y: DataFrame, on: list[str], most: int = PRODUCTS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """x, y and the keys to join them by, so that no key has more than about `most` products.
+
+    The products of each key are counted beforehand, in a job of its own, from the numbers of rows of either side. A key with more is cut into
+    blocks of x and blocks of y by a hash of the document; a row goes to all blocks of the other side. With a total of MOST_SPLIT * most products and more the
+    bound is their share, total / MOST_SPLIT; so fewer than MOST_SPLIT keys are split, and their list is broadcast.
     """
-    return x.join(F.broadcast(years), "yr_x").join(y, ["yr_y", "term_id"])
+    met = x.groupBy(*on).agg(F.count("*").alias("nx")).join(y.groupBy(*on).agg(F.count("*").alias("ny")), on).withColumn("n", F.col("nx") * F.col("ny"))
+    known = met.agg(F.sum(F.col("n").cast("double")).alias("total"), F.max("n").alias("top")).first()
+    limit = max(most, int((known.total or 0) // MOST_SPLIT))
+    if (known.top or 0) <= limit:
+        return x, y, on
+    parts = F.ceil(F.col("n") / F.lit(limit))
+    bx = F.least(parts, F.greatest(F.lit(1), F.ceil(F.sqrt(parts * F.col("nx") / F.col("ny")))))
+    heavy = met.filter(F.col("n") > limit).withColumn("bx", bx).select(*on, "bx", F.ceil(parts / F.col("bx")).alias("by"))
+    own = lambda i, n: F.coalesce(F.pmod(F.xxhash64(i), F.col(n)), F.lit(0))
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)) - 1))
+    cut = lambda df, i, mine, theirs: df.join(F.broadcast(heavy), on, "left").withColumns({f"_{mine}": own(i, mine)}).withColumn(f"_{theirs}", other(theirs)).drop("bx", "by")
+    return cut(x, "id_x", "bx", "by"), cut(y, "id_y", "by", "bx"), [*on, "_bx", "_by"]
+
+
+def joined(x: DataFrame, y: DataFrame, years: DataFrame, most: int = PRODUCTS) -> DataFrame:
+    """Rows of documents that share a term, x in the earlier year of a pair.
+
+    x goes to each year that it is compared with, so the shuffle key is year and term: no pair of years is met that isn't wanted, a key of a
+    frequent term holds one year of it, and one whose products are more than a task's is split by `split_keys`. A row a pair of years is broadcast.
+    """
+    x, y, keys = split_keys(x.join(F.broadcast(years), "yr_x"), y, KEYS, most)
+    return x.join(y, keys)
 
 
-def pair_similarity(vectors: DataFrame, window: int) -> DataFrame:
-    """(yr_x, yr_y, id_x, id_y, n_terms, sim) of every pair that shares a stored term, the earlier document as x."""
+def sides_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = vectors.select(F.col("id").alias("id_x"), F.col("yr").alias("yr_x"), "term_id", F.col("w").alias("w_x"))
-    y = vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), "term_id", F.col("w").alias("w_y"))
-    both = joined(x, y, year_pairs(vectors.select("yr").distinct(), window))
-    return both.groupBy("yr_x", "yr_y", "id_x", "id_y").agg(F.count("*").alias("n_terms"), F.sum(F.col("w_x") * F.col("w_y")).alias("sim"))
+    return x, vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), "term_id", F.col("w").alias("w_y"))
+
+
+PAIR = ["yr_x", "yr_y", "id_x", "id_y"]
+
 
+def summed(products: DataFrame, *more: str) -> DataFrame:
+    return products.groupBy(*PAIR, *more).agg(F.count("*").alias("n_terms"), F.sum(F.col("w_x") * F.col("w_y")).alias("sim"))
 
-def prefix_similarity(vectors: DataFrame, window: int, threshold: float) -> DataFrame:
-    """The hits of pair_similarity by prefix filtering, for a threshold above 0 and weights of any sign.
+
+def pair_similarity(vectors: DataFrame, window: int, most: int = PRODUCTS) -> DataFrame:
+    """(yr_x, yr_y, id_x, id_y, n_terms, sim) of every pair that shares a stored term, the earlier document as x."""
+    x, y = sides_of(vectors)
+    return summed(joined(x, y, year_pairs(vectors.select("yr").distinct(), window), most))
+
+
+def verified(found: DataFrame, vectors: DataFrame, *more: str) -> DataFrame:
+    """(yr_x, yr_y, id_x, id_y, n_terms, sim) of given pairs, over all terms that they share; `more` columns of a pair stay."""
+    x, y = sides_of(vectors)
+    return summed(found.join(x.drop("yr_x"), "id_x").join(y.drop("yr_y"), ["id_y", "term_id"]), *more)
+
+
+def prefix_similarity(vectors: DataFrame, window: int, threshold: float, most: int = PRODUCTS) -> DataFrame:
+    """Candidates of prefix filtering with their similarities, as pair_similarity gives them; all hits are among them, for weights of any sign.
 
     Terms of a document are ordered from rare to frequent. What a term can add to a similarity is at most its weight times the largest or, if the
     weight is negative, the smallest of its term, or nothing. The longest tail whose bounds sum to less than the threshold can't reach it
-    alone, so a hit shares a term of the head. Heads are joined for candidates and those are verified over all terms.
+    alone, so a hit shares a term of the head. Heads are joined for candidates and those are verified over all terms. A threshold that isn't
+    above 0 has every pair that shares a term as candidate.
     """
-    from pyspark.sql import Window
-
     if threshold <= 0:
-        return hits(pair_similarity(vectors, window), threshold)
+        return pair_similarity(vectors, window, most)
     span = vectors.groupBy("term_id").agg(F.max("w").alias("_max"), F.min("w").alias("_min"), F.count("*").alias("_n"))
     bound = F.greatest(F.col("w") * F.col("_max"), F.col("w") * F.col("_min"), F.lit(0.0))
     tail = F.sum(bound).over(Window.partitionBy("id").orderBy(F.col("_n").desc(), "term_id").rowsBetween(Window.unboundedPreceding, 0))
     heads = vectors.join(span, "term_id").withColumn("_tail", tail).filter(F.col("_tail") >= threshold * (1 - 1e-9))
-    x = heads.select(F.col("id").alias("id_x"), F.col("yr").alias("yr_x"), "term_id")
-    y = vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), "term_id")
-    found = joined(x, y, year_pairs(vectors.select("yr").distinct(), window)).select("yr_x", "yr_y", "id_x", "id_y").distinct()
-    left = vectors.select(F.col("id").alias("id_x"), "term_id", F.col("w").alias("w_x"))
-    right = vectors.select(F.col("id").alias("id_y"), "term_id", F.col("w").alias("w_y"))
-    both = found.join(left, "id_x").join(right, ["id_y", "term_id"])
-    sims = both.groupBy("yr_x", "yr_y", "id_x", "id_y").agg(F.count("*").alias("n_terms"), F.sum(F.col("w_x") * F.col("w_y")).alias("sim"))
-    return sims.filter(F.col("sim") >= threshold)
+    x, y = sides_of(heads)[0], sides_of(vectors)[1]
+    found = joined(x, y, year_pairs(vectors.select("yr").distinct(), window), most).select(*PAIR).distinct()
+    return verified(found, vectors)
+
+
+#: Levels of positive weights, each half of the one before, that blocks of an inverted list are made by; negative weights are one more.
+LEVELS = 8
+
+
+def level(w: Column) -> Column:
+    """Block of a weight in its inverted list."""
+    return F.when(w < 0, F.lit(-1)).otherwise(F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.floor(-F.log2(w)).cast("int"))))
+
+
+def bounded_similarity(vectors: DataFrame, window: int, threshold: float, most: int = PRODUCTS) -> DataFrame:
+    """The pairs that the bounded join looks at, as pair_similarity gives them, n_terms being the products computed; sim is null where a bound ruled a pair out.
+    All hits are among them, for weights of any sign.
+
+    An inverted list (year, term) has blocks by levels of weight, with their largest and smallest weights. What a term can add to a document's similarities
+    with a year is its weight times an extreme of the list, or nothing. A document's terms go from the one that can add most down:
+
+    1. The first terms, up to the one from which on the rest together stays below the threshold, meet the lists; of each list only blocks
+       whose extreme, with all that the other terms can add, reaches the threshold, and in them only such rows.
+    2. What a pair has so far and what is left can add decide whether it is dropped.
+    3. Those that stay are verified over all terms that they share.
+    """
+    if threshold <= 0:
+        return pair_similarity(vectors, window, most)
+    least = threshold * (1 - 1e-9)
+    years = year_pairs(vectors.select("yr").distinct(), window)
+    x, y = sides_of(vectors.filter("w <> 0"))
+    y = y.withColumn("level", level(F.col("w_y")))
+    blocks = y.groupBy("yr_y", "term_id", "level").agg(F.max("w_y").alias("hi"), F.min("w_y").alias("lo"))
+    lists = blocks.groupBy("yr_y", "term_id").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.collect_list(F.struct("level", "hi", "lo")).alias("blocks"))  # LEVELS + 1 at most
+    can = lambda hi, lo: F.greatest(F.col("w_x") * hi, F.col("w_x") * lo, F.lit(0.0))
+    terms = x.join(F.broadcast(years), "yr_x").join(lists, KEYS).withColumn("bound", can(F.col("hi"), F.col("lo")))
+    one = Window.partitionBy("id_x", "yr_y")
+    order = one.orderBy(F.col("bound").desc(), "term_id")
+    terms = terms.withColumns({"total": F.sum("bound").over(one), "onward": F.sum("bound").over(order.rowsBetween(0, Window.unboundedFollowing))})
+    terms = terms.withColumn("rest", F.sum(F.when(F.col("onward") < least, F.col("bound")).otherwise(0.0)).over(one)).filter(F.col("onward") >= least)
+    reach = F.filter("blocks", lambda b: can(b["hi"], b["lo"]) + F.col("total") - F.col("bound") >= least)
+    heads = terms.select("id_x", "yr_x", "yr_y", "term_id", "w_x", "rest", (F.col("total") - F.col("bound")).alias("others"), F.explode(reach).alias("b"))
+    heads = heads.withColumn("level", F.col("b.level")).drop("b")
+    heads, y, keys = split_keys(heads, y, [*KEYS, "level"], most)
+    met = heads.join(y, keys).filter(F.col("w_x") * F.col("w_y") + F.col("others") >= least)
+    seen = met.groupBy(*PAIR).agg(F.count("*").alias("n"), F.sum(F.col("w_x") * F.col("w_y")).alias("has"), F.max("rest").alias("rest"))
+    stays = F.col("has") + F.col("rest") >= least
+    kept = verified(seen.filter(stays).select(*PAIR, "n"), vectors, "n")
+    dropped = seen.filter(~stays).select(*PAIR, F.col("n").alias("n_terms"), F.lit(None).cast("double").alias("sim"))
+    return kept.withColumn("n_terms", F.col("n_terms") + F.col("n")).select(*dropped.columns).unionByName(dropped)
 
 
 def hits(sims: DataFrame, threshold: float) -> DataFrame:
@@ -86,8 +170,8 @@ def contributions(found: DataFrame, side: str) -> DataFrame:
 
 def pair_sides(sims: DataFrame, threshold: float) -> DataFrame:
     """(yr_x, yr_y, side, id, contrib, hits, touched, ops): of each document of either side its hit similarities, hits, candidates and
-    products. One pass over the pairs serves scores, meta and diagnostics."""
-    hit = F.col("sim") >= threshold
+    products, as the pair strategy had them. One pass over the pairs serves scores, meta and diagnostics."""
+    hit = F.coalesce(F.col("sim") >= threshold, F.lit(False))
     side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"id_{name}").alias("id"))
     rows = sims.select("yr_x", "yr_y", "n_terms", hit.alias("hit"), F.when(hit, F.col("sim")).otherwise(F.lit(0.0)).alias("s"), F.inline(F.array(side("x"), side("y"))))
     return rows.groupBy("yr_x", "yr_y", "side", "id").agg(F.sum("s").alias("contrib"), F.count_if("hit").alias("hits"), F.count("*").alias("touched"), F.sum("n_terms").alias("ops"))
@@ -127,8 +211,6 @@ def pair_diagnostics(sides: DataFrame, docs: DataFrame, pairs: DataFrame) -> Dat
 def bounded_terms(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     """(yr_x, yr_y, id, term_id, w, k, n, total, remain): each document's terms by what they can add to a similarity with a document of the
     other year, the most first (ties by term), and what the terms after it can add together."""
-    from pyspark.sql import Window
-
     top = posting_max(vectors).select(F.col("yr").alias("yr_y"), "term_id", "max_w")
     x = vectors.select("id", F.col("yr").alias("yr_x"), "term_id", "w").join(F.broadcast(pairs), "yr_x").join(top, ["yr_y", "term_id"], "left")
     x = x.withColumn("bound", F.round(F.col("w") * F.coalesce("max_w", F.lit(0.0)), 12))
@@ -144,8 +226,6 @@ def pair_bounds(vectors: DataFrame, docs: DataFrame, pairs: DataFrame, threshold
 
     A candidate is ruled out if, after some term from its first shared one on, what it has and what is left are below the threshold.
     """
-    from pyspark.sql import Window
-
     terms = bounded_terms(vectors, pairs)
     # What is left falls while bounds are positive, so it is above 0 for the first terms only.
     terms = terms.withColumn("above", F.sum((F.col("remain") > 0).cast("long")).over(Window.partitionBy("yr_x", "yr_y", "id")))

@@ -53,8 +53,7 @@ MOST_BROADCAST = 500_000
 
 
 def checked_small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows, counted first; kept for its one further use."""
-    df = df.persist()  # Lineage.release, or clearing the cache, ends it
+    """df with a broadcast hint if it has few rows, counted first in a job of its own."""
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
@@ -69,13 +68,12 @@ def removed_columns(term_df: DataFrame, docs: DataFrame, vocab: DataFrame, words
     return out.groupBy("yr", "term_id").agg(F.min("step").alias("step"))
 
 
-def prune(vectors: DataFrame, term_df: DataFrame, docs: DataFrame, vocab: DataFrame, words: DataFrame | None, threshold: float, percent: float, k: int) -> DataFrame:
+def prune(vectors: DataFrame, removed: DataFrame, k: int) -> DataFrame:
     """Stop columns, then frequent columns by ratio, then the top of the rest, then top k. Not normalised again.
 
-    The three lists are one anti-join on integers; while they are short, which is counted first, it leaves the vectors where they are, by document.
+    The three lists, removed_columns, are one anti-join on integers; while they are short, which is counted first, it leaves the vectors where they are, by document.
     """
-    removed = removed_columns(term_df, docs, vocab, words, threshold, percent).select("yr", "term_id")
-    return top_k_terms(vectors.join(checked_small(removed), ["yr", "term_id"], "left_anti").filter("w <> 0"), k)
+    return top_k_terms(vectors.join(checked_small(removed.select("yr", "term_id")), ["yr", "term_id"], "left_anti").filter("w <> 0"), k)
 
 
 def prune_counts(vectors: DataFrame, removed: DataFrame, filtered: DataFrame) -> DataFrame:

@@ -6,19 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bs_fs(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, yr, bs, fs): each hit counts as fs of its earlier and bs of its later document; 0 without hits.
-
-    Both sides are one aggregation over an unpivoted row pair, so hits are read once.
-    """
-    sides = found.select(F.inline(F.array(
-        F.struct(F.col("id_x").alias("id"), F.lit(0.0).alias("bs"), F.col("sim").alias("fs")),
-        F.struct(F.col("id_y").alias("id"), F.col("sim").alias("bs"), F.lit(0.0).alias("fs")),
-    )))
-    sums = sides.groupBy("id").agg(F.sum("bs").alias("bs"), F.sum("fs").alias("fs"))
-    return docs.join(sums, "id", "left").select("id", "yr", F.coalesce("bs", F.lit(0.0)).alias("bs"), F.coalesce("fs", F.lit(0.0)).alias("fs"))
-
-
 def ratio(bs: Column, fs: Column, epsilon: float) -> Column:
     return fs / (bs + F.lit(epsilon))
 

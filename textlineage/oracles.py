@@ -107,6 +107,7 @@ BODIES = {
     "q_pair_sim": f"SELECT yr_x, yr_y, id_x, id_y, n_terms, {R('sim')} FROM sims",
     "q_pair_hits": f"SELECT yr_x, yr_y, id_x, id_y, {R('sim')} FROM hits",
     "q_pair_hits_prefix": f"SELECT yr_x, yr_y, id_x, id_y, {R('sim')} FROM hits",
+    "q_pair_hits_bounded": f"SELECT yr_x, yr_y, id_x, id_y, {R('sim')} FROM hits",
     "q_contrib_x": "SELECT yr_x, yr_y, id_x AS id, round(sum(sim), 6) AS contrib FROM hits GROUP BY ALL",
     "q_contrib_y": "SELECT yr_x, yr_y, id_y AS id, round(sum(sim), 6) AS contrib FROM hits GROUP BY ALL",
     "q_pair_meta": """SELECT yr_x, yr_y, nx, ny, round(coalesce(touched, 0) / greatest(1, nx), 6) AS avg_touched, CAST(coalesce(max_touched, 0) AS BIGINT) AS max_touched, CAST(coalesce(h, 0) AS BIGINT) AS hits, CAST(0.05 AS DOUBLE) AS thr, CAST(5 AS INTEGER) AS window_size, 'v1' AS method_version

@@ -11,7 +11,7 @@ from textlineage.operators import pairs, prune, score, vocab, weight
 
 
 class Lineage:
-    """Stages of one corpus. Each is a DataFrame; nothing runs until a result is read, but that `filtered` counts the columns to remove.
+    """Stages of one corpus. Each is a DataFrame; nothing runs until a result is read, but that `filtered` counts the columns to remove and pairs count the products of terms.
 
     tokens: (id, yr, title, tokens, extras...). Term counts are the widest shuffle and are kept
     (memory, then disk) when `keep` is set, as five later stages read them, until `release`.
@@ -65,14 +65,13 @@ class Lineage:
         return weight.vector_docs(self.vectors)
 
     @cached_property
-    def filtered(self) -> DataFrame:
+    def removed(self) -> DataFrame:
         s = self.s
-        return self.kept(prune.prune(self.vectors, self.term_df, self.docs, self.vocab, self.stopwords, s.df_ratio_threshold, s.top_df_percent, s.topk_terms_per_doc))
+        return self.kept(prune.removed_columns(self.term_df, self.docs, self.vocab, self.stopwords, s.df_ratio_threshold, s.top_df_percent))
 
     @cached_property
-    def removed(self) -> DataFrame:
-        s = self.s
-        return prune.removed_columns(self.term_df, self.docs, self.vocab, self.stopwords, s.df_ratio_threshold, s.top_df_percent)
+    def filtered(self) -> DataFrame:
+        return self.kept(prune.prune(self.vectors, self.removed, self.s.topk_terms_per_doc))
 
     @cached_property
     def base(self) -> DataFrame:
@@ -80,12 +79,14 @@ class Lineage:
 
     @cached_property
     def sims(self) -> DataFrame:
-        return pairs.pair_similarity(self.base, self.s.window_size)
+        """The pairs that the strategy looks at: native all that share a term, prefix and bounded those that their bounds leave."""
+        s = self.s
+        if s.pair_strategy == "native":
+            return pairs.pair_similarity(self.base, s.window_size)
+        return {"prefix": pairs.prefix_similarity, "bounded": pairs.bounded_similarity}[s.pair_strategy](self.base, s.window_size, s.similarity_threshold)
 
     @cached_property
     def hits(self) -> DataFrame:
-        if self.s.pair_strategy == "prefix":
-            return pairs.prefix_similarity(self.base, self.s.window_size, self.s.similarity_threshold)
         return pairs.hits(self.sims, self.s.similarity_threshold)
 
     @cached_property
@@ -94,12 +95,12 @@ class Lineage:
 
     @cached_property
     def sides(self) -> DataFrame:
-        """What each document gets from each pair of years; candidates are those that the pair strategy looks at."""
-        return pairs.pair_sides(self.hits if self.s.pair_strategy == "prefix" else self.sims, self.s.similarity_threshold)
+        """What each document gets from each pair of years."""
+        return pairs.pair_sides(self.sims, self.s.similarity_threshold)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return score.bs_fs(self.vector_docs, self.hits)
+        return pairs.side_scores(self.vector_docs, self.sides)
 
     @cached_property
     def quality(self) -> DataFrame:

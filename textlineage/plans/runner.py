@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import logging
-from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from textlineage.config import Settings
 from textlineage.functions.tokenize import tokenizer
 from textlineage.operators import pairs, prune, score, vocab
 from textlineage.plans.lineage import Lineage
+from textlineage.plans.stages import Stages
 from textlineage.sources import artifacts
 from textlineage.sources.documents import by_document, read_documents
 from textlineage.sources.stopwords import read_stopwords
@@ -28,77 +27,13 @@ def log_to(path: str, level: int = logging.INFO) -> None:
     logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(message)s", handlers=handlers, force=True)
 
 
-class Manifest:
-    """Which stage, and which of its years, were finished under which settings: one small text file beside the stage tables."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.path, self.folder = spark, f"{folder}/manifest", folder
-        jvm = spark.sparkContext._jvm
-        self.path_of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self.at = self.path_of(self.path)
-        self.fs = self.at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.done: dict[str, dict] = json.loads(spark.read.text(self.path, wholetext=True).first().value) if self.fs.exists(self.at) else {}
-
-    def mark(self, stage: str, key: str, years: list[int]) -> None:
-        self.done[stage] = {"key": key, "years": sorted(years), "folders": sorted(self.folders(stage))}
-        self.spark.createDataFrame([(json.dumps(self.done),)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
-
-    def folders(self, stage: str) -> set[str]:
-        """Partition folders of a stage that are there."""
-        at = self.path_of(f"{self.folder}/{stage}")
-        return {f.getPath().getName() for f in self.fs.listStatus(at) if f.isDirectory()} if self.fs.exists(at) else set()
-
-    def finished(self, stage: str, key: str) -> tuple[bool, list[int]]:
-        """Whether the stage was begun under these settings, and its years that are written and still there."""
-        state = self.done.get(stage)
-        if not state or state["key"] != key:
-            return False, []
-        lost = {int(f.partition("=")[2]) for f in set(state["folders"]) - self.folders(stage)}
-        return True, [y for y in state["years"] if y not in lost]
-
-    def remove(self, stage: str) -> None:
-        self.fs.delete(self.path_of(f"{self.folder}/{stage}"), True)
-
-    def clear(self) -> None:
-        self.done = {}
-        self.fs.delete(self.at, True)
-
-
 def run_all(spark: SparkSession, s: Settings, force: bool = False) -> DataFrame:
-    """All stages to the final table. A stage whose settings (or those before it) changed runs again, with all after it; of one that was
-    interrupted, or lost years, only those years."""
+    """All stages to the final table, each made or resumed as textlineage.plans.stages.Stages says. An input without rows gives tables without rows."""
     out = s.artifacts_dir
-    manifest = Manifest(spark, out)
+    stages = Stages(spark, s)
     if force:
-        manifest.clear()
-    stale, years = False, []
-
-    def write(name: str, df: DataFrame, by: str | None) -> None:
-        seen = Observation()
-        rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        artifacts.write_table(rows, f"{out}/{name}", by)
-        log.info("stage %s: %d rows", name, seen.get["rows"])
-
-    def stage(name: str, make: Callable[[], DataFrame], by: str | None = "yr", of: str | None = None) -> DataFrame:
-        nonlocal stale
-        key = s.stage_key(of or name)
-        begun, written = manifest.finished(name, key)
-        if stale or not begun:
-            stale, written = True, []
-            manifest.remove(name)
-        if by is None or not years:  # one table, or the stage that finds the years
-            if not begun or stale:
-                write(name, make(), by)
-                manifest.mark(name, key, [])
-        elif todo := [y for y in years if y not in written]:
-            df = make()
-            for i in range(0, len(todo), s.years_per_write):
-                some = todo[i : i + s.years_per_write]
-                log.info("stage %s: years %s", name, some)
-                write(name, df.filter(F.col(by).isin(some)), by)
-                written = written + some
-                manifest.mark(name, key, written)
-        return artifacts.read_table(spark, f"{out}/{name}")
+        stages.manifest.clear()
+    stage = stages.stage
 
     def make_tokens() -> DataFrame:
         tokens = vocab.tokenized(by_document(read_documents(spark, s)), tokenizer(s.tokenizer, s.user_dict_path))
@@ -110,22 +45,25 @@ def run_all(spark: SparkSession, s: Settings, force: bool = False) -> DataFrame:
     plan = Lineage(tokens, s)
     plan.docs = stage("docs_per_year", lambda: Lineage(tokens, s).docs, by=None, of="tokens")
     years = [r.yr for r in artifacts.years_of(tokens).orderBy("yr").collect()]
-    plan.term_df = stage("term_df", lambda: Lineage(tokens, s).term_df, of="tokens")
+    by_year = partial(stage, years=years)
+    plan.term_df = by_year("term_df", lambda: Lineage(tokens, s).term_df, of="tokens")
     plan.vocab = stage("vocab", lambda: Lineage.vocab.func(plan), by=None)
-    plan.vectors = stage("vectors", lambda: Lineage.vectors.func(plan))
+    plan.vectors = by_year("vectors", lambda: Lineage.vectors.func(plan))
     plan.stopwords = read_stopwords(spark, s.prune_word_paths, built_in=False) if s.prune_word_paths else None
-    plan.filtered = stage("vectors_filtered", lambda: Lineage.filtered.func(plan))
+    plan.filtered = by_year("vectors_filtered", lambda: Lineage.filtered.func(plan))
     if log.isEnabledFor(logging.DEBUG):
         for r in prune.prune_counts(plan.vectors, plan.removed, plan.filtered).orderBy("yr").collect():  # a row a year
             log.debug("pruning: %s", r.asDict())
-    stage("postings", lambda: pairs.postings(plan.base))
-    plan.sides = stage("pairs", lambda: Lineage.sides.func(plan), by="yr_x")
+    by_year("postings", lambda: pairs.postings(plan.base))
+    plan.sides = by_year("pairs", lambda: Lineage.sides.func(plan), by="yr_x")
     stage("pair_meta", lambda: pairs.pair_meta(plan.sides, plan.vector_docs, plan.year_pairs, thr=s.similarity_threshold, window_size=s.window_size, method_version=s.method_version, vectors_dir="vectors_filtered" if s.use_filtered_vectors else "vectors"), by=None, of="pairs")
-    plan.scores = stage("bsfs", lambda: pairs.side_scores(plan.vector_docs, plan.sides))
+    plan.scores = by_year("bsfs", lambda: pairs.side_scores(plan.vector_docs, plan.sides))
     titles = tokens.select("id", "yr", "title", *s.extra_cols).join(plan.vector_docs, ["id", "yr"], "left_semi")
     final = stage("final", lambda: score.final_table(titles, plan.scores, s.epsilon, (s.col_id, s.col_year, s.col_title), s.extra_cols), by=None)
     if s.export_json:
         artifacts.export_json(plan.term_df, vocab.global_df(plan.term_df), plan.docs, plan.vocab, plan.year_pairs, f"{out}/json")
+    if s.export_csv:
+        artifacts.write_scores_csv(plan.scores, f"{out}/bsfs_csv")
     if s.final_csv:
         artifacts.write_csv(final.orderBy(s.col_year, s.col_id), s.final_csv)
     return final

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +25,28 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+#: What the query that is being built keeps.
+_plans: list[Lineage] = []
+
+
+def release(plans: list[Lineage]) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        for plan in plans:
+            plan.release()
+
+
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    """Registers a query. What its lineage keeps is freed once its result is gone; a result derived from it is right after that too."""
+
+    @functools.wraps(f)
+    def built(spark: SparkSession, d: str) -> DataFrame:
+        _plans.clear()
+        out = f(spark, d)
+        weakref.finalize(out, release, _plans[:]).atexit = False
+        return out
+
+    QUERIES[f.__name__] = built
+    return built
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -37,7 +59,8 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def lineage(spark: SparkSession, d: str) -> Lineage:
     words = spark.createDataFrame([(w,) for w in STOP], "term string")
-    return Lineage(vocab.tokenized(by_document(corpus(spark, d)), regex_words), SETTINGS, words, keep=True)  # released with the session's cache
+    _plans.append(Lineage(vocab.tokenized(by_document(corpus(spark, d)), regex_words), SETTINGS, words, keep=True))
+    return _plans[-1]
 
 
 def r6(*names: str) -> list:
@@ -229,7 +252,15 @@ def q_pair_hits(spark, d):
 @query
 def q_pair_hits_prefix(spark, d):
     x = lineage(spark, d)
-    return pairs.prefix_similarity(x.filtered, SETTINGS.window_size, SETTINGS.similarity_threshold).select("yr_x", "yr_y", "id_x", "id_y", *r6("sim"))
+    found = pairs.prefix_similarity(x.filtered, SETTINGS.window_size, SETTINGS.similarity_threshold)
+    return pairs.hits(found, SETTINGS.similarity_threshold).select("yr_x", "yr_y", "id_x", "id_y", *r6("sim"))
+
+
+@query
+def q_pair_hits_bounded(spark, d):
+    x = lineage(spark, d)
+    found = pairs.bounded_similarity(x.filtered, SETTINGS.window_size, SETTINGS.similarity_threshold)
+    return pairs.hits(found, SETTINGS.similarity_threshold).select("yr_x", "yr_y", "id_x", "id_y", *r6("sim"))
 
 
 @query

@@ -24,6 +24,12 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_scores_csv(scores: DataFrame, path: str) -> None:
+    """id, BS and FS as CSV, a folder a year."""
+    rows = scores.select("yr", "id", F.col("bs").alias("BS"), F.col("fs").alias("FS"))
+    rows.repartition("yr", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy("yr").option("header", True).csv(path)
+
+
 def write_token_lines(tokens: DataFrame, path: str) -> None:
     """JSON lines with id, title, tokens and extras; one folder per year."""
     tokens.write.mode("overwrite").partitionBy("yr").json(path)
