@@ -25,6 +25,15 @@ BUCKET_ROWS, BUCKET_CLIENTS = 150_000, 4_096
 #: Rows that a key holds beside its state, and rows of a list that it gives.
 HELD, GIVEN = 50_000, 8_192
 
+#: Many small stores: no space taken ahead for each, those of an ended start soon let go, changes written instead of whole stores.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 FED = "bucket int, hour long, click_id long, ts long, client_id long"
 PACKED = "bucket int, hour long, ids array<long>, ts array<long>, clients array<long>"
 SETTLED = "ids array<long>, outcomes array<string>, batches array<int>, credits array<long>, starts array<long>, ends array<long>"
@@ -207,9 +216,9 @@ def throttle(clicks: DataFrame) -> DataFrame:
     base = f"{run_folder(spark)}/throttle-{uuid.uuid4().hex}"
     marks, buckets = staged(clicks, f"{base}/staged")
     own = spark.newSession()  # the state store is this query's setting, not the caller's
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for k, v in STORE.items():
+        own.conf.set(k, v)
     own.conf.set("spark.sql.shuffle.partitions", str(max(1, min(buckets, partitions(clicks)))))
-    own.conf.set("spark.sql.session.timeZone", "UTC")
     for b, w in enumerate(marks):
         move(spark, f"{base}/staged/batch={b}", f"{base}/fed/{b}")
         tick(own, base, Throttle(b, w, b == BATCHES - 1))
