@@ -161,6 +161,34 @@ def test_dense_ids_follow_code_points(spark):
     assert got == {w: i for i, w in enumerate(sorted(words, key=lambda w: w.encode()))}
 
 
+def test_dense_ids_of_one_prefix_are_ranged(spark):
+    """Terms that all begin alike: no range has more than a few times its share, and ids are those of one sort."""
+    n, most = 40_000, 2_500
+    terms = spark.range(n).select(F.concat(F.lit("电池组"), F.md5(F.col("id").cast("string"))).alias("term")).cache()
+    words = [r.term for r in terms.collect()]
+    got = {r.term: r.term_id for r in vocab.dense_ids(terms, most=most).collect()}
+    assert got == {w: i for i, w in enumerate(sorted(words, key=lambda w: w.encode()))}
+    bounds = sorted(words)[:: n // 9][1:9]
+    ranges = {r.n: r["count"] for r in terms.select(vocab.range_of(F.col("term"), bounds).alias("n")).groupBy("n").count().collect()}
+    import bisect
+    from collections import Counter
+
+    assert ranges == Counter(bisect.bisect_left(bounds, w) for w in words)
+    sample = [r.term for r in terms.orderBy(F.xxhash64("term"), "term").limit(vocab.SAMPLED * 16).collect()]
+    cuts = sorted(sample)[vocab.SAMPLED - 1 :: vocab.SAMPLED][:15]
+    sizes = Counter(bisect.bisect_left(cuts, w) for w in words)
+    assert len(sizes) == 16 and max(sizes.values()) < 2 * most
+
+
+def test_pair_sums_need_one_exchange_by_term(spark):
+    rows = spark.createDataFrame([("a", 2000, 1), ("a", 2003, 2), ("b", 2003, 5), ("a", 2009, 7)], "term string, yr int, df long")
+    years = rows.select("yr").distinct()
+    got = {(r.yr_1, r.yr_2): r.s for r in stats.df_pair_sum(rows, years).collect()}
+    assert got == {(2000, 2000): 1, (2003, 2003): 29, (2009, 2009): 49, (2000, 2003): 2, (2003, 2000): 2}
+    plan = stats.df_pair_sum(rows, years)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(term") == 1
+
+
 def test_kept_stages_are_released(spark):
     tokens = spark.createDataFrame([(i, y, i, t.split()) for i, y, t in M1], "id string, yr int, title string, tokens array<string>")
     x = Lineage(tokens, Settings(min_term_count=1, max_doc_freq_ratio=0.9), keep=True)

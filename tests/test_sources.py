@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from textlineage import cli
 from textlineage.config import Settings
-from textlineage.functions.scalar import parse_year
+from textlineage.functions.scalar import missing_to_null, parse_year
 from textlineage.functions.tokenize import STRATEGIES, drop_words, tokenizer
 from textlineage.operators import pairs
 from textlineage.plans.runner import run_all
 from textlineage.sources import artifacts, sniff
-from textlineage.sources.documents import formats, list_files, read_documents
+from textlineage.sources.documents import formats, list_files, read_documents, scan_csv
 from textlineage.sources.stopwords import BUILT_IN, read_stopwords
 
 HEADER = "申请号,申请年份,专利类型,专利名称,摘要文本,主权项内容,申请日,申请人,申请人类型,申请人地址,申请人城市"
@@ -56,10 +56,42 @@ def test_names_and_records_of_any_form(spark, tmp_path):
     assert {k: len(v) for k, v in groups.items()} == {("gb18030", False): 1, ("utf-8", False): 2, ("utf-8", True): 1}
     got = {r.id: r for r in read_documents(spark, Settings(data_path=str(tmp_path / "x y"))).collect()}
     assert {k: v.title for k, v in got.items()} == {"1": "国标", "2": "甲", "3": "乙", "4": "丙"} and got["3"].text == "乙一\n二"
-    spark.conf.set("spark.sql.legacy.javaCharsets", before)
-    read_documents(spark, Settings(data_path=str(tmp_path / "x y" / "twice.csv"))).collect()
     read_stopwords(spark, [str(tmp_path / "x y")])
-    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before  # only gb18030 tables need it
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before  # the caller's session stays as it is
+
+
+CELLS = ["plain", "", '""', '"quoted"', '"a, b"', '"two\nlines"', '"with ""quotes"" in"', '"""\n"""', '5" disk', '"x"y', '"open ""\n\n"" close"', '"\n,\n"']
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_records_over_lines_are_found_in_splits(spark, tmp_path, ends):
+    """Quoted fields over lines, doubled and stray quotes, in pieces of a few hundred bytes: as the reader of whole files has them."""
+    import random
+
+    from textlineage.sources import records
+
+    rng = random.Random(3)
+    rows = [",".join([str(i), *[rng.choice(CELLS).replace("\n", ends) for _ in range(3)]]) for i in range(900)]
+    rows.insert(400, '9999,"' + ("long " * 300 + ends) * 6 + '",x,y')  # goes on over whole splits
+    path = tmp_path / "a.csv"
+    path.write_bytes(ends.join(["k,a,b,c", *rows, ""]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        found = scan_csv(spark, str(path), ["k", "a", "b", "c"]).select("k", "a", "b", "c", "_line")
+        assert records.lines_of(spark, [str(path)]).rdd.getNumPartitions() > 40
+        got = [tuple(r)[:4] for r in sorted(found.collect(), key=lambda r: r._line)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(path))
+    want = [tuple(r) for r in whole.select(*[missing_to_null(F.col(c)).alias(c) for c in ("k", "a", "b", "c")]).collect()]
+    assert len(got) == len(want) == 901 and got == want
+
+
+def test_ids_are_made_unique_on_keys(spark, corpus):
+    """No text is in an aggregate, nor, while few rows go, in a shuffle."""
+    plan = read_documents(spark, Settings(data_path=str(corpus)))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("text" in line for line in plan.splitlines() if "Aggregate" in line) and "LeftAnti" in plan and "broadcast" in plan
 
 
 SEGMENTER = """

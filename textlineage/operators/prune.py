@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlineage.functions.joins import checked_small
+
 
 def stop_columns(vocab: DataFrame, words: DataFrame) -> DataFrame:
     """Vocabulary terms that are stop words."""
@@ -48,15 +50,6 @@ def top_k_terms(vectors: DataFrame, k: int, keep_all_if_not_positive: bool = Fal
     return vectors.withColumn("_rn", rank).filter(F.col("_rn") <= k).drop("_rn").filter("w <> 0")
 
 
-#: Rows up to which a list of columns is broadcast; longer lists are joined by a shuffle.
-MOST_BROADCAST = 500_000
-
-
-def checked_small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows, counted first in a job of its own."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def removed_columns(term_df: DataFrame, docs: DataFrame, vocab: DataFrame, words: DataFrame | None, threshold: float, percent: float) -> DataFrame:
     """(yr, term_id, step): columns that pruning removes from a year, and the first step that does: 1 listed words, 2 ratio, 3 most frequent."""
     ratio = ratio_columns(term_df, docs, vocab, threshold)

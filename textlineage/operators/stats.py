@@ -52,13 +52,17 @@ def topk_df(top: DataFrame) -> DataFrame:
 
 
 def df_pair_sum(term_df: DataFrame, years: DataFrame, band: int = 5, key: str = "term") -> DataFrame:
-    """(yr_1, yr_2, s): sum of products of document frequencies, both orders and the diagonal; zero pairs kept."""
-    a = term_df.select(F.col("yr").alias("yr_1"), key, F.col("df").alias("df_1"))
-    b = term_df.select(F.col("yr").alias("yr_2"), key, F.col("df").alias("df_2"))
-    sums = a.join(b, key).filter(F.abs(F.col("yr_1") - F.col("yr_2")) <= band).groupBy("yr_1", "yr_2").agg(F.sum(F.col("df_1") * F.col("df_2")).alias("s"))
-    near = years.select(F.col("yr").alias("yr_1"), F.explode(F.sequence(F.col("yr") - band, F.col("yr") + band)).alias("yr_2"))
-    near = near.join(years.select(F.col("yr").alias("yr_2")), "yr_2").select("yr_1", "yr_2")
-    return near.join(sums, ["yr_1", "yr_2"], "left").na.fill(0, ["s"])
+    """(yr_1, yr_2, s): sum of products of document frequencies, both orders and the diagonal; zero pairs kept.
+
+    One exchange by term gathers its counts, at most one a year; their products are made in that row and added up before they leave the task.
+    """
+    each = term_df.groupBy(key).agg(F.collect_list(F.struct("yr", "df")).alias("c"))
+    near = lambda a: F.filter("c", lambda b: F.abs(a["yr"] - b["yr"]) <= band)
+    products = F.flatten(F.transform("c", lambda a: F.transform(near(a), lambda b: F.struct(a["yr"].alias("yr_1"), b["yr"].alias("yr_2"), (a["df"] * b["df"]).alias("p")))))
+    sums = each.select(F.inline(products)).groupBy("yr_1", "yr_2").agg(F.sum("p").alias("s"))
+    grid = years.select(F.col("yr").alias("yr_1"), F.explode(F.sequence(F.col("yr") - band, F.col("yr") + band)).alias("yr_2"))
+    grid = grid.join(years.select(F.col("yr").alias("yr_2")), "yr_2").select("yr_1", "yr_2")
+    return grid.join(sums, ["yr_1", "yr_2"], "left").na.fill(0, ["s"])
 
 
 def df_pair_total(pair_sums: DataFrame) -> DataFrame:

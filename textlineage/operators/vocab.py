@@ -59,24 +59,37 @@ def vocab_predicate(df: Column, total: Column, min_count: int, max_ratio: float)
     return (df >= min_count) & (df / F.greatest(F.lit(1), total) <= max_ratio)
 
 
-def dense_ids(terms: DataFrame, column: str = "term") -> DataFrame:
-    """terms with term_id 0..V-1 in code-point order.
+#: Terms that a task sorts about, terms of the sample for each range, and ranges at most.
+SORTED, SAMPLED, RANGES = 100_000, 32, 512
 
-    Numbered inside each prefix of three characters and shifted by the counts of smaller prefixes, which are summed the same way
-    inside those of two and of one: no task sorts the vocabulary or its prefixes, only what follows one prefix, an alphabet at most.
+
+def dense_ids(terms: DataFrame, column: str = "term", most: int = SORTED) -> DataFrame:
+    """terms, each once, with term_id 0..V-1 in code-point order.
+
+    Terms are counted first; up to `most` they are ranked in one task. More are cut into ranges by terms of a sample, those with the smallest hashes,
+    so that the ranges hold about as many terms each whatever they begin with; a range's ids start at the count of those before it. The sample and
+    the counts, a row a range, are bounded.
     """
-    p = [F.substring(column, 1, n) for n in (1, 2, 3)]
-    keyed = terms.withColumns({"_p1": p[0], "_p2": p[1], "_p3": p[2]})
-    sizes = [keyed.groupBy("_p1", "_p2", "_p3").agg(F.count("*").alias("_n"))]
-    sizes.append(sizes[0].groupBy("_p1", "_p2").agg(F.sum("_n").alias("_n")))
-    sizes.append(sizes[1].groupBy("_p1").agg(F.sum("_n").alias("_n")))
-    ahead = lambda w, name: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name)
-    three = sizes[0].select("_p1", "_p2", "_p3", ahead(Window.partitionBy("_p1", "_p2").orderBy("_p3"), "_b3"))
-    two = sizes[1].select("_p1", "_p2", ahead(Window.partitionBy("_p1").orderBy("_p2"), "_b2"))
-    one = sizes[2].select("_p1", ahead(Window.orderBy("_p1"), "_b1"))  # as many rows as there are first characters
-    before = three.join(two, ["_p1", "_p2"]).join(one, "_p1").select("_p3", (F.col("_b1") + F.col("_b2") + F.col("_b3")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_p3").orderBy(column))
-    return keyed.join(before, "_p3").withColumn("term_id", (F.col("_before") + rank - 1).cast("int")).drop("_p1", "_p2", "_p3", "_before")
+    parts = min(RANGES, -(-terms.count() // most))
+    if parts <= 1:
+        return terms.withColumn("term_id", (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    sample = terms.select(column).orderBy(F.xxhash64(column), column).limit(SAMPLED * parts)
+    # In Spark's order of strings, which is the order of their bytes.
+    found = sample.select(column).orderBy(column).collect()
+    bounds = [r[0] for r in found][SAMPLED - 1 :: SAMPLED][: parts - 1]
+    keyed = terms.withColumn("_range", range_of(F.col(column), bounds))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return keyed.join(F.broadcast(sizes), "_range").withColumn("term_id", (F.col("_before") + rank - 1).cast("int")).drop("_range", "_before")
+
+
+def range_of(value: Column, bounds: list[str], first: int = 0) -> Column:
+    """Number of bounds, in order, that are smaller than the value: a search by halves."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(value <= bounds[half], range_of(value, bounds[:half], first)).otherwise(range_of(value, bounds[half + 1 :], first + half + 1))
 
 
 def vocabulary(term_df: DataFrame, docs: DataFrame, min_count: int, max_ratio: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlineage.functions.joins import checked_small
 from textlineage.functions.scalar import retro_idf
 
 
@@ -26,8 +27,11 @@ def idf_by_year(term_df: DataFrame, docs: DataFrame, vocab: DataFrame) -> DataFr
 
 
 def tfidf(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, yr, term, term_id, tf, idf, w): documents without a vocabulary term leave here."""
-    return counts.join(idf.select("yr", "term", "term_id", "idf"), ["yr", "term"]).select("id", "yr", "term", "term_id", "tf", "idf", (F.col("tf") * F.col("idf")).alias("w"))
+    """(id, yr, term, term_id, tf, idf, w): documents without a vocabulary term leave here.
+
+    While idf is short, which is counted first, the counts stay where they are, by document, and so need no shuffle for norms and top lists.
+    """
+    return counts.join(checked_small(idf.select("yr", "term", "term_id", "idf")), ["yr", "term"]).select("id", "yr", "term", "term_id", "tf", "idf", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def l2_normalize(vectors: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from textlineage.operators import pairs, prune, score, vocab, weight
 
 
 class Lineage:
-    """Stages of one corpus. Each is a DataFrame; nothing runs until a result is read, but that `filtered` counts the columns to remove and pairs count the products of terms.
+    """Stages of one corpus. Each is a DataFrame; nothing runs until a result is read, but that the vocabulary, idf and the columns
+    to remove are counted, to choose how they are ranked and joined, and so are the products of terms before pairs.
 
     tokens: (id, yr, title, tokens, extras...). Term counts are the widest shuffle and are kept
     (memory, then disk) when `keep` is set, as five later stages read them, until `release`.

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlineage.config import Settings
+from textlineage.functions.joins import checked_small
 from textlineage.functions.scalar import concat_text, missing_to_null, parse_year
+from textlineage.sources.records import records
 from textlineage.sources.sniff import head
 
 
@@ -39,7 +41,7 @@ def formats(spark: SparkSession, paths: list[str], encoding: str | None = None)
     """Files by (encoding, whether a record may span lines), from one pass over their lines as bytes.
 
     The encoding is the given one, or utf-8 where all lines are valid, else gb18030. A record spans lines only if a line has an odd number of
-    quotes; other files are read in splits. Files of any size are checked in splits, never loaded whole.
+    quotes. Files of any size are checked in splits, never loaded whole.
     """
     if not paths:
         return {}
@@ -61,14 +63,14 @@ def header_of(spark: SparkSession, path: str, encoding: str, sep: str) -> list[s
 def scan_csv(spark: SparkSession, path: str, columns: list[str], encoding: str | None = None, sep: str = ",") -> DataFrame:
     """The named columns as strings, with `_path` and `_line` (order in the file).
 
-    A missing column raises RuntimeError, as do files that can't be read. Spark reads gb18030 only under a setting of the session, which is made
-    where there is such a file.
+    A missing column raises RuntimeError, as do files that can't be read. Files with records over several lines, and those in encodings that Spark has no
+    reader for, are cut into records in splits (textlineage.sources.records); of those in utf-16 or utf-32 each is one task's.
     """
     paths = [r.path for r in list_files(spark, path).collect()]
     parts = []
     for (enc, spans), group in formats(spark, paths, encoding).items():
-        if enc.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-32"):
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        wide = enc.lower().startswith(("utf-16", "utf-32"))
+        by_records = not wide and (spans or enc.lower() not in ("utf-8", "us-ascii", "iso-8859-1"))
         by_header: dict[tuple[str, ...], list[str]] = {}
         for p in group:
             header = header_of(spark, p, enc, sep)
@@ -78,8 +80,13 @@ def scan_csv(spark: SparkSession, path: str, columns: list[str], encoding: str |
         for header, same in by_header.items():
             # A name that stands twice would be ambiguous; only the first is meant.
             schema = T.StructType([T.StructField(c if c not in header[:i] else f"_again_{i}", T.StringType()) for i, c in enumerate(header)])
-            df = spark.read.schema(schema).option("encoding", enc).option("sep", sep).option("header", True).option("multiLine", spans).option("escape", '"').option("enforceSchema", True).csv(same)
-            parts.append(df.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in columns], F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line")))
+            if by_records:
+                ddl = ", ".join(f"`{f.name}` string" for f in schema)
+                df = records(spark, same, sep, enc).filter("line > 0").select(F.from_csv("record", ddl, {"sep": sep, "escape": '"', "multiLine": "true"}).alias("r"), F.col("path").alias("_path"), F.col("line").alias("_line")).select("r.*", "_path", "_line")
+            else:
+                df = spark.read.schema(schema).option("encoding", enc).option("sep", sep).option("header", True).option("multiLine", spans).option("escape", '"').option("enforceSchema", True).csv(same)
+                df = df.select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line"))
+            parts.append(df.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in columns], "_path", "_line"))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_path", T.StringType()), T.StructField("_line", T.LongType())]))
     out = parts[0]
@@ -116,7 +123,15 @@ def documents(raw: DataFrame, s: Settings) -> DataFrame:
         "_path",
         "_line",
     ).filter(F.col("yr").isNotNull())
-    return keep_first(rows, ["id"], ["_path", "_line"]).drop("_path", "_line")
+    return rows.join(checked_small(later_rows(rows)), ["_path", "_line"], "left_anti").drop("_path", "_line")
+
+
+def later_rows(rows: DataFrame) -> DataFrame:
+    """(_path, _line) of rows whose id stands before, found on keys alone, so that texts are in no aggregate; while such rows are few, which is
+    counted, texts are in no shuffle either."""
+    keys = rows.select("id", "_path", "_line")
+    first = keys.groupBy("id").agg(F.min(F.struct("_path", "_line")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    return keys.join(first, "id").filter(F.struct("_path", "_line") != F.col("_first")).select("_path", "_line")
 
 
 def read_documents(spark: SparkSession, s: Settings) -> DataFrame:
