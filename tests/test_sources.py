@@ -176,7 +176,7 @@ def job(tmp_path):
     d.mkdir()
     write(d, "a.csv", [f"{i},{2010 + i % 4},发明授权,锂电池{'材料' * (i % 3)},隔膜{'改性' if i % 2 else '算法'},,,a,b,c,d" for i in range(24)])
     (tmp_path / "prune.txt").write_text("材料\n", "utf-8")
-    return Settings(data_path=str(d), tokenizer="cjk_bigram", min_term_count=1, max_doc_freq_ratio=0.9, df_ratio_threshold=0.95, years_per_write=2, artifacts_dir=str(tmp_path / "out"), final_csv=str(tmp_path / "final"), export_json=True, export_csv=True, log_file=str(tmp_path / "run.log"))
+    return Settings(data_path=str(d), tokenizer="cjk_bigram", min_term_count=1, max_doc_freq_ratio=0.9, df_ratio_threshold=0.95, artifacts_dir=str(tmp_path / "out"), final_csv=str(tmp_path / "final"), export_json=True, export_csv=True, log_file=str(tmp_path / "run.log"))
 
 
 def test_runner_resumes_by_settings(spark, tmp_path, job):
@@ -210,11 +210,12 @@ def test_runner_repeats_what_is_lost_alone(spark, tmp_path, job):
     first = sorted(map(tuple, run_all(spark, job).collect()))
     out = tmp_path / "out"
     files = lambda: {p: p.stat().st_mtime_ns for p in out.rglob("*.parquet")}
-    for name in STAGES:
-        shutil.rmtree(out / name)
+    for i in range(3):
+        for name in STAGES[i::3]:
+            shutil.rmtree(out / name)
         stamp = files()
-        assert sorted(map(tuple, run_all(spark, job).collect())) == first, name
-        assert stamp.items() <= files().items(), name
+        assert sorted(map(tuple, run_all(spark, job).collect())) == first, i
+        assert stamp.items() <= files().items() and all((out / name).is_dir() for name in STAGES), i
     lost = [next(iter(sorted((out / name).glob("yr*=2011")))) for name in STAGES if list((out / name).glob("yr*=2011"))]
     assert len(lost) == 7
     for folder in lost:
@@ -254,7 +255,7 @@ def test_runner_finds_damage(spark, tmp_path, job):
 def test_runner_goes_on_after_a_crash(spark, tmp_path, job, monkeypatch):
     from textlineage.plans import stages
 
-    job = replace(job, export_json=False, final_csv="")
+    job = replace(job, export_json=False, final_csv="", years_per_write=2)
     write_table, wrote, crashed = artifacts.write_table, [], []
 
     def failing(df, path, by):
@@ -275,7 +276,7 @@ def test_runner_goes_on_after_a_crash(spark, tmp_path, job, monkeypatch):
 
 
 def test_runner_sees_that_the_input_changed(spark, tmp_path, job):
-    """A lost year comes back with other rows, so all after it is made anew."""
+    """A lost year comes back with other rows, so what depends on it is made anew."""
     job = replace(job, export_json=False, final_csv="")
     run_all(spark, job)
     write(tmp_path / "in", "b.csv", [f"n{i},2013,发明授权,锂电池材料,隔膜,,,a,b,c,d" for i in range(3)])
@@ -284,6 +285,29 @@ def test_runner_sees_that_the_input_changed(spark, tmp_path, job):
     assert len(got) == 27 and got == sorted(map(tuple, run_all(spark, replace(job, artifacts_dir=str(tmp_path / "other"))).collect()))
 
 
+def test_a_year_is_added(spark, tmp_path, job):
+    """A file with a later year, of known words: earlier vectors stay, as do pairs and scores out of its window; all is as in a full run. Then one with
+    new words, which gives terms other ids, and one year less."""
+    job = replace(job, export_json=False, final_csv="", window_size=2)
+    run_all(spark, job)
+    out = tmp_path / "out"
+    stamps = lambda: {p: p.stat().st_mtime_ns for p in out.rglob("*.parquet")}
+    full = lambda name: sorted(map(tuple, run_all(spark, replace(job, artifacts_dir=str(tmp_path / name))).collect()))
+    before = stamps()
+    write(tmp_path / "in", "b.csv", [f"n{i},2014,发明授权,锂电池{'材料' * (i % 3)},隔膜{'改性' if i % 2 else '算法'},,,a,b,c,d" for i in range(6)])
+    got = sorted(map(tuple, run_all(spark, job).collect()))
+    assert len(got) == 30 and got == full("full")
+    kept = {str(p.parent.relative_to(out)) for p, t in before.items() if stamps().get(p) == t}
+    years = lambda name: {int(k[-4:]) for k in kept if k.startswith(name + "/")}
+    assert years("tokens") == years("term_df") == years("vectors") == {2010, 2011, 2012, 2013} and years("vectors_filtered") == years("postings") == {2011, 2012, 2013}
+    assert 2011 in years("pairs") and not {2012, 2013} & years("pairs") and years("bsfs") == {2010, 2011}
+    write(tmp_path / "in", "c.csv", [f"m{i},2014,发明授权,不同词语,一些,,,a,b,c,d" for i in range(4)])
+    assert sorted(map(tuple, run_all(spark, job).collect())) == full("full2")
+    for name in ("b.csv", "c.csv"):
+        (tmp_path / "in" / name).unlink()
+    assert len(run_all(spark, job).collect()) == 24 and not (out / "vectors" / "yr=2014").exists()
+
+
 def test_runner_survives_stages_without_rows(spark, tmp_path):
     """Five documents, one a year: every term is in a fifth of its year at least, so pruning leaves nothing, and all scores are 0. A file of a header alone gives nothing."""
     d = tmp_path / "five"
@@ -311,6 +335,21 @@ def test_pruning_has_a_list_of_its_own(spark, tmp_path, job):
     assert kept() == 0 and spark.read.parquet(f"{job.artifacts_dir}/vectors").filter(F.col("term_id") == listed).count() > 0
 
 
+def test_stages_show_where_time_goes(spark, tmp_path):
+    """Rows, shuffle and skew of each stage of a job with a key that holds nearly all rows; nothing of the jobs before."""
+    from textlineage.plans.metrics import StageWatch
+
+    spark.range(1_000).groupBy("id").count().collect()
+    with StageWatch(spark) as watch:
+        rows = spark.range(0, 400_000, 1, 4).select(F.when(F.col("id") % 100 > 0, 7).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        rows.repartition(8, "k").write.parquet(str(tmp_path / "out"))
+    table = {r.stage: r for r in watch.table().collect()}
+    assert len(table) == 2 and sorted(r.tasks for r in table.values())[0] == 4
+    first, last = (table[k] for k in sorted(table))
+    assert first.rows_out == last.rows_in == last.rows_out == 400_000 and first.shuffle_written_mb > 1 and last.shuffle_read_mb == pytest.approx(first.shuffle_written_mb)
+    assert last.most_rows >= 396_000 and last.skew > 7 and first.skew < 1.5 and last.longest_s >= last.median_s and "skew" in watch.text().splitlines()[0]
+
+
 def test_command_line(spark, tmp_path, job, capsys, monkeypatch):
     path = tmp_path / "settings.json"
     path.write_text(json.dumps(asdict(job)), "utf-8")
@@ -323,6 +362,6 @@ def test_command_line(spark, tmp_path, job, capsys, monkeypatch):
             text = (tmp_path / "run.log").read_text("utf-8")
             assert "stage vectors: " in text and "rows" in text and "earlier run" not in text
     said = capsys.readouterr().out
-    assert "Physical Plan" in said and "cumulative" in said and all(t in said for t in ("average vocabulary use", "DF pair sums of the top terms", "row length histogram"))
+    assert "Physical Plan" in said and "shuffle_read_mb" in said and all(t in said for t in ("average vocabulary use", "DF pair sums of the top terms", "row length histogram"))
     assert spark.read.option("header", True).csv(f"{job.artifacts_dir}/year=2011").count() == 6
     assert cli.main(["sniff", str(tmp_path / "in" / "a.csv")]) == 0

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import argparse
-import cProfile
-import io
 import json
 import logging
-import pstats
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +13,7 @@ from textlineage.operators import stats
 from textlineage.operators.prune import top_k_terms
 from textlineage.operators.weight import vector_docs
 from textlineage.plans.lineage import single_year
+from textlineage.plans.metrics import StageWatch
 from textlineage.plans.runner import log_to, run_all
 from textlineage.sources.artifacts import read_table, write_csv
 from textlineage.sources.sniff import line_report
@@ -33,12 +31,12 @@ def year_scores(spark: SparkSession, s: Settings, year: int) -> DataFrame:
     return single_year(base, vector_docs(vectors), year, s)
 
 
-def profiled(df: DataFrame, path: str, lines: int = 30) -> str:
-    """The formatted plan of a result, and the driver's calls that took longest while it was written."""
-    watch, text = cProfile.Profile(), io.StringIO()
-    watch.runcall(write_csv, df, path)
-    pstats.Stats(watch, stream=text).sort_stats("cumulative").print_stats(lines)
-    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) + text.getvalue()
+def profiled(df: DataFrame, path: str) -> str:
+    """The formatted plan of a result, and Spark's figures of the stages that wrote it, the longest first."""
+    with StageWatch(df.sparkSession) as watch:
+        write_csv(df, path)
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return f"{plan}\n{watch.text()}\n"
 
 
 def reports(spark: SparkSession, s: Settings, k: int) -> dict[str, str]:

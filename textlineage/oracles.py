@@ -76,7 +76,7 @@ BODIES = {
     "q_clean_docs": "SELECT id, yr, text FROM docs",
     "q_titled_docs": "SELECT id, yr, title, text, lang FROM docs",
     "q_years": "SELECT DISTINCT yr FROM docs",
-    "q_stopwords": "SELECT DISTINCT trim(t) AS term FROM (SELECT unnest([' the', 'of ', '', '  ', 'and', 'the', 'und', ' und ', 'to', 'the', 'in']) AS t) WHERE trim(t) <> ''",
+    "q_stopwords": "SELECT DISTINCT trim(term) AS term FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE ' ' || source || '  ' END AS term FROM documents UNION ALL SELECT lang || ' ' FROM documents) WHERE trim(term) <> ''",
     "q_filter_type": "SELECT doc_id, source FROM documents WHERE lang = 'en'",
     "q_parse_year": "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS yr FROM orders WHERE o_orderkey % 6 <> 5",
     "q_concat_text": "SELECT p_partkey, coalesce(p_name, '') || coalesce(nullif(p_brand, 'Brand#11'), '') || coalesce(p_type, '') AS text FROM part",

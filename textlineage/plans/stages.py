@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +41,19 @@ def schema_of(stage: str, s: Settings) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[stage])
 
 
+#: Columns that later stages see nothing of, so that a change of them alone makes nothing anew.
+UNSEEN = {"vocab": ("df",)}
+
+
+def content_of(name: str, schema: T.StructType) -> Column:
+    """A sum over rows that tells contents apart, whatever their order and the last digits of sums."""
+    cols = [F.round(f"`{f.name}`", 9) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in schema if f.name not in UNSEEN.get(name, ())]
+    # Nulls change no hash, so whether a column is null is hashed too.
+    return F.coalesce(F.sum(F.xxhash64(*cols, *[c.isNull() for c in cols]).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+
 class Manifest:
-    """What was committed: by stage its key and, by part ("" of a table without years), rows, files and bytes.
+    """What was committed: by stage its key and, by part ("" of a table without years), files, bytes, rows, a sum of the rows' hashes, and a hash of what it was made from.
 
     Each version is a file of its own, written under another name and renamed to the next number, so a crash leaves the version before. Reading takes the
     highest that is whole. Only names and sizes of part folders are listed, never files one by one.
@@ -98,17 +110,27 @@ class Manifest:
         got = self.fs.getContentSummary(at)
         return [got.getFileCount(), got.getLength()]
 
-    def commit(self, stage: str, key: str, rows: dict[str, int]) -> None:
-        """Marks parts as written with so many rows."""
+    def commit(self, stage: str, key: str, found: dict[str, tuple[int, str, str]]) -> None:
+        """Marks parts as written: rows, content, and what they were made from."""
         state = self.stages.setdefault(stage, {"key": key, "parts": {}})
-        for part, n in rows.items():
-            state["parts"][part] = [n, *self.size(stage, part)]
+        for part, (rows, content, made_from) in found.items():
+            state["parts"][part] = {"size": self.size(stage, part), "rows": rows, "content": content, "from": made_from}
         self.save()
 
-    def sound(self, stage: str) -> dict[str, int]:
-        """Rows of the parts that are there as they were committed."""
-        parts = self.stages.get(stage, {"parts": {}})["parts"]
-        return {p: n for p, (n, *size) in parts.items() if self.size(stage, p) == size}
+    def parts(self, stage: str) -> dict[str, dict]:
+        return self.stages.get(stage, {"parts": {}})["parts"]
+
+    def sound(self, stage: str) -> set[str]:
+        """The parts that are there as they were committed."""
+        return {p for p, x in self.parts(stage).items() if self.size(stage, p) == x["size"]}
+
+    def contents(self, stage: str, years: Iterable[int] | None = None) -> list:
+        """Contents of a stage's parts, or of those of some years."""
+        return sorted((p, x["content"]) for p, x in self.parts(stage).items() if years is None or int(p.partition("=")[2]) in years)
+
+    def lose(self, stage: str, parts: Iterable[str]) -> None:
+        for p in parts:
+            self.parts(stage).pop(p, None)
 
     def begun(self, stage: str, key: str) -> bool:
         return self.stages.get(stage, {}).get("key") == key
@@ -132,13 +154,20 @@ class Manifest:
             self.forget(stage)
 
 
+#: Contents that a part of a stage was made from: a function of the manifest and the part's year.
+Needs = Callable[[Manifest, int], list]
+
+
 class Stages:
-    """Makes stages in order. One whose settings (or those before it) changed is made anew, with all after it; of one that was interrupted, or whose
-    folders are lost, damaged or half written, only those years are made again. If they then have other rows than before, the input is not
-    what it was, and all after them is made anew too."""
+    """Makes stages in order, each part (a year, or a whole table) at most once.
+
+    A part is made anew if the settings of its stage or of one before changed, if it is lost, damaged or half written, or if the contents of what
+    it is made from changed. So an interrupted run goes on where it was, and a year that is added to the input, which its list of files, sizes and times shows, makes
+    only such years anew as depend on it; the vocabulary is of all years, and as long as its terms are the same so are the vectors of the years before.
+    """
 
     def __init__(self, spark: SparkSession, s: Settings):
-        self.spark, self.s, self.manifest, self.stale = spark, s, Manifest(spark, s.artifacts_dir), False
+        self.spark, self.s, self.manifest = spark, s, Manifest(spark, s.artifacts_dir)
 
     def path(self, name: str) -> str:
         return f"{self.s.artifacts_dir}/{name}"
@@ -149,53 +178,84 @@ class Stages:
             self.manifest.fs.mkdirs(at)
         return self.spark.read.schema(schema_of(name, self.s)).parquet(self.path(name))
 
-    def write(self, name: str, df: DataFrame, by: str | None, key: str, years: list[int] | None) -> None:
-        """Writes a table, or years of it, counts what is there, and commits that."""
-        df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema_of(name, self.s)])
-        artifacts.write_table(df if by is None or years is None else df.filter(F.col(by).isin(years)), self.path(name), by)
-        there = self.read(name)
+    def summed(self, name: str, df: DataFrame, by: str | None) -> dict[str, tuple[int, str]]:
+        """Rows and content of each part of a table."""
+        sums = [F.count("*").alias("n"), content_of(name, schema_of(name, self.s)).alias("c")]
         if by is None:
-            rows = {"": there.count()}
+            r = df.agg(*sums).first()
+            return {"": (r.n, r.c)}
+        return {f"{by}={r[by]}": (r.n, r.c) for r in df.groupBy(by).agg(*sums).collect()}  # a row a year
+
+    def write(self, name: str, df: DataFrame, by: str | None, key: str, made_from: dict[str, str] | None) -> None:
+        """Writes a table, or the years of `made_from`, adds up what is there, and commits that."""
+        df = self.shaped(name, df)
+        years = None if by is None or made_from is None else [int(p.partition("=")[2]) for p in made_from]
+        artifacts.write_table(df if years is None else df.filter(F.col(by).isin(years)), self.path(name), by)
+        there = self.read(name)
+        found = self.summed(name, there if years is None else there.filter(F.col(by).isin(years)), by)
+        self.manifest.commit(name, key, {p: (*found.get(p, (0, "0")), (made_from or {}).get(p, "")) for p in (made_from if made_from is not None else found)})
+        log.info("stage %s: %d rows", name, sum(n for n, _ in found.values()))
+
+    def shaped(self, name: str, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema_of(name, self.s)])
+
+    def begin(self, name: str, of: str | None) -> str:
+        """The stage's key; a stage that was made under another is removed."""
+        key = self.s.stage_key(of or name)
+        if not self.manifest.begun(name, key):
+            self.manifest.forget(name)
+        return key
+
+    def source(self, name: str, make: Callable[[], DataFrame], state: str | None, by: str = "yr") -> DataFrame:
+        """The table of the first stage, which finds the years. state: a text that changes with the input; None if the input is not there.
+
+        When it changed, all is read, and only years whose contents did are written.
+        """
+        key, manifest = self.begin(name, None), self.manifest
+        if name not in manifest.stages:
+            self.write(name, make(), by, key, None)
         else:
-            counts = {r[by]: r["n"] for r in there.groupBy(by).agg(F.count("*").alias("n")).collect()}  # a row a year, from files' footers
-            rows = {f"{by}={y}": counts.get(y, 0) for y in (counts if years is None else years)}
-        before = self.manifest.stages.get(name, {"parts": {}})["parts"]
-        if any(p in before and before[p][0] != n for p, n in rows.items()):
-            log.warning("stage %s: other rows than before, so all after it is made anew", name)
-            self.stale = True
-        self.manifest.commit(name, key, rows)
-        log.info("stage %s: %d rows", name, sum(rows.values()))
-
-    def stage(self, name: str, make: Callable[[], DataFrame], by: str | None = "yr", of: str | None = None, years: list[int] | None = None) -> DataFrame:
-        """The table of a stage. by: its column of years, if it is stored by year; years: those it is to have, where that is known already."""
-        key, manifest = self.s.stage_key(of or name), self.manifest
-        if self.stale or not manifest.begun(name, key):
-            self.stale = True
-            manifest.forget(name)
-        known = manifest.stages.get(name, {"parts": {}})["parts"]
-        sound = manifest.sound(name)
-        if by is None:
-            if "" not in sound:
-                self.write(name, make(), None, key, None)
-        elif years is None:
-            if name not in manifest.stages:
-                self.write(name, make(), by, key, None)
-            elif lost := [int(p.partition("=")[2]) for p in known if p not in sound]:
-                log.info("stage %s: lost years %s", name, lost)
-                self.drop(name, by, lost)
-                self.write(name, make(), by, key, lost)
-        elif todo := [y for y in years if f"{by}={y}" not in sound]:
+            todo = set(manifest.parts(name)) - manifest.sound(name)
+            if state is not None and manifest.stages[name].get("input") != state:
+                now, before = self.summed(name, self.shaped(name, make()), by), manifest.parts(name)
+                gone = set(before) - set(now)
+                todo = {p for p in todo - gone} | {p for p, x in now.items() if p not in before or [before[p]["rows"], before[p]["content"]] != [*x]}
+                manifest.lose(name, gone)
+            if todo:
+                log.info("stage %s: %s", name, sorted(todo))
+                self.drop(name, todo)
+                self.write(name, make(), by, key, dict.fromkeys(sorted(todo), ""))
+        if state is not None and manifest.stages[name].get("input") != state:
+            manifest.stages[name]["input"] = state
+            manifest.save()
+        manifest.only(name, manifest.parts(name))
+        return self.read(name)
+
+    def stage(self, name: str, make: Callable[[], DataFrame], needs: Needs, by: str | None = None, of: str | None = None, years: list[int] | None = None) -> DataFrame:
+        """The table of a stage, whole or, with by and years, year by year."""
+        key, manifest = self.begin(name, of), self.manifest
+        wanted = {f"{by}={y}" if by else "": self.hashed(needs(manifest, y)) for y in (years if by else [0])}
+        sound, known = manifest.sound(name), manifest.parts(name)
+        todo = [p for p, h in wanted.items() if p not in sound or known[p]["from"] != h]
+        if todo and not by:
+            self.write(name, make(), None, key, wanted)
+        elif todo:
             df = make()
-            self.drop(name, by, todo)
+            self.drop(name, todo)
             for i in range(0, len(todo), self.s.years_per_write):
                 some = todo[i : i + self.s.years_per_write]
-                log.info("stage %s: years %s", name, some)
-                self.write(name, df, by, key, some)
-        if by is not None:
-            manifest.only(name, manifest.stages.get(name, {"parts": {}})["parts"])
+                log.info("stage %s: %s", name, some)
+                self.write(name, df, by, key, {p: wanted[p] for p in some})
+        if by:
+            manifest.lose(name, set(manifest.parts(name)) - set(wanted))
+            manifest.only(name, wanted)
         return self.read(name)
 
-    def drop(self, name: str, by: str, years: list[int]) -> None:
+    @staticmethod
+    def hashed(needs: list) -> str:
+        return hashlib.sha256(json.dumps(needs).encode()).hexdigest()[:16]
+
+    def drop(self, name: str, parts: Iterable[str]) -> None:
         """Removes folders of years that are made again, as a year that has no rows now would keep its old ones."""
-        for y in years:
-            self.manifest.fs.delete(self.manifest.path_of(f"{self.path(name)}/{by}={y}"), True)
+        for p in parts:
+            self.manifest.fs.delete(self.manifest.path_of(f"{self.path(name)}/{p}"), True)
