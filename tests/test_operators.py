@@ -91,6 +91,26 @@ def test_bounded_join_computes_fewer_products(spark):
     assert touched == {"x": some.pairs, "y": some.pairs}
 
 
+def test_bucketed_lists_are_joined_without_a_shuffle(spark, tmp_path):
+    """Written once, opened again by path: pairs are those of the vectors, the plan's one exchange adds up pairs; with terms over the limit too."""
+    from textlineage.sources import artifacts
+
+    v = signed(spark, 6)
+    want = {(r.id_x, r.id_y, r.n_terms, round(r.sim, 9)) for r in pairs.pair_similarity(v, 2).collect()}
+    path = f"file://{tmp_path}/lists"
+    artifacts.write_bucketed(pairs.postings(v, most=4), "lists_once", path, 4)
+    spark.sql("DROP TABLE lists_once")  # the files stay
+    try:
+        lists = artifacts.open_bucketed(spark, "lists_again", path, 4)
+        found = pairs.list_similarity(lists, 2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan and "hashpartitioning(yr_x" in plan
+        for most in (pairs.PRODUCTS, 40):
+            assert {(r.id_x, r.id_y, r.n_terms, round(r.sim, 9)) for r in pairs.list_similarity(lists, 2, most).collect()} == want
+    finally:
+        spark.sql("DROP TABLE IF EXISTS lists_again")
+
+
 def test_heavy_terms_are_split_by_their_products(spark):
     """100,000 documents of a year share a term with 3,000 of a later one, and with 2 of another: no key has more than a task's products, and nothing is lost."""
     x = spark.range(100_000).select(F.concat(F.lit("x"), "id").alias("id_x"), F.lit(2000).alias("yr_x"), F.lit(7).alias("term_id"), F.lit(0.5).alias("w_x"))

@@ -87,6 +87,31 @@ def pair_similarity(vectors: DataFrame, window: int, most: int = PRODUCTS) -> Da
     return summed(joined(x, y, year_pairs(vectors.select("yr").distinct(), window), most))
 
 
+def list_similarity(lists: DataFrame, window: int, most: int = PRODUCTS) -> DataFrame:
+    """pair_similarity of the vectors that inverted lists, as `postings` makes them, were made of.
+
+    Lists, not documents, are joined, by term alone, each with those of the later years in the window, and their products are made where they meet. A table in buckets
+    by term (textlineage.sources.artifacts.write_bucketed) is thus joined without a shuffle; the only one left adds up pairs. Terms with more
+    products than a task's, counted from the lists' sizes in a job of its own, go document by document through `joined`, which splits them; as
+    by split_keys there are fewer than MOST_SPLIT of them.
+    """
+    sizes = lists.groupBy("term_id", "yr").agg(F.max("n_docs").alias("n"))
+    later = sizes.select("term_id", F.col("yr").alias("yr_y"), F.col("n").alias("n_y"))
+    met = sizes.join(later, "term_id").filter(F.col("yr_y").between(F.col("yr") + 1, F.col("yr") + window)).groupBy("term_id").agg(F.sum(F.col("n") * F.col("n_y")).alias("n"))
+    known = met.agg(F.sum(F.col("n").cast("double")).alias("total"), F.max("n").alias("top")).first()
+    limit = max(most, int((known.total or 0) // MOST_SPLIT))
+    heavy = F.broadcast(met.filter(F.col("n") > limit).select("term_id")) if (known.top or 0) > limit else None
+    light = lists if heavy is None else lists.join(heavy, "term_id", "left_anti")
+    x = light.select("term_id", F.col("yr").alias("yr_x"), F.col("docs").alias("docs_x"))
+    y = light.select("term_id", F.col("yr").alias("yr_y"), F.col("docs").alias("docs_y"))
+    both = x.hint("merge").join(y, "term_id").filter(F.col("yr_y").between(F.col("yr_x") + 1, F.col("yr_x") + window))
+    both = both.select("yr_x", "yr_y", "docs_y", F.inline("docs_x").alias("id_x", "w_x")).select("yr_x", "yr_y", "id_x", "w_x", F.inline("docs_y").alias("id_y", "w_y"))
+    if heavy is not None:
+        split = entries(lists.join(heavy, "term_id", "left_semi"))
+        both = both.unionByName(joined(*sides_of(split), year_pairs(lists.select("yr").distinct(), window), most).select(*both.columns))
+    return summed(both)
+
+
 def verified(found: DataFrame, vectors: DataFrame, *more: str) -> DataFrame:
     """(yr_x, yr_y, id_x, id_y, n_terms, sim) of given pairs, over all terms that they share; `more` columns of a pair stay."""
     x, y = sides_of(vectors)

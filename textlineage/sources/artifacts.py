@@ -20,6 +20,22 @@ def read_table(spark: SparkSession, path: str, year: int | None = None) -> DataF
     return df if year is None else df.filter(F.col("yr") == year)
 
 
+def write_bucketed(lists: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Inverted lists as a table of the session's catalog, its files below path, in buckets by term, sorted by term and year: joins by term read it without a shuffle.
+
+    One file a bucket, as the lists are dealt by the same hash first. The number of buckets is to follow the data: some 100 MB each.
+    """
+    dealt = lists.repartition(buckets, "term_id")
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, "term_id").sortBy("term_id", "yr").option("path", path).saveAsTable(table)
+
+
+def open_bucketed(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
+    """The table that write_bucketed left at path, also in a session whose catalog doesn't know it yet."""
+    columns = "yr int, term_id int, part int, n_docs bigint, docs array<struct<id: string, w: double>>, max_w double"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (term_id) SORTED BY (term_id, yr) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
