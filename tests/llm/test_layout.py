@@ -59,6 +59,34 @@ def test_packing_round_trip(spark, edge_docs, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def fewest_bins(items, room):
+    """By trying every place of every item, largest first."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def walk(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for left in sorted({b for b in bins if b >= items[i]}):
+            k = bins.index(left)
+            walk(i + 1, [*bins[:k], left - items[i], *bins[k + 1 :]])
+        walk(i + 1, [*bins, room - items[i]])
+
+    walk(0, [])
+    return best
+
+
+def test_plans_of_few_items_are_the_fewest():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        items = rng.integers(3, 20, int(rng.integers(4, 12)))
+        lengths, counts = np.unique(items, return_counts=True)
+        assert sum(t for _, t in packing.plan(lengths, counts, 20)) == fewest_bins(items.tolist(), 20)
+
+
 def test_packing_is_near_the_bound(spark):
     rows = QUERIES["op10_configuration_lp_packing"](spark, "/root/testdata/sf0.01").collect()
     n = check_packing(rows, 2048)

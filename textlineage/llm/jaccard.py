@@ -321,15 +321,18 @@ def classified(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> D
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: of the smallest doc_id and, if that stands at several texts of the class, the least text hash.
 
-    Texts of one doc_id that aren't near duplicates are classes of their own and all stay. Rows with the same doc_id and text are one
-    row, a null text being empty; null ids, which stand for no document, stay as they are.
+    Texts of one doc_id that aren't near duplicates are classes of their own and all stay. Of rows with the same doc_id and text, a null text
+    being empty, the one stays whose other columns are least, in their order, nulls first; null ids, which stand for no document, stay as they are.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = classified(docs.select("doc_id", "text", text.alias("_stage_text")))
     lowest = rows.filter("n > 0 and doc_id = class_id").groupBy("root").agg(F.min(F.struct("doc_id", "_stage_text")).alias("least")).select("least.*")
     kept = lowest.unionByName(rows.filter("n = 0").select("doc_id", "_stage_text")).distinct()
-    named = docs.filter("doc_id is not null").withColumn("_stage_text", text).join(kept, ["doc_id", "_stage_text"], "left_semi").dropDuplicates(["doc_id", "_stage_text"])
-    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null").withColumn("_stage_text", text).join(kept, ["doc_id", "_stage_text"], "left_semi")
+    others = [*(c for c in docs.columns if c not in ("doc_id", "text")), "text"]
+    least = named.groupBy("doc_id", "_stage_text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_stage_row"))
+    columns = [F.col("doc_id") if c == "doc_id" else F.col("_stage_row")[c].alias(c) for c in docs.columns]
+    return least.select(*columns).unionByName(docs.filter("doc_id is null"))
 
 
 def shared_shingles(docs: DataFrame, share: float) -> DataFrame:
