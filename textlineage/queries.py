@@ -41,8 +41,9 @@ def query(f: Query) -> Query:
     @functools.wraps(f)
     def built(spark: SparkSession, d: str) -> DataFrame:
         _plans.clear()
-        out = f(spark, d)
+        out = f(spark, d).select("*")  # none that a lineage holds itself
         weakref.finalize(out, release, _plans[:]).atexit = False
+        _plans.clear()
         return out
 
     QUERIES[f.__name__] = built
