@@ -247,3 +247,12 @@ def test_vector_edge_cases(spark):
     assert got == [(4, 1, 4), (4, 2, 4), (5, 1, 4), (6, 2, 4), (7, 2, 4), (8, 1, 8), (9, 1, 8)]
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
     assert neighbours.near_duplicates(df.filter("vec_id in (5, 6)")).count() == 2
+
+
+def test_of_rows_equal_in_id_and_text_a_fixed_one_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "en", s, n) for s, n in (("b", 1), ("a", 9), ("a", 3), (None, 5))] + [(2, text, "en", "a", 1), (3, None, "fr", "z", 2), (3, "", "de", "y", 1)]
+    want = {(1, text, "en", None, 5), (3, "", "de", "y", 1)}
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows[::-1] if n > 1 else rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        assert {tuple(r) for r in jaccard.one_of_each_class(docs).collect()} == want
