@@ -157,6 +157,8 @@ def bounded_similarity(vectors: DataFrame, window: int, threshold: float, most:
        whose extreme, with all that the other terms can add, reaches the threshold, and in them only such rows.
     2. What a pair has so far and what is left can add decide whether it is dropped.
     3. Those that stay are verified over all terms that they share.
+
+    Hits alone need the first steps once; a reader of dropped pairs too, as `pair_sides` is, computes them twice.
     """
     if threshold <= 0:
         return pair_similarity(vectors, window, most)
