@@ -267,3 +267,54 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.yr, r.term): r.df for r in spark.table("stream_df").collect()}
     assert got[2011, "d"] == 2 and got[2010, "a"] == 2 and len(got) == 12
+
+
+def test_counts_need_no_shuffle_and_add_up_rows_of_one_id(spark, monkeypatch):
+    rows = [("a", 2000, ["x", "y", "x", ""]), ("b", 2000, []), ("c", 2001, ["z"] * 5 + ["x"]), ("d", 2001, ["y"])]
+    tokens = spark.createDataFrame(rows, "id string, yr int, tokens array<string>")
+    want = {("a", "x", 2), ("a", "y", 1), ("a", "", 1), ("c", "z", 5), ("c", "x", 1), ("d", "y", 1)}
+    flat = lambda df: {(r.id, r.term, r.tf) for r in df.collect()}
+    assert flat(vocab.term_counts(tokens)) == flat(vocab.term_counts(tokens, dealt=True)) == want
+    plan = vocab.term_counts(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan and plan.count("ArrowEvalPython") == 1
+    twice = tokens.unionByName(spark.createDataFrame([("a", 2000, ["x"])], tokens.schema))
+    assert flat(vocab.term_counts(twice)) == want - {("a", "x", 2)} | {("a", "x", 3)}
+    df = lambda found: {(r.yr, r.term): r.df for r in found.collect()}
+    for t in (tokens, twice):
+        assert df(vocab.term_df(t)) == df(vocab.term_df_year(vocab.term_counts(t)))
+    few = vocab.counted.func
+    monkeypatch.setattr(vocab, "STEP", 2)
+    import pyarrow as pa
+
+    got = few(pa.array([t for _, _, t in rows], pa.list_(pa.string()))).to_pylist()
+    assert [dict(zip(r["terms"], r["tfs"], strict=True)) for r in got] == [{"x": 2, "y": 1, "": 1}, {}, {"z": 5, "x": 1}, {"y": 1}]
+
+
+def test_wide_stages_are_not_kept(spark):
+    tokens = spark.createDataFrame([(i, y, i, t.split()) for i, y, t in M1], "id string, yr int, title string, tokens array<string>")
+    x = Lineage(tokens, Settings(min_term_count=1, max_doc_freq_ratio=0.9), keep=True, wide=False)
+    x.vectors.count()
+    assert not x.vectors.is_cached and not x.counts.is_cached and x.term_df.is_cached
+    x.release()
+
+
+@pytest.mark.parametrize("strategy", ["native", "prefix", "bounded"])
+def test_blocks_give_the_pairs_of_the_term_join(spark, monkeypatch, strategy):
+    """Whatever the blocks' sizes and the steps', with no shuffle of products; sums by document are those of the pairs."""
+    from textlineage.operators import blocks
+
+    v = signed(spark, 5)
+    native = pairs.pair_similarity(v, 2)
+    key = lambda df: {(r.yr_x, r.yr_y, r.id_x, r.id_y, round(r.sim, 9)) for r in df.collect()}
+    want = key(pairs.hits(native, 0.3))
+    for size in (7, 10**6):
+        assert key(blocks.similarity(v, 2, 0.3, strategy, hits=True, earlier=size, most=2 * size)) == want
+        found = blocks.similarity(v, 2, 0.3, strategy, earlier=size, most=2 * size)
+        if strategy == "native":
+            full = lambda df: {(r.id_x, r.id_y, r.n_terms, round(r.sim, 9)) for r in df.collect()}
+            assert full(found) == full(native)
+        flat = lambda df: {(r.yr_x, r.yr_y, r.side, r.id, round(r.contrib, 9), r.hits, r.touched, r.ops) for r in df.collect()}
+        assert flat(blocks.sides(v, 2, 0.3, strategy, earlier=size, most=2 * size)) == flat(pairs.pair_sides(found, 0.3))
+    plan = blocks.similarity(v, 2, 0.3, strategy)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(yr_x" not in plan
+    assert blocks.similarity(v.filter("yr = 2000"), 2, 0.3, strategy).count() == 0
