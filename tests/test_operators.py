@@ -318,3 +318,44 @@ def test_blocks_give_the_pairs_of_the_term_join(spark, monkeypatch, strategy):
     plan = blocks.similarity(v, 2, 0.3, strategy)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning(yr_x" not in plan
     assert blocks.similarity(v.filter("yr = 2000"), 2, 0.3, strategy).count() == 0
+
+
+def bounds_by_hand(rows, window, threshold):
+    """What is left to add, candidates and those ruled out, a document and pair of years."""
+    docs, top = {}, {}
+    for i, y, t, w in rows:
+        docs.setdefault((i, y), {})[t] = w
+        top[y, t] = max(top.get((y, t), -9), w)
+    years, out = {y for _, y in docs}, {}
+    for (i, y), own in docs.items():
+        for later in sorted(z for z in years if y < z <= y + window):
+            bound = {t: round(w * top.get((later, t), 0.0), 12) for t, w in own.items()}
+            order = sorted(own, key=lambda t: (-bound[t], t))
+            left = [round(sum(bound.values()) - sum(bound[t] for t in order[: k + 1]), 9) for k in range(len(order))]
+            left[-1] = 0.0
+            above = sum(v > 0 for v in left)
+            touched = dead = 0
+            for (_, z), other in docs.items():
+                shared = [k for k, t in enumerate(order) if t in other]
+                if z != later or not shared:
+                    continue
+                touched += 1
+                has = [sum(own[t] * other.get(t, 0.0) for t in order[: k + 1]) for k in range(len(order))]
+                dead += any(round(has[k] + left[k], 9) < threshold for k in range(shared[0], min(len(order), above)))
+            out[y, later, i] = (round(sum(bound.values()), 6), *[round(left[k - 1], 6) if len(left) >= k else 0.0 for k in (1, 3, 5, 10)], touched, dead)
+    return out
+
+
+def test_bounds_by_blocks_are_those_by_hand(spark):
+    """Whatever the blocks' sizes, for weights of any sign, with no shuffle of products."""
+    from textlineage.operators import blocks
+
+    v = signed(spark, 6)
+    rows = [tuple(r) for r in v.collect()]
+    for threshold in (0.05, 0.5):
+        want = bounds_by_hand(rows, 2, threshold)
+        for size in (7, 10**6):
+            got = {(r[0], r[1], r[2]): (*[round(x, 6) + 0.0 for x in r[3:8]], r.touched, r.dead) for r in blocks.bounds(v, 2, threshold, earlier=size, most=2 * size).collect()}
+            assert {k: tuple(x + 0.0 for x in w) for k, w in want.items()} == got
+    plan = blocks.bounds(v, 2, 0.05)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "id_y" not in plan

@@ -7,16 +7,53 @@ import logging
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CJK = "[\\u4e00-\\u9fff]+"
 
 
+#: Bytes of texts that a step looks at, a text at least.
+STEP = 4 << 20
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def letter_runs(texts: pa.Array) -> pa.Array:
+    """The runs of a to z of each text, null for null: found in the bytes of many texts at once, several times cheaper than a match a word."""
+    texts, out, i = texts.cast(pa.large_string()), [], 0
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    while i < len(texts) or not out:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + STEP, side="right")) - 1)
+        out.append(runs(data[at[i] : at[min(j, len(texts))]], at[i : j + 1] - at[i], texts.slice(i, j - i).is_null()))
+        i = j
+    return pa.concat_arrays(out)
+
+
+def runs(data: np.ndarray, at: np.ndarray, null: pa.Array) -> pa.Array:
+    """letter_runs of texts that lie between the places `at`."""
+    inside = data - np.uint8(97) < 26
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    filled = at[:-1] < at[1:]  # a run ends with its text
+    first, last = at[:-1][filled], at[1:][filled] - 1
+    begins[first], ends[last] = inside[first], inside[last]
+    starts = np.flatnonzero(begins)
+    lengths = np.flatnonzero(ends) + 1 - starts
+    places = np.append(0, np.cumsum(lengths)).astype(np.int32)  # in the letters alone
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, at).astype(np.int32)), words, mask=null)
+
+
 def regex_words(text: Column) -> Column:
     """Lower-case runs of a to z."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return letter_runs(F.lower(text))
 
 
 def cjk_runs(text: Column) -> Column:

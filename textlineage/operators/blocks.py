@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlineage.functions.joins import checked_small
+from textlineage.operators.weight import MOST_TERMS
+
 #: Entries of a block of earlier and of later documents, about; products that a step adds up.
-EARLIER, LATER, STEP = 2_000_000, 4_000_000, 4_000_000
+EARLIER, LATER, STEP = 8_000_000, 4_000_000, 1 << 20
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -253,3 +256,72 @@ def sides(vectors: DataFrame, window: int, threshold: float, strategy: str = "na
 
     found = met(packed(vectors), vectors, window, kernel, "yr_x int, yr_y int, side string, id string, contrib double, hits long, touched long, ops long", **sizes)
     return found.groupBy("yr_x", "yr_y", "side", "id").agg(*[F.sum(c).alias(c) for c in names[4:]])
+
+
+def running(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the values of each group up to each, added up in order and in the group alone, so that groups before leave no error."""
+    out = values.copy()
+    for j in range(1, int(size.max(initial=0))):
+        at = first[size > j] + j
+        out[at] += out[at - 1]
+    return out
+
+
+#: After so many terms it is said what is left to add.
+LEFT_AFTER = (1, 3, 5, 10)
+
+
+def bounds(vectors: DataFrame, window: int, threshold: float, **sizes) -> DataFrame:
+    """(yr_x, yr_y, id, remain_init, remain_k1, ..., touched, dead): of each document of the earlier year what its terms can add to a similarity at first
+    and after some of them (0 where there are fewer), its candidates, and those that the bound rules out.
+
+    A term can add its weight times the later year's largest of the term; terms go from the one that can add most down, ties by term. A candidate is ruled out if,
+    after some term from its first shared one on, what it has and what is left are below the threshold. Documents take the largest weights of their terms,
+    one a later year of the window, to the blocks; no product leaves a task.
+    """
+    top = vectors.groupBy("term_id", "yr").agg(F.max("w").alias("m"))
+    top = top.groupBy("term_id").agg(F.map_from_entries(F.collect_list(F.struct("yr", "m"))).alias("m"))
+    near = F.map_filter("m", lambda y, _: y.between(F.col("yr") + 1, F.col("yr") + window))
+    x = vectors.join(checked_small(top, MOST_TERMS), "term_id").select("id", "yr", F.struct("term_id", "w", near.alias("m")).alias("e"))
+    x = x.groupBy("id", "yr").agg(F.collect_list("e").alias("e")).withColumn("yr_y", F.explode(F.sequence(F.col("yr") + 1, F.col("yr") + window)))
+    tops = F.transform("e", lambda e: F.coalesce(F.try_element_at(e["m"], F.col("yr_y")), F.lit(0.0)))
+    x = x.select("id", "yr", "yr_y", F.col("e.term_id").alias("terms"), F.col("e.w").alias("ws"), tops.alias("tops"))
+    names = ["yr_x", "yr_y", "id", "remain_init", *[f"remain_k{k}" for k in LEFT_AFTER], "touched", "dead"]
+
+    def kernel(y: Lists, rows: pa.RecordBatch | None, state: dict) -> Iterator[pa.RecordBatch]:
+        if rows is None:
+            return
+        doc, term, w = entries(rows)
+        bound = np.round(w * rows.column("tops").flatten().to_numpy(zero_copy_only=False), 12)
+        by = np.lexsort((term, -bound, doc))
+        term, w, bound = term[by], w[by], bound[by]
+        n = np.bincount(doc, minlength=rows.num_rows)
+        first = np.cumsum(n) - n
+        k = np.arange(len(doc)) - first[doc]
+        upto = running(bound, first, n)
+        total = upto[first + n - 1]
+        left = np.where(k == n[doc] - 1, 0.0, np.round(total[doc] - upto, 9))
+        # What is left falls while bounds are positive, so it is above 0 for the first terms only.
+        above = np.bincount(doc, left > 0, minlength=rows.num_rows).astype(np.int64)
+        at = y.find(term)
+        met = np.flatnonzero(at >= 0)
+        which, place = y.products(at[met])
+        key = doc[met[which]] * y.n + y.doc[place]
+        order = np.argsort(key, kind="stable")
+        key, entry, p = key[order], met[which[order]], w[met[which[order]]] * y.w[place[order]]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        acc = running(p, new, np.diff(np.append(new, len(key))))
+        # Between two shared terms the bound is least just before the second, while anything is left.
+        until = n[doc[entry]] - 1
+        until[:-1] = np.where(key[1:] == key[:-1], k[entry[1:]] - 1, until[:-1])
+        until = np.minimum(until, above[doc[entry]] - 1)
+        out = (until >= k[entry]) & (np.round(acc + left[first[doc[entry]] + np.maximum(until, 0)], 9) < threshold)
+        pair = key[new] // max(1, y.n)
+        dead = np.logical_or.reduceat(out, new) if len(new) else out
+        after = [np.where(n >= i, left[first + np.minimum(n, i) - 1], 0.0) for i in LEFT_AFTER]
+        sums = [np.bincount(pair, v, minlength=rows.num_rows).astype(np.int64) for v in (np.ones(len(pair)), dead)]
+        yield batch(names, *[np.full(rows.num_rows, v, np.int32) for v in state["years"]], rows.column("id"), total, *after, *sums)
+
+    schema = "yr_x int, yr_y int, id string, remain_init double, " + ", ".join(f"remain_k{k} double" for k in LEFT_AFTER) + ", touched long, dead long"
+    found = met(x, vectors, window, kernel, schema, **sizes)
+    return found.groupBy("yr_x", "yr_y", "id").agg(*[F.max(c).alias(c) for c in names[3:-2]], F.sum("touched").alias("touched"), F.sum("dead").alias("dead"))

@@ -247,28 +247,11 @@ def bounded_terms(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.withColumn("remain", F.when(F.col("k") == F.col("n"), F.lit(0.0)).otherwise(F.round(F.col("total") - F.col("_sum"), 9))).drop("max_w", "bound", "_sum")
 
 
-def pair_bounds(vectors: DataFrame, docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """By pair of years, over all x documents: what is left to add at first and after 1, 3, 5 and 10 terms (0 where there are fewer), and the
-    share of candidates that the bound rules out on the way, mean and P90.
-
-    A candidate is ruled out if, after some term from its first shared one on, what it has and what is left are below the threshold.
-    """
-    terms = bounded_terms(vectors, pairs)
-    # What is left falls while bounds are positive, so it is above 0 for the first terms only.
-    terms = terms.withColumn("above", F.sum((F.col("remain") > 0).cast("long")).over(Window.partitionBy("yr_x", "yr_y", "id")))
-    after = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("remain"))), F.lit(0.0)).alias(f"remain_k{k}") for k in (1, 3, 5, 10)]
-    per_x = terms.groupBy("yr_x", "yr_y", "id").agg(F.max("total").alias("remain_init"), *after)
-    y = vectors.select(F.col("id").alias("id_y"), F.col("yr").alias("yr_y"), "term_id", F.col("w").alias("w_y"))
-    step = Window.partitionBy("yr_x", "yr_y", "id", "id_y").orderBy("k")
-    met = terms.join(y, ["yr_y", "term_id"]).withColumns({"acc": F.sum(F.col("w") * F.col("w_y")).over(step), "_next": F.lead("k").over(step)})
-    # Between two shared terms the bound is least just before the second, while anything is left.
-    met = met.withColumn("at", F.least(F.coalesce(F.col("_next") - 1, F.col("n")), "above")).filter("at >= k")
-    left = terms.select("yr_x", "yr_y", "id", F.col("k").alias("at"), F.col("remain").alias("left"))
-    out = met.join(left, ["yr_x", "yr_y", "id", "at"]).filter(F.round(F.col("acc") + F.col("left"), 9) < threshold)
-    dead = out.select("yr_x", "yr_y", "id", "id_y").distinct().groupBy("yr_x", "yr_y", "id").agg(F.count("*").alias("dead"))
-    touched = terms.join(y, ["yr_y", "term_id"]).select("yr_x", "yr_y", "id", "id_y").distinct().groupBy("yr_x", "yr_y", "id").agg(F.count("*").alias("touched"))
+def pair_bounds(bounds: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """By pair of years, over all x documents, from blocks.bounds: what is left to add at first and after 1, 3, 5 and 10 terms, and the
+    share of candidates that the bound rules out on the way, mean and P90."""
     every = docs.select("id", F.col("yr").alias("yr_x")).join(F.broadcast(pairs), "yr_x")
-    rows = every.join(per_x, ["yr_x", "yr_y", "id"], "left").join(touched, ["yr_x", "yr_y", "id"], "left").join(dead, ["yr_x", "yr_y", "id"], "left").na.fill(0)
+    rows = every.join(bounds, ["yr_x", "yr_y", "id"], "left").na.fill(0)
     rows = rows.withColumn("ratio", F.when(F.col("touched") > 0, F.col("dead") / F.col("touched")).otherwise(F.lit(0.0)))
     names = ["remain_init", "remain_k1", "remain_k3", "remain_k5", "remain_k10"]
     return rows.groupBy("yr_x", "yr_y").agg(F.avg("ratio").alias("pruned_avg"), F.percentile("ratio", F.lit(0.9)).alias("pruned_p90"), *[F.avg(c).alias(c) for c in names])

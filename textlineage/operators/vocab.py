@@ -78,7 +78,7 @@ def term_df(tokens: DataFrame) -> DataFrame:
     """(yr, term, df) of tokens: term_df_year(term_counts(tokens)), without the counts while no id repeats."""
     if repeats(tokens):
         return term_df_year(term_counts(tokens))
-    return term_df_year(tokens.select("yr", F.explode(F.array_distinct("tokens")).alias("term")))
+    return term_df_year(tokens.select("yr", counted("tokens").alias("c")).select("yr", F.explode("c.terms").alias("term")))
 
 
 def docs_per_year(tokens: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from textlineage.config import Settings
+from textlineage.functions.joins import checked_small
 from textlineage.operators import blocks, pairs, prune, score, vocab, weight
 
 
 class Lineage:
     """Stages of one corpus. Each is a DataFrame; nothing runs until a result is read, but that the vocabulary, idf and the columns
-    to remove are counted, to choose how they are ranked and joined, and so are the products of terms before pairs.
+    to remove are counted, to choose how they are ranked and joined, so are the entries of years before pairs, and with `keep` the documents of years are listed.
 
     tokens: (id, yr, title, tokens, extras...). Stages that later ones read are kept (memory, then disk) when `keep` is set, until `release`.
     Term counts and vectors, which have a row a document and term and are several times the input, are not with `wide` unset: they are made again from
@@ -28,6 +29,10 @@ class Lineage:
             self._kept.append(df.persist())
         return df
 
+    def listed(self, df: DataFrame) -> DataFrame:
+        """A stage of a row a year or pair of years, made at once when stages are kept: plans that read it stay short."""
+        return df.sparkSession.createDataFrame(df.toArrow()) if self.keep else df
+
     def release(self) -> None:
         """Frees what was kept, once the results are read."""
         for df in self._kept:
@@ -40,7 +45,7 @@ class Lineage:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.kept(vocab.docs_per_year(self.tokens))
+        return self.listed(vocab.docs_per_year(self.tokens))
 
     @cached_property
     def term_df(self) -> DataFrame:
@@ -64,7 +69,10 @@ class Lineage:
 
     @cached_property
     def vector_docs(self) -> DataFrame:
-        return self.kept(weight.vector_docs(self.vectors))
+        if self.wide:
+            return self.kept(weight.vector_docs(self.vectors))
+        terms = vocab.term_counts(self.tokens).join(checked_small(self.vocab.select("term"), weight.MOST_TERMS), "term", "left_semi")
+        return self.kept(weight.vector_docs(terms))  # without the vectors' shuffle
 
     @cached_property
     def removed(self) -> DataFrame:
@@ -95,7 +103,7 @@ class Lineage:
 
     @cached_property
     def year_pairs(self) -> DataFrame:
-        return pairs.year_pairs(self.vector_docs.select("yr").distinct(), self.s.window_size)
+        return self.listed(pairs.year_pairs(self.vector_docs.select("yr").distinct(), self.s.window_size))
 
     @cached_property
     def sides(self) -> DataFrame:
