@@ -359,3 +359,33 @@ def test_bounds_by_blocks_are_those_by_hand(spark):
             assert {k: tuple(x + 0.0 for x in w) for k, w in want.items()} == got
     plan = blocks.bounds(v, 2, 0.05)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "id_y" not in plan
+
+
+def test_words_are_the_matches_of_the_expression(monkeypatch):
+    """Whatever the steps; runs end with their text, null stays null."""
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from textlineage.functions import tokenize
+
+    rng = random.Random(1)
+    for step in (4, 1 << 20):
+        monkeypatch.setattr(tokenize, "STEP", step)
+        for _ in range(100):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choice("ab zé0中A-") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 7))]
+            want = [None if t is None else re.findall("[a-z]+", t) for t in texts]
+            assert tokenize.letter_runs.func(pa.array(texts, pa.string())).to_pylist() == want
+            assert tokenize.letter_runs.func(pa.array(texts, pa.string()).slice(2)).to_pylist() == want[2:]
+
+
+def test_tables_of_a_row_a_year_are_listed(spark):
+    """Their plans hold none of the stages that they were made from, also without rows."""
+    tokens = spark.createDataFrame([(i, y, i, t.split()) for i, y, t in M1], "id string, yr int, title string, tokens array<string>")
+    for rows in (tokens, tokens.limit(0)):
+        x = Lineage(rows, Settings(min_term_count=1, max_doc_freq_ratio=0.9), keep=True, wide=False)
+        assert {tuple(r) for r in x.docs.collect()} == {tuple(r) for r in vocab.docs_per_year(rows).collect()}
+        assert x.docs.schema.simpleString() == "struct<yr:int,docs:bigint>"
+        assert "Aggregate" not in x.docs._jdf.queryExecution().optimizedPlan().toString()
+        x.release()
