@@ -389,3 +389,11 @@ def test_tables_of_a_row_a_year_are_listed(spark):
         assert x.docs.schema.simpleString() == "struct<yr:int,docs:bigint>"
         assert "Aggregate" not in x.docs._jdf.queryExecution().optimizedPlan().toString()
         x.release()
+
+
+def test_frequencies_have_no_aggregate_before_the_exchange(spark):
+    """A hash table of a task's (yr, term) grows with what the task reads; steps of a fixed size don't."""
+    tokens = spark.createDataFrame([(i, y, t.split()) for i, y, t in M1], "id string, yr int, tokens array<string>")
+    plan = vocab.term_df(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Aggregate" not in plan.split("Exchange", 1)[1]
+    assert {tuple(r) for r in vocab.docs_per_year(tokens, made=True).collect()} == {tuple(r) for r in vocab.docs_per_year(tokens).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -74,16 +76,64 @@ def term_counts(tokens: DataFrame, dealt: bool = False) -> DataFrame:
     return rows.withColumn("tf", F.col("tf").cast("long"))
 
 
-def term_df(tokens: DataFrame) -> DataFrame:
-    """(yr, term, df) of tokens: term_df_year(term_counts(tokens)), without the counts while no id repeats."""
-    if repeats(tokens):
-        return term_df_year(term_counts(tokens))
-    return term_df_year(tokens.select("yr", counted("tokens").alias("c")).select("yr", F.explode("c.terms").alias("term")))
+def document_counts(tokens: DataFrame, repeated: bool) -> DataFrame:
+    """(id, yr, terms, tfs): a row a document. `repeated`, as `repeats` says, adds up rows of one id; documents without a token have then no row."""
+    if not repeated:
+        return tokens.select("id", "yr", counted("tokens").alias("c")).select("id", "yr", "c.terms", "c.tfs")
+    rows = tokens.select("id", "yr", F.explode("tokens").alias("term")).groupBy("id", "yr", "term").agg(F.count("*").cast("int").alias("tf"))
+    return rows.groupBy("id", "yr").agg(F.collect_list(F.struct("term", "tf")).alias("c")).select("id", "yr", F.col("c.term").alias("terms"), F.col("c.tf").alias("tfs"))
+
+
+def steps(batches: Iterator[pa.RecordBatch], lists: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows, cut and put together so that each batch has about so many entries of a list column, a row at least."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(lists)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            before = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + most - size, side="right")))
+            held.append(batch.slice(i, j - i))
+            size += int(ends[j - 1]) - before
+            if size >= most or j < batch.num_rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            i = j
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+#: Entries of documents that a step adds up by year and term.
+ENTRIES = 1 << 21
+
+
+def term_df(tokens: DataFrame, repeated: bool | None = None) -> DataFrame:
+    """(yr, term, df) of tokens: term_df_year(term_counts(tokens)).
+
+    Documents are added up some at a time, so that a task's memory doesn't grow with its terms, and dealt by term, as what reads the sums needs them.
+    """
+    counts = document_counts(tokens, repeats(tokens) if repeated is None else repeated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in steps(batches, "terms", ENTRIES):
+            lengths = pc.fill_null(pc.list_value_length(rows.column("terms")), 0).to_numpy(zero_copy_only=False)
+            years, words = rows.column("yr").dictionary_encode(null_encoding="encode"), rows.column("terms").flatten().dictionary_encode(null_encoding="encode")
+            n = max(1, len(words.dictionary))
+            key, df = np.unique(np.repeat(years.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths) * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([years.dictionary.take(pa.array(key // n)), words.dictionary.take(pa.array(key % n)), pa.array(df)], ["yr", "term", "df"])
+
+    rows = counts.select("yr", "terms").mapInArrow(run, f"yr {counts.schema['yr'].dataType.simpleString()}, term string, df long")
+    return rows.repartition("term").groupBy("yr", "term").agg(F.sum("df").alias("df"))
+
+
+@F.arrow_udf(T.BooleanType())
+def filled(lists: pa.Array) -> pa.Array:
+    return pc.greater(pc.fill_null(pc.list_value_length(lists), 0), 0)
 
 
-def docs_per_year(tokens: DataFrame) -> DataFrame:
-    """(yr, docs) over documents with a token."""
-    return tokens.filter(F.size("tokens") > 0).groupBy("yr").agg(F.count("*").alias("docs"))
+def docs_per_year(tokens: DataFrame, made: bool = False) -> DataFrame:
+    """(yr, docs) over documents with a token; made: tokens that are made in Python as they are read are looked at there."""
+    return tokens.filter(filled("tokens") if made else F.size("tokens") > 0).groupBy("yr").agg(F.count("*").alias("docs"))
 
 
 def docs_per_year_all(tokens: DataFrame) -> DataFrame:
