@@ -391,6 +391,37 @@ def test_tables_of_a_row_a_year_are_listed(spark):
         x.release()
 
 
+def test_vectors_in_rows_are_those_of_the_joins(spark, monkeypatch):
+    """Whatever the steps, also where ids repeat or documents are empty, and where arrays would be too long; the vectors need no shuffle."""
+    import random
+
+    from textlineage.operators import weight
+
+    rng = random.Random(8)
+    rows = [(f"d{i}", 2010 + i % 4, f"d{i}", [rng.choice("abcdefghijkl") for _ in range(rng.choice([0, 1, 3, 9, 30]))]) for i in range(60)]
+    stop = spark.createDataFrame([("a",), ("l",)], "term string")
+    flat = lambda df, *c: sorted(tuple(round(v, 9) + 0.0 if isinstance(v, float) else v for v in r) for r in df.select(*c).collect())
+    for more in ([], [rows[3], rows[10]]):
+        tokens = spark.createDataFrame([*rows, *more], "id string, yr int, title string, tokens array<string>").cache()
+        s = Settings(min_term_count=1, max_doc_freq_ratio=0.9, df_ratio_threshold=0.6, top_df_percent=0.1, topk_terms_per_doc=4)
+        want = Lineage(tokens, s, stop, keep=True)
+        for most, step in ((1 << 24, 5), (1 << 24, 1 << 20), (0, 1 << 20)):
+            monkeypatch.setattr(weight, "MOST_CELLS", most)
+            monkeypatch.setattr(weight, "ENTRIES", step)
+            monkeypatch.setattr(vocab, "ENTRIES", step)
+            x = Lineage(tokens, s, stop, keep=True, wide=False)
+            assert flat(x.term_df, "yr", "term", "df") == flat(want.term_df, "yr", "term", "df")
+            assert (x.weights is None) == (x.pruned is None) == (most == 0)
+            assert flat(x.tfidf, "id", "yr", "term", "term_id", "tf", "idf", "w") == flat(want.tfidf, "id", "yr", "term", "term_id", "tf", "idf", "w")
+            for name in ("vectors", "filtered", "top"):
+                assert flat(getattr(x, name), "id", "yr", "term", "term_id", "w") == flat(getattr(want, name), "id", "yr", "term", "term_id", "w")
+            assert flat(x.vector_docs, "id", "yr") == flat(want.vector_docs, "id", "yr")
+            if most and not more:
+                assert "Exchange" not in x.vectors._jdf.queryExecution().executedPlan().toString()
+            x.release()
+        want.release()
+
+
 def test_frequencies_have_no_aggregate_before_the_exchange(spark):
     """A hash table of a task's (yr, term) grows with what the task reads; steps of a fixed size don't."""
     tokens = spark.createDataFrame([(i, y, t.split()) for i, y, t in M1], "id string, yr int, tokens array<string>")

@@ -7,6 +7,7 @@ import functools
 import weakref
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, d: str) -> Lineage:
-    words = spark.createDataFrame([(w,) for w in STOP], "term string")
+    words = spark.createDataFrame(pa.table({"term": STOP}))  # needs no Python worker
     _plans.append(Lineage(vocab.tokenized(corpus(spark, d), regex_words), SETTINGS, words, keep=True, wide=False))
     return _plans[-1]
 
@@ -352,20 +353,18 @@ def q_row_len_hist(spark, d):
 @query
 def q_topk_weight_stats(spark, d):
     x = lineage(spark, d)
-    top = prune.top_k_terms(x.vectors, SETTINGS.topk_terms_per_doc, keep_all_if_not_positive=True)
-    return stats.topk_weight_stats(top, x.vector_docs).select("yr", "docs", *r6("mean_sum", "mean_sum_sq"))
+    return stats.topk_weight_stats(x.top, x.vector_docs).select("yr", "docs", *r6("mean_sum", "mean_sum_sq"))
 
 
 @query
 def q_topk_df(spark, d):
-    return stats.topk_df(prune.top_k_terms(lineage(spark, d).vectors, SETTINGS.topk_terms_per_doc, keep_all_if_not_positive=True))
+    return stats.topk_df(lineage(spark, d).top)
 
 
 @query
 def q_topk_df_pair_sum(spark, d):
     x = lineage(spark, d)
-    top = prune.top_k_terms(x.vectors, SETTINGS.topk_terms_per_doc, keep_all_if_not_positive=True)
-    return stats.df_pair_sum(stats.topk_df(top), x.vector_docs.select("yr").distinct(), key="term_id")
+    return stats.df_pair_sum(stats.topk_df(x.top), x.vector_docs.select("yr").distinct(), key="term_id")
 
 
 def in_vocab(x: Lineage) -> DataFrame:
