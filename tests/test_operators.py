@@ -428,3 +428,15 @@ def test_frequencies_have_no_aggregate_before_the_exchange(spark):
     plan = vocab.term_df(tokens)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "Aggregate" not in plan.split("Exchange", 1)[1]
     assert {tuple(r) for r in vocab.docs_per_year(tokens, made=True).collect()} == {tuple(r) for r in vocab.docs_per_year(tokens).collect()}
+
+
+def test_short_column_lists_leave_vectors_where_they_are(spark):
+    v = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.1), ("b", "x", 0.0), ("b", "z", 1.0)], "id string, term string, w double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = prune.drop_columns(v, v.filter("term = 'y'").select("term"), ["term"])
+        assert sorted((r.id, r.term) for r in found.collect()) == [("a", "x"), ("b", "z")]
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -14,8 +14,8 @@ def stop_columns(vocab: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def drop_columns(vectors: DataFrame, columns: DataFrame, on: list[str]) -> DataFrame:
-    """vectors without the listed columns and without zero weights."""
-    return vectors.join(columns.select(*on).distinct(), on, "left_anti").filter("w <> 0")
+    """vectors without the listed columns and without zero weights; while the list is short, which is counted first, the vectors stay where they are."""
+    return vectors.join(checked_small(columns.select(*on).distinct()), on, "left_anti").filter("w <> 0")
 
 
 def ratio_columns(term_df: DataFrame, docs: DataFrame, vocab: DataFrame, threshold: float) -> DataFrame:
