@@ -309,3 +309,20 @@ def test_embedded_words_follow_the_corpus(spark):
     assert len(model.frequent) == sum(n >= least for n in c.values()) > 2 * bilinear.FREQUENT and len(few.frequent) < len(model.frequent)
     for vectors in (model.context, model.result[:, :-1]):  # equal only where words of a class have the same neighbours
         assert len(np.unique(vectors, axis=0)) > 0.98 * len(vectors)
+
+
+def test_every_context_of_two_words_has_direct_weights(spark, monkeypatch):
+    """None is left out by a hash, and buckets of any number, which blocks of documents meet in pieces, give the same sums."""
+    hashes = np.random.default_rng(6).integers(1, 1 << 62, 100, dtype=np.uint64)
+    place, ctx = bilinear.two_words(hashes, np.array([0, 60, 61, 100]))
+    assert len(place) == 59 + 38 and len(set(ctx.tolist())) == 97
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(rng.zipf(1.3)) % 300}" for _ in range(int(rng.integers(0, 50)))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:20], "a b " * 400])), "doc_id long, text string").repartition(5)
+    model, tail = bilinear.fit(docs)
+    found = lambda: {r.doc_id: r for r in bilinear.score(docs, model, tail).collect()}
+    want = found()
+    monkeypatch.setattr(bilinear, "MET", 100)
+    got = found()
+    assert set(got) == set(want) and all(got[i].score == pytest.approx(want[i].score, rel=1e-5) and got[i].memory == pytest.approx(want[i].memory, abs=1e-5) for i in want)
+    assert any(r.memory > 0 for r in want.values())

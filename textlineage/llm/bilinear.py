@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlineage.llm.common import BASE, LOWER, U64, VISIBLE, cut, drop, fetch, fold, join_split, mix, partitions, span_hashes, steps, task_sums, text_buffers, word_bounds
+from textlineage.llm.common import BASE, LOWER, U64, VISIBLE, cut, drop, fetch, fold, free_shuffles, mix, partitions, span_hashes, steps, task_sums, text_buffers, word_bounds
 
 #: Words that the first fit tells apart, classes by their ends of words without an embedding, and words whose counts every task holds.
 FREQUENT, RARE, HEAD = 1_000, 96, 1 << 19
@@ -22,8 +23,9 @@ SMOOTH = 0.1
 SPARSE = 120
 #: Draws of noise per pair; steps and rate of the fit of all words, and how strongly a word keeps to the class it begins with.
 NOISE, STEPS, RATE, KEEP = 20, 10, 0.05, 3.0
-#: One in SAMPLED (a power of 2) contexts of two words has direct weights, which a pull of DIRECT occurrences keeps to the bilinear model.
-SAMPLED, DIRECT = 16, 4.0
+#: Every context of two words has direct weights, which a pull of DIRECT occurrences keeps to the bilinear model; tokens for each bucket of contexts,
+#: bits of a context's hash (at 30 GB one in some 20 million contexts shares its own).
+DIRECT, MET, BITS = 4.0, 2_000_000, 56
 #: The most frequent classes of a noise set, which are taken exactly, and draws that stand for the others.
 EXACT, DRAWS = 1_000, 1_000
 
@@ -412,22 +414,25 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, frequent_tokens, memory) of each document.
 
-    score is the log10 probability of the text and its end: a class after a class, or after two words where those are a sampled context, times the word's smoothed share of its rare
-    class. Words that the head lacks, and contexts, are counted through joins, so every count is exact. memory is what direct weights that other training documents
-    have taught give to a token after a sampled context, in log10 and on average: near 0 or less for a text like no other, high for one that occurs elsewhere in the training part.
+    score is the log10 probability of the text and its end: a class after a class, or after two words where the text has two before it, times the word's smoothed share of its rare
+    class. Words that the head lacks, and contexts, are counted through shuffles, so every count is exact. memory is what direct weights that other training documents
+    have taught give to a token after two words, in log10 and on average: near 0 or less for a text like no other, high for one that occurs elsewhere in the training part.
     A null text is empty: its only token is the end. Texts of any length are scored whole. Rows that repeat a doc_id are scored each; equal texts have equal scores. A null doc_id
     is never held out. An empty table gives an empty table; other columns are ignored.
     """
+    buckets = max(1, min(partitions(docs), model.total // MET))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for b in steps(batch, "text"):
+            for b in steps(batch, "text", 4 << 20):
                 n = b.num_rows
                 h, r, first = tokens(b)
                 cls = model.classes(h, r)
                 before, current = transitions(cls, first)
                 ends = first + np.arange(n + 1)
-                after = np.concatenate([[0.0], np.cumsum(model.after(before, current))])
+                log_p = model.after(before, current)
+                after = np.concatenate([[0.0], np.cumsum(log_p)])
                 owner = np.repeat(np.arange(n), np.diff(first))
                 if len(model.head):
                     at = np.minimum(np.searchsorted(model.head, h), len(model.head) - 1)
@@ -441,36 +446,56 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
                 sums = lambda v: np.bincount(owner, weights=v, minlength=n)  # noqa: E731, B023
                 in_class = np.where(is_rare, log_c - model.rare_norm[r], 0.0)
                 end_log = np.log10(model.end_count + SMOOTH)
-                # Words that the head lacks, by document, with how often they occur; the same of sampled contexts and what follows them.
+                # Words that the head lacks, by document, with how often they occur.
                 lost = np.flatnonzero(~known)
-                lists = [*by_document(owner[lost], h[lost], n)[:2]]
+                yield laid_out(
+                    n, bucket=np.full(n, (uid + (uid >> 33)) % buckets, np.int32), block=np.full(n, uid), uid=np.arange(uid, uid + n), doc_id=b.column("doc_id"), n_tokens=count + 1, known=(sums(known) + (model.end_count > 0)).astype(np.int64),
+                    base=sums(log_c) + end_log - (count + 1) * np.log10(model.total + SMOOTH * (model.distinct + 1)), part=after[ends[1:]] - after[ends[:-1]] + sums(in_class), frequent_tokens=(count - sums(is_rare)).astype(np.int64),
+                    **dict(zip(("lost", "times"), by_document(owner[lost], h[lost], n), strict=True)),
+                )
                 place, ctx = two_words(h, first)
-                of = np.repeat(np.arange(n), count + 1)[place]
-                cells = mix(ctx ^ mix(current[place].astype(U64) + U64(1)))
-                log_p = np.diff(after)[place]
-                lists += [*by_document(of, ctx, n)[:2], *by_document(of, cells, n, log_p)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + n)), b.column("doc_id"), pa.array(count + 1), pa.array((sums(known) + (model.end_count > 0)).astype(np.int64)), pa.array(sums(log_c) + end_log - (count + 1) * np.log10(model.total + SMOOTH * (model.distinct + 1))),
-                     pa.array(after[ends[1:]] - after[ends[:-1]] + sums(in_class)), pa.array((count - sums(is_rare)).astype(np.int64)), *lists],
-                    ["uid", "doc_id", "n_tokens", "known", "base", "part", "frequent_tokens", "lost", "times", "contexts", "context_n", "cells", "cell_n", "cell_p"])
+                if len(place):
+                    of = np.repeat(np.arange(n), count + 1)[place]
+                    cells = context_cells(ctx, current[place], log_p[place], of, b.column("train").to_numpy(zero_copy_only=False), buckets)
+                    yield laid_out(len(cells), bucket=pa.array([i for i, _ in cells], pa.int32()), block=np.full(len(cells), uid), cells=pa.array([x for _, x in cells], pa.binary()))
                 uid += n
 
-    layout = "uid long, doc_id long, n_tokens long, known long, base double, part double, frequent_tokens long, lost array<long>, times array<long>, contexts array<long>, context_n array<long>, cells array<long>, cell_n array<long>, cell_p array<double>"
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, layout), "lm-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), 10) != 0).alias("train")).mapInArrow(run, layout(SCORED))
+    met = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(direct_weights, layout(SCORED))
+    rows = cut(met.repartition(partitions(docs), "block").mapInArrow(documents, layout(DOCUMENTS)), "lm-rows")
     words = rows.select("uid", F.inline(F.arrays_zip(F.col("lost").alias("hash"), F.col("times").alias("t"))))
     found = words.join(tail, "hash", "left")
     c = F.coalesce("c", F.lit(0))
     more = found.groupBy("uid").agg(F.sum(F.col("t") * F.log10(c + F.lit(SMOOTH))).alias("log_c"), F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("k"))
-    out = rows.select("uid", "doc_id", "n_tokens", "known", "base", "part", "frequent_tokens").join(more, "uid", "left").join(direct_weights(rows), "uid", "left")
-    log_c, direct = F.coalesce("log_c", F.lit(0.0)), F.coalesce("direct", F.lit(0.0))
+    out = rows.drop("lost", "times").join(more, "uid", "left")
+    log_c = F.coalesce("log_c", F.lit(0.0))
     return out.select(
         "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + log_c).alias("base_score"), (F.col("part") + log_c + direct).alias("score"), "frequent_tokens", F.coalesce("memory", F.lit(0.0)).alias("memory"),
+        (F.col("base") + log_c).alias("base_score"), (F.col("part") + log_c + F.col("direct")).alias("score"), "frequent_tokens", (F.col("memory") / F.greatest(F.col("n_tokens") - 2, F.lit(1))).alias("memory"),
     )
 
 
-def by_document(owner: np.ndarray, key: np.ndarray, n: int, value: np.ndarray | None = None) -> list[pa.ListArray]:
-    """Lists, a document each, of its distinct keys, how often it has them and, if given, the value at the first place of each."""
+#: Columns of what goes to the buckets and comes from them: documents, and cells or sums of a block of them; and of documents with their sums.
+SCORED = {
+    "bucket": pa.int32(), "block": pa.int64(), "uid": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "part": pa.float64(), "frequent_tokens": pa.int64(),
+    "lost": pa.list_(pa.int64()), "times": pa.list_(pa.int64()), "cells": pa.binary(), "direct": pa.binary(), "memory": pa.binary(),
+}
+DOCUMENTS = {c: SCORED[c] for c in SCORED if c not in ("bucket", "block", "cells", "direct", "memory")} | {"direct": pa.float64(), "memory": pa.float64()}
+
+
+def layout(columns: dict[str, pa.DataType]) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{c} {names[t]}" for c, t in columns.items())
+
+
+def laid_out(n: int, **columns) -> pa.RecordBatch:
+    """n rows of SCORED, null where nothing is given."""
+    made = {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in columns.items()}
+    return pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(n, t) for c, t in SCORED.items()], list(SCORED))
+
+
+def by_document(owner: np.ndarray, key: np.ndarray, n: int) -> list[pa.ListArray]:
+    """Lists, a document each, of its distinct keys and how often it has them."""
     order = np.lexsort((key, owner))
     key, owner = key[order], owner[order]
     new = np.ones(len(order), bool)
@@ -478,42 +503,153 @@ def by_document(owner: np.ndarray, key: np.ndarray, n: int, value: np.ndarray |
     at = np.flatnonzero(new)
     offsets = pa.array(np.searchsorted(owner[at], np.arange(n + 1)).astype(np.int32))
     columns = [key[at].view(np.int64), np.diff(np.append(at, len(order))).astype(np.int64)]
-    if value is not None:
-        columns.append(value[order][at])
     return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in columns]
 
 
 def two_words(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places, in the sequence with the ends, of the tokens that follow two words of their text which a hash samples, and the hash of those two."""
+    """Places, in the sequence with the ends, of the tokens that follow two words of their text, and the hash of those two."""
     n = np.diff(first)
     if len(h) < 2:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     pair = mix(h[:-1] * U64(BASE) + h[1:])
     owner = np.repeat(np.arange(len(n)), n)
-    at = np.flatnonzero((owner[1:] == owner[:-1]) & (pair >> U64(40) & U64(SAMPLED - 1) == 0))
-    return at + 2 + owner[at], pair[at]  # an end stands in the sequence for each text before
+    at = np.flatnonzero(owner[1:] == owner[:-1])
+    return at + 2 + owner[at], pair[at] >> U64(64 - BITS)  # an end stands in the sequence for each text before
+
+
+#: Numbers of a piece of cells: of each context its hash, as differences, and cells; of each cell its class, log10 of its probability and documents; of
+#: each document its number in the block (times 2, 1 more for a training one) and how often it has the cell.
+CELLS = (np.uint64, np.uint32, np.uint32, np.float32, np.uint32, np.uint32, np.uint32)
+CODEC = pa.Codec("zstd", 1)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of the types CELLS as bytes: their first bytes, then their second ones and so on, which compresses them well."""
+    planes = [np.ascontiguousarray(v.astype(t)).view(np.uint8).reshape(len(v), -1).T.tobytes() for v, t in zip(arrays, CELLS, strict=True)]
+    return np.array([len(v) for v in arrays], np.int64).tobytes() + CODEC.compress(b"".join(planes), asbytes=True)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    head = 8 * len(CELLS)
+    n = np.frombuffer(data[:head], np.int64)
+    raw = np.frombuffer(CODEC.decompress(data[head:], int(sum(k * np.dtype(t).itemsize for k, t in zip(n, CELLS, strict=True))), asbytes=True), np.uint8)
+    out, at = [], 0
+    for k, t in zip(n.tolist(), CELLS, strict=True):
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + k * size].reshape(size, k).T).view(t).ravel())
+        at += k * size
+    return out
+
+
+def context_cells(ctx: np.ndarray, cls: np.ndarray, log_p: np.ndarray, doc: np.ndarray, train: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """What follows each context in a block of documents: a piece, packed, for each bucket, which is a range of hashes."""
+    code = 2 * doc + train[doc]
+    follow = cls * (2 * len(train)) + code
+    rank = np.unique(ctx, return_inverse=True)[1]
+    order = np.argsort(rank * (int(follow.max()) + 1) + follow)  # one sort of numbers each, which is faster than by two keys
+    ctx, cls, log_p, code, follow = ctx[order], cls[order], log_p[order], code[order], follow[order]
+    new_ctx = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+    new_cell = new_ctx | np.concatenate([[True], cls[1:] != cls[:-1]])
+    entry = np.flatnonzero(new_cell | np.concatenate([[True], follow[1:] != follow[:-1]]))
+    times = np.diff(np.append(entry, len(ctx)))
+    bucket = ((ctx >> U64(BITS - 32)) * U64(buckets)) >> U64(32)
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(ctx))
+    contexts, cells = np.flatnonzero(new_ctx), np.flatnonzero(new_cell)
+    in_context, in_cell = np.diff(np.searchsorted(cells, np.append(contexts, len(ctx)))), np.diff(np.searchsorted(entry, np.append(cells, len(ctx))))
+    ranges = [np.searchsorted(v, cuts) for v in (contexts, cells, entry)]
+    out = []
+    for i in range(len(cuts) - 1):
+        c, k, e = (slice(v[i], v[i + 1]) for v in ranges)
+        own = ctx[contexts[c]]
+        out.append((int(bucket[cuts[i]]), packed(np.append(own[:1], own[1:] - own[:-1]), in_context[c], cls[cells[k]], log_p[cells[k]], in_cell[k], code[entry[e]], times[e])))
+    return out
+
+
+def opened_cells(data: bytes) -> tuple[np.ndarray, ...]:
+    """Of each cell its context's hash, its own and its log10 probability; of each document of a cell the cell, from 0, the document's code and how often it has it."""
+    ctx, in_context, cls, log_p, in_cell, code, times = unpacked(data)
+    ctx = np.repeat(np.cumsum(ctx, dtype=U64), in_context)
+    return ctx, mix(ctx ^ mix(cls.astype(U64) + U64(1))), log_p.astype(np.float64), np.repeat(np.arange(len(cls)), in_cell), code.astype(np.int64), times.astype(np.int64)
 
 
-def direct_weights(rows: DataFrame) -> DataFrame:
-    """(uid, direct, memory): what the direct weights of the sampled contexts of two words add to a document's score, and what they would add, on average,
-    if they were learnt without the document.
+def direct_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the direct weights of the contexts of a bucket add to the scores of each block's documents, and what they would add if they were learnt without the
+    document. Rows of documents pass. Pieces stay packed, but for one at a time.
 
     A context of two words has a weight of its own for each class that follows it. With a pull of DIRECT occurrences to the bilinear model, which gives the
     class p, the weight at which noise-contrastive estimation ends, with all noise expected, makes its probability
     (n + DIRECT p) / (N + DIRECT), for n of N occurrences: normalised, and p times a quotient whose two counts are looked up apart.
     """
-    train = (fold(F.col("doc_id"), 10) != 0).alias("train")
-    sides = rows.select("uid", train, F.inline(F.arrays_zip(F.col("contexts").alias("hash"), F.col("context_n").alias("t")))).withColumn("p", F.lit(None).cast("double"))
-    sides = sides.unionByName(rows.select("uid", train, F.inline(F.arrays_zip(F.col("cells").alias("hash"), F.col("cell_n").alias("t"), F.col("cell_p").alias("p")))))
-    counts = cut(sides.groupBy("hash").agg(F.sum(F.when(F.col("train"), F.col("t")).otherwise(0)).alias("c"), F.count("*").alias("rows")), "lm-contexts")
-    met = join_split(sides, counts, ["hash"], "rows", counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n)
-    share = lambda c: F.when(F.col("p").isNull(), -F.log10(c + F.lit(DIRECT))).otherwise(F.log10(c / F.pow(F.lit(10.0), F.col("p")) + F.lit(DIRECT)))
-    others = F.col("c") - F.when(F.col("train"), F.col("t")).otherwise(0)
-    sums = met.groupBy("uid").agg(F.sum(F.col("t") * share(F.col("c"))).alias("direct"), F.sum(F.col("t") * share(others)).alias("memory"), F.sum(F.when(F.col("p").isNull(), F.col("t"))).alias("k"))
-    return sums.select("uid", "direct", (F.col("memory") / F.col("k")).alias("memory"))
+    held: list[tuple[int, bytes]] = []
+    sums = {k: ([np.zeros(0, U64)], [np.zeros(0, np.int64)]) for k in ("contexts", "cells")}
+
+    def add(kind: str, key: np.ndarray, n: np.ndarray) -> None:
+        keys, counts = sums[kind]
+        keys.append(key)
+        counts.append(n)
+        if sum(map(len, keys[1:])) > max(1_000_000, len(keys[0])):
+            sums[kind] = tuple([v] for v in added(keys, counts))
+
+    for batch in batches:
+        whole = batch.filter(pc.is_null(batch.column("cells")))
+        if whole.num_rows:
+            yield whole
+        for block, cells in zip(batch.column("block"), batch.column("cells"), strict=True):
+            if cells.is_valid:
+                held.append((block.as_py(), cells.as_py()))
+                ctx, cell, _, at, code, times = opened_cells(held[-1][1])
+                n = np.bincount(at, times * (code & 1), minlength=len(cell)).astype(np.int64)
+                new = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+                add("contexts", ctx[new], np.add.reduceat(n, new))
+                add("cells", cell, n)
+    if not held:
+        return
+    (contexts, big), (cells, small) = (added(*sums[k]) for k in ("contexts", "cells"))
+    for block, data in held:
+        ctx, cell, log_p, at, code, times = opened_cells(data)
+        doc, mine = np.unique(code, return_inverse=True)
+        odds, n, total = np.exp(-np.log(10) * log_p), small[np.searchsorted(cells, cell)], big[np.searchsorted(contexts, ctx)]
+        direct = np.log(n * odds + DIRECT) - np.log(total + DIRECT)
+        # Without the document's own occurrences, of the cell and of its context.
+        own = times * (code & 1)
+        rank = np.cumsum(np.concatenate([[0], ctx[1:] != ctx[:-1]]))[at]
+        pair, back = np.unique(rank * len(doc) + mine, return_inverse=True)
+        of_context = np.bincount(back, own, minlength=len(pair))[back]
+        others = np.log((n[at] - own) * odds[at] + DIRECT) - np.log(total[at] - of_context + DIRECT)
+        got = [(np.bincount(mine, times * v, minlength=len(doc)) / np.log(10)).astype(np.float32).tobytes() for v in (direct[at], others)]
+        yield laid_out(1, block=np.array([block]), cells=pa.array([(doc >> 1).astype(np.uint32).tobytes()], pa.binary()), direct=pa.array([got[0]], pa.binary()), memory=pa.array([got[1]], pa.binary()))
+
+
+def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents with the sums of all buckets: blocks are whole in a task."""
+    sums: dict[int, np.ndarray] = {}
+    held = []
+    for batch in batches:
+        alone = pc.is_null(batch.column("cells"))
+        held.append(batch.filter(alone))
+        some = batch.filter(pc.invert(alone))
+        for block, doc, *values in zip(*[some.column(c).to_pylist() for c in ("block", "cells", "direct", "memory")], strict=True):
+            at = np.frombuffer(doc, np.uint32)
+            total = sums.get(block, np.zeros((0, 2)))
+            if len(total) <= at[-1]:
+                total = np.concatenate([total, np.zeros((int(at[-1]) + 1 - len(total), 2))])
+            for i, v in enumerate(values):
+                total[at, i] += np.frombuffer(v, np.float32)
+            sums[block] = total
+    for rows in held:
+        if rows.num_rows:
+            block, uid = rows.column("block").to_numpy(), rows.column("uid").to_numpy()
+            out = np.zeros((rows.num_rows, 2))
+            for b in np.unique(block).tolist():
+                mine, total = np.flatnonzero(block == b), sums.get(b, np.zeros((0, 2)))
+                place = uid[mine] - b
+                out[mine[place < len(total)]] = total[place[place < len(total)]]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in DOCUMENTS if c not in ("direct", "memory")], pa.array(out[:, 0]), pa.array(out[:, 1])], list(DOCUMENTS))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """`score` of all docs by the model of those whose fold isn't held out; see there for nulls, empty and long texts, repeats and empty tables."""
     docs = docs.select("doc_id", "text")
-    return score(docs, *fit(docs))
+    model, tail = fit(docs)
+    free_shuffles(docs.sparkSession)
+    return score(docs, model, tail)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import unicodedata
@@ -96,6 +97,12 @@ def remove_tables(spark: SparkSession) -> None:
     remove(spark, run_folder(spark))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes the files of shuffles that nothing can read any more once the driver's JVM collects their plans: asks it to, before a step that needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; 1 (never held out) for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(1))
