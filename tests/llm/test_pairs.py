@@ -256,3 +256,47 @@ def test_of_rows_equal_in_id_and_text_a_fixed_one_stays(spark):
     for n in (1, 5):
         docs = spark.createDataFrame(rows[::-1] if n > 1 else rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
         assert {tuple(r) for r in jaccard.one_of_each_class(docs).collect()} == want
+
+
+def test_copies_of_vectors_are_dealt_from_one_table(spark, monkeypatch):
+    """No table holds a vector once for each cell, and components given as floats stay floats on their way."""
+    tables, plain = {}, neighbours.cut
+
+    def noted(df, name):
+        out = plain(df, name)
+        tables[name] = (out.count(), out.schema)
+        return out
+
+    monkeypatch.setattr(neighbours, "cut", noted)
+    monkeypatch.setattr(neighbours, "CELL", 20)
+    x = vectors()
+    neighbours.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    held = {name: (n, schema["embedding"].dataType.elementType.simpleString()) for name, (n, schema) in tables.items() if "embedding" in schema.names}
+    assert held == {"vector-nodes": (len(x), "float")}
+
+
+def test_embeddings_are_told_apart_by_value_and_place():
+    rows = [[1.0, 2.0], [2.0, 1.0], [1.0, 2.0], [0.0, 1.0], [-0.0, 1.0], [1.0, 2.0, 0.0], None, [], [0.0], [float("nan")], [1.0, None], [float("-inf")], [1.0], [2.0]]
+    good, h1, h2 = neighbours.hashes(pa.array(rows, pa.list_(pa.float32())))
+    assert good.tolist() == [True] * 6 + [False] * 6 + [True] * 2
+    keys = list(zip(h1.tolist(), h2.tolist(), strict=True))
+    assert keys[0] == keys[2] and keys[3] == keys[4] and len({keys[i] for i in (0, 1, 3, 5, 12, 13)}) == 6
+    assert keys[:6] == list(zip(*(h.tolist() for h in neighbours.hashes(pa.array(rows[:6], pa.list_(pa.float64())))[1:]), strict=True))
+
+
+def test_highest_cosines_come_first():
+    s = np.random.default_rng(6).normal(size=(40, 90)).clip(-1, 1).astype(np.float32)
+    s[:, 30:50] = s[:, 10:30]
+    for k in (1, 4, 12, 90):
+        assert (neighbours.nearest(s, k) == np.argsort(-s, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_pairs_of_a_shard_are_known_beforehand():
+    """What the cosines of a shard say needs no walk: a search that may walk from one row only finds them all the same."""
+    rng = np.random.default_rng(9)
+    x = neighbours.unit(rng.normal(size=(300, 24)).repeat(2, 0) + 0.05 * rng.normal(size=(600, 24))).astype(np.float32)
+    truth = x @ x.T >= 0.95 - neighbours.SLACK
+    known = np.zeros((600, 600), bool)
+    lists, medoids = neighbours.flat_graph(x, known)
+    assert not (known & ~truth).any() and known.sum() >= 0.99 * truth.sum()
+    assert (neighbours.search(x, lists, medoids, np.arange(600), 1, known=known) & truth).sum() >= 0.99 * truth.sum()
