@@ -320,6 +320,26 @@ def test_blocks_give_the_pairs_of_the_term_join(spark, monkeypatch, strategy):
     assert blocks.similarity(v.filter("yr = 2000"), 2, 0.3, strategy).count() == 0
 
 
+def test_vectors_are_shuffled_once_however_many_blocks_they_meet(spark):
+    """Rows written to shuffles don't grow with the blocks, and rows that are packed already aren't put together again."""
+    from textlineage.operators import blocks
+    from textlineage.plans.metrics import StageWatch
+
+    v = signed(spark, 7)
+    lists = blocks.packed(v).coalesce(1).cache()
+    rows, got = {}, {}
+    for name, source, size in (("one", v, 10**6), ("many", v, 20), ("packed", lists, 20)):
+        lists.count()
+        with StageWatch(spark) as w:
+            got[name] = {(r.id_x, r.id_y, r.n_terms, round(r.sim, 9)) for r in blocks.similarity(source, 2, 0.3, earlier=size, most=size).collect()}
+        rows[name] = sum(dict(zip(w.table().columns, r, strict=True))["rows_out"] for r in w.rows)
+    assert got["one"] == got["many"] == got["packed"] == {(r.id_x, r.id_y, r.n_terms, round(r.sim, 9)) for r in pairs.pair_similarity(v, 2).collect()}
+    assert rows["one"] == rows["many"]
+    docs = {r.yr: r.n for r in lists.groupBy("yr").agg(F.count("*").alias("n")).collect()}
+    assert rows["packed"] == sum(n for y, n in docs.items() if y < 2003) + sum(n for y, n in docs.items() if y > 2000)
+    lists.unpersist()
+
+
 def bounds_by_hand(rows, window, threshold):
     """What is left to add, candidates and those ruled out, a document and pair of years."""
     docs, top = {}, {}
